@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from .fingerprints import op1_fingerprints
+from .mixing import OP3_SQL, op3_mixing
+from .urlfilter import OP2_SQL, op2_urlfilter
+from .warc import OP5_SQL, op5_warc
 
 
 def queries() -> dict:
-    return {"op1_fingerprints": op1_fingerprints}
+    return {f.__name__: f for f in (op1_fingerprints, op2_urlfilter, op3_mixing, op5_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_urlfilter": OP2_SQL, "op3_mixing": OP3_SQL, "op5_warc": OP5_SQL}
