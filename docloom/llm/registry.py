@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from .fingerprints import op1_fingerprints
 from .mixing import OP3_SQL, op3_mixing
+from .substrings import OP10_SQL, op10_substrings
 from .urlfilter import OP2_SQL, op2_urlfilter
 from .warc import OP5_SQL, op5_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op2_urlfilter, op3_mixing, op5_warc)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_urlfilter, op3_mixing, op5_warc, op10_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_urlfilter": OP2_SQL, "op3_mixing": OP3_SQL, "op5_warc": OP5_SQL}
+    return {"op2_urlfilter": OP2_SQL, "op3_mixing": OP3_SQL, "op5_warc": OP5_SQL, "op10_substrings": OP10_SQL}
