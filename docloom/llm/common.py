@@ -88,10 +88,10 @@ def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit polynomial hash of each n consecutive word hashes, by doubling."""
     if len(hashes) < n:
         return np.zeros(0, np.uint64)
-    base, power, width, whole = np.uint64(0x9E3779B97F4A7C15), None, 1, hashes
-    power = base
+    base, width, whole = 0x9E3779B97F4A7C15, 1, hashes
+    power = np.array([base], np.uint64)  # an array wraps silently
     pieces: list[tuple[int, np.ndarray]] = [(1, hashes)]
-    powers = {1: base}
+    powers = {1: power}
     while width * 2 <= n:
         whole = whole[: len(whole) - width] * power + whole[width:]
         power, width = power * power, width * 2

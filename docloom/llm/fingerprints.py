@@ -45,8 +45,8 @@ def winnow(text: Column, k: int = K, w: int = W) -> Column:
 
     def minima(gram: Column) -> Column:
         # Of each window the minimum, by doubling: minima of 2, 4, ... grams; short texts are one window.
-        def halve(values: Column, width: int) -> Column:
-            return F.zip_with(
+        def halve(width: int):
+            return lambda values: F.zip_with(
                 F.slice(values, 1, F.greatest(F.size(values) - width, F.lit(0))),
                 F.slice(values, width + 1, F.greatest(F.size(values) - width, F.lit(0))),
                 lambda a, b: F.least(a, b),
@@ -54,9 +54,9 @@ def winnow(text: Column, k: int = K, w: int = W) -> Column:
 
         out, width = gram, 1
         while width * 2 <= w:
-            out, width = _let(out, lambda v, n=width: halve(v, n)), width * 2
+            out, width = _let(out, halve(width)), width * 2
         if width < w:
-            out = _let(out, lambda v, n=w - width: halve(v, n))
+            out = _let(out, halve(w - width))
         return F.when(F.size(gram) == 0, gram).when(F.size(gram) <= w, F.array(F.array_min(gram))).otherwise(
             F.array_distinct(out)
         )
