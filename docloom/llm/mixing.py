@@ -11,6 +11,8 @@ buckets' sizes are summed first, and only the bucket in which the budget ends is
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,28 +60,34 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     left = weighed.withColumn("total", F.sum("source_size").over(Window.partitionBy())).withColumn(
         "level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)
     ).withColumn("capped", F.col("cap") <= F.col("w") * F.col("level"))
-    level = F.min(F.when(~F.col("capped"), F.col("level"))).over(Window.partitionBy())
+    # Levels fall after the first source that isn't capped; that one's level holds for the rest.
+    level = F.max(F.when(~F.col("capped"), F.col("level"))).over(Window.partitionBy())
     return left.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("w") * level)).select(
         "source", "source_size", "target"
     )
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
-    """docs (doc_id, text, source, ...) -> doc_id, source, size, source_size, target, taken.
+def _keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
+    key = -F.log(uniform(F.col("doc_id"))) / quality(F.col("text"))
+    keyed = docs.select(*keep, n_words(F.col("text")).cast("bigint").alias("size"), key.alias("_key"))
+    # exp(-key) is near uniform, so buckets of it are near equal
+    return keyed.withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key"))) * BUCKETS).cast("int"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, keep: Sequence[str] = ("doc_id", "source")) -> DataFrame:
+    """docs (doc_id, text, source, ...) -> the columns of keep, then size, source_size, target, taken.
 
     A null text has size 0; documents of size 0 take nothing, sources of size 0 have target
     0. Rows with equal ids get equal keys and are ordered by size; rows equal in both are
-    taken alike. Other columns are unused.
+    taken alike. Columns beyond keep are unused, and those of keep named as a result are
+    replaced. Only the documents on which a budget ends are shuffled with the columns kept.
     """
-    key = -F.log(uniform(F.col("doc_id"))) / quality(F.col("text"))
-    rows = staged(
-        docs.select("doc_id", "source", n_words(F.col("text")).cast("bigint").alias("size"), key.alias("key")).withColumn(
-            # exp(-key) is near uniform, so buckets of it are near equal
-            "bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int")
-        ),
-        "mix",
-    )
-    buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("filled"))
+    results = ("size", "source_size", "target", "taken")
+    keep = [c for c in keep if c not in results]
+    slim = ["doc_id", "source"]
+    rows = staged(_keyed(docs, slim), "mix")
+    judged = rows if set(keep) <= {*slim} else _keyed(docs, [*dict.fromkeys([*keep, *slim])])
+    buckets = rows.groupBy("source", F.col("_bucket").alias("bucket")).agg(F.sum("size").alias("filled"))
     plan = targets(buckets.groupBy("source").agg(F.sum("filled").alias("source_size")), weights, most)
     # Whole epochs first, then the rest of the target from the buckets in order.
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
@@ -88,22 +96,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     ends = (
         buckets.withColumn("before", F.sum("filled").over(inorder) - F.col("filled"))
         .join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-        .withColumn("_last", (F.col("before") < F.col("budget")) & (F.col("before") + F.col("filled") >= F.col("budget")))
+        .withColumn("_ends", (F.col("before") < F.col("budget")) & (F.col("before") + F.col("filled") >= F.col("budget")))
         .groupBy("_s")
         .agg(
-            F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("epochs").alias("epochs"), F.first("budget").alias("budget"),
-            F.min(F.when(F.col("_last"), F.col("bucket"))).alias("last"), F.min(F.when(F.col("_last"), F.col("before"))).alias("before"),
+            F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("epochs").alias("_epochs"), F.first("budget").alias("_budget"),
+            F.min(F.when(F.col("_ends"), F.col("bucket"))).alias("_last"), F.min(F.when(F.col("_ends"), F.col("before"))).alias("_before"),
         )
     )
-    judged = rows.join(ends, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    whole = judged.filter(F.col("last").isNull() | (F.col("bucket") != F.col("last"))).withColumn("more", (F.col("bucket") < F.coalesce("last", F.lit(0))).cast("int"))
-    final = Window.partitionBy("source").orderBy("key", "doc_id", "size")
-    cut = judged.filter(F.col("bucket") == F.col("last")).withColumn("sum", F.col("before") + F.sum("size").over(final))
+    judged = judged.join(ends, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    whole = judged.filter(F.col("_last").isNull() | (F.col("_bucket") != F.col("_last"))).withColumn("_more", (F.col("_bucket") < F.coalesce("_last", F.lit(0))).cast("int"))
+    final = Window.partitionBy("source").orderBy("_key", "doc_id", "size")
+    cut = judged.filter(F.col("_bucket") == F.col("_last")).withColumn("_sum", F.col("_before") + F.sum("size").over(final))
     # The document on which the budget ends is taken if that comes nearer to the target.
-    cut = cut.withColumn("more", (F.col("sum") - F.col("size") / 2 <= F.col("budget")).cast("int")).drop("sum")
-    return whole.unionByName(cut).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("more"))).cast("bigint").alias("taken")
-    )
+    cut = cut.withColumn("_more", (F.col("_sum") - F.col("size") / 2 <= F.col("_budget")).cast("int")).drop("_sum")
+    return whole.unionByName(cut).select(*keep, "size", "source_size", "target", (F.col("size") * (F.col("_epochs") + F.col("_more"))).cast("bigint").alias("taken"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +133,7 @@ l AS (SELECT *, (sum(source_size) OVER ()
       - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
       / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM w),
 c AS (SELECT *, cap <= w * lvl AS capped FROM l),
-t AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE w * min(CASE WHEN NOT capped THEN lvl END) OVER () END AS target FROM c),
+t AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE w * max(CASE WHEN NOT capped THEN lvl END) OVER () END AS target FROM c),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
 r AS (SELECT k.doc_id, k.size, b.source_size, b.target, b.epochs, b.target - b.epochs * b.source_size AS budget,
     sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size) AS run

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op6_decontamination
 from .fingerprints import op1_fingerprints
+from .katz import op8_katz
 from .mixing import OP3_SQL, op3_mixing
 from .neardup import op9_neardup
 from .pii import op7_pii
@@ -14,7 +15,7 @@ from .warc import OP5_SQL, op5_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op2_urlfilter, op3_mixing, op4_toxicity, op5_warc, op6_decontamination, op7_pii, op9_neardup, op10_substrings)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_urlfilter, op3_mixing, op4_toxicity, op5_warc, op6_decontamination, op7_pii, op8_katz, op9_neardup, op10_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
