@@ -1,0 +1,179 @@
+"""Retrieval over one source's tables.
+
+Every method returns a DataFrame. Conditions are plain column predicates, so that they
+reach the Parquet scan; pages are TakeOrderedAndProject; nothing is collected but corpus
+figures of one row.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..schema import FIELDS, BadRequest, NotFound
+
+MOST = {"search": 50, "filter": 500, "tags": 500, "titles": 100, "random": 50}
+ANCHORS = 20
+
+
+def parse_bbox(bbox: str) -> tuple[float, float, float, float]:
+    """min_lat,min_lon,max_lat,max_lon; boxes across the antimeridian are refused."""
+    try:
+        a, b, c, d = (float(x) for x in bbox.split(","))
+    except ValueError:
+        raise BadRequest("bbox is min_lat,min_lon,max_lat,max_lon") from None
+    if a > c or b > d:
+        raise BadRequest("bbox is inverted")
+    return a, b, c, d
+
+
+def split_list(x: str) -> list[str]:
+    return [p.strip() for p in x.split(",") if p.strip()]
+
+
+def parse_fields(fields: str | None, default: tuple[str, ...], allowed: tuple[str, ...] = FIELDS) -> list[str]:
+    if fields is None:
+        return list(default)
+    names = split_list(fields)
+    if not names or (odd := [n for n in names if n not in allowed]):
+        raise BadRequest(f"unknown fields: {', '.join(odd if names else [])}")
+    return names
+
+
+def clamp(n: int, most: int) -> int:
+    return max(1, min(n, most))
+
+
+class KnowledgeBase:
+    """docs (the document model with feature, area, lat, lon, wikidata), aliases (alias, doc_id), doc_tags (tag, doc_id)."""
+
+    def __init__(self, docs: DataFrame, aliases: DataFrame | None = None, doc_tags: DataFrame | None = None, tag_counts: DataFrame | None = None):
+        self.docs, self.aliases, self.doc_tags, self.tag_counts = docs, aliases, doc_tags, tag_counts
+
+    def conditions(self, tag: str | None = None, feature: str | None = None, area: str | None = None, bbox: str | None = None, wikidata: str | None = None) -> list[Column]:
+        """One predicate a condition; tags and features are alternatives within their list."""
+        out = []
+        if tag is not None:
+            out.append(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in split_list(tag)]) if split_list(tag) else F.array().cast("array<string>")))
+        if feature is not None:
+            out.append(F.col("feature").isin(split_list(feature)))
+        if area is not None:
+            out.append(F.col("area") == area)
+        if wikidata is not None:
+            out.append(F.col("wikidata") == wikidata)
+        if bbox is not None:
+            a, b, c, d = parse_bbox(bbox)
+            out.append(F.col("lat").between(a, c) & F.col("lon").between(b, d))
+        return out
+
+    def _matched(self, terms: list[str]) -> DataFrame:
+        occ = lambda t: (T.TITLE_WEIGHT * T.occurrences(F.col("title"), t) + T.BODY_WEIGHT * T.occurrences(F.col("body"), t))
+        counted = self.docs.withColumns({f"_tf{i}": occ(t) for i, t in enumerate(terms)} | {"_len": T.trigrams(F.col("title"), F.col("body"))})
+        found = counted.agg(F.count("*").alias("n"), F.avg("_len").alias("mean"), *[F.sum((F.col(f"_tf{i}") > 0).cast("bigint")).alias(f"n{i}") for i in range(len(terms))]).first()
+        score = T.bm25([F.col(f"_tf{i}") for i in range(len(terms))], F.col("_len"), found["n"], found["mean"], [found[f"n{i}"] or 0 for i in range(len(terms))])
+        matched = counted.filter(reduce(Column.__and__, [F.col(f"_tf{i}") > 0 for i in range(len(terms))]))
+        return matched.withColumn("_bm25", score)
+
+    def search(self, q: str, limit: int = 10, offset: int = 0, pool: int | None = None, **filters: str | None) -> DataFrame:
+        """doc_id, title, snippet, updated_at, score, mode: exact titles first, then by blended relevance, then id.
+
+        Without a term of three characters titles are matched by prefix. Without `pool` all
+        matches are ranked; with it, as many of the best by text alone, and titles that
+        extend the query by a bracket, are ranked again by popularity. Filters disable it.
+        """
+        if not q:
+            raise BadRequest("q is empty")
+        limit, offset = clamp(limit, MOST["search"]), max(0, offset)
+        conditions = self.conditions(**filters)
+        terms = T.match_terms(q)
+        if terms is None:
+            rows = reduce(DataFrame.filter, conditions, self.docs).filter(F.col("title").startswith(q.strip()))
+            order = [T.exact_first(F.col("title"), q.strip()), F.col("rank_score").desc_nulls_last(), "title", "doc_id"]
+            rows = rows.withColumns({"score": F.lit(0.0), "snippet": T.head(F.col("opening"), F.col("body"))})
+            mode = "title_prefix"
+        else:
+            matched = reduce(DataFrame.filter, conditions, self._matched(terms))
+            if pool is not None and not conditions:
+                need = offset + limit
+                best = matched.orderBy("_bm25", "doc_id").limit(max(need, pool))
+                anchors = matched.filter(F.col("title").startswith(q)).orderBy("title", "doc_id").limit(ANCHORS).filter((F.col("title") == q) | F.col("title").startswith(q + " ("))
+                matched = best.unionByName(anchors).dropDuplicates(["doc_id"])
+            rows = matched.withColumns({"score": T.blended(F.col("_bm25"), F.col("rank_score")), "snippet": T.snippet(F.col("body"), terms[0])})
+            order, mode = [T.exact_first(F.col("title"), q), "score", "doc_id"], "fts"
+        updated = F.col("updated_at") if "updated_at" in rows.columns else F.lit(None).cast("string").alias("updated_at")
+        return rows.orderBy(*order).offset(offset).limit(limit).select("doc_id", "title", "snippet", updated, F.round("score", 6).alias("score"), F.lit(mode).alias("mode"))
+
+    def doc_by_id(self, doc_id: int, fields: str | None = None, max_chars: int = 0) -> DataFrame:
+        return self._shown(self.docs.filter(F.col("doc_id") == doc_id), parse_fields(fields, FIELDS), max_chars)
+
+    def candidates(self, title: str, limit: int = 5) -> DataFrame:
+        """Titles that begin alike, for answers that nothing was found."""
+        return self.docs.filter(F.col("title").startswith(title)).orderBy(F.col("rank_score").desc_nulls_last(), "title").limit(limit).select("doc_id", "title")
+
+    def doc(self, title: str, **filters: str | None) -> DataFrame:
+        """Exact titles, then up to five documents that have it as alias; `stage` and rank_score order them."""
+        docs = reduce(DataFrame.filter, self.conditions(**filters), self.docs)
+        exact = docs.filter(F.col("title") == title).withColumn("stage", F.lit(0))
+        if self.aliases is None:
+            return exact
+        named = self.aliases.filter(F.col("alias") == title).select("doc_id").distinct()
+        byalias = docs.join(named, "doc_id", "left_semi").filter(F.col("title") != title).orderBy(F.col("rank_score").desc_nulls_last(), "doc_id").limit(5).withColumn("stage", F.lit(1))
+        return exact.unionByName(byalias).orderBy("stage", F.col("rank_score").desc_nulls_last(), "doc_id")
+
+    def doc_or_raise(self, title: str, **filters: str | None):
+        """The best document of doc(); NotFound carries candidates."""
+        found = self.doc(title, **filters).first()
+        if found is None:
+            raise NotFound(title, [r.title for r in self.candidates(title).collect()])
+        return found
+
+    def _shown(self, rows: DataFrame, fields: list[str], max_chars: int = 0) -> DataFrame:
+        names = [c for c in fields if c in rows.columns]
+        return rows.select(*[F.substring("body", 1, max_chars).alias("body") if c == "body" and max_chars > 0 else c for c in names])
+
+    def _filtered(self, filters: dict[str, str | None]) -> DataFrame:
+        conditions = self.conditions(**filters)
+        if not conditions:
+            raise BadRequest("filter needs a condition")
+        return reduce(DataFrame.filter, conditions, self.docs)
+
+    def filter(self, limit: int = 50, offset: int = 0, fields: str | None = None, max_chars: int = 0, **filters: str | None) -> DataFrame:
+        """A page by rank_score descending, then title."""
+        rows = self._filtered(filters).orderBy(F.col("rank_score").desc_nulls_last(), "title", "doc_id").offset(max(0, offset)).limit(clamp(limit, MOST["filter"]))
+        return self._shown(rows, parse_fields(fields, ("doc_id", "title", "feature", "area", "lat", "lon")), max_chars)
+
+    def filter_total(self, **filters: str | None) -> DataFrame:
+        return self._filtered(filters).agg(F.count("*").alias("total"))
+
+    def tags(self, prefix: str | None = None, contains: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+        counts = self.tag_counts if self.tag_counts is not None else self.doc_tags.groupBy("tag").agg(F.count("*").alias("docs"))
+        if prefix is not None:
+            counts = counts.filter(F.col("tag").startswith(prefix))
+        if contains is not None:
+            counts = counts.filter(F.col("tag").contains(contains))
+        return counts.orderBy(F.desc("docs"), "tag").offset(max(0, offset)).limit(clamp(limit, MOST["tags"]))
+
+    def titles(self, prefix: str = "", limit: int = 20) -> DataFrame:
+        return self.docs.filter(F.col("title").startswith(prefix)).orderBy(F.col("rank_score").desc_nulls_last(), "title").limit(clamp(limit, MOST["titles"])).select("doc_id", "title")
+
+    def links(self, title: str) -> DataFrame:
+        """Outgoing links in text order, repeats included; the title may be an alias."""
+        best = self.doc(title).limit(1)
+        return best.select("doc_id", F.posexplode("links").alias("pos", "link"))
+
+    def random(self, limit: int = 5, seed: int | None = None) -> DataFrame:
+        return self.docs.orderBy(F.rand(seed) if seed is not None else F.rand()).limit(clamp(limit, MOST["random"])).select("doc_id", "title")
+
+    def browse(self, after: int = -1, size: int = 100) -> DataFrame:
+        """A page by id, with one row more if another follows; `has_next` says so."""
+        rows = self.docs.filter(F.col("doc_id") > after).orderBy("doc_id").limit(size + 1).select("doc_id", "title", T.head(F.col("opening"), F.col("body"), 160).alias("snippet"))
+        at = Window.partitionBy().orderBy("doc_id")  # size + 1 rows at most
+        return rows.withColumns({"_n": F.row_number().over(at), "_all": F.count("*").over(Window.partitionBy())}).filter(F.col("_n") <= size).select("doc_id", "title", "snippet", (F.col("_all") > size).alias("has_next"))
+
+    def has_attributes(self) -> DataFrame:
+        """One row: whether any document has a feature, coordinates, links."""
+        links = F.coalesce(F.size("links") > 0, F.lit(False)) if "links" in self.docs.columns else F.lit(False)
+        return self.docs.agg(F.bool_or(F.col("feature").isNotNull()).alias("has_feature"), F.bool_or(F.col("lat").isNotNull()).alias("has_coords"), F.bool_or(links).alias("has_links"))

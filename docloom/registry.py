@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import queries as q
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, (run, _) in q.REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in q.REGISTRY.items() if sql}
