@@ -157,6 +157,10 @@ def _tell_pairs(table: pa.Table, n: int, v: int) -> pa.Table:
         wanted = own[np.minimum.reduceat(answer, np.cumsum(run.astype(np.int64)) - run) == 0] if len(own) else own
         place = np.minimum(np.searchsorted(contexts, wanted), max(len(contexts) - 1, 0))
         told = np.where(contexts[place] == wanted, sums[:, place], 0.0) if len(contexts) else np.zeros((_SUMS, len(wanted)))
+        # After the counts: contexts without a discounted count, whose divisor is one more.
+        spot = np.minimum(np.searchsorted(contexts, own), max(len(contexts) - 1, 0))
+        whole = (contexts[spot] == own) & ~sums[:GT_MAX, spot].any(0) if len(contexts) else np.zeros(len(own), bool)
+        answer = np.concatenate((answer, whole))
         rows.append((part, chunk, "pairs", pack(answer), pack(told.reshape(-1)) if len(wanted) else b"", None, None))
         pair = np.frombuffer(of, np.uint64).reshape(2, -1)
         hot.update(zip(pair[0].tolist(), pair[1].tolist()))
@@ -199,7 +203,9 @@ def _score(table: pa.Table, told: pa.Table, n: int, v: int, parts: int, ratio: n
     chunk = _Chunk(table)
     chunk.pairs(_word_counts(told), n, parts)
     own = sorted((p, c, s) for p, k, c, s in zip(*(told.column(x).to_pylist() for x in ("part", "kind", "counts", "sums"))) if k == "pairs")
-    seen = np.concatenate([unpack(c, np.int64) for _, c, _ in own])
+    answers = [(unpack(c, np.int64), b - a) for (_, a, b), (_, c, _) in zip(_cuts(part_of(chunk.key, parts)), own)]
+    seen = np.concatenate([x[:size] for x, size in answers])
+    whole = np.concatenate([x[size:] for x, size in answers]) > 0
     told_sums = [unpack(s, np.float64).reshape(_SUMS, -1) for _, _, s in own if s]
     told_sums = np.concatenate(told_sums, 1) if told_sums else np.zeros((_SUMS, 0))
     r = seen[chunk.pair_of]
@@ -215,8 +221,9 @@ def _score(table: pa.Table, told: pa.Table, n: int, v: int, parts: int, ratio: n
     if chunk.heavy.any():
         place = np.minimum(np.searchsorted(heavy[0], chunk.context[chunk.heavy]), len(heavy[0]) - 1)
         sums[:, chunk.heavy] = heavy[1][:, place]
-    # A context none of whose counts is discounted divides by one more; where no pair is unseen the chunk wasn't told.
     divisor, alpha = _weights(sums, context_count, ratio)
+    # Where no pair is unseen the chunk wasn't told the sums.
+    divisor = np.where(whole[key_of][chunk.pair_of] & ~chunk.heavy, context_count + 1, divisor)
     known = r > 0
     d = np.concatenate(([1.0], ratio, [1.0]))[np.minimum(r, GT_MAX + 1)]
     p = np.where(known, d * r / np.maximum(divisor, 1), np.where(context_count > 0, alpha * p_word, p_word))
