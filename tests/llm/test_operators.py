@@ -1,0 +1,257 @@
+"""Each operator against brute force, and with nulls, empty tables, repeats and clashing columns."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from docloom.llm import decontamination, fingerprints, katz, neardup, pii, registry, substrings, toxicity, urlfilter, warc
+from docloom.llm.common import staged
+
+SF = "/root/testdata/sf0.001"
+ODD = [(1, None), (2, ""), (3, "   "), (4, "one two"), (4, "one two"), (5, "w " * 30000), (None, "lost"), (7, "a b c d e f g h i j k l m n o p")]
+SCHEMA = "doc_id bigint, text string"
+
+
+def odd(spark):
+    """Rows with nulls, blanks, repeats and a very long text, beside columns that results are named like."""
+    return spark.createDataFrame(ODD, SCHEMA).withColumns({c: F.lit("x") for c in ("score", "kept", "size", "chunk", "label", "host", "n_values", "h")})
+
+
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def test_fingerprints_guarantee_and_likeness(spark):
+    rnd = random.Random(1)
+    passage = [f"w{rnd.randrange(1000)}" for _ in range(fingerprints.K + fingerprints.W - 1)]
+    texts = [" ".join([f"x{rnd.randrange(50)}" for _ in range(rnd.randrange(1, 60))] + passage + [f"y{rnd.randrange(50)}" for _ in range(20)]) for _ in range(20)]
+    rows = fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).select(fingerprints.hashes(F.col("kept")).alias("h")).collect()
+    assert set.intersection(*[set(r.h) for r in rows])
+    out = fingerprints.op1_fingerprints(spark, SF).collect()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    order = sorted(docs, reverse=True)
+    assert len(out) == len(docs)
+    byprint = {}
+    for r in out:
+        text, following = docs[r.doc_id], docs[order[(order.index(r.doc_id) + 1) % len(order)]]
+        n = len(text) // 3
+        edited = text[: len(text) - n] + following[:n]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        assert byprint.setdefault(text, r.fingerprint) == r.fingerprint
+    assert sum(r.near_edited for r in out) > sum(r.near_next for r in out)
+
+
+def test_fingerprints_of_odd_rows(spark):
+    got = fingerprints.fingerprints(odd(spark).drop("kept")).collect()
+    assert len(got) == len(ODD) and all(len(r.kept) == 0 for r in got if not words(r.text))
+    assert fingerprints.fingerprints(none(spark)).collect() == []
+
+
+def test_url_rules(spark):
+    urls = [(1, "http://A.Example.NET/en/x"), (2, "http://example.net/e"), (3, "https://x.org/fr/?q"), (4, "nothing"), (5, None), (6, "http://badexample.net.com/"), (7, "http://example.com/de/#x")]
+    rows = {r.page_id: (r.rule, r.verdict, r.host) for r in urlfilter.judge(spark.createDataFrame(urls, "page_id bigint, url string"), urlfilter.RULES).collect()}
+    assert rows[1] == ("example.net/en/", "allow", "a.example.net") and rows[2][:2] == ("net/", "block") and rows[3][0] == "org/fr/"
+    assert rows[4] == (None, "allow", "") == rows[5] and rows[6][0] is None and rows[7][1] == "block"
+    rules = spark.createDataFrame(urlfilter.RULES, "rule string, verdict string")
+    joined = urlfilter.judge_by_join(spark.createDataFrame(urls, "page_id bigint, url string"), rules, [1, 4])
+    assert {r.page_id: (r.rule, r.verdict, r.host) for r in joined.collect()} == rows
+
+
+def test_toxicity_separates_held_out_rows(spark):
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    out = toxicity.op4_toxicity(spark, "/root/testdata/sf0.1").collect()
+    for r in out[:500]:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+    held = [(labels[r.doc_id], r.predicted) for r in out if r.held_out and r.doc_id in labels]
+    hits, toxic, flagged = sum(a and b for a, b in held), sum(a for a, _ in held), sum(b for _, b in held)
+    print(f"held out: recall {hits}/{toxic}, precision {hits}/{flagged}")
+    assert hits >= 0.8 * toxic and hits >= 0.9 * flagged
+
+
+def test_toxicity_without_labels(spark):
+    out = toxicity.score_documents(odd(spark), spark.createDataFrame([], "doc_id bigint, toxic int")).collect()
+    assert len(out) == len(ODD) and len({r.score for r in out}) == 1
+
+
+def test_warc_round_trip_with_odd_rows(spark, tmp_path):
+    big = "é" * 600
+    pages = [(1, "http://a/", big), (2, "http://b/\r\nX: y", big), (3, None, big), (4, "u", None), (5, "u", "short"), (6, "u", "short"), (7, "u", "WARC/1.1\r\n\r\n" + "x" * 2000)]
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(spark.createDataFrame(pages, "page_id bigint, url string, html string"), path)
+    got = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
+    assert len(got) == 7 and got[3].record_type == "response"
+    assert got[1].refers_to == got[2].refers_to == 3 and got[1].payload_bytes == 1200
+    for page_id, _, html in pages:
+        assert got[page_id].payload_digest == hashlib.sha1((html or "").encode()).hexdigest()
+    assert {got[i].record_type for i in (4, 5, 6, 7)} == {"response"}
+
+
+def test_decontamination_finds_exact_and_reparameterised_items(spark):
+    item = "a train leaves the station at 7 hours and travels 120 km before it meets another train from Boston at 7 hours sharp today"
+    filler = " ".join(f"word{i}" for i in range(30))
+    docs = [(1, f"{filler} {item} {filler}"), (2, f"{filler} {item.replace('120', '450').replace('7 ', '9 ')} {filler}"), (3, filler), (4, f"{filler} a train leaves the station {filler}"), (5, None), (None, item)]
+    items = spark.createDataFrame([(9, item), (10, None), (11, "too short")], "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id): r.exact for r in decontamination.find_contamination(spark.createDataFrame(docs, SCHEMA), items).collect()}
+    assert found == {(1, 9): True, (2, 9): False}
+    kept = {r.doc_id for r in decontamination.decontaminate(spark.createDataFrame(docs, SCHEMA), items).collect()}
+    assert kept == {3, 4, 5, None}
+    assert decontamination.find_contamination(none(spark), items).collect() == []
+    assert decontamination.find_contamination(odd(spark), items.limit(0)).collect() == []
+
+
+def _luhn_ok(digits):
+    total = sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits)))
+    return total % 10 == 0
+
+
+def test_pii_keeps_formats_and_links(spark):
+    texts = [
+        (1, "card 4111 1111 1111 1111 born 1980-02-29, mail joe@example.org, ip 10.1.2.3"), (2, "again 4111 1111 1111 1111; 4111-1111-1111-1111; not 4111 1111 1111 1112"),
+        (3, "call (555) 123-4567 ssn 123-45-6789 no date 1980-13-45"), (4, None), (5, ""), (6, "nothing here"),
+    ]
+    out = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(texts, SCHEMA).withColumn("n_values", F.lit("x"))).collect()}
+    card = re.search(r"card (\d{4} \d{4} \d{4} \d{4})", out[1].text)[1]
+    assert card != "4111 1111 1111 1111" and card[0] == "4" and _luhn_ok(card.replace(" ", ""))
+    assert card in out[2].text and card.replace(" ", "-") in out[2].text and "4111 1111 1111 1112" in out[2].text
+    assert "joe@" not in out[1].text and re.search(r"born \d{4}-\d{2}-\d{2},", out[1].text) and "10.1.2.3" not in out[1].text
+    assert re.search(r"\(\d{3}\) \d{3}-\d{4} ssn \d{3}-\d{2}-\d{4} no date 1980-13-45", out[3].text) and out[3].n_values == 2
+    assert out[4].text is None and out[6].text == "nothing here" and out[6].n_values == 0
+
+
+def test_feistel_is_a_permutation(spark):
+    moved = spark.range(1000).select(pii.permute(F.col("id"), F.lit(25).cast("bigint"), F.lit(40).cast("bigint"), "k", F.lit("t")).alias("v")).collect()
+    assert sorted(r.v for r in moved) == list(range(1000))
+
+
+def brute_katz(rows, train):
+    """Katz's model by dictionaries: pair counts, discounts, exactly normalised weights."""
+    tokens = {k: [w.encode() for w in words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))] + [None] for k, t in rows}
+    uni, pairs = Counter(), Counter()
+    for k, ws in tokens.items():
+        if train(k):
+            uni.update(ws)
+            pairs.update(zip(["<"] + ws[:-1], ws))
+    n, v = sum(uni.values()), len(uni)
+    ratio = katz.good_turing([sum(c == r for c in pairs.values()) for r in range(1, katz.GT_MAX + 2)])
+    p1 = lambda w: (uni[w] + 1) / (n + v + 1)
+    after = defaultdict(dict)
+    for (a, b), c in pairs.items():
+        after[a][b] = c
+    out = {}
+    for k, ws in tokens.items():
+        total = 0.0
+        for a, b in zip(["<"] + ws[:-1], ws):
+            seen = after.get(a)
+            if not seen:
+                total += math.log10(p1(b))
+                continue
+            d = {w: c * (ratio[c - 1] if c <= katz.GT_MAX else 1) for w, c in seen.items()}
+            count = sum(seen.values())
+            if count - sum(d.values()) <= 1e-9 * count:
+                count += 1
+            alpha = (1 - sum(d.values()) / count) / (1 - sum(p1(w) for w in seen))
+            total += math.log10(d[b] / count if b in d else alpha * p1(b))
+        out[k] = (len(ws), sum(uni[w] > 0 for w in ws), n, total)
+    return out
+
+
+def test_katz_against_dictionaries(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [(-1, None), (-2, ""), (-3, "Zz zz ZZ")]
+    got = katz.score_documents(spark.createDataFrame(rows, SCHEMA), F.crc32(F.col("doc_id").cast("string")) % 7 != 2).collect()
+    want = brute_katz(rows, lambda k: zlib.crc32(str(k).encode()) % 7 != 2)
+    assert len(got) == len(rows)
+    for r in got:
+        n_tokens, n_known, n, score = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n_tokens, n_known, n)
+        assert r.score == pytest.approx(score, rel=1e-6, abs=1e-6)
+
+
+def test_katz_of_odd_rows(spark):
+    assert len(katz.score_documents(odd(spark), F.lit(True)).collect()) == len(ODD)
+    assert len(katz.score_documents(odd(spark), F.lit(False)).collect()) == len(ODD)
+
+
+def test_near_duplicates_group_edits_and_spare_others(spark):
+    rnd = random.Random(3)
+    rows, want = [], {}
+    for g in range(30):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(120)]
+        for c in range(1 + g % 4):
+            text = list(base)
+            for _ in range(c):
+                text[rnd.randrange(len(text))] = "changed"
+            rows.append((len(rows), " ".join(text)))
+            want[len(rows) - 1] = len(rows) - 1 - c
+    got = {r.doc_id: r.group_id for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
+    assert {r.doc_id for r in neardup.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()} == set(want.values())
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    got = {r.doc_id: r.group_id for r in neardup.near_duplicates(odd(spark)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 7: 7}
+    assert neardup.near_duplicates(none(spark)).collect() == []
+    assert None in {r.doc_id for r in neardup.deduplicate(odd(spark)).collect()}
+
+
+def test_edit_distance_against_the_table():
+    rnd = random.Random(5)
+    for _ in range(300):
+        a, b = ([rnd.randrange(4) for _ in range(rnd.randrange(12))] for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = _next(row, i, x, b)
+        assert neardup.distance_within(a, b, 20) == row[-1]
+        assert (neardup.distance_within(a, b, 2) is not None) == (row[-1] <= 2)
+
+
+def _next(row, i, x, b):
+    out = [i]
+    for j, y in enumerate(b, 1):
+        out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+    return out
+
+
+def test_substrings_of_odd_rows_and_spans(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(1, f"a b {passage} c"), (2, f"x {passage} y z"), (3, " ".join(passage.split()[:12]))]
+    got = {r.doc_id: r for r in substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1].n_removed == 0 and got[2].kept == "x y z" and got[2].spans == [[1, 21]] and got[3].n_removed == 0
+    assert len(substrings.remove_repeats(odd(spark)).collect()) == len(ODD)
+    assert substrings.remove_repeats(none(spark)).collect() == []
+
+
+def test_pipeline_is_its_stages(spark):
+    """Each stage against its own parts on its own input."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = staged(stage(spark, before, SF), name)
+        ids, were = {r.doc_id for r in docs.select("doc_id").collect()}, {r.doc_id for r in before.select("doc_id").collect()}
+        assert ids <= were and (name == "mixing" or docs.columns == columns)
+        if name == "toxicity":
+            flagged = {r.doc_id for r in toxicity.op4_toxicity(spark, SF).collect() if r.predicted}
+            assert were - ids == flagged
+        if name == "near_duplicates":
+            assert ids == {r.group_id for r in neardup.near_duplicates(before).collect()}
+        if name == "pii":
+            assert ids == were
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()) == sorted(ids)
+
+
+def test_every_number_has_its_query():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 11))
+    assert registry.oracle_sql().keys() <= registry.queries().keys()
