@@ -67,7 +67,7 @@ def _searches() -> None:
 
 _searches()
 
-_PREFIX = f"""WITH {CORPUS} SELECT doc_id, title, substr(coalesce(opening, body), 1, 120) AS snippet, updated_at, 0.0 AS score, 'title_prefix' AS mode
+_PREFIX = f"""WITH {CORPUS} SELECT doc_id, title, substr(coalesce(opening, body), 1, 120) AS snippet, updated_at, CAST(0.0 AS DOUBLE) AS score, 'title_prefix' AS mode
 FROM docs WHERE starts_with(title, '@prefix') ORDER BY CASE WHEN lower(title) = '@exact' THEN 0 ELSE 1 END, rank_score DESC NULLS LAST, title, doc_id LIMIT 10"""
 
 
