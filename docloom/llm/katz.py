@@ -211,19 +211,21 @@ def _score(table: pa.Table, told: pa.Table, n: int, v: int, parts: int, ratio: n
     r = seen[chunk.pair_of]
     context_count = chunk.context_count.astype(np.float64)
     p_word = (chunk.count + 1) / (n + v + 1)
-    # The sums of each token's context: by key where the chunk was told them, else from the split contexts.
+    # Weights are per context: from the sums that the chunk was told, else from those of the split contexts.
     key_of = np.cumsum(np.concatenate(([0], np.diff(chunk.key) != 0))).astype(np.int64)
     wanted = np.minimum.reduceat(seen, chunk.key_begins) == 0
-    slot = np.where(wanted, np.cumsum(wanted) - 1, -1)[key_of][chunk.pair_of]
-    sums = np.zeros((_SUMS, len(r)))
-    told_at = (slot >= 0) & ~chunk.heavy
-    sums[:, told_at] = told_sums[:, slot[told_at]]
-    if chunk.heavy.any():
-        place = np.minimum(np.searchsorted(heavy[0], chunk.context[chunk.heavy]), len(heavy[0]) - 1)
-        sums[:, chunk.heavy] = heavy[1][:, place]
-    divisor, alpha = _weights(sums, context_count, ratio)
+    head = chunk.first_at[chunk.key_begins]
+    counts, heads = chunk.context_count[head].astype(np.float64), chunk.heavy[head]
+    sums = np.zeros((_SUMS, len(head)))
+    sums[:, wanted] = told_sums
+    if heads.any():
+        place = np.minimum(np.searchsorted(heavy[0], chunk.context[head[heads]]), len(heavy[0]) - 1)
+        sums[:, heads] = heavy[1][:, place]
+    divisor, alpha = _weights(sums, counts, ratio)
     # Where no pair is unseen the chunk wasn't told the sums.
-    divisor = np.where(whole[key_of][chunk.pair_of] & ~chunk.heavy, context_count + 1, divisor)
+    divisor = np.where(whole & ~heads, counts + 1, divisor)
+    context_of = key_of[chunk.pair_of]
+    divisor, alpha = divisor[context_of], alpha[context_of]
     known = r > 0
     d = np.concatenate(([1.0], ratio, [1.0]))[np.minimum(r, GT_MAX + 1)]
     p = np.where(known, d * r / np.maximum(divisor, 1), np.where(context_count > 0, alpha * p_word, p_word))
