@@ -8,7 +8,9 @@ two of its texts, its heaviest and a random one, so buckets of any size give can
 proportion; large buckets are also split by the next key. A candidate is kept if the word
 edit distance, in the band of diagonals that the threshold allows, is at most 1 - SIMILARITY
 of the longer text. Groups are connected components of what is kept. Most groups are joined
-by one comparison a text, and only pairs of different groups are compared after that.
+by one comparison a text, and only pairs of different groups are compared after that. In the
+end every pair of a bucket whose texts still lie in different groups is compared, unless its
+lengths or sketches rule it out.
 """
 
 from __future__ import annotations
@@ -32,6 +34,10 @@ SIMILARITY = 0.8
 AGREE = 9
 #: Buckets of more texts are split by a second key as well.
 LARGE = 32
+#: Texts of a bucket that one task compares with as many others.
+BLOCK = 256
+#: Links a compared pair below which a turn over the rest takes all pairs that are open.
+FEW = 0.1
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 _ODD = mix(np.arange(101, SKETCHES + 101, dtype=np.uint64))[:, None] | np.uint64(1)
 
@@ -204,13 +210,56 @@ def candidates(labelled: DataFrame) -> DataFrame:
     return pairs.select(*_pairs(F.col("rep"), F.col("other.rep"))).distinct()
 
 
+def rest(labelled: DataFrame) -> DataFrame:
+    """labelled (rep, keys, n_words, least, label) -> a, b, agree: all pairs a < b of a bucket whose labels differ and that lengths and sketches admit.
+
+    A bucket is dealt in blocks, and each two blocks meet in one place. A label of more than
+    BLOCK texts has blocks of its own, which don't meet one another, so a large group
+    costs no more than its texts times those of other labels.
+    """
+    rows = _bands(labelled, "label", "n_words", "least").drop("further")
+    kinds = staged(rows.groupBy("band", "key", "label").agg(F.count("*").alias("n")), "kinds")
+    several = kinds.groupBy("band", "key").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0)).alias("pooled"))
+    several = several.filter("labels > 1").drop("labels")
+    kinds = kinds.join(several, ["band", "key"])
+    own = F.when(F.col("n") > BLOCK, F.col("label"))  # null for the pooled labels
+    parts = F.ceil(F.when(F.col("n") > BLOCK, F.col("n")).otherwise(F.col("pooled")) / BLOCK)
+    kinds = staged(kinds.select("band", "key", "label", own.alias("own"), parts.alias("parts")), "kinds")
+    place = F.struct(F.col("own"), F.pmod(F.xxhash64(F.coalesce("own", F.lit(-1)), F.when(F.col("own").isNull(), F.col("label")).otherwise(F.col("rep"))), F.col("parts")).alias("part"))
+    dealt = staged(rows.join(kinds, ["band", "key", "label"]).select("band", "key", place.alias("block"), "rep", "label", "n_words", "least"), "dealt")
+    blocks = staged(dealt.select("band", "key", "block").distinct(), "blocks")
+    turns = blocks.withColumnRenamed("block", "x").join(blocks.withColumnRenamed("block", "y"), ["band", "key"])
+    turns = turns.filter((F.col("x") <= F.col("y")) & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False)))
+    turns = staged(turns, "turns")
+    at = ["band", "key", "x", "y"]
+
+    def side(block: str, to: str) -> DataFrame:
+        met = dealt.withColumnRenamed("block", block).join(turns, ["band", "key", block])
+        return met.select(*at, F.col("rep").alias(to), F.col("label").alias(f"label_{to}"), F.col("n_words").alias(f"n_{to}"), F.col("least").alias(f"l_{to}"))
+
+    # Within one block each pair is met in both orders. Sums of single comparisons are compiled, lambdas are not.
+    agree = sum((F.get("l_i", F.lit(i)) == F.get("l_j", F.lit(i))).cast("int") for i in range(SKETCHES))
+    left, right = side("x", "i").withColumnRenamed("i", "rep_i").alias("p"), side("y", "j").withColumnRenamed("j", "rep_j").hint("merge").alias("q")
+    meet = F.lit(True)
+    for c in at:
+        meet = meet & F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}"))
+    apart = (F.col("label_i") != F.col("label_j")) & ((F.col("p.x") != F.col("p.y")) | (F.col("rep_i") < F.col("rep_j")))
+    near = F.least("n_i", "n_j") >= SIMILARITY * F.greatest("n_i", "n_j")
+    pairs = left.join(right, meet & apart & near & (agree >= AGREE))
+    return pairs.select(*_pairs(F.col("rep_i"), F.col("rep_j")), agree.alias("agree")).distinct()
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are alike: by length and sketches first, then by alignment of the whole texts."""
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n_words").alias(f"n_{x}"), F.col("least").alias(f"l_{x}"))
     agree = F.size(F.filter(F.zip_with("l_a", "l_b", lambda x, y: x == y), lambda x: x))
     pairs = pairs.join(side("b"), "b").join(side("a"), "a")
     pairs = pairs.filter((F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")) & (agree >= AGREE)).select("a", "b")
-    pairs = staged(pairs, "candidates")
+    return aligned(staged(pairs, "candidates"), docs)
+
+
+def aligned(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole texts are alike. The pairs are read several times."""
     involved = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     # A shuffle at every size: the ids grow with the input, so small inputs shall not be joined otherwise than large ones.
     texts = staged(docs.join(involved.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
@@ -238,12 +287,49 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(label, "rep", "left").select("rep", F.coalesce("label", "rep").alias("group_id"))
 
 
+def relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (rep, label) after links (a, b) have joined labels; the least stays."""
+    end = lambda x: label.select(F.col("rep").alias(x), F.col("label").alias(f"l_{x}"))
+    between = links.join(end("a"), "a").join(end("b"), "b").filter("l_a <> l_b").select(F.col("l_a").alias("a"), F.col("l_b").alias("b")).distinct()
+    grouped = components(label.select(F.col("label").alias("rep")).distinct(), between).withColumnRenamed("rep", "label")
+    return staged(label.join(grouped, "label").select("rep", F.col("group_id").alias("label")), "label")
+
+
+def settled(label: DataFrame, classes: DataFrame, docs: DataFrame, tried: DataFrame) -> DataFrame:
+    """label (rep, label) after all pairs of rest() have been compared or come to lie in one group; tried are compared ones.
+
+    A turn takes one pair of each two groups. When a turn hardly joins any, the last takes all that are open.
+    """
+    labelled = classes.select("rep", "keys", "n_words", "least").join(label, "rep")
+    open_ = staged(rest(labelled).join(tried, ["a", "b"], "left_anti"), "open")
+    last = False
+    while True:
+        end = lambda x: label.select(F.col("rep").alias(x), F.col("label").alias(f"l_{x}"))
+        open_ = staged(open_.join(end("a"), "a").join(end("b"), "b").filter("l_a <> l_b").select("a", "b", "agree", F.least("l_a", "l_b").alias("lo"), F.greatest("l_a", "l_b").alias("hi")), "open")
+        if not last:
+            turn = open_.groupBy("lo", "hi").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
+            turn = staged(turn, "turn")
+        else:
+            turn = open_.select("a", "b")
+        n = turn.count()
+        if not n:
+            return label
+        links = aligned(turn, docs)
+        joined = links.count()
+        if joined:
+            label = relabelled(label, links)
+        if last:
+            return label
+        open_ = open_.join(turn, ["a", "b"], "left_anti").select("a", "b", "agree")
+        last = joined < FEW * n
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, class_id (least id with an equal text), group_id, kept.
 
     Each text is first compared with the one that it meets most often, which joins most
-    groups; then all pairs of buckets that still lie in different groups are compared. kept
-    marks the row of each group whose doc_id is group_id. Null and empty texts are equal
+    groups; then with two texts of each of its buckets; then all pairs of buckets that still
+    lie in different groups are compared. kept marks the row of each group whose doc_id is group_id. Null and empty texts are equal
     texts and resemble no other; texts under five words are one gram. Rows that repeat an id
     with an equal text are all marked; rows without an id are left out.
     """
@@ -258,11 +344,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = staged(components(classes.select("rep"), verified(first, classes, texts)).withColumnRenamed("group_id", "label"), "label")
     weight = met.groupBy("rep").agg(F.first("weight").alias("weight"))
     labelled = staged(classes.select("rep", "keys").join(weight, "rep").join(label, "rep"), "labelled")
-    links = verified(candidates(labelled).join(first, ["a", "b"], "left_anti"), classes, texts)
-    end = lambda x: label.select(F.col("rep").alias(x), F.col("label").alias(f"l_{x}"))
-    between = links.join(end("a"), "a").join(end("b"), "b").select(F.col("l_a").alias("a"), F.col("l_b").alias("b")).distinct()
-    grouped = components(label.select(F.col("label").alias("rep")).distinct(), between).withColumnRenamed("rep", "label")
-    told = staged(label.join(grouped, "label").select(F.col("rep").alias("class_id"), "group_id"), "groups")
+    second = staged(candidates(labelled).join(first, ["a", "b"], "left_anti"), "second")
+    label = relabelled(label, verified(second, classes, texts))
+    label = settled(label, classes, texts, first.unionByName(second))
+    told = label.withColumnRenamed("rep", "class_id").withColumnRenamed("label", "group_id")
     return members.join(told, "class_id").select("doc_id", "class_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept"))
 
 

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +200,35 @@ def test_near_duplicates_group_edits_and_spare_others(spark):
     assert {r.doc_id for r in neardup.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()} == set(want.values())
 
 
+def test_near_duplicates_of_a_large_group_against_all_pairs(spark):
+    """Texts of one origin near the threshold: groups are those of all pairs that share a bucket and agree."""
+    rnd = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for t in range(1100):
+        size = rnd.randrange(34, 41)
+        at = rnd.randrange(200 - size)
+        texts.append(base[:at] + [f"t{t}x{i}" for i in range(size)] + base[at + size :])
+    sketches = [neardup.sketch([w.encode() for w in t]) for t in texts]
+    keys, least = (np.array([s[i] for s in sketches]) for i in (0, 1))
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        admitted = (keys[i + 1 :] == keys[i]).any(1) & ((least[i + 1 :] == least[i]).sum(1) >= neardup.AGREE)
+        for j in (np.flatnonzero(admitted) + i + 1).tolist():
+            a, b = top(i), top(j)
+            if a != b and neardup.alike(texts[i], texts[j]):
+                root[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.group_id for r in neardup.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert got == {i: top(i) for i in range(len(texts))}
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = {r.doc_id: r.group_id for r in neardup.near_duplicates(odd(spark)).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 7: 7}
