@@ -26,12 +26,17 @@ _ADDRESS = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 _DATE = r"\d{4}-\d{2}-\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{4}"
 _SOCIAL = r"\d{3}-\d{2}-\d{4}"
 _PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}"
-_CARD = r"\d(?:[ -]?\d){12,18}"
+#: Each issuer's first digits with its lengths, the longest first: digits that follow a card may be taken in, and _card_part leaves them outside again.
+_CARD = "|".join(
+    rf"(?={prefix}){prefix[0]}(?:[ -]?\d){{{n - 1}}}" for prefix, lengths in (("4", (19, 16)), ("5[ -]?[1-5]", (16,)), ("2[ -]?[2-7]", (16,)), ("3[ -]?5", (19, 18, 17, 16)), ("3[ -]?[47]", (15,)), ("3[ -]?[068]", (14,)), ("6[ -]?[045]", (19, 18, 17, 16))) for n in lengths
+)
 _SECRET = r"[0-9a-f]{32,}|[0-9A-F]{32,}"
 #: A value stands alone: no letter, digit or joining mark beside it.
 PATTERN = (
     rf"(?<![\p{{L}}\p{{N}}_%+-])(?:{_MAIL})"
-    rf"|(?<![\p{{L}}\p{{N}}_+-])(?<!\d\.)(?:(?:{_SECRET})|(?:{_DATE})|(?:{_ADDRESS})|(?:{_SOCIAL})|(?:{_PHONE})|(?:{_CARD}))(?![\p{{L}}\p{{N}}_]|[.-]\d)"
+    rf"|(?<![\p{{L}}\p{{N}}_+-])(?<!\d\.)(?:(?:{_SECRET})|(?:{_DATE})|(?:{_ADDRESS})|(?:{_SOCIAL})|(?:{_PHONE})|(?:{_CARD})(?![/@]))(?![\p{{L}}\p{{N}}_]|[.-]\d)"
+    # A card may also have an expiry or security code joined to it. Cards of 13 digits come last, as longer ones can begin like them.
+    rf"|(?<![\p{{L}}\p{{N}}_+-])(?<!\d\.)(?:{_CARD}|4(?:[ -]?\d){{12}})(?![\p{{L}}\p{{N}}_]|\.\d)"
 )
 #: What any match holds; texts without it are passed through unsearched.
 _HINT = r"@|\d{2}|[0-9a-fA-F]{32}"
@@ -100,6 +105,12 @@ def _is_card(d: Column) -> Column:
     return known & F.when(known, _luhn(d) % 10 == 0).otherwise(False)
 
 
+def _card_part(m: Column) -> Column:
+    """The card that m begins with, up to the end of a group of digits: of 16 digits if that is valid, then shorter, then longer ones. Null without any."""
+    parts = F.array(*[F.regexp_extract(m, rf"^\d(?:[ -]?\d){{{n - 1}}}(?!\d)", 0) for n in (16, 15, 14, 13, 17, 18, 19)])
+    return F.get(F.filter(parts, lambda part: _is_card(F.regexp_replace(part, r"\D", ""))), F.lit(0))
+
+
 def _card(d: Column, key: str) -> Column:
     """The issuer's first digits stay; the others are permuted and the check digit follows."""
     keep = F.when(d.startswith("4"), 1).when(d.startswith("2") | d.startswith("60") | d.startswith("64"), 4).when(d.startswith("30"), 3).otherwise(2)
@@ -178,7 +189,7 @@ def kind_of(m: Column) -> Column:
         .when(whole(_ADDRESS), F.when(F.array_max(F.transform(F.split(m, r"\."), lambda x: x.cast("int"))) <= 255, F.lit("address")))
         .when(whole(_SOCIAL), F.when(~m.rlike(r"^(000|666|9..)|-00-|-0000$"), F.lit("social")))
         .when(whole(_PHONE) & F.length(digits).between(9, 15), F.lit("phone"))
-        .when(_is_card(digits), F.lit("card"))
+        .when(_card_part(m).isNotNull(), F.lit("card"))
     )
 
 
@@ -200,7 +211,7 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
         .when(kind == "address", _address(m, key))
         .when(kind == "social", _refill(m, permute_digits(digits, key, F.lit("social"))))
         .when(kind == "phone", _let(digits, phone))
-        .when(kind == "card", _refill(m, _let(digits, lambda d: _card(d, key))))
+        .when(kind == "card", _let(_card_part(m), lambda c: F.concat(_refill(c, _let(F.regexp_replace(c, r"\D", ""), lambda d: _card(d, key))), F.substring(m, F.length(c) + 1, F.length(m)))))
         .otherwise(m),
     )
 

@@ -131,6 +131,25 @@ def test_pii_keeps_formats_and_links(spark):
     assert out[4].text is None and out[6].text == "nothing here" and out[6].n_values == 0
 
 
+def test_pii_finds_cards_beside_other_digits(spark):
+    card = "4111 1111 1111 1111"
+    shapes = ["{} 12/27", "{} 123", "{} 12/27/2030", "{}-12/27", "{}/123", "12 {}", "{} 123-45-6789", "77: {}"]
+    texts = [s.format(c) for c in (card, card.replace(" ", ""), card.replace(" ", "-"), " ".join(card.replace(" ", ""))) for s in shapes]
+    texts += ["3782 822463 10005 12/27", "6011 1111 1111 1117 12/27/2030", "5555555555554444 123"]
+    out = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    linked = set()
+    for i, text in enumerate(texts[:32]):
+        digits = re.sub(r"\D", "", out[i].text)
+        assert "4111111111111111" not in digits and out[i].n_values == (2 if i % 8 in (2, 6) else 1), (text, out[i])
+        linked.add(digits[2:18] if i % 8 in (5, 7) else digits[:16])
+    assert len(linked) == 1 and _luhn_ok(linked.pop())
+    assert out[1].text.endswith(" 123")
+    assert out[0].text.endswith(" 12/27") and out[3].text.endswith("-12/27") and out[5].text.startswith("12 ")
+    assert not out[2].text.endswith("12/27/2030") and not out[6].text.endswith("123-45-6789")
+    assert out[32].text.endswith(" 12/27") and not out[32].text.startswith("3782 822463") and out[32].n_values == 1
+    assert out[33].n_values == 2 and out[34].text.endswith(" 123") and out[34].n_values == 1
+
+
 def test_feistel_is_a_permutation(spark):
     moved = spark.range(1000).select(pii.permute(F.col("id"), F.lit(25).cast("bigint"), F.lit(40).cast("bigint"), "k", F.lit("t")).alias("v")).collect()
     assert sorted(r.v for r in moved) == list(range(1000))
