@@ -39,7 +39,7 @@ PATTERN = (
     rf"|(?<![\p{{L}}\p{{N}}_+-])(?<!\d\.)(?:{_CARD}|4(?:[ -]?\d){{12}})(?![\p{{L}}\p{{N}}_]|\.\d)"
 )
 #: What any match holds; texts without it are passed through unsearched.
-_HINT = r"@|\d{2}|[0-9a-fA-F]{32}"
+_HINT = r"@|\d[ .-]?\d|[0-9a-fA-F]{32}"
 
 
 def _draw(key: str, tweak: Column, i: Column, half: Column) -> Column:

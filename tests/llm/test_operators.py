@@ -150,6 +150,14 @@ def test_pii_finds_cards_beside_other_digits(spark):
     assert out[33].n_values == 2 and out[34].text.endswith(" 123") and out[34].n_values == 1
 
 
+def test_pii_of_single_digits(spark):
+    """Values without two adjacent digits, alone and beside such."""
+    texts = ["8.8.8.8", "8.8.8.8 on day 22", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"]
+    out = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    assert all(out[i].n_values == 1 and out[i].text != texts[i] for i in range(3))
+    assert out[1].text == out[0].text + " on day 22"
+
+
 def test_feistel_is_a_permutation(spark):
     moved = spark.range(1000).select(pii.permute(F.col("id"), F.lit(25).cast("bigint"), F.lit(40).cast("bigint"), "k", F.lit("t")).alias("v")).collect()
     assert sorted(r.v for r in moved) == list(range(1000))
