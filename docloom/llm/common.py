@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,24 +18,34 @@ SPACE = r"[\x20\x09-\x0D]+"
 _TRIM = " \t\n\x0b\f\r"
 
 
+#: Spark then deletes the shuffle files of a query when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may leave it unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, removed when the driver's Python ends."""
     path = f"{shared_folder(spark)}/docloom/{name}-{uuid.uuid4().hex}"
 
     def drop() -> None:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            drop_path(spark, path)
         except Exception:  # the session has ended; the cluster's own retention takes the files
             pass
 
@@ -40,13 +53,35 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written inside gives its shuffle files back at once: nothing reads them again."""
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, was)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there and lost executors cost nothing."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more."""
+    for table in tables:
+        for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            drop_path(table.sparkSession, file)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -77,6 +112,15 @@ def unpack(data: bytes, dtype, ascending: bool = False) -> np.ndarray:
     return np.cumsum(values, dtype=dtype) if ascending else values
 
 
+def squeezed(values: np.ndarray, ascending: bool = False) -> bytes:
+    """pack, compressed: bytes that differ little cost little."""
+    return zstandard.compress(pack(values, ascending), 1)
+
+
+def unsqueezed(data: bytes, dtype, ascending: bool = False) -> np.ndarray:
+    return unpack(zstandard.decompress(data), dtype, ascending)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads all bits of 64-bit values (the finalizer of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

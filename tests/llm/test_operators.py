@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
@@ -163,52 +164,105 @@ def test_feistel_is_a_permutation(spark):
     assert sorted(r.v for r in moved) == list(range(1000))
 
 
-def brute_katz(rows, train):
-    """Katz's model by dictionaries: pair counts, discounts, exactly normalised weights."""
-    tokens = {k: [w.encode() for w in words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))] + [None] for k, t in rows}
-    uni, pairs = Counter(), Counter()
-    for k, ws in tokens.items():
-        if train(k):
-            uni.update(ws)
-            pairs.update(zip(["<"] + ws[:-1], ws))
-    n, v = sum(uni.values()), len(uni)
-    ratio = katz.good_turing([sum(c == r for c in pairs.values()) for r in range(1, katz.GT_MAX + 2)])
-    p1 = lambda w: (uni[w] + 1) / (n + v + 1)
-    after = defaultdict(dict)
-    for (a, b), c in pairs.items():
-        after[a][b] = c
-    out = {}
-    for k, ws in tokens.items():
-        total = 0.0
-        for a, b in zip(["<"] + ws[:-1], ws):
-            seen = after.get(a)
-            if not seen:
-                total += math.log10(p1(b))
-                continue
-            d = {w: c * (ratio[c - 1] if c <= katz.GT_MAX else 1) for w, c in seen.items()}
-            count = sum(seen.values())
-            if count - sum(d.values()) <= 1e-9 * count:
-                count += 1
-            alpha = (1 - sum(d.values()) / count) / (1 - sum(p1(w) for w in seen))
-            total += math.log10(d[b] / count if b in d else alpha * p1(b))
-        out[k] = (len(ws), sum(uni[w] > 0 for w in ws), n, total)
-    return out
+def katz_tokens(text):
+    return [*words(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), "\n"]
+
+
+class BruteKatz:
+    """Katz's model by dictionaries: counts, discounts, exactly normalised weights, evaluated by recursion."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        self.counts = [Counter() for _ in range(order + 1)]
+        for text in texts:
+            ws = ["<", *katz_tokens(text)]
+            for i in range(1, len(ws)):
+                for n in range(1, order + 1):
+                    if i - n + 1 >= 0:
+                        self.counts[n][tuple(ws[i - n + 1 : i + 1])] += 1
+        self.n, self.v = sum(self.counts[1].values()), len(self.counts[1])
+        self.d = [None, *(katz.discounted_counts([0, 0, *(sum(c == r for c in self.counts[n].values()) for r in range(1, katz.GT_MAX + 2))][2:]) for n in range(1, order + 1))]
+        self.alpha, self.after = {}, defaultdict(dict)
+        for n in range(1, order + 1):
+            for gram, c in self.counts[n].items():
+                self.after[gram[:-1]][gram[-1]] = c
+
+    def less(self, n, c):
+        return c if c > katz.GT_MAX else float(self.d[n][c])
+
+    @cache
+    def divisor(self, context):
+        n, seen = len(context) + 1, self.after[context]
+        total = sum(seen.values())
+        return total if total - sum(self.less(n, c) for c in seen.values()) > 1e-9 * total else total + 1
+
+    @cache
+    def left(self):
+        return self.divisor(()) - sum(self.less(1, c) for c in self.after[()].values())
+
+    def p(self, context, w):
+        n, seen = len(context) + 1, self.after.get(context)
+        if not context:
+            return self.less(1, seen[w]) / self.divisor(()) if seen and w in seen else self.left() / (self.v + 1) / self.divisor(())
+        if not seen:
+            return self.p(context[1:], w)
+        if w in seen:
+            return self.less(n, seen[w]) / self.divisor(context)
+        if context not in self.alpha:
+            self.alpha[context] = (1 - sum(self.less(n, c) for c in seen.values()) / self.divisor(context)) / (1 - sum(self.p(context[1:], x) for x in seen))
+        return self.alpha[context] * self.p(context[1:], w)
+
+    def score(self, text):
+        ws = ["<", *katz_tokens(text)]
+        return sum(math.log10(self.p(tuple(ws[max(0, i - self.order + 1) : i]), ws[i])) for i in range(1, len(ws)))
+
+
+KATZ_ROWS = [(-1, None), (-2, ""), (-3, "Zz zz ZZ zz"), (None, "a b a b"), (-5, " ".join(["the cat", "the dog", "a cat"] * 40)), (-5, " ".join(["the cat", "the dog", "a cat"] * 40))]
+
+
+def _katz_case(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(120).collect()] + KATZ_ROWS
+    train = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 7 != 2
+    return rows, train, F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 != 2
+
+
+@pytest.mark.parametrize("order, split_at, chunk_bytes, part_tokens", [(1, 1 << 17, 4 << 20, 1 << 20), (2, 1 << 17, 4 << 20, 1 << 20), (3, 1 << 17, 20_000, 3_000), (3, 40, 20_000, 3_000), (4, 20, 50_000, 9_000)])
+def test_katz_against_dictionaries(spark, order, split_at, chunk_bytes, part_tokens):
+    """One chunk and many, one part and many, contexts whole and split."""
+    rows, train, mark = _katz_case(spark)
+    brute = BruteKatz([t for k, t in rows if train(k)], order)
+    got = katz.score_documents(spark.createDataFrame(rows, SCHEMA), mark, order, split_at, chunk_bytes, part_tokens).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((k is None, k or 0) for k, _ in rows)
+    want = {k: t for k, t in rows}
+    for r in got:
+        ws = katz_tokens(want[r.doc_id])
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not train(r.doc_id), len(ws), sum(brute.counts[1][(w,)] > 0 for w in ws), brute.n)
+        assert r.base_score == pytest.approx(sum(math.log10((brute.counts[1][(w,)] + 1) / (brute.n + brute.v + 1)) for w in ws), rel=1e-9, abs=1e-9)
+        assert r.score == pytest.approx(brute.score(want[r.doc_id]), rel=1e-9, abs=1e-9)
 
 
-def test_katz_against_dictionaries(spark):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [(-1, None), (-2, ""), (-3, "Zz zz ZZ")]
-    got = katz.score_documents(spark.createDataFrame(rows, SCHEMA), F.crc32(F.col("doc_id").cast("string")) % 7 != 2).collect()
-    want = brute_katz(rows, lambda k: zlib.crc32(str(k).encode()) % 7 != 2)
-    assert len(got) == len(rows)
-    for r in got:
-        n_tokens, n_known, n, score = want[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (n_tokens, n_known, n)
-        assert r.score == pytest.approx(score, rel=1e-6, abs=1e-6)
+def test_katz_probabilities_sum_to_one():
+    brute = BruteKatz(["a b a c a b b c d", "a b c", "d d d d d d d d a", "b c a"], 3)
+    vocabulary = [w for (w,) in brute.counts[1]]
+    for context in list(brute.after):
+        assert sum(brute.p(context, w) for w in vocabulary) + (brute.v + 1) * brute.p(context, "never seen") == pytest.approx(1)
+
+
+def test_katz_model_scores_new_texts(spark):
+    """The stored tables score texts that took no part in training."""
+    rows, train, mark = _katz_case(spark)
+    brute = BruteKatz([t for k, t in rows if train(k)], 3)
+    model = katz.fit(spark.createDataFrame(rows, SCHEMA), mark, 3, split_at=40)
+    new = [(1, rows[0][1][:300] + " unheard of"), (2, "the cat the dog"), (3, None), (4, rows[5][1])]
+    for r in model.score(spark.createDataFrame(new, SCHEMA)).collect():
+        assert r.score == pytest.approx(brute.score(dict(new)[r.doc_id]), rel=1e-9, abs=1e-9) and r.held_out
 
 
 def test_katz_of_odd_rows(spark):
     assert len(katz.score_documents(odd(spark), F.lit(True)).collect()) == len(ODD)
-    assert len(katz.score_documents(odd(spark), F.lit(False)).collect()) == len(ODD)
+    told = katz.score_documents(odd(spark), F.lit(False)).collect()
+    assert len(told) == len(ODD) and all(r.score == 0 == r.train_tokens for r in told)
+    assert katz.score_documents(none(spark), F.lit(True)).collect() == []
 
 
 def test_near_duplicates_group_edits_and_spare_others(spark):
