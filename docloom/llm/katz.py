@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from .common import mix, remainder, shuffle_partitions, squeezed, staged, unsqueezed
 from .exchange import part_of, word_hashes
 
-ORDER = 3
+#: Words of an n-gram, at most. Any order works; the README has the figures of 3 beside those of 2.
+ORDER = 2
 #: Counts above this are not discounted.
 GT_MAX = 5
 #: Bytes of text of a chunk (a longer text is one), tokens of one part, and of one shuffle partition.
