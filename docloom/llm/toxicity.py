@@ -1,14 +1,18 @@
 """Toxicity by two Kneser-Ney models, one of toxic and one of ordinary documents.
 
-Both are interpolated bigram models over lower-case words of letters. The probability of a
-word in a class discounts its counts there and backs off to continuation counts that both
-classes share. A word or pair that the training rows hold in fewer than MIN_DOCS distinct
-texts is judged by the shared counts with the same weight in both classes, so rare
-expressions cancel and only what was seen often tells the classes apart. The two
-log-likelihoods, divided by the number of words, differ by the document's ratio; a logistic
-curve fitted on a quarter of the training texts that the counts leave out turns the ratio
-into a score. How often a word must be seen is chosen on that quarter too, so held-out rows
-have no part in any choice.
+Both are interpolated bigram models over lower-case words of letters. In a class,
+p(w | v) is the discounted count of the pair over the count of v plus the mass that the
+discounts leave times p(w); p(w) is the discounted count of w over that of all words plus the
+mass left times the continuation probability of w, from the distinct pairs of both classes
+that w ends. So each model sums to one, and rare expressions get the counts that both share.
+
+The discount isn't one constant. Of a gram that both classes together hold in n texts a class
+would hold e = n * (its share of texts) if classes did not differ; the discount is
+e + z * sqrt(e), so only what exceeds chance stays with the class. With a constant discount
+the small differences of thousands of ordinary words outweigh a few insults (figures in the
+README). z is chosen, with a logistic curve over the difference of the two log-likelihoods
+per word, on a quarter of the training texts that the counts leave out; held-out rows have no
+part in any choice.
 """
 
 from __future__ import annotations
@@ -24,152 +28,155 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import remainder, staged
+from .exchange import word_hashes
 
 #: Labelled texts of each class that the models and the curve are fitted on, at most. Smaller
 #: sets are used whole; of larger ones those with the least digests of their text.
 MAX_TRAIN = 4000
-#: Words of a text that is trained on, at most; longer texts are left out of training.
-MAX_WORDS = 50_000
-#: Training texts that must hold a word or pair before it tells classes apart: so many, and a share of them.
-#: Of these shares fit() takes the one with the least log loss on the curve's quarter of the training texts.
-MIN_DOCS, MIN_SHARES = 5, (0.01, 0.003, 0.001)
-#: Standard errors by which a word's or pair's shares of texts must differ between the classes to have counts of their own there.
-Z = 6.0
-DISCOUNT = 0.75
+#: Bytes of a text that is trained on, at most; longer labelled texts are only scored.
+MAX_BYTES = 400_000
+#: Standard errors above chance that a count is discounted by; fit() takes the best of these.
+Z = (3.0, 3.5, 4.0, 4.5, 5.0)
+#: Continuation count of an unseen word.
+UNSEEN = 0.5
 #: Characters of texts that a task scores at once.
 CHUNK = 1 << 20
-#: The least weight of the shared counts.
-LEAST_BACKOFF = 0.02
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_array(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}++"), F.lit(0))
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
 
 
 @dataclass(frozen=True)
 class ToxicModel:
-    """Log-likelihood ratios of words and pairs, and the curve over their mean."""
+    """The two models, column 0 ordinary and 1 toxic, and the curve over their difference.
 
-    words: dict[str, int]
-    ratio: np.ndarray  # of each word; the last entry is for all others
-    pairs: np.ndarray  # ascending first * len(ratio) + second
-    pair_ratio: np.ndarray
+    words are ascending hashes; rows of word and left beyond them are for unseen words and for
+    a text's beginning. A pair is first * len(left) + second, by these places.
+    """
+
+    words: np.ndarray
+    word: np.ndarray  # p(w) of each class
+    left: np.ndarray  # the mass that a context's discounts leave
+    pairs: np.ndarray
+    pair: np.ndarray  # discounted counts of pairs over their contexts' counts
     slope: float
     offset: float
 
-    def means(self, texts: list[str]) -> np.ndarray:
-        """Difference of the length-normalised log-likelihoods; 0 for texts without words.
+    def log_likelihoods(self, texts: list[str]) -> np.ndarray:
+        """Mean natural log-likelihoods per word under the ordinary and the toxic model; 0 for texts without words.
 
         Whole texts of some CHUNK characters at a time, so that memory follows these or the longest text, not the batch.
         """
         if not texts:
-            return np.zeros(0)
+            return np.zeros((0, 2))
         ends = np.cumsum([len(t) for t in texts]) // CHUNK
         cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
-        return np.concatenate([self._means(texts[a:b]) for a, b in zip(cuts, cuts[1:])])
-
-    def _means(self, texts: list[str]) -> np.ndarray:
-        other, get = len(self.ratio) - 1, self.words.get
-        ids, sizes = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            own = [get(w, other) for w in _WORD.findall(text.lower())]
-            ids += own
-            sizes[i] = len(own)
-        if not ids:
-            return np.zeros(len(texts))
-        ids = np.array(ids, np.int64)
-        value = self.ratio[ids]
+        return np.concatenate([self._some(texts[a:b]) for a, b in zip(cuts, cuts[1:])])
+
+    def _some(self, texts: list[str]) -> np.ndarray:
+        lists = [words_of(t) for t in texts]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        if not sizes.sum():
+            return np.zeros((len(texts), 2))
+        hashes = word_hashes([w for words in lists for w in words])
+        at = np.searchsorted(self.words, hashes)
+        known = np.append(self.words, np.uint64(0))[at] == hashes
+        ids = np.where(known & (at < len(self.words)), at, len(self.words))
+        prior = np.roll(ids, 1)
+        prior[(np.cumsum(sizes) - sizes)[sizes > 0]] = len(self.words) + 1
+        p = self.left[prior] * self.word[ids]
         if len(self.pairs):
-            keys = ids[:-1] * len(self.ratio) + ids[1:]
-            keys[np.cumsum(sizes)[:-1][(np.cumsum(sizes)[:-1] > 0) & (np.cumsum(sizes)[:-1] < len(ids))] - 1] = -1  # texts begin anew
-            at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            known = self.pairs[at] == keys
-            value[1:][known] = self.pair_ratio[at[known]]
-        sums = np.bincount(np.repeat(np.arange(len(texts)), sizes), value, len(texts))
-        return sums / np.maximum(sizes, 1)
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.means(texts) + self.offset, -500, 500)))
+            keys = prior * len(self.left) + ids
+            place = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+            found = self.pairs[place] == keys
+            p[found] += self.pair[place[found]]
+        text = np.repeat(np.arange(len(texts)), sizes)
+        return np.stack([np.bincount(text, x, len(texts)) for x in np.log(p).T], 1) / np.maximum(sizes, 1)[:, None]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, most: int = MAX_TRAIN) -> tuple[DataFrame, float]:
     """(text, toxic, half) of at most `most` distinct labelled texts of each class, and how the odds of toxic differ in all.
 
-    Texts of half 3, a quarter, are for the curve.
+    Texts of half 3, a quarter, are for the curve. Digests are joined to labels, then the
+    picked ids, at most 2 * most, to the texts.
     """
     marked = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.filter(usable & F.col("text").isNotNull()).select("doc_id", "text").join(marked, "doc_id")
-    rows = rows.withColumn("digest", F.xxhash64("text"))
-    rows = rows.filter(F.octet_length("text") < 8 * MAX_WORDS)
-    digests = staged(rows.select("digest", "toxic").distinct(), "toxic-digests")
-    sizes = {r["toxic"]: r["count"] for r in digests.groupBy("toxic").count().collect()}
-    least = [digests.filter(F.col("toxic") == toxic).orderBy("digest").limit(most) for toxic in (0, 1)]
+    rows = docs.filter(usable & F.col("text").isNotNull() & (F.octet_length("text") <= MAX_BYTES)).select("doc_id", F.xxhash64("text").alias("digest"))
+    told = staged(rows.join(marked, "doc_id").groupBy("digest", "toxic").agg(F.min("doc_id").alias("doc_id")), "toxic-digests")
+    sizes = {r["toxic"]: r["count"] for r in told.groupBy("toxic").count().collect()}
+    least = [told.filter(F.col("toxic") == toxic).orderBy("digest").limit(most) for toxic in (0, 1)]
     picked = staged(least[0].unionByName(least[1]), "toxic-picked")
-    told = rows.join(picked, ["digest", "toxic"]).dropDuplicates(["digest", "toxic"])
+    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter(F.col("digest") == F.xxhash64("text"))
     odds = (sizes.get(1, 0) + 0.5) / (sizes.get(0, 0) + 0.5) / ((min(most, sizes.get(1, 0)) + 0.5) / (min(most, sizes.get(0, 0)) + 0.5))
-    return told.select("text", "toxic", F.pmod(F.col("digest"), F.lit(4)).cast("int").alias("half")), odds
+    return texts.dropDuplicates(["digest", "toxic"]).select("text", "toxic", F.pmod(F.col("digest"), F.lit(4)).cast("int").alias("half")), odds
 
 
-def fit(training: DataFrame, odds: float, min_docs: int = MIN_DOCS, discount: float = DISCOUNT) -> ToxicModel:
-    """The model of a bounded table (text, toxic, half). Counting is Spark's; what returns is the vocabulary that min_docs leaves."""
+def fit(training: DataFrame, odds: float, zs: tuple[float, ...] = Z) -> ToxicModel:
+    """The model of a bounded table (text, toxic, half). Counting is Spark's; what returns is bounded by that table.
+
+    A text counts once for each of its pairs, so that one that repeats itself is no more evidence.
+    """
     rows = staged(training, "toxic-train")
-    told = rows.filter("half <> 3").select("toxic", F.monotonically_increasing_id().alias("d"), word_array(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    told = staged(told, "toxic-words")
-    grams = told.select("toxic", "d", F.posexplode("w").alias("i", "word"), "w").select("toxic", "d", "word", F.when(F.col("i") > 0, F.get("w", F.col("i") - 1)).alias("prior"))
-    # A text counts once for each of its pairs, so that one that repeats itself is no more evidence.
-    grams = staged(grams.distinct().withColumn("n", F.lit(1)), "toxic-grams")
-    sums = {r["toxic"]: r["n"] for r in grams.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
-    if len(sums) < 2:  # one class only: nothing tells them apart
-        return ToxicModel({}, np.zeros(1), np.zeros(0, np.int64), np.zeros(0), 0.0, math.log(odds))
-    n_texts = told.count()
-    limits = sorted({max(min_docs, math.ceil(share * n_texts)) for share in MIN_SHARES}, reverse=True)
-    of = lambda toxic: F.sum(F.when(F.col("toxic") == toxic, 1).otherwise(0))
-    texts = {r["toxic"]: r["count"] for r in told.groupBy("toxic").count().collect()}
 
-    def telling(grams: DataFrame) -> pd.DataFrame:
-        """The grams whose shares of texts differ between the classes by more than Z standard errors."""
-        n, m = float(texts[1]), float(texts[0])
-        share = (F.col("t") + F.col("o")) / (n + m)
-        error = F.sqrt(share * (1 - share) * (1 / n + 1 / m))
-        return grams.filter((F.col("t") + F.col("o") >= limits[-1]) & (F.abs(F.col("t") / n - F.col("o") / m) > Z * error)).toPandas()
-
-    uni = telling(grams.groupBy("d", "word").agg(F.first("toxic").alias("toxic"), F.collect_set("prior").alias("b")).groupBy("word").agg(of(1).alias("t"), of(0).alias("o"), F.sum(F.size("b")).alias("before")))
-    pairs = grams.filter("prior IS NOT NULL").groupBy("prior", "word").agg(of(1).alias("t"), of(0).alias("o"))
-    pairs = staged(pairs, "toxic-pairs")
-    kinds = pairs.count()
-    bi = telling(pairs)
-
-    def ratios(uni: pd.DataFrame, bi: pd.DataFrame) -> ToxicModel:
-        words = {w: i for i, w in enumerate(sorted({*uni["word"], *bi["word"], *bi["prior"]}))}
-        size = len(words) + 1
-        at = np.array([words[w] for w in uni["word"]], np.int64)
-        # Shared backoff: the distinct pairs, in either class, that a word ends.
-        shared = np.full(size, 0.5 / max(kinds, 1))
-        shared[at] += uni["before"].to_numpy(float) / max(kinds, 1)
-        ratio = np.zeros(size)
-        kept = {c: np.maximum(uni[c].to_numpy(float) - discount, 0) / sums[k] for c, k in (("t", 1), ("o", 0))}
-        back = {c: discount * max(1, np.count_nonzero(kept[c])) / sums[k] for c, k in (("t", 1), ("o", 0))}
-        weight = max(LEAST_BACKOFF, *back.values())
-        prob = {c: kept[c] + weight * shared[at] for c in kept}
-        ratio[at] = np.log(prob["t"]) - np.log(prob["o"])
-        first = np.array([words[a] for a in bi["prior"]], np.int64)
-        second = np.array([words[b] for b in bi["word"]], np.int64)
-        # A telling pair's counts, discounted, beside what its second word has in that class.
-        pair = {c: np.maximum(bi[c].to_numpy(float) - discount, 0) / sums[k] for c, k in (("t", 1), ("o", 0))}
-        pair = {c: pair[c] + weight * shared[second] * np.where(ratio[second] > 0, np.exp(ratio[second] * (c == "t")), np.exp(-ratio[second] * (c == "o"))) for c in pair}
-        keys = first * size + second
-        inorder = np.argsort(keys)
-        return ToxicModel(words, ratio, keys[inorder], np.log(pair["t"][inorder]) - np.log(pair["o"][inorder]), 1.0, 0.0)
-
-    models = [ratios(uni[uni["t"] + uni["o"] >= least], bi[bi["t"] + bi["o"] >= least]) for least in limits]
-    held = rows.filter("half = 3").select("toxic", _means(models)("text").alias("x")).toPandas()
-    y = held["toxic"].to_numpy()
-    x = np.array(held["x"].tolist(), float).reshape(len(y), len(models)).T
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(words_of)
+
+    told = staged(rows.filter("half <> 3").select("toxic", F.monotonically_increasing_id().alias("d"), split("text").alias("w")).filter(F.size("w") > 0), "toxic-words")
+    texts = {r["toxic"]: r["count"] for r in told.groupBy("toxic").count().collect()}
+    if len(texts) < 2:  # one class only: nothing tells them apart
+        return ToxicModel(np.zeros(0, np.uint64), np.ones((2, 2)), np.ones((2, 2)), np.zeros(0, np.int64), np.zeros((0, 2)), 0.0, math.log(odds))
+    grams = told.select("toxic", "d", F.posexplode("w").alias("i", "word"), "w").select("toxic", "d", "word", F.when(F.col("i") > 0, F.get("w", F.col("i") - 1)).alias("prior"))
+    grams = staged(grams.distinct(), "toxic-grams")
+    of = [F.sum((F.col("toxic") == k).cast("long")).alias(f"c{k}") for k in (0, 1)]
+    shares = [texts[k] / sum(texts.values()) for k in (0, 1)]
+
+    def kept(df: DataFrame, z: float) -> list[Column]:
+        total = [(F.col("c0") + F.col("c1")) * s for s in shares]
+        return [F.greatest(F.col(f"c{k}") - e - z * F.sqrt(e), F.lit(0.0)).alias(f"k{k}") for k, e in enumerate(total)]
+
+    words = staged(grams.groupBy("word").agg(F.count_distinct(F.coalesce("prior", F.lit(""))).alias("before")), "toxic-before")
+    counts = grams.select("toxic", "d", "word").distinct().groupBy("word").agg(*of)
+    words = staged(words.join(counts, "word"), "toxic-unigrams")
+    pairs = staged(grams.groupBy(F.coalesce("prior", F.lit("")).alias("prior"), "word").agg(*of), "toxic-pairs")
+    contexts = pairs.groupBy("prior").agg(*[F.sum(f"c{k}").alias(f"n{k}") for k in (0, 1)])
+    vocabulary = words.toPandas()
+    # Pairs that the mildest discount leaves to a class; each z then takes its own part of them.
+    telling = pairs.filter(F.greatest(*kept(pairs, min(zs))) > 0).join(contexts, "prior").toPandas()
+    hashes = word_hashes([w.encode() for w in vocabulary["word"]])
+    order = np.argsort(hashes)
+    hashes, vocabulary = hashes[order], vocabulary.iloc[order]
+    size = len(hashes) + 2
+    before = np.concatenate((vocabulary["before"].to_numpy(float), [0.0, 0.0])) + UNSEEN
+    shared = before / before[:-1].sum()
+    count = vocabulary[["c0", "c1"]].to_numpy(float)
+    place = lambda column: np.where(column == "", len(hashes) + 1, np.searchsorted(hashes, word_hashes([w.encode() for w in column])))
+    prior, second = (place(telling[c].to_numpy(object)).astype(np.int64) for c in ("prior", "word"))
+    keys = prior * size + second
+    inorder = np.argsort(keys)
+    pair_count, context_count = telling[["c0", "c1"]].to_numpy(float), telling[["n0", "n1"]].to_numpy(float)
+
+    def stays(count: np.ndarray, z: float) -> np.ndarray:
+        expected = count.sum(1, keepdims=True) * np.array(shares)
+        return np.maximum(count - expected - z * np.sqrt(expected), 0.0)
+
+    def model(z: float) -> ToxicModel:
+        own = stays(count, z) / count.sum(0)
+        word = np.concatenate((own, np.zeros((2, 2)))) + (1 - own.sum(0)) * shared[:, None]
+        pair = stays(pair_count, z) / np.maximum(context_count, 1)
+        left = 1 - np.stack([np.bincount(prior, pair[:, k], size) for k in (0, 1)], 1)
+        return ToxicModel(hashes, word, left, keys[inorder], pair[inorder], 1.0, 0.0)
+
+    models = [model(z) for z in zs]
+    curve = rows.filter("half = 3").select("toxic", _differences(models)("text").alias("x")).toPandas()
+    y = curve["toxic"].to_numpy()
+    x = np.array(curve["x"].tolist(), float).reshape(len(y), len(models)).T
     curves = [_curve(each, y) for each in x]
     losses = [_log_loss(each, y, *curve) for each, curve in zip(x, curves)]
-    best = int(np.argmin(losses))  # of equals that with the most texts a word
+    best = int(np.argmin(losses))
     slope, offset = curves[best]
     return replace(models[best], slope=slope, offset=offset + math.log(odds))
 
@@ -199,29 +206,33 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
-def _means(models: list[ToxicModel]):
-    """The means of several models in one function, so that a task needs one Python worker for all."""
-    shared = SparkSession.getActiveSession().sparkContext.broadcast([dict(vars(m)) for m in models])
+def _shipped(models: list[ToxicModel]):
+    return SparkSession.getActiveSession().sparkContext.broadcast([dict(vars(m)) for m in models])
+
+
+def _differences(models: list[ToxicModel]):
+    """The differences that several models see, in one function, so that a task needs one Python worker for all."""
+    shared = _shipped(models)
 
     @F.pandas_udf("array<double>")
-    def means(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def differences(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            told = texts.fillna("").tolist()
-            yield pd.Series(list(np.stack([ToxicModel(**m).means(told) for m in shared.value], 1)))
+            told = [ToxicModel(**m).log_likelihoods(texts.fillna("").tolist()) for m in shared.value]
+            yield pd.Series(list(np.stack([t[:, 1] - t[:, 0] for t in told], 1)))
 
-    return means
+    return differences
 
 
-def toxic_score(model: ToxicModel):
-    """A function of a text column: its score from 0 to 1; null and empty texts get the curve's value at 0."""
-    shared = SparkSession.getActiveSession().sparkContext.broadcast(dict(vars(model)))
+def log_likelihoods(model: ToxicModel):
+    """A function of a text column: its log-likelihoods per word, `ordinary` and `toxic`; both 0 for null and empty texts."""
+    shared = _shipped([model])
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("ordinary double, toxic double")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series(ToxicModel(**shared.value).scores(texts.fillna("").tolist()))
+            yield pd.DataFrame(ToxicModel(**shared.value[0]).log_likelihoods(texts.fillna("").tolist()), columns=["ordinary", "toxic"])
 
-    return score
+    return both
 
 
 def held_out(doc_id: Column) -> Column:
@@ -229,20 +240,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with columns held_out, score and predicted; those of these names are replaced.
+    """docs with held_out, score, predicted, ordinary_ll and toxic_ll, the log-likelihoods per word; those of these names are replaced.
 
     Labels are learned from rows that are not held out; only the text enters a score, so
     equal texts get equal scores. Without labels of both classes every score is the share
-    of toxic ones. Rows that repeat an id count as toxic if any of its labels is 1.
+    of toxic ones. Null and empty texts get the curve's value at no difference. Rows that
+    repeat an id count as toxic if any of its labels is 1.
     """
+    results = ("held_out", "score", "predicted", "ordinary_ll", "toxic_ll")
     model = fit(*training_rows(docs, labels, ~held_out(F.col("doc_id"))))
-    rest = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    scored = docs.select(*rest, held_out(F.col("doc_id")).alias("held_out"), toxic_score(model)("text").alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    rest = [c for c in docs.columns if c not in results]
+    told = docs.select(*rest, held_out(F.col("doc_id")).alias("held_out"), log_likelihoods(model)("text").alias("ll"))
+    at = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), (F.col("ll.toxic") - F.col("ll.ordinary")) * model.slope + model.offset))
+    scored = told.withColumn("score", 1 / (1 + F.exp(-at)))
+    return scored.select(*rest, "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.col("ll.ordinary").alias("ordinary_ll"), F.col("ll.toxic").alias("toxic_ll"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return score_documents(docs, labels).select("doc_id", "held_out", "score", "predicted")
+    return score_documents(docs, labels).select("doc_id", "held_out", "score", "predicted", "ordinary_ll", "toxic_ll")

@@ -82,6 +82,84 @@ def test_toxicity_separates_held_out_rows(spark):
     assert hits >= 0.8 * toxic and hits >= 0.9 * flagged
 
 
+def _brute_toxic(texts, z):
+    """Both models by dictionaries: p(class, context, word), None being what begins a text."""
+    told = [(toxicity.words_of(t), y) for t, y in texts]
+    told = [(w, y) for w, y in told if w]
+    pairs, words = [Counter(), Counter()], [Counter(), Counter()]
+    for w, y in told:
+        pairs[y].update(set(zip([None, *w], w)))
+        words[y].update(set(w))
+    before = Counter(b for _, b in pairs[0].keys() | pairs[1].keys())
+    share = [sum(y == k for _, y in told) / len(told) for k in (0, 1)]
+
+    def stays(counts, k, gram):
+        expected = (counts[0][gram] + counts[1][gram]) * share[k]
+        return max(counts[k][gram] - expected - z * math.sqrt(expected), 0)
+
+    unseen = toxicity.UNSEEN
+    shared = lambda w: (before[w] + unseen) / (sum(before.values()) + unseen * (len(before) + 1))
+    n = [sum(c.values()) for c in words]
+    own = [sum(stays(words, k, w) for w in before) / n[k] for k in (0, 1)]
+    context = [Counter(), Counter()]
+    for k in (0, 1):
+        for (a, _), c in pairs[k].items():
+            context[k][a] += c
+
+    def p(k, v, w):
+        word = stays(words, k, w) / n[k] + (1 - own[k]) * shared(w)
+        if not context[k][v]:
+            return word
+        left = 1 - sum(stays(pairs, k, (v, b)) for b in before) / context[k][v]
+        return stays(pairs, k, (v, w)) / context[k][v] + left * word
+
+    return p, list(before)
+
+
+def _toxic_texts():
+    rnd = random.Random(8)
+    texts = []
+    for i in range(80):
+        w = [f"w{'abcdefghij'[rnd.randrange(10)]}" for _ in range(rnd.randrange(1, 30))]
+        if i % 4 == 0:
+            w[rnd.randrange(len(w))] = "you idiot"
+        texts.append((" ".join(w), int(i % 4 == 0)))
+    return texts
+
+
+@pytest.mark.parametrize("z", [0.5, 2.0])
+def test_toxicity_against_dictionaries(spark, z):
+    texts = _toxic_texts()
+    model = toxicity.fit(spark.createDataFrame([(t, y, 0) for t, y in texts] + [("held idiot", 1, 3), ("held wa", 0, 3)], "text string, toxic int, half int"), 1.0, (z,))
+    p, vocabulary = _brute_toxic(texts, z)
+    new = ["you idiot", "wa wb you wc never Idiot heard", "", "12 !", *(t for t, _ in texts[:9])]
+    got = model.log_likelihoods(new)
+    for text, told in zip(new, got):
+        w = toxicity.words_of(text)
+        for k in (0, 1):
+            want = sum(math.log(p(k, a, b)) for a, b in zip([None, *w], w)) / max(len(w), 1)
+            assert told[k] == pytest.approx(want, abs=1e-9)
+    assert got[0][1] > got[0][0]
+    for k in (0, 1):
+        for v in (None, "you", "wa", "never"):
+            assert sum(p(k, v, w) for w in vocabulary) + p(k, v, "never") == pytest.approx(1)
+
+
+def test_toxicity_takes_a_bounded_sample_by_digest(spark):
+    rows = [(i, f"text {i % 50}") for i in range(100)]
+    labels = spark.createDataFrame([(i, int(i % 50 < 10)) for i in range(100)], "doc_id bigint, toxic int")
+    told, odds = toxicity.training_rows(spark.createDataFrame(rows, SCHEMA), labels, F.lit(True), most=8)
+    got = Counter(r.toxic for r in told.collect())
+    assert got == {0: 8, 1: 8} and odds == pytest.approx((10.5 / 40.5))
+
+
+def test_toxicity_of_empty_tables(spark):
+    labels = spark.createDataFrame([(1, 1), (3, 0), (None, 1)], "doc_id bigint, toxic int")
+    assert toxicity.score_documents(none(spark), labels).collect() == []
+    out = {r.doc_id: r for r in toxicity.score_documents(odd(spark), labels).collect()}
+    assert 0 <= out[1].score <= 1 and out[1].score == out[2].score and out[5].toxic_ll <= 0
+
+
 def test_toxicity_without_labels(spark):
     out = toxicity.score_documents(odd(spark), spark.createDataFrame([], "doc_id bigint, toxic int")).collect()
     assert len(out) == len(ODD) and len({r.score for r in out}) == 1
