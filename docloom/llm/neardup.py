@@ -3,14 +3,16 @@
 A text's words form 5-word grams, each labelled with its occurrence number. Each of SKETCHES
 hash functions picks the two least labelled grams, and their hashes in text order are a
 bucket key: that two texts agree falls with their edit distance, as moved passages change
-the order. Equal texts are one class before that. Of each bucket every text is compared with
-two of its texts, its heaviest and a random one, so buckets of any size give candidates in
-proportion; large buckets are also split by the next key. A candidate is kept if the word
-edit distance, in the band of diagonals that the threshold allows, is at most 1 - SIMILARITY
-of the longer text. Groups are connected components of what is kept. Most groups are joined
-by one comparison a text, and only pairs of different groups are compared after that. In the
-end every pair of a bucket whose texts still lie in different groups is compared, unless its
-lengths or sketches rule it out.
+the order. Equal texts are one class before that. A candidate is kept if the word edit
+distance, in the band of diagonals that the threshold allows, is at most 1 - SIMILARITY of
+the longer text; groups are connected components of what is kept.
+
+Every pair of a bucket is compared unless its texts come to lie in one group before, their
+lengths differ too much, or fewer than AGREE of the first CHECKED functions' least grams
+agree. Words replaced at random at the threshold, 20 %, leave a fifth of the grams: a pair
+then shares none of 80 buckets in 4 of 100 cases, and agrees too seldom in 3 or 4 of 100.
+To save comparisons each text first meets the text that it shares most buckets with, then
+two texts of each bucket, its heaviest and a random one; in most buckets that leaves one group.
 """
 
 from __future__ import annotations
@@ -24,16 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix, rolling, staged
+from .common import dropped, mix, rolling, staged
 from .exchange import word_hashes
 
 K = 5
-SKETCHES = 24
+SKETCHES = 80
 SIMILARITY = 0.8
-#: Of the sketches' least grams so many must agree: at Jaccard 0.8 fewer do once in a million pairs.
-AGREE = 9
-#: Buckets of more texts are split by a second key as well.
-LARGE = 32
+#: Of the least grams of the first CHECKED functions so many must agree before texts are aligned.
+CHECKED, AGREE = 24, 2
+#: Pieces of a group of equal texts when its rows learn their class.
+SALTS = 64
 #: Texts of a bucket that one task compares with as many others.
 BLOCK = 256
 #: Links a compared pair below which a turn over the rest takes all pairs that are open.
@@ -67,8 +69,8 @@ def sketch(words: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray]:
         else:
             second[a : a + step] = first[a : a + step]
     low, high = np.minimum(first, second), np.maximum(first, second)
-    keys = mix(mix(grams[low] + _SEEDS[:, 0]) ^ grams[high])
-    return keys.view(np.int64), grams[first].astype(np.uint32).view(np.int32)
+    keys = mix(mix(grams[low] + _SEEDS[:, 0]) ^ grams[high])  # of its own function alone: seeds differ
+    return keys.view(np.int64), grams[first[:CHECKED]].astype(np.uint32).view(np.int32)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,9 +161,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bands(classes: DataFrame, *more: str) -> DataFrame:
-    """rep, band, key, further (the next band's key) and the columns of more, a row for each bucket of a text."""
-    bands = classes.select("rep", "keys", *more, F.posexplode("keys").alias("band", "key"))
-    return bands.select("rep", "band", "key", F.get("keys", F.pmod(F.col("band") + 1, F.lit(SKETCHES))).alias("further"), *more)
+    """rep, key and the columns of more, a row for each bucket of a text; a key holds its band."""
+    return classes.select("rep", *more, F.explode("keys").alias("key"))
 
 
 def _pairs(rep: Column, other: Column) -> list[Column]:
@@ -169,76 +170,71 @@ def _pairs(rep: Column, other: Column) -> list[Column]:
 
 
 def weighed(classes: DataFrame) -> DataFrame:
-    """classes (rep, keys) -> rep, band, key, weight of the texts that share a bucket.
+    """classes (rep, keys) -> rep, key, weight of the texts that share a bucket.
 
     The weight of a text is the summed size of its buckets. A text in the middle of a group
     of copies is in more of their buckets than any copy, so it weighs most.
     """
     rows = _bands(classes)
-    sizes = staged(rows.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    return rows.join(sizes, ["band", "key"]).select("rep", "band", "key", F.sum("n").over(Window.partitionBy("rep")).alias("weight"))
+    sizes = staged(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    return rows.join(sizes, "key").select("rep", "key", F.sum("n").over(Window.partitionBy("rep")).alias("weight"))
 
 
 def nearest(met: DataFrame) -> DataFrame:
     """What weighed returns -> one pair a < b for each text: of its buckets' heaviest texts the one that it meets most often."""
-    centres = met.groupBy("band", "key").agg(F.max_by("rep", F.struct(F.col("weight"), -F.col("rep"))).alias("centre"))
-    counts = met.join(centres, ["band", "key"]).filter("rep <> centre").groupBy("rep", "centre").agg(F.count("*").alias("n"))
+    centres = met.groupBy("key").agg(F.max_by("rep", F.struct(F.col("weight"), -F.col("rep"))).alias("centre"))
+    counts = met.join(centres, "key").filter("rep <> centre").groupBy("rep", "centre").agg(F.count("*").alias("n"))
     best = counts.groupBy("rep").agg(F.max_by("centre", F.struct(F.col("n"), -F.col("centre"))).alias("centre"))
     return best.select(*_pairs(F.col("rep"), F.col("centre"))).distinct()
 
 
-def candidates(labelled: DataFrame) -> DataFrame:
-    """labelled (rep, keys, weight, label) -> distinct pairs a < b to compare whose labels differ.
+def candidates(met: DataFrame, label: DataFrame) -> DataFrame:
+    """What weighed returns and label (rep, label) -> distinct pairs a < b to compare whose labels differ.
 
-    A bucket all of whose texts have one label gives none. In large buckets the random text
-    is the same for a quarter of the bands, so that a large group has few of them.
+    A bucket all of whose texts have one label gives none. The random text of a bucket is
+    drawn by one of four orders, so that a large group has few of them.
     """
-    rows = _bands(labelled, "label", "weight")
+    rows = met.join(label, "rep")
     of = F.struct("rep", "label")
     heaviest = F.max_by(of, F.struct(F.col("weight"), -F.col("rep"))).alias("centre")
-    drawn = F.when(F.count("*") > LARGE, F.min_by(of, F.xxhash64("rep", F.col("band") % 4))).otherwise(F.min_by(of, F.xxhash64("rep", "band"))).alias("drawn")
-    middle = [heaviest, drawn, F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")]
-    buckets = staged(rows.groupBy("band", "key").agg(*middle).filter("lo < hi").drop("lo", "hi"), "buckets")
-    shared = rows.join(buckets, ["band", "key"])
-    large = shared.filter(F.col("n") > LARGE).select("rep", "band", "key", "further", "label", "weight")
-    split = large.groupBy("band", "key", "further").agg(*middle).filter("lo < hi").drop("lo", "hi", "n")
-    columns = ["rep", "label", "centre", "drawn"]
-    pairs = shared.select(*columns).unionByName(large.join(split, ["band", "key", "further"]).select(*columns))
+    drawn = F.min_by(of, F.xxhash64("rep", F.pmod("key", F.lit(4)))).alias("drawn")
+    buckets = staged(rows.groupBy("key").agg(heaviest, drawn, F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").drop("lo", "hi"), "buckets")
     # A text meets at most a few others: two for each of its buckets, most of them again and again.
-    met = pairs.groupBy("rep", "label").agg(F.array_union(F.collect_set("centre"), F.collect_set("drawn")).alias("others"))
+    met = rows.join(buckets, "key").groupBy("rep", "label").agg(F.array_union(F.collect_set("centre"), F.collect_set("drawn")).alias("others"))
     pairs = met.select("rep", F.explode(F.filter("others", lambda x: x["label"] != F.col("label"))).alias("other"))
     return pairs.select(*_pairs(F.col("rep"), F.col("other.rep"))).distinct()
 
 
-def rest(labelled: DataFrame) -> DataFrame:
-    """labelled (rep, keys, n_words, least, label) -> a, b, agree: all pairs a < b of a bucket whose labels differ and that lengths and sketches admit.
+def rest(met: DataFrame, label: DataFrame, classes: DataFrame) -> DataFrame:
+    """met (rep, key), label (rep, label), classes (rep, n_words, least) -> a, b, agree: all pairs a < b of a bucket whose labels differ and that lengths and sketches admit.
 
     A bucket is dealt in blocks, and each two blocks meet in one place. A label of more than
     BLOCK texts has blocks of its own, which don't meet one another, so a large group
     costs no more than its texts times those of other labels.
     """
-    rows = _bands(labelled, "label", "n_words", "least").drop("further")
-    kinds = staged(rows.groupBy("band", "key", "label").agg(F.count("*").alias("n")), "kinds")
-    several = kinds.groupBy("band", "key").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0)).alias("pooled"))
+    rows = met.select("rep", "key").join(label, "rep")
+    kinds = staged(rows.groupBy("key", "label").agg(F.count("*").alias("n")), "kinds")
+    several = kinds.groupBy("key").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0)).alias("pooled"))
     several = several.filter("labels > 1").drop("labels")
-    kinds = kinds.join(several, ["band", "key"])
+    kinds = kinds.join(several, "key")
     own = F.when(F.col("n") > BLOCK, F.col("label"))  # null for the pooled labels
     parts = F.ceil(F.when(F.col("n") > BLOCK, F.col("n")).otherwise(F.col("pooled")) / BLOCK)
-    kinds = staged(kinds.select("band", "key", "label", own.alias("own"), parts.alias("parts")), "kinds")
+    kinds = staged(kinds.select("key", "label", own.alias("own"), parts.alias("parts")), "kinds")
     place = F.struct(F.col("own"), F.pmod(F.xxhash64(F.coalesce("own", F.lit(-1)), F.when(F.col("own").isNull(), F.col("label")).otherwise(F.col("rep"))), F.col("parts")).alias("part"))
-    dealt = staged(rows.join(kinds, ["band", "key", "label"]).select("band", "key", place.alias("block"), "rep", "label", "n_words", "least"), "dealt")
-    blocks = staged(dealt.select("band", "key", "block").distinct(), "blocks")
-    turns = blocks.withColumnRenamed("block", "x").join(blocks.withColumnRenamed("block", "y"), ["band", "key"])
+    dealt = rows.join(kinds, ["key", "label"]).select("key", place.alias("block"), "rep", "label")
+    dealt = staged(dealt.join(classes.select("rep", "n_words", "least"), "rep"), "dealt")
+    blocks = staged(dealt.select("key", "block").distinct(), "blocks")
+    turns = blocks.withColumnRenamed("block", "x").join(blocks.withColumnRenamed("block", "y"), "key")
     turns = turns.filter((F.col("x") <= F.col("y")) & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False)))
     turns = staged(turns, "turns")
-    at = ["band", "key", "x", "y"]
+    at = ["key", "x", "y"]
 
     def side(block: str, to: str) -> DataFrame:
-        met = dealt.withColumnRenamed("block", block).join(turns, ["band", "key", block])
+        met = dealt.withColumnRenamed("block", block).join(turns, ["key", block])
         return met.select(*at, F.col("rep").alias(to), F.col("label").alias(f"label_{to}"), F.col("n_words").alias(f"n_{to}"), F.col("least").alias(f"l_{to}"))
 
     # Within one block each pair is met in both orders. Sums of single comparisons are compiled, lambdas are not.
-    agree = sum((F.get("l_i", F.lit(i)) == F.get("l_j", F.lit(i))).cast("int") for i in range(SKETCHES))
+    agree = sum((F.get("l_i", F.lit(i)) == F.get("l_j", F.lit(i))).cast("int") for i in range(CHECKED))
     left, right = side("x", "i").withColumnRenamed("i", "rep_i").alias("p"), side("y", "j").withColumnRenamed("j", "rep_j").hint("merge").alias("q")
     meet = F.lit(True)
     for c in at:
@@ -255,7 +251,10 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     agree = F.size(F.filter(F.zip_with("l_a", "l_b", lambda x, y: x == y), lambda x: x))
     pairs = pairs.join(side("b"), "b").join(side("a"), "a")
     pairs = pairs.filter((F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")) & (agree >= AGREE)).select("a", "b")
-    return aligned(staged(pairs, "candidates"), docs)
+    pairs = staged(pairs, "candidates")
+    links = aligned(pairs, docs)
+    dropped(pairs)
+    return links
 
 
 def aligned(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -264,7 +263,9 @@ def aligned(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     # A shuffle at every size: the ids grow with the input, so small inputs shall not be joined otherwise than large ones.
     texts = staged(docs.join(involved.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    return staged(pairs.join(text("b"), "b").join(text("a"), "a").mapInArrow(_verified, "a bigint, b bigint"), "links")
+    links = staged(pairs.join(text("b"), "b").join(text("a"), "a").mapInArrow(_verified, "a bigint, b bigint"), "links")
+    dropped(texts)
+    return links
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -295,13 +296,12 @@ def relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
     return staged(label.join(grouped, "label").select("rep", F.col("group_id").alias("label")), "label")
 
 
-def settled(label: DataFrame, classes: DataFrame, docs: DataFrame, tried: DataFrame) -> DataFrame:
+def settled(label: DataFrame, met: DataFrame, classes: DataFrame, docs: DataFrame, tried: DataFrame) -> DataFrame:
     """label (rep, label) after all pairs of rest() have been compared or come to lie in one group; tried are compared ones.
 
     A turn takes one pair of each two groups. When a turn hardly joins any, the last takes all that are open.
     """
-    labelled = classes.select("rep", "keys", "n_words", "least").join(label, "rep")
-    open_ = staged(rest(labelled).join(tried, ["a", "b"], "left_anti"), "open")
+    open_ = staged(rest(met, label, classes).join(tried, ["a", "b"], "left_anti"), "open")
     last = False
     while True:
         end = lambda x: label.select(F.col("rep").alias(x), F.col("label").alias(f"l_{x}"))
@@ -335,18 +335,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     sketched = staged(texts.mapInArrow(_sketches, "doc_id bigint, digest string, n_words int, keys array<bigint>, least array<int>"), "sketches")
-    reps = sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = staged(sketched.select("doc_id", "digest").join(reps, "digest").select("doc_id", F.col("rep").alias("class_id")), "members")
+    # A text that a third of the rows repeat meets its class in SALTS pieces.
+    rows = sketched.select("doc_id", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    pieces = staged(rows.groupBy("digest", "salt").agg(F.min("doc_id").alias("least_id")), "pieces")
+    reps = pieces.select("digest", "salt").join(pieces.groupBy("digest").agg(F.min("least_id").alias("class_id")), "digest")
+    members = staged(rows.join(reps, ["digest", "salt"]).select("doc_id", "class_id"), "members")
     alone = members.filter("doc_id = class_id").select(F.col("class_id").alias("rep")).distinct()
     classes = staged(sketched.withColumnRenamed("doc_id", "rep").join(alone, "rep", "left_semi").dropDuplicates(["rep"]).select("rep", "n_words", "keys", "least"), "classes")
+    dropped(sketched, pieces)
     met = staged(weighed(classes), "met")
     first = staged(nearest(met), "nearest")
     label = staged(components(classes.select("rep"), verified(first, classes, texts)).withColumnRenamed("group_id", "label"), "label")
-    weight = met.groupBy("rep").agg(F.first("weight").alias("weight"))
-    labelled = staged(classes.select("rep", "keys").join(weight, "rep").join(label, "rep"), "labelled")
-    second = staged(candidates(labelled).join(first, ["a", "b"], "left_anti"), "second")
+    second = staged(candidates(met, label).join(first, ["a", "b"], "left_anti"), "second")
     label = relabelled(label, verified(second, classes, texts))
-    label = settled(label, classes, texts, first.unionByName(second))
+    label = settled(label, met, classes, texts, first.unionByName(second))
+    dropped(classes, met, first, second)
     told = label.withColumnRenamed("rep", "class_id").withColumnRenamed("label", "group_id")
     return members.join(told, "class_id").select("doc_id", "class_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept"))
 

@@ -388,6 +388,30 @@ def test_near_duplicates_of_a_large_group_against_all_pairs(spark):
     assert got == {i: top(i) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("size", [60, 200, 600])
+@pytest.mark.parametrize("edits", [0.05, 0.1, 0.15, 0.2])
+def test_near_duplicates_become_candidates(size, edits):
+    """Of pairs whose alignment holds, at least 0.9 share a bucket and pass the sketches' gate, of short texts at the very threshold 0.7."""
+    rnd = random.Random(f"{size} {edits}")
+    found, of = 0, 60
+    for t in range(of):
+        a = [f"w{rnd.randrange(5000)}".encode() for _ in range(size)]
+        b = list(a)
+        for i in rnd.sample(range(size), int(edits * size)):
+            b[i] = f"x{t}y{i}".encode()
+        assert neardup.alike(a, b)
+        (keys_a, least_a), (keys_b, least_b) = neardup.sketch(a), neardup.sketch(b)
+        found += bool((keys_a == keys_b).any() and (least_a == least_b).sum() >= neardup.AGREE)
+    assert found >= (0.7 if size == 60 and edits == 0.2 else 0.9) * of
+
+
+def test_near_duplicates_with_many_copies_of_one_text(spark):
+    """Nine tenths of the rows are one text: its pieces find one class."""
+    rows = [(i, "the same words in every row of this table") for i in range(900)] + [(900 + i, f"row {i} alone") for i in range(100)]
+    got = {r.doc_id: (r.class_id, r.group_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) == 1000 and all(got[i] == (0, 0) for i in range(900)) and all(got[i] == (i, i) for i in range(900, 1000))
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = {r.doc_id: r.group_id for r in neardup.near_duplicates(odd(spark)).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 7: 7}
