@@ -125,7 +125,7 @@ class _Chunk:
         self.name = row["chunk"]
         self.ids, self.no_id = unsqueezed(row["ids"], np.int64), unsqueezed(row["no_id"], np.uint8)
         self.sizes, self.train_docs = unsqueezed(row["sizes"], np.int64), unsqueezed(row["train"], np.uint8)
-        self.words, self.tokens = unsqueezed(row["words"], np.uint64, True), unsqueezed(row["tokens"], np.uint32).astype(np.int64)
+        self.tokens = unsqueezed(row["tokens"], np.uint32).astype(np.int64)
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.place = np.arange(len(self.tokens)) - np.repeat(self.begins, self.sizes)
         self.train = np.repeat(self.train_docs, self.sizes).astype(np.float64)
@@ -137,7 +137,7 @@ class _Level:
 
     of: np.ndarray
     count: np.ndarray
-    name: np.ndarray
+    name: np.ndarray  # none at the last level
 
 
 @dataclass
@@ -213,7 +213,7 @@ def _next_level(chunk: _Chunk, entries: _Entries, told: list[dict], parts: int)
     of = np.full(len(chunk.tokens), -1, np.int64)
     of[entries.at] = entries.of
     empty = [np.zeros(0, np.int64)]
-    return _Level(of, np.concatenate(empty + [unsqueezed(r["counts"], np.int64) for r in told]), np.concatenate(empty + [unsqueezed(r["names"], np.int64, True) * parts + r["part"] for r in told]))
+    return _Level(of, np.concatenate(empty + [unsqueezed(r["counts"], np.int64) for r in told]), np.concatenate(empty + [unsqueezed(r["names"], np.int64, True) * parts + r["part"] for r in told if r["names"]]))
 
 
 def _ask_words(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -286,8 +286,8 @@ def _grouped(key: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys, found // len(words), first, of
 
 
-def _tell(asked: pa.Table, level: int, discounted: np.ndarray, stored: pa.Table | None = None) -> pa.Table:
-    """The counts and names of a part's n-grams, and the sums of contexts; discounted are the counts 0 to GT_MAX of the level below."""
+def _tell(asked: pa.Table, level: int, last: bool, discounted: np.ndarray, stored: pa.Table | None = None) -> pa.Table:
+    """The counts and names of a part's n-grams, and the sums of contexts; the last level needs no names. discounted are the counts 0 to GT_MAX of the level below."""
     if not asked.num_rows:
         return _TOLD.empty_table()
     part, lists = asked.column("part")[0].as_py(), asked.to_pydict()
@@ -325,7 +325,7 @@ def _tell(asked: pa.Table, level: int, discounted: np.ndarray, stored: pa.Table
         # The chunk needs the sums of contexts of which it has an unseen n-gram; those of split ones come by a join.
         wanted = place[~split & (np.minimum.reduceat(counts, np.cumsum(run) - run) == 0)]
         pieces.update(own[split].tolist())
-        rows.append({"level": level, "part": part, "chunk": chunk, "counts": squeezed(counts), "names": squeezed(name[answer], True), "whole": squeezed(whole[place].astype(np.uint8)), "sums": squeezed(sums[:, wanted].reshape(-1)), "split_keys": sorted(set(own[split].tolist()))})
+        rows.append({"level": level, "part": part, "chunk": chunk, "counts": squeezed(counts), "names": None if last else squeezed(name[answer], True), "whole": squeezed(whole[place].astype(np.uint8)), "sums": squeezed(sums[:, wanted].reshape(-1)), "split_keys": sorted(set(own[split].tolist()))})
     pieces = sorted(pieces)
     told = {"level": level, "part": part, "split_keys": pieces, "split_sums": [sums[:, i].tolist() for i in np.searchsorted(contexts, pieces)]}
     if stored is None:
@@ -464,6 +464,8 @@ def _run(docs: DataFrame, train: Column, order: int, split_at: int, model: KatzM
     parts = model.parts if model else max(2 * few, -(-size // part_tokens))
     places = max(few, -(-size // PARTITION_TOKENS))
 
+    tokens = chunks.drop("words", "counts")
+
     def by(df: DataFrame, column: str):
         return df.repartition(places, column).groupBy(column)
 
@@ -472,8 +474,8 @@ def _run(docs: DataFrame, train: Column, order: int, split_at: int, model: KatzM
 
     def telling(n: int, lower: np.ndarray | None):
         if model:
-            return lambda asked, stored: _tell(asked, n, lower, stored) if n > 1 else _tell_words(asked, stored)
-        return lambda asked: _tell(asked, n, lower) if n > 1 else _tell_words(asked)
+            return lambda asked, stored: _tell(asked, n, n == order, lower, stored) if n > 1 else _tell_words(asked, stored)
+        return lambda asked: _tell(asked, n, n == order, lower) if n > 1 else _tell_words(asked)
 
     told: DataFrame | None = None
     kept: list[DataFrame] = []
@@ -482,7 +484,7 @@ def _run(docs: DataFrame, train: Column, order: int, split_at: int, model: KatzM
         if n == 1:
             asked = chunks.select("chunk", "words", "counts").mapInArrow(lambda batches: _ask_words(batches, parts), _ddl(_ASKED))
         else:
-            asked = by(chunks, "chunk").cogroup(by(told, "chunk")).applyInArrow(asking(n), _ddl(_ASKED))
+            asked = by(tokens, "chunk").cogroup(by(told, "chunk")).applyInArrow(asking(n), _ddl(_ASKED))
         asked = by(asked, "part")
         if model:
             stored = model.tables.filter(F.col("level") == n)
@@ -495,7 +497,7 @@ def _run(docs: DataFrame, train: Column, order: int, split_at: int, model: KatzM
             totals = Totals(0, 0, 1.0, 1.0, ()).with_words(of) if n == 1 else totals.with_level(of)
         answers = _with_splits(level.filter("chunk IS NOT NULL"), stored if model else kept[-1], n)
         told = answers if told is None else told.unionByName(answers)
-    scored = by(chunks, "chunk").cogroup(by(told, "chunk")).applyInArrow(lambda t, u: _score(t, u, order, parts, split_at, totals), _ddl(_SCORED))
+    scored = by(tokens, "chunk").cogroup(by(told, "chunk")).applyInArrow(lambda t, u: _score(t, u, order, parts, split_at, totals), _ddl(_SCORED))
     out = scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals.n).cast("bigint").alias("train_tokens"), "base_score", "score")
     return out, model or KatzModel(reduce(DataFrame.unionByName, kept), totals, parts, order, split_at)
 
