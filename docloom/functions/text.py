@@ -29,19 +29,6 @@ def ascii_lower(x: Column) -> Column:
     return F.translate(x, _UPPER, _LOWER)
 
 
-def occurrences(text: Column, term: str) -> Column:
-    """How often a folded term occurs in the folded text, overlaps included."""
-    if len(term) < 3:
-        return F.lit(0)
-    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?=" + re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", term) + ")"))
-
-
-def trigrams(title: Column, body: Column) -> Column:
-    """The length by which ranking normalises: trigrams of title and body."""
-    n = lambda x: F.greatest(F.char_length(F.coalesce(x, F.lit(""))) - 2, F.lit(0))
-    return n(title) + n(body)
-
-
 def bm25(tf: list[Column], length: Column, n_docs: int, mean_length: float, n_with: list[int]) -> Column:
     """The negated sum over terms: the best is least. Corpus figures are of all documents, before any filter."""
     import math

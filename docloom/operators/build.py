@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CITY, PAGEVIEWS, normalized_popularity
+from ..storage import file_system, read_text, replace_text
+from .knowledge import KnowledgeBase
 
 
 def last_wins(docs: DataFrame, seq: str = "seq", key: str = "doc_id") -> DataFrame:
@@ -16,14 +21,18 @@ def last_wins(docs: DataFrame, seq: str = "seq", key: str = "doc_id") -> DataFra
     return docs.groupBy(key).agg(F.max_by(F.struct(*rest), seq).alias("_r")).select(key, "_r.*")
 
 
-def first_seen_titles(docs: DataFrame, order: list, suffix: Column) -> DataFrame:
-    """The first document of a title keeps it; later ones get ` (suffix)` and the plain title as alias."""
-    n = F.row_number().over(Window.partitionBy("title").orderBy(*order))
-    out = docs.withColumn("_n", n)
-    return out.withColumns({
-        "alias": F.when(F.col("_n") > 1, F.col("title")),
-        "title": F.when(F.col("_n") > 1, F.concat("title", F.lit(" ("), suffix, F.lit(")"))).otherwise(F.col("title")),
-    }).drop("_n")
+def first_seen_titles(docs: DataFrame, key: str, order: Column, suffix: Column) -> DataFrame:
+    """The first document of a title by order keeps it; later ones get ` (suffix)` and the plain title as alias.
+
+    Owners are found by a combined aggregation and joined by the unique key, so a title that
+    many documents share neither meets in one task nor moves whole rows.
+    """
+    owners = docs.groupBy("title").agg(F.min_by(key, order).alias(key)).select(key, F.lit(True).alias("_owns"))
+    plain = F.col("_owns").isNotNull() | F.col("title").isNull()
+    return docs.join(owners, key, "left").withColumns({
+        "alias": F.when(~plain, F.col("title")),
+        "title": F.when(plain, F.col("title")).otherwise(F.concat("title", F.lit(" ("), suffix, F.lit(")"))),
+    }).drop("_owns")
 
 
 def title_owners(docs: DataFrame, size: str, key: str = "doc_id", title: str = "title") -> DataFrame:
@@ -47,19 +56,70 @@ def aliases(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode("aliases").alias("alias"), "doc_id")
 
 
-def trigram_postings(docs: DataFrame) -> DataFrame:
-    """(gram, doc_id): the distinct folded trigrams of title and body, for pruning before a text match."""
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))
-    text = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    return docs.select("doc_id", F.explode(F.array_union(grams(text("title")), grams(text("body")))).alias("gram")).filter(F.char_length("gram") == 3)
+def counts(rows: DataFrame, by: str) -> DataFrame:
+    """by, docs: how many rows each value has."""
+    return rows.groupBy(by).agg(F.count("*").alias("docs"))
+
+
+def most_frequent(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """by, value: the most frequent value of each, of equals the least."""
+    shares = rows.groupBy(by, value).agg(F.count("*").alias("_n"))
+    return shares.groupBy(by).agg(F.min_by(value, F.struct((-F.col("_n")).alias("n"), F.col(value).alias("v"))).alias(value))
+
+
+def gathered(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """key, values: each key's values by order. Keys must have lists that fit a row, as names of a place do."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
+    return rows.groupBy(key).agg(F.transform(pairs, lambda x: x["v"]).alias("values"))
+
+
+def linked(docs: DataFrame, others: DataFrame, on: str = "wikidata", key: str = "doc_id") -> DataFrame:
+    """doc_id, other_id, on: documents of two sources about one item."""
+    return docs.filter(F.col(on).isNotNull()).select(key, on).join(others.select(F.col(key).alias("other_id"), on), on).select(key, "other_id", on)
+
+
+def top_tag(docs: DataFrame, sample: int) -> DataFrame:
+    """The most frequent tag of the first `sample` documents: an example to show, not a count."""
+    tags = docs.orderBy("doc_id").limit(sample).select(F.explode("tags").alias("tag")).filter("tag <> ''")
+    return counts(tags, "tag").orderBy(F.desc("docs"), "tag").limit(1).select("tag")
+
 
+def text_lengths(docs: DataFrame) -> DataFrame:
+    """One row: documents and the summed characters of their bodies and openings."""
+    n = lambda c: F.coalesce(F.sum(F.char_length(c).cast("bigint")), F.lit(0).cast("bigint"))
+    return docs.agg(F.count("*").alias("docs"), n("body").alias("chars"), n("opening").alias("opening_chars"))
 
-def prune(docs: DataFrame, postings: DataFrame, term: str) -> DataFrame:
-    """The documents that hold all trigrams of a term: a superset of those that hold the term."""
-    term = term.lower()
-    grams = sorted({term[i : i + 3] for i in range(len(term) - 2)})
-    have = postings.filter(F.col("gram").isin(grams)).groupBy("doc_id").agg(F.countDistinct("gram").alias("n")).filter(F.col("n") == len(grams))
-    return docs.join(have, "doc_id", "left_semi")
+
+def n_trigrams(title: Column, body: Column) -> Column:
+    """The length by which ranking normalises: trigrams of title and body."""
+    n = lambda x: F.greatest(F.char_length(F.coalesce(x, F.lit(""))) - 2, F.lit(0))
+    return n(title) + n(body)
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 64):
+            rows: tuple[list, ...] = ([], [], [], [], [])
+            for doc in batch.slice(begin, 64).to_pylist():
+                at: dict[str, tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
+                for field, text in enumerate(((doc["title"] or "").lower(), (doc["body"] or "").lower())):
+                    for i in range(len(text) - 2):
+                        at[text[i : i + 3]][field].append(i)
+                for gram, (title_at, body_at) in at.items():
+                    for column, value in zip(rows, (gram, doc["doc_id"], doc["n_trigrams"], title_at, body_at)):
+                        column.append(value)
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int64(), pa.int32(), ints, ints))], names=["gram", "doc_id", "n_trigrams", "title_at", "body_at"])
+
+
+def trigram_index(docs: DataFrame) -> DataFrame:
+    """gram, doc_id, n_trigrams, title_at, body_at: where each folded trigram of a document starts.
+
+    A term's occurrences follow from the places of its trigrams, so matching and ranking read
+    no text. n_trigrams is the document's length.
+    """
+    told = docs.select("doc_id", "title", "body", n_trigrams(F.col("title"), F.col("body")).cast("int").alias("n_trigrams"))
+    return told.mapInArrow(_grams, "gram string, doc_id bigint, n_trigrams int, title_at array<int>, body_at array<int>")
 
 
 def refreshed_rank(docs: DataFrame) -> DataFrame:
@@ -83,15 +143,17 @@ def validation(docs: DataFrame, tags: DataFrame, min_docs: int, samples: list[st
 def build(docs: DataFrame, root: str, source: str, generation: str, meta: dict[str, str] | None = None, min_docs: int = 1, samples: list[str] = ()) -> str:  # noqa: B006
     """Writes all tables of one generation below root/source, checks them, and points the source there.
 
-    Tables are sorted by what their readers filter on, so Parquet statistics prune. One
-    generation besides the new one is kept.
+    Each table is clustered by what its readers filter on, so Parquet statistics prune;
+    ranges of the trigram index break inside a frequent gram as well. One generation besides
+    the new one is kept.
     """
     spark = docs.sparkSession
     base = f"{root}/{source}"
     path = f"{base}/{generation}-{uuid.uuid4().hex[:8]}"
-    docs.write.parquet(f"{path}/docs")
+    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{path}/docs")
     docs = spark.read.parquet(f"{path}/docs")
-    doc_tags(docs).sortWithinPartitions("tag", "doc_id").write.parquet(f"{path}/doc_tags")
+    trigram_index(docs).repartitionByRange("gram", "doc_id").sortWithinPartitions("gram", "doc_id").write.parquet(f"{path}/trigrams")
+    doc_tags(docs).repartitionByRange("tag", "doc_id").sortWithinPartitions("tag", "doc_id").write.parquet(f"{path}/doc_tags")
     tags = spark.read.parquet(f"{path}/doc_tags")
     tag_counts(tags).sortWithinPartitions(F.desc("docs"), "tag").write.parquet(f"{path}/tag_counts")
     if {"lat", "lon"} <= set(docs.columns):
@@ -107,46 +169,50 @@ def build(docs: DataFrame, root: str, source: str, generation: str, meta: dict[s
     return path
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+def opened(spark: SparkSession, path: str) -> KnowledgeBase:
+    """The tables of one generation for retrieval."""
+
+    def table(name: str) -> DataFrame | None:
+        p, fs = file_system(spark, f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}") if fs.exists(p) else None
+
+    return KnowledgeBase(table("docs"), aliases=table("aliases"), doc_tags=table("doc_tags"), tag_counts=table("tag_counts"), trigrams=table("trigrams"))
 
 
 def publish(spark: SparkSession, base: str, path: str) -> None:
-    """Replaces the pointer file base/CURRENT by a rename, then drops all generations but this one and the one before."""
+    """Replaces the pointer file base/CURRENT in one step, then drops finished generations but this one and the one before."""
     before = current(spark, base)
-    p, fs = _fs(spark, f"{base}/CURRENT.{uuid.uuid4().hex}")
-    out = fs.create(p)
-    out.write(bytearray(path.rsplit("/", 1)[1].encode()))
-    out.close()
-    target, _ = _fs(spark, f"{base}/CURRENT")
-    fs.delete(target, False)
-    fs.rename(p, target)
+    replace_text(spark, f"{base}/CURRENT", path.rsplit("/", 1)[1])
     keep = {path.rsplit("/", 1)[1], (before or "").rsplit("/", 1)[-1]}
-    for s in fs.listStatus(_fs(spark, base)[0]):
-        if s.isDirectory() and s.getPath().getName() not in keep:
+    p, fs = file_system(spark, base)
+    for s in fs.listStatus(p):
+        # What has no meta table yet is another build at work.
+        if s.isDirectory() and s.getPath().getName() not in keep and fs.exists(file_system(spark, f"{s.getPath()}/meta/_SUCCESS")[0]):
             fs.delete(s.getPath(), True)
 
 
 def current(spark: SparkSession, base: str) -> str | None:
     """The generation that the pointer names."""
-    p, fs = _fs(spark, f"{base}/CURRENT")
-    if not fs.exists(p):
-        return None
-    return f"{base}/" + spark.read.text(f"{base}/CURRENT").first()[0]
+    name = read_text(spark, f"{base}/CURRENT")
+    return f"{base}/{name}" if name else None
+
+
+def fingerprint(spark: SparkSession, root: str) -> str:
+    """Changes when a source is added, removed or published anew: compared before a catalog is read again."""
+    p, fs = file_system(spark, root)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+    return "|".join(f"{n}={current(spark, f'{root}/{n}')}" for n in names)
 
 
 def catalog(spark: SparkSession, root: str) -> DataFrame:
     """One row a published source of a supported schema version; broken ones are skipped."""
-    p, fs = _fs(spark, root)
+    p, fs = file_system(spark, root)
     rows = []
     for s in fs.listStatus(p) if fs.exists(p) else []:
         name = s.getPath().getName()
-        try:
-            path = current(spark, f"{root}/{name}")
-            meta = spark.read.parquet(f"{path}/meta").first().asDict() if path else {}
-        except Exception:  # a half-written source is no source
-            continue
+        path = current(spark, f"{root}/{name}")
+        # A half-written source is no source.
+        meta = spark.read.parquet(f"{path}/meta").first().asDict() if path and fs.exists(file_system(spark, f"{path}/meta/_SUCCESS")[0]) else {}
         if meta.get("source") == name and meta.get("schema_version") in {"1", "2", "3", "4"}:
             rows.append((name, meta["schema_version"], meta["dump_date"], int(meta["doc_count"]), path))
     return spark.createDataFrame(rows, "source string, schema_version string, dump_date string, doc_count bigint, path string")

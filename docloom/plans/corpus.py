@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import build
 from ..operators.knowledge import KnowledgeBase
+from ..storage import scratch
 
 #: The same corpus for an engine that reads SQL.
 SQL = r"""
@@ -28,8 +30,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
     blank = F.lit(" \t\n\r")
     line = F.btrim(F.split_part(F.ltrim(F.col("text"), blank), F.lit("\n"), F.lit(1)), F.lit(" \t\r"))
-    base = raw.withColumn("base", F.substring(line, 1, 60))
-    n = F.row_number().over(Window.partitionBy("base").orderBy("doc_id"))
+    named = build.first_seen_titles(raw.select("doc_id", F.substring(line, 1, 60).alias("title")), "doc_id", F.col("doc_id"), F.col("doc_id").cast("string"))
     where = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
         F.col("vec_id").alias("doc_id"),
         F.round(F.get("embedding", F.lit(0)).cast("double") * 90, 7).alias("lat"), F.round(F.get("embedding", F.lit(1)).cast("double") * 180, 7).alias("lon"),
@@ -37,14 +38,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     areas = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("_k"), F.col("n_name").alias("area"))
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
     return (
-        base.withColumn("_n", n)
+        raw.join(named.select("doc_id", "title"), "doc_id")
         .select(
-            "doc_id", F.when(F.col("_n") == 1, F.col("base")).otherwise(F.concat("base", F.lit(" ("), F.col("doc_id").cast("string"), F.lit(")"))).alias("title"),
+            "doc_id", "title",
             F.substring("text", 1, 240).alias("opening"), F.col("text").alias("body"), "lang", "source",
             F.round(F.least(F.lit(1.0), F.log10(1 + F.col("n_chars")) / 7.0), 4).alias("rank_score"), F.concat(F.lit("lang="), "lang").alias("feature"),
             F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Q"), F.col("doc_id").cast("string"))).alias("wikidata"),
             F.concat(F.lit("2026-"), two(1 + F.col("doc_id") % 12), F.lit("-"), two(1 + F.col("doc_id") % 28), F.lit("T00:00:00")).alias("updated_at"),
-            F.array("lang", "source").alias("tags"), F.array().cast("array<string>").alias("links"),
+            F.array("lang", "source").alias("tags"), F.array(*[F.concat(F.lit("doc-"), ((F.col("doc_id") + i) % 50).cast("string")) for i in (0, 1)]).alias("links"),
             F.array(F.concat(F.lit("doc-"), (F.col("doc_id") % 50).cast("string"))).alias("aliases"), (F.col("doc_id") % 25).alias("_k"),
         )
         .join(where, "doc_id", "left")
@@ -53,8 +54,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def knowledge(spark: SparkSession, sf_dir: str) -> KnowledgeBase:
-    from ..operators import build
+_OPENED: dict[tuple[str, str], KnowledgeBase] = {}
+
 
-    docs = documents(spark, sf_dir)
-    return KnowledgeBase(docs, aliases=build.aliases(docs), doc_tags=build.doc_tags(docs))
+def knowledge(spark: SparkSession, sf_dir: str) -> KnowledgeBase:
+    """The corpus as a published source, built by the first query of an application and read by all."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _OPENED:
+        _OPENED[key] = build.opened(spark, build.build(documents(spark, sf_dir), scratch(spark, "corpus"), "corpus", "bench"))
+    return _OPENED[key]

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import build, context, gazetteer, notes, spatial
-from ..schema import normalized_popularity
+from ..operators import build, context, gazetteer, jobs, notes, spatial
+from ..operators.knowledge import pool_size
+from ..schema import normalized_popularity, with_extra_columns
+from ..sources import tables
+from ..storage import scratch
 from .corpus import SQL as CORPUS
-from .corpus import documents, knowledge
+from .corpus import knowledge
 
 REGISTRY: dict = {}
 
@@ -53,15 +56,15 @@ FROM {picked} ORDER BY {exact}, s * (1 + 0.4 * greatest(0.0, least(1.0, coalesce
 
 def _searches() -> None:
     def add(name: str, q: str, where: str = "TRUE", pool: int | None = None, limit: int = 10, offset: int = 0, **filters):
-        _register(name, _search_sql(q, limit, offset, where, pool))(lambda s, d: knowledge(s, d).search(q, limit, offset, pool, **filters))
+        _register(name, _search_sql(q, limit, offset, where, None if filters else pool or pool_size(offset, limit)))(lambda s, d: knowledge(s, d).search(q, limit, offset, pool, **filters))
 
     add("search_single_term", "ther")
     add("search_multi_term_and", "ther ing")
     add("search_offset_page", "ther", limit=7, offset=20)
-    add("search_pooled", "ther", pool=300)
+    add("search_pooled", "ther", pool=20)
     add("search_drops_short_terms", "ther of")
     add("search_filtered_tag", "ther", where="list_contains(tags, 'en')", tag="en")
-    add("search_filtered_area", "ther", where="area = 'FRANCE'", area="FRANCE")
+    add("search_filtered_area", "ther", where="area = 'NATION_7'", area="NATION_7")
     add("search_filtered_bbox", "ther", where="lat BETWEEN -5 AND 10 AND lon BETWEEN -20 AND 20", bbox="-5,-20,10,20")
 
 
@@ -92,10 +95,8 @@ def search_exact_title_first(spark, sf_dir):
 
 @_register("search_by_postings", f"WITH {CORPUS} SELECT doc_id, title FROM docs WHERE contains(lower(title), 'ther') OR contains(lower(body), 'ther')")
 def search_by_postings(spark, sf_dir):
-    """All matches of a term, pruned by its trigrams before the text is looked at."""
-    docs = documents(spark, sf_dir)
-    found = build.prune(docs, build.trigram_postings(docs), "ther")
-    return found.filter(F.lower("title").contains("ther") | F.lower("body").contains("ther")).select("doc_id", "title")
+    """All matches of a term, found by its trigrams' places alone."""
+    return knowledge(spark, sf_dir).matches("ther").select("doc_id", "title")
 
 
 # --- documents and filters ------------------------------------------------------------------
@@ -129,7 +130,7 @@ def doc_candidates_404(spark, sf_dir):
 
 _FILTERS = {
     "filter_feature": ({"feature": "lang=fr, lang=de"}, "feature IN ('lang=fr', 'lang=de')"),
-    "filter_area": ({"area": "JAPAN"}, "area = 'JAPAN'"),
+    "filter_area": ({"area": "NATION_7"}, "area = 'NATION_7'"),
     "filter_bbox": ({"bbox": "-5,-20,10,20"}, "lat BETWEEN -5 AND 10 AND lon BETWEEN -20 AND 20"),
     "filter_wikidata": ({"wikidata": "Q42"}, "wikidata = 'Q42'"),
     "filter_tag_or": ({"tag": "es,fr"}, "(list_contains(tags, 'es') OR list_contains(tags, 'fr'))"),
@@ -139,29 +140,29 @@ for _name, (_filters, _where) in _FILTERS.items():
     _register(_name, f"WITH {CORPUS} SELECT doc_id, title, feature, area, lat, lon FROM docs WHERE {_where} ORDER BY rank_score DESC, title, doc_id LIMIT 50")(
         lambda s, d, f=_filters: knowledge(s, d).filter(**f)
     )
-_register("filter_total", f"WITH {CORPUS} SELECT count(*) AS total FROM docs WHERE list_contains(tags, 'en') AND area = 'JAPAN'")(lambda s, d: knowledge(s, d).filter_total(tag="en", area="JAPAN"))
+_register("filter_total", f"WITH {CORPUS} SELECT count(*) AS total FROM docs WHERE list_contains(tags, 'en') AND area = 'NATION_7'")(lambda s, d: knowledge(s, d).filter_total(tag="en", area="NATION_7"))
 _register("filter_paged", f"WITH {CORPUS} SELECT doc_id, title, substr(body, 1, 50) AS body FROM docs WHERE list_contains(tags, 'en') ORDER BY rank_score DESC, title, doc_id LIMIT 20 OFFSET 40")(
     lambda s, d: knowledge(s, d).filter(limit=20, offset=40, fields="doc_id,title,body", max_chars=50, tag="en")
 )
 
 _TAGS = f"WITH {CORPUS}, dt AS (SELECT DISTINCT tag, doc_id FROM (SELECT doc_id, unnest(tags) AS tag FROM docs) WHERE tag <> ''), tc AS (SELECT tag, count(*) AS docs FROM dt GROUP BY tag)"
-_register("doc_tags", f"{_TAGS} SELECT tag, doc_id FROM dt")(lambda s, d: build.doc_tags(documents(s, d)))
-_register("tag_counts", f"{_TAGS} SELECT tag, docs FROM tc")(lambda s, d: build.tag_counts(build.doc_tags(documents(s, d))))
+_register("doc_tags", f"{_TAGS} SELECT tag, doc_id FROM dt")(lambda s, d: build.doc_tags(knowledge(s, d).docs))
+_register("tag_counts", f"{_TAGS} SELECT tag, docs FROM tc")(lambda s, d: build.tag_counts(build.doc_tags(knowledge(s, d).docs)))
 _register("tags_prefix", f"{_TAGS} SELECT tag, docs FROM tc WHERE starts_with(tag, 'e') ORDER BY docs DESC, tag LIMIT 50")(lambda s, d: knowledge(s, d).tags(prefix="e"))
 _register("tags_contains", f"{_TAGS} SELECT tag, docs FROM tc WHERE contains(tag, 'e') ORDER BY docs DESC, tag LIMIT 5 OFFSET 2")(lambda s, d: knowledge(s, d).tags(contains="e", limit=5, offset=2))
 _register("titles_prefix", f"WITH {CORPUS} SELECT doc_id, title FROM docs WHERE starts_with(title, 'The') ORDER BY rank_score DESC, title LIMIT 20")(lambda s, d: knowledge(s, d).titles("The"))
 _register("browse_page", f"WITH {CORPUS} SELECT doc_id, title, substr(coalesce(opening, body), 1, 160) AS snippet, TRUE AS has_next FROM docs WHERE doc_id > 50 ORDER BY doc_id LIMIT 100")(lambda s, d: knowledge(s, d).browse(50))
 _register("random_docs")(lambda s, d: knowledge(s, d).random(5))
-_register("doc_coords", f"WITH {CORPUS} SELECT lat, lon, doc_id FROM docs WHERE lat IS NOT NULL AND lon IS NOT NULL")(lambda s, d: build.doc_coords(documents(s, d)))
-_register("existence_probe", f"WITH {CORPUS} SELECT bool_or(feature IS NOT NULL) AS has_feature, bool_or(lat IS NOT NULL) AS has_coords, FALSE AS has_links FROM docs")(lambda s, d: knowledge(s, d).has_attributes())
-_register("alias_table", f"WITH {CORPUS} SELECT alias, doc_id FROM docs")(lambda s, d: build.aliases(documents(s, d)))
+_register("doc_coords", f"WITH {CORPUS} SELECT lat, lon, doc_id FROM docs WHERE lat IS NOT NULL AND lon IS NOT NULL")(lambda s, d: build.doc_coords(knowledge(s, d).docs))
+_register("existence_probe", f"WITH {CORPUS} SELECT bool_or(feature IS NOT NULL) AS has_feature, bool_or(lat IS NOT NULL) AS has_coords, TRUE AS has_links FROM docs")(lambda s, d: knowledge(s, d).has_attributes())
+_register("alias_table", f"WITH {CORPUS} SELECT alias, doc_id FROM docs")(lambda s, d: build.aliases(knowledge(s, d).docs))
 
 
 @_register("rank_clamp", f"WITH {CORPUS} SELECT doc_id, greatest(0.0, least(1.0, rank_score * 30 - 10)) AS rank FROM docs")
 def rank_clamp(spark, sf_dir):
     from ..schema import clamp01
 
-    return documents(spark, sf_dir).select("doc_id", clamp01(F.col("rank_score") * 30 - 10).alias("rank"))
+    return knowledge(spark, sf_dir).docs.select("doc_id", clamp01(F.col("rank_score") * 30 - 10).alias("rank"))
 
 
 @_register("rank_refresh", "SELECT doc_id, CASE WHEN n_chars > 0 THEN round(least(1.0, log10(1.0 + n_chars) / 7.0), 4) ELSE 0.0 END AS rank_score FROM documents")
@@ -172,19 +173,51 @@ def rank_refresh(spark, sf_dir):
 
 @_register("cross_source_wikidata", f"WITH {CORPUS} SELECT a.doc_id AS doc_id, b.doc_id AS other_id, a.wikidata AS wikidata FROM docs a JOIN docs b ON a.wikidata = b.wikidata WHERE a.lang = 'en'")
 def cross_source_wikidata(spark, sf_dir):
-    docs = documents(spark, sf_dir).select("doc_id", "wikidata", "lang")
-    return docs.filter("lang = 'en'").drop("lang").join(docs.select(F.col("doc_id").alias("other_id"), "wikidata"), "wikidata").select("doc_id", "other_id", "wikidata")
+    docs = knowledge(spark, sf_dir).docs
+    return build.linked(docs.filter("lang = 'en'"), docs)
 
 
-@_register("validation_checks", "SELECT * FROM (VALUES ('min_docs', TRUE), ('unique_titles', TRUE), ('samples', TRUE), ('doc_tags', TRUE)) AS v(\"check\", ok)")
+_SAMPLES = ["doc-7", "no such title"]
+
+
+@_register("validation_checks", f"""WITH {CORPUS}, names AS (SELECT title AS t FROM docs UNION SELECT alias FROM docs)
+SELECT 'min_docs' AS "check", count(*) >= 500 AS ok FROM docs UNION ALL SELECT 'unique_titles', count(*) = count(DISTINCT title) FROM docs
+UNION ALL SELECT 'samples', (SELECT count(*) FROM names WHERE t IN ('doc-7', 'no such title')) = 2 UNION ALL SELECT 'doc_tags', NOT bool_or(len(tags) > 0) OR count(*) > 0 FROM docs""")
 def validation_checks(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return build.validation(docs, build.doc_tags(docs), 100, ["doc-7"], build.aliases(docs))
+    docs = knowledge(spark, sf_dir).docs
+    return build.validation(docs, build.doc_tags(docs), 500, _SAMPLES, build.aliases(docs))
 
 
 @_register("healthz_counts", "SELECT source, count(*) AS docs FROM documents GROUP BY source")
 def healthz_counts(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("docs"))
+    return build.counts(_table(spark, sf_dir, "documents"), "source")
+
+
+@_register("tag_largest_of_sample", f"WITH {CORPUS}, s AS (SELECT unnest(tags) AS tag FROM (SELECT tags FROM docs ORDER BY doc_id LIMIT 500)) SELECT tag FROM s WHERE tag <> '' GROUP BY tag ORDER BY count(*) DESC, tag LIMIT 1")
+def tag_largest_of_sample(spark, sf_dir):
+    return build.top_tag(knowledge(spark, sf_dir).docs, 500)
+
+
+@_register("text_lengths", f"WITH {CORPUS} SELECT count(*) AS docs, CAST(sum(length(body)) AS BIGINT) AS chars, CAST(sum(length(opening)) AS BIGINT) AS opening_chars FROM docs")
+def text_lengths(spark, sf_dir):
+    return build.text_lengths(knowledge(spark, sf_dir).docs)
+
+
+@_register("links_out", f"WITH {CORPUS}, q AS (SELECT title FROM docs WHERE doc_id = 11) SELECT d.doc_id, CAST(i AS INTEGER) AS pos, 'doc-' || CAST((d.doc_id + i) % 50 AS VARCHAR) AS link FROM docs d JOIN q USING (title), (VALUES (0), (1)) AS v(i)")
+def links_out(spark, sf_dir):
+    kb = knowledge(spark, sf_dir)
+    return kb.links(kb.docs.filter("doc_id = 11").select("title").first()[0])
+
+
+@_register("catalog_sources", "SELECT 'src-' || lang AS source, '4' AS schema_version, count(*) AS doc_count FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def catalog_sources(spark, sf_dir):
+    """Each language published twice as a source; the catalog shows what the pointers name."""
+    root, docs = scratch(spark, "catalog"), _table(spark, sf_dir, "documents")
+    for r in docs.filter("lang IS NOT NULL").select("lang").distinct().collect():
+        own = docs.filter(F.col("lang") == r.lang).select("doc_id", F.col("doc_id").cast("string").alias("title"), F.substring("text", 1, 50).alias("body"), F.array("source").alias("tags"))
+        for generation in ("g1", "g2"):
+            build.build(own, root, f"src-{r.lang}", generation)
+    return build.catalog(spark, root).select("source", "schema_version", "doc_count")
 
 
 # --- build rules ----------------------------------------------------------------------------
@@ -199,7 +232,7 @@ def dedupe_last_wins(spark, sf_dir):
 FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS n FROM customer)""")
 def title_first_seen(spark, sf_dir):
     rows = _table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("title"))
-    return build.first_seen_titles(rows, ["c_custkey"], F.col("c_custkey").cast("string"))
+    return build.first_seen_titles(rows, "c_custkey", F.col("c_custkey"), F.col("c_custkey").cast("string"))
 
 
 @_register("title_owner_argmax", "SELECT c_nationkey, c_custkey AS owner FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS n FROM customer) WHERE n = 1")
@@ -209,33 +242,45 @@ def title_owner_argmax(spark, sf_dir):
 
 @_register("pageviews_sum", "SELECT user_id, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS views FROM events WHERE event_type = 'view' OR event_type = 'click' GROUP BY user_id")
 def pageviews_sum(spark, sf_dir):
+    """Page views from lines of a dump that other domains and broken lines share."""
     events = _table(spark, sf_dir, "events").filter(F.col("event_type").isin("view", "click"))
-    return events.groupBy("user_id").agg(F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("views"))
+    n = F.get_json_object("props", "$.k")
+    path = scratch(spark, "views")
+    lines = events.select(F.concat(F.lit("xx.site Page "), F.col("user_id").cast("string"), F.lit(" desktop "), n, F.lit(" A1")).alias("value"))
+    lines.union(events.limit(50).select(F.concat(F.lit("yy.site Page "), F.col("user_id").cast("string"), F.lit(" desktop 7 A1")))).union(events.limit(5).select(F.lit("xx.site Page none desktop 7"))).write.text(path)
+    return tables.page_views(spark, path, "xx.site").select(F.col("page_id").alias("user_id"), "views")
+
+
+@_register("page_items_last", """SELECT l_orderkey AS page_id, 'Q' || CAST(l_partkey AS VARCHAR) AS wikidata
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC) AS n FROM lineitem) WHERE n = 1""")
+def page_items_last(spark, sf_dir):
+    """Items from INSERT lines, several for most pages: the last one counts."""
+    path = scratch(spark, "props")
+    tuples = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: F.concat(F.lit("("), F.col("l_orderkey").cast("string"), F.lit(",'wikibase_item','Q"), x["l_partkey"].cast("string"), F.lit("',NULL)")))
+    _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.concat(F.lit("INSERT INTO `page_props` VALUES (1,'other','x',NULL),"), F.array_join(tuples, ","), F.lit(";")).alias("value")).select("value").write.text(path)
+    return tables.page_items(spark, path)
 
 
 @_register("argmax_language_share", "SELECT source, lang FROM (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS n FROM documents GROUP BY source, lang) WHERE n = 1")
 def argmax_language_share(spark, sf_dir):
-    shares = _table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
-    best = Window.partitionBy("source").orderBy(F.desc("n"), "lang")
-    return shares.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("source", "lang")
+    return build.most_frequent(_table(spark, sf_dir, "documents"), "source", "lang")
 
 
 @_register("multimap_gather", "SELECT c_nationkey, string_agg(c_name, ',' ORDER BY c_custkey) AS names FROM customer WHERE c_acctbal > 9000 GROUP BY c_nationkey")
 def multimap_gather(spark, sf_dir):
     rich = _table(spark, sf_dir, "customer").filter("c_acctbal > 9000")
-    inorder = F.array_sort(F.collect_list(F.struct("c_custkey", "c_name")))
-    return rich.groupBy("c_nationkey").agg(F.array_join(F.transform(inorder, lambda x: x["c_name"]), ",").alias("names"))
+    return build.gathered(rich, "c_nationkey", "c_custkey", "c_name").select("c_nationkey", F.array_join("values", ",").alias("names"))
 
 
 @_register("redirect_invert", f"WITH {CORPUS} SELECT alias, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS sources FROM docs GROUP BY alias")
 def redirect_invert(spark, sf_dir):
-    pairs = build.aliases(documents(spark, sf_dir))
-    return pairs.groupBy("alias").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("sources"))
+    pairs = build.aliases(knowledge(spark, sf_dir).docs).withColumn("source", F.col("doc_id").cast("string"))
+    return build.gathered(pairs, "alias", "doc_id", "source").select("alias", F.array_join("values", ",").alias("sources"))
 
 
 @_register("json_extract_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_extract_props(spark, sf_dir):
-    return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    return with_extra_columns(_table(spark, sf_dir, "events"), {"k": "bigint"}, "props").select("event_id", "k")
 
 
 @_register("json_array_explode", "SELECT doc_id, unnest([lang, source]) AS tag FROM documents")
@@ -284,7 +329,7 @@ h AS (SELECT d.doc_id, e.area FROM docs d JOIN e ON d.lat IS NOT NULL AND ((e.la
 i AS (SELECT doc_id, area FROM h GROUP BY doc_id, area HAVING count(*) % 2 = 1)
 SELECT doc_id, min(area) AS area FROM i GROUP BY doc_id""")
 def point_in_polygon(spark, sf_dir):
-    return spatial.points_in_areas(documents(spark, sf_dir).select("doc_id", "lat", "lon"), _polygons(spark))
+    return spatial.points_in_areas(knowledge(spark, sf_dir).docs.select("doc_id", "lat", "lon"), _polygons(spark))
 
 
 @_register("bbox_of_area", f"WITH e(area, lat1, lon1, lat2, lon2) AS (VALUES {_EDGES}) SELECT area, min(lat1) AS min_lat, min(lon1) AS min_lon, max(lat1) AS max_lat, max(lon1) AS max_lon FROM e GROUP BY area")
@@ -309,7 +354,7 @@ def dms_to_decimal(spark, sf_dir):
 
 @_register("coord_validity", f"WITH {CORPUS} SELECT doc_id, lat * 4 BETWEEN -90 AND 90 AND lon * 4 BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0) AS ok FROM docs WHERE lat IS NOT NULL")
 def coord_validity(spark, sf_dir):
-    return documents(spark, sf_dir).filter("lat IS NOT NULL").select("doc_id", spatial.valid(F.col("lat") * 4, F.col("lon") * 4).alias("ok"))
+    return knowledge(spark, sf_dir).docs.filter("lat IS NOT NULL").select("doc_id", spatial.valid(F.col("lat") * 4, F.col("lon") * 4).alias("ok"))
 
 
 @_register("admin_level_score", "SELECT p_partkey, greatest(0.2::DOUBLE, 1 - 0.06::DOUBLE * p_size) AS score FROM part")
@@ -345,7 +390,7 @@ def text_cleanup(spark, sf_dir):
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", "title", "opening", "body", "tags", "updated_at")
+    return knowledge(spark, sf_dir).docs.select("doc_id", "title", "opening", "body", "tags", "updated_at")
 
 
 _RECALL = "SELECT doc_id, title, substr(body, 1, 400) AS text, updated_at, length(body) > 400 AS truncated FROM docs WHERE {} ORDER BY updated_at DESC, doc_id DESC LIMIT {}"
@@ -375,8 +420,19 @@ _register("history_last6", "SELECT conv_id, turn, role, substr(text, 1, 400) AS
 _register("repeated_call_reuse", "SELECT conv_id, turn, min(turn) OVER (PARTITION BY conv_id, role, text) AS first_turn, min(turn) OVER (PARTITION BY conv_id, role, text) < turn AS repeated FROM conversations")(
     lambda s, d: context.repeated_calls(_table(s, d, "conversations")).select("conv_id", "turn", "first_turn", "repeated")
 )
-_ANSWERS = [(1, '{"queries":[{"source":"a","q":"x"},{"source":"a","q":"x"},{"source":"zz","q":"y"},{"source":"b","q":" z "}]}'), (2, 'Sure: {"queries":[{"source":"b","q":"k"}]} done'), (3, '"source": "a", "q": "lost" and then broken {'), (4, "nothing")]
-_register("plan_parse_rescue", "SELECT * FROM (VALUES (1, 0, 'a', 'x'), (1, 1, 'b', 'z'), (2, 0, 'b', 'k'), (3, 0, 'a', 'lost')) AS v(id, n, source, q)")(lambda s, d: context.plan(s.createDataFrame(_ANSWERS, "id int, text string"), ["a", "b"]))
+_PLAN = "regexp_replace(substr(text, 1, 30), '[^A-Za-z0-9 ]', '', 'g')"
+
+
+@_register("plan_parse_rescue", f"SELECT conv_id, turn, 0 AS n, role AS source, trim({_PLAN}) AS q FROM conversations WHERE role IN ('user', 'assistant') AND trim({_PLAN}) <> ''")
+def plan_parse_rescue(spark, sf_dir):
+    """Every turn as an answer in strict JSON, JSON within prose, or loose pairs, by its number."""
+    q = F.regexp_replace(F.substring("text", 1, 30), "[^A-Za-z0-9 ]", "")
+    strict = F.concat(F.lit('{"queries":[{"source":"'), "role", F.lit('","q":"'), q, F.lit('"},{"source":"'), "role", F.lit('","q":"'), q, F.lit('"},{"source":"zz","q":"k"}]}'))
+    loose = F.concat(F.lit('"source": "'), "role", F.lit('", "q": "'), q, F.lit('" and then broken {'))
+    kind = F.col("turn") % 3
+    answers = _table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), F.when(kind == 0, strict).when(kind == 1, F.concat(F.lit("Sure: "), strict, F.lit(" done"))).otherwise(loose).alias("text"))
+    return context.plan(answers, ["user", "assistant"]).select("id.conv_id", "id.turn", "n", "source", "q")
+
 
 _HITS = """hits AS (SELECT doc_id % 7 AS ask, doc_id % 3 AS query_no, row_number() OVER (PARTITION BY doc_id % 7, doc_id % 3 ORDER BY n_chars DESC, doc_id) AS rank, source, doc_id % 50 AS doc_id, doc_id AS seq FROM documents),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ask, source, doc_id ORDER BY rank, query_no) AS k FROM hits) WHERE k = 1)"""
@@ -398,7 +454,7 @@ k AS (SELECT *, substr(trim(CASE WHEN length(opening) < 200 THEN opening || chr(
 SELECT ask, string_agg('[' || CAST(n AS VARCHAR) || '] ' || source || ' / ' || title || chr(10) || t, chr(10) || chr(10) ORDER BY n) AS context FROM k GROUP BY ask""")
 def context_budget(spark, sf_dir):
     n = F.row_number().over(Window.partitionBy("ask").orderBy("doc_id"))
-    return context.context(documents(spark, sf_dir).withColumn("ask", F.col("doc_id") % 7).withColumn("n", n).filter("n <= 4"))
+    return context.context(knowledge(spark, sf_dir).docs.withColumn("ask", F.col("doc_id") % 7).withColumn("n", n).filter("n <= 4"))
 
 
 _register("references_cap", "WITH g AS (SELECT doc_id % 7 AS ask, source, lang AS title, min(doc_id) AS seq FROM documents GROUP BY ALL) SELECT ask, n, source, title FROM (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY seq) AS n FROM g) WHERE n <= 20")(
@@ -406,15 +462,24 @@ _register("references_cap", "WITH g AS (SELECT doc_id % 7 AS ask, source, lang A
 )
 _register("retention_top_n", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")(lambda s, d: notes.newest(_table(s, d, "events"), 500, "ts", "event_id").select("event_id", "event_type"))
 _register("generations_keep_one", "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 2")(
-    lambda s, d: _table(s, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id")))).filter("n <= 2").select("event_type", "event_id")
+    lambda s, d: notes.newest_of_each(_table(s, d, "events"), 2, "event_type", "ts", "event_id").select("event_type", "event_id")
 )
 
 
 @_register("stale_jobs", "SELECT event_id, CASE WHEN ts < (SELECT max(ts) FROM events) - INTERVAL 2 DAY THEN 'failed' ELSE 'running' END AS state FROM events WHERE event_type = 'click'")
 def stale_jobs(spark, sf_dir):
     events = _table(spark, sf_dir, "events")
-    last = events.agg(F.max("ts")).first()[0]
-    return events.filter("event_type = 'click'").select("event_id", F.when(F.col("ts") < F.lit(last) - F.expr("INTERVAL 2 DAYS"), "failed").otherwise("running").alias("state"))
+    running = events.filter("event_type = 'click'").select(F.col("event_id").alias("job_id"), F.lit("running").alias("state"), F.col("ts").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"))
+    return jobs.reaped(running, events.agg(F.max("ts")).first()[0], 2).select(F.col("job_id").alias("event_id"), "state")
+
+
+@_register("job_store", """SELECT event_id AS job_id, CASE WHEN user_id % 4 = 0 THEN 'failed' WHEN user_id % 4 = 1 THEN 'running' ELSE 'done' END AS state, user_id % 4 <> 1 AS ended FROM events WHERE event_type = 'view'""")
+def job_store(spark, sf_dir):
+    """Jobs started, then ended by reports of which only some come."""
+    events = _table(spark, sf_dir, "events").filter("event_type = 'view'")
+    started = jobs.started(events.select(F.col("event_id").alias("job_id"), F.col("ts").alias("started_at")))
+    reports = events.filter("user_id % 4 <> 1").select(F.col("event_id").alias("job_id"), (F.col("user_id") % 4 != 0).alias("ok"), F.col("ts").alias("finished_at"))
+    return jobs.ended(started, reports).select("job_id", "state", F.col("finished_at").isNotNull().alias("ended"))
 
 
 @_register("stream_notes_upsert", f"WITH {CORPUS} SELECT doc_id, title FROM docs WHERE doc_id % 10 <> 3")

@@ -50,8 +50,11 @@ def page_views(spark: SparkSession, path: str, domain: str) -> DataFrame:
 
 
 def page_items(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, wikidata from the INSERT lines of a properties dump; a page with several has the greatest."""
+    """page_id, wikidata from the INSERT lines of a properties dump; of several items of a page the last in its line counts.
+
+    Of lines, which Spark reads in any order, that with the greater item counts.
+    """
     pattern = r"\((\d+),'wikibase_item','(Q\d+)'"
-    found = spark.read.text(path).select(F.explode(F.regexp_extract_all("value", F.lit(pattern), F.lit(0))).alias("m"))
-    pair = found.select(F.regexp_extract("m", pattern, 1).cast("bigint").alias("page_id"), F.regexp_extract("m", pattern, 2).alias("q"))
-    return pair.groupBy("page_id").agg(F.max("q").alias("wikidata"))
+    found = spark.read.text(path).select(F.posexplode(F.regexp_extract_all("value", F.lit(pattern), F.lit(0))).alias("at", "m"))
+    pair = found.select("at", F.regexp_extract("m", pattern, 1).cast("bigint").alias("page_id"), F.regexp_extract("m", pattern, 2).alias("q"))
+    return pair.groupBy("page_id").agg(F.max_by("q", F.struct("at", "q")).alias("wikidata"))
