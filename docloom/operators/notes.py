@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..schema import BadRequest
-from .knowledge import clamp, split_list
+from ..schema import BadRequest, NotFound
+from .knowledge import clamp, parse_fields, split_list
 
 FIELDS = ("doc_id", "title", "text", "tags", "updated_at", "truncated")
 TITLE_CHARS, OPENING_CHARS, MOST = 60, 240, 100
@@ -40,21 +40,34 @@ def add(notes: DataFrame, batch: DataFrame, at: str | None = None) -> DataFrame:
     return notes.unionByName(new.select("doc_id", title.alias("title"), F.substring("text", 1, OPENING_CHARS).alias("opening"), F.col("text").alias("body"), "tags", F.lit(at or now()).alias("updated_at")))
 
 
-def update(notes: DataFrame, doc_id: int, text: str | None = None, title: str | None = None, tags: list[str] | None = None, at: str | None = None) -> DataFrame:
-    """Only what is given changes; tags are replaced as a whole."""
+def update(notes: DataFrame, doc_id: int, text: str | None = None, title: str | None = None, tags: str | list[str] | None = None, at: str | None = None) -> DataFrame:
+    """Only what is given changes, stripped; tags, a list or separated by commas, are replaced as a whole.
+
+    A title that another note has gets ` (id)`, as in add. NotFound without a note of this id.
+    """
     if text is None and title is None and tags is None or text is not None and not text.strip() or title is not None and not title.strip():
         raise BadRequest("nothing to change, or blank")
+    known(notes, doc_id)
     new = {"updated_at": F.lit(at or now())}
     if text is not None:
-        new |= {"body": F.lit(text), "opening": F.lit(text[:OPENING_CHARS])}
+        new |= {"body": F.lit(text.strip()), "opening": F.lit(text.strip()[:OPENING_CHARS])}
     if title is not None:
-        new["title"] = F.lit(title)
+        title = title.strip()
+        taken = not notes.filter((F.col("title") == title) & (F.col("doc_id") != doc_id)).limit(1).isEmpty()
+        new["title"] = F.lit(f"{title} ({doc_id})" if taken else title)
     if tags is not None:
-        new["tags"] = F.array(*[F.lit(t) for t in tags]).cast("array<string>")
+        new["tags"] = F.array(*[F.lit(t) for t in (split_list(tags) if isinstance(tags, str) else tags)]).cast("array<string>")
     return notes.select(*[F.when(F.col("doc_id") == doc_id, new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in notes.columns])
 
 
+def known(notes: DataFrame, doc_id: int) -> None:
+    if notes.filter(F.col("doc_id") == doc_id).limit(1).isEmpty():
+        raise NotFound(str(doc_id))
+
+
 def delete(notes: DataFrame, doc_id: int) -> DataFrame:
+    """NotFound without a note of this id."""
+    known(notes, doc_id)
     return notes.filter(F.col("doc_id") != doc_id)
 
 
@@ -65,8 +78,8 @@ def upsert(notes: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.unionByName(last.filter("NOT deleted").select(*notes.columns))
 
 
-def recall(notes: DataFrame, since: str | None = None, until: str | None = None, tags: str | None = None, q: str | None = None, limit: int = 20, offset: int = 0, max_chars: int = 400) -> DataFrame:
-    """Newest first. Times compare as text; all tags must be there; q matches full text, or, without a term of three characters, LIKE %q%."""
+def recall(notes: DataFrame, since: str | None = None, until: str | None = None, tags: str | None = None, q: str | None = None, limit: int = 20, offset: int = 0, max_chars: int = 400, fields: str | None = None) -> DataFrame:
+    """Newest first, all of FIELDS unless some are named. Times compare as text; all tags must be there; q matches full text, or, without a term of three characters, LIKE %q%."""
     conditions = []
     if since is not None:
         conditions.append(F.col("updated_at") >= since)
@@ -82,7 +95,8 @@ def recall(notes: DataFrame, since: str | None = None, until: str | None = None,
     rows = reduce(DataFrame.filter, conditions, notes).orderBy(F.desc("updated_at"), F.desc("doc_id")).offset(max(0, offset)).limit(clamp(limit, MOST))
     text = F.substring("body", 1, max_chars) if max_chars > 0 else F.col("body")
     cut = F.char_length("body") > max_chars if max_chars > 0 else F.lit(False)
-    return rows.select("doc_id", "title", text.alias("text"), "tags", "updated_at", cut.alias("truncated"))
+    shown = rows.select("doc_id", "title", text.alias("text"), "tags", "updated_at", cut.alias("truncated"))
+    return shown.select(*parse_fields(fields if fields and split_list(fields) else None, FIELDS, FIELDS))
 
 
 def newest_of_each(rows: DataFrame, n: int, group: str, *order: str) -> DataFrame:

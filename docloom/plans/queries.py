@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import build, context, gazetteer, jobs, notes, spatial
+from ..operators import build, context, gazetteer, jobs, mapfeatures, notes, spatial
 from ..operators.knowledge import pool_size
 from ..schema import normalized_popularity, with_extra_columns
 from ..sources import tables
@@ -29,6 +29,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What blank text is stripped of.
+_B = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
 # --- search ---------------------------------------------------------------------------------
 
 
@@ -362,6 +365,80 @@ def admin_level_score(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", spatial.admin_level_score(F.col("p_size")).alias("score"))
 
 
+# --- map data -------------------------------------------------------------------------------
+
+
+def _map_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as nodes, some with tags of all sorts."""
+    k = F.col("p_partkey")
+    sorts = [("place", "city"), ("place", "odd"), ("boundary", "administrative"), ("railway", "station"), ("railway", "rail"), ("shop", "books"), ("natural", "peak")]
+    kind = F.coalesce(*[F.when(k % 7 == i, F.create_map(F.lit(a), F.lit(b))) for i, (a, b) in enumerate(sorts)])
+    more = F.create_map(F.lit("name"), F.concat(F.lit("N"), (k % 50).cast("string")), F.lit("population"), F.concat((k * 1000).cast("string"), F.lit(" people")), F.lit("admin_level"), (k % 12).cast("string"))
+    return _table(spark, sf_dir, "part").select(k.cast("bigint").alias("id"), (F.col("p_retailprice") / 100).alias("lat"), (F.col("p_size") + 0.5).alias("lon"), F.map_concat(kind, more).alias("tags"), F.lit("2026").alias("updated_at"))
+
+
+def _map_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as ways over the parts of their lines."""
+    refs = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("bigint"))
+    return _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("bigint").alias("id")).agg(refs.alias("refs"))
+
+
+@_register("map_relation_centres", """WITH m AS (SELECT o_custkey AS id, o_orderkey AS way FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n <= 30),
+w AS (SELECT l_orderkey AS way, avg(p_retailprice / 100) AS lat, avg(p_size + 0.5) AS lon FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem) JOIN part ON p_partkey = l_partkey WHERE n <= 10 GROUP BY l_orderkey),
+c AS (SELECT id, avg(lat) AS lat, avg(lon) AS lon FROM m JOIN w USING (way) GROUP BY id)
+SELECT id, round(CASE WHEN id % 3 = 0 AND p_partkey IS NOT NULL THEN p_retailprice / 100 ELSE lat END + 1e-8, 4) AS lat, round(CASE WHEN id % 3 = 0 AND p_partkey IS NOT NULL THEN p_size + 0.5 ELSE lon END + 1e-8, 4) AS lon
+FROM c LEFT JOIN part ON p_partkey = id""")
+def map_relation_centres(spark, sf_dir):
+    """Customers as relations of their orders; a third of them have a label node."""
+    member = lambda t, ref, role: F.struct(F.lit(t).alias("type"), ref.cast("bigint").alias("ref"), F.lit(role).alias("role"))
+    outer = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: member("w", x, "outer"))
+    label = F.when(F.col("o_custkey") % 3 == 0, F.array(member("n", F.col("o_custkey"), "label"))).otherwise(F.array().cast("array<struct<type:string,ref:bigint,role:string>>"))
+    relations = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(outer.alias("w")).select(F.col("o_custkey").cast("bigint").alias("id"), F.concat("w", label).alias("members"))
+    found = mapfeatures.relation_centres(relations, _map_ways(spark, sf_dir), _map_nodes(spark, sf_dir))
+    return found.select("id", F.round(F.col("lat") + 1e-8, 4).alias("lat"), F.round(F.col("lon") + 1e-8, 4).alias("lon"))
+
+
+@_register("map_rank", """SELECT p_partkey AS id, key, round(greatest(CASE WHEN key = 'place' THEN CASE WHEN p_partkey % 7 = 0 THEN 0.85 ELSE 0.3 END
+  WHEN key = 'boundary' THEN greatest(0.2, 1 - 0.06 * CASE WHEN p_partkey % 12 = 0 THEN 11 ELSE p_partkey % 12 END) WHEN key = 'railway' THEN 0.6 WHEN key = 'shop' THEN 0.3 ELSE 0.4 END,
+  round(least(1.0, log10(1.0 + p_partkey * 1000) / 8.0), 4)), 4)::DOUBLE AS rank_score
+FROM (SELECT *, CASE p_partkey % 7 WHEN 0 THEN 'place' WHEN 1 THEN 'place' WHEN 2 THEN 'boundary' WHEN 3 THEN 'railway' WHEN 5 THEN 'shop' WHEN 6 THEN 'natural' END AS key FROM part) WHERE key IS NOT NULL""")
+def map_rank(spark, sf_dir):
+    found = _map_nodes(spark, sf_dir).withColumn("f", mapfeatures.feature(F.col("tags"))).filter("f IS NOT NULL")
+    return found.select("id", "f.key", mapfeatures.rank(F.col("f"), F.col("tags")).alias("rank_score"))
+
+
+def _map_borders(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rings as nodes, two open ways each and boundary relations."""
+    nodes, ways, relations = [], [], []
+    for a, (name, ring) in enumerate(_RINGS.items()):
+        first = 10_000_000 * (a + 1)
+        nodes += [(first + i, lat, lon) for i, (lat, lon) in enumerate(ring)]
+        ids, cut = [first + i % len(ring) for i in range(len(ring) + 1)], len(ring) // 2
+        ways += [(first, ids[: cut + 1]), (first + 1, ids[cut:])]
+        relations.append((first, [("w", first, "outer"), ("w", first + 1, ""), ("n", first, "label")], {"boundary": "administrative", "admin_level": "4", "name": name}))
+    make = spark.createDataFrame
+    return make(nodes, "id bigint, lat double, lon double"), make(ways, "id bigint, refs array<bigint>"), make(relations, "id bigint, members array<struct<type:string,ref:bigint,role:string>>, tags map<string,string>")
+
+
+@_register("map_documents", f"""WITH e(area, lat1, lon1, lat2, lon2) AS (VALUES {_EDGES}),
+p AS (SELECT p_partkey AS id, p_retailprice / 100 AS lat, p_size + 0.5 AS lon, 'N' || CAST(p_partkey % 50 AS VARCHAR) AS name,
+  CASE p_partkey % 7 WHEN 0 THEN 'place=city' WHEN 1 THEN 'place=odd' WHEN 2 THEN 'boundary=administrative' WHEN 3 THEN 'railway=station' WHEN 5 THEN 'shop=books' WHEN 6 THEN 'natural=peak' END AS feature FROM part),
+f AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS n FROM p WHERE feature IS NOT NULL),
+i AS (SELECT id, area FROM f JOIN e ON ((e.lat1 > f.lat) <> (e.lat2 > f.lat)) AND f.lon < (e.lon2 - e.lon1) * (f.lat - e.lat1) / (e.lat2 - e.lat1) + e.lon1 GROUP BY id, area HAVING count(*) % 2 = 1),
+a AS (SELECT id, min(area) AS area FROM i GROUP BY id)
+SELECT f.id * 4 AS doc_id, CASE WHEN n = 1 THEN name ELSE name || ' (node:' || CAST(f.id AS VARCHAR) || ')' END AS title, feature, area FROM f LEFT JOIN a USING (id)""")
+def map_documents(spark, sf_dir):
+    """Nodes as documents, with titles told apart and the boundary that holds them."""
+    nodes, ways, relations = _map_borders(spark)
+    empty = spark.createDataFrame([], "id bigint, refs array<bigint>, tags map<string,string>, updated_at string")
+    relations = relations.withColumns({"updated_at": F.lit(None).cast("string")})
+    own = _map_nodes(spark, sf_dir)
+    all_nodes = own.unionByName(nodes.withColumns({"tags": F.create_map().cast("map<string,string>"), "updated_at": F.lit(None).cast("string")}))
+    found = mapfeatures.features(all_nodes, empty.unionByName(ways, allowMissingColumns=True), relations)
+    docs = mapfeatures.documents(found.filter("kind = 'node'"))
+    return with_extra_columns(docs, {"feature": "string", "area": "string"}).select("doc_id", "title", "feature", "area")
+
+
 # --- pages ----------------------------------------------------------------------------------
 
 
@@ -450,13 +527,28 @@ _register("context_interleave", f"WITH {_HITS} SELECT ask, n, source, doc_id FRO
 
 
 @_register("context_budget", f"""WITH {CORPUS}, p AS (SELECT doc_id % 7 AS ask, row_number() OVER (PARTITION BY doc_id % 7 ORDER BY doc_id) AS n, source, title, opening, body FROM docs),
-k AS (SELECT *, substr(trim(CASE WHEN length(opening) < 200 THEN opening || chr(10) || body ELSE opening END), 1, 1000) AS t FROM p WHERE n <= 4)
+o AS (SELECT *, trim(opening, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS o, trim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS b FROM p WHERE n <= 4),
+k AS (SELECT * EXCLUDE (n), row_number() OVER (PARTITION BY ask ORDER BY n) AS n FROM (SELECT *, trim(substr(trim(CASE WHEN length(o) < 200 AND b <> '' THEN o || chr(10) || b ELSE o END, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1, 1000), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM o) WHERE t <> '')
 SELECT ask, string_agg('[' || CAST(n AS VARCHAR) || '] ' || source || ' / ' || title || chr(10) || t, chr(10) || chr(10) ORDER BY n) AS context FROM k GROUP BY ask""")
 def context_budget(spark, sf_dir):
     n = F.row_number().over(Window.partitionBy("ask").orderBy("doc_id"))
     return context.context(knowledge(spark, sf_dir).docs.withColumn("ask", F.col("doc_id") % 7).withColumn("n", n).filter("n <= 4"))
 
 
+_GATHER = [("corpus", "ther"), ("corpus", "ing")]
+
+
+@_register("gather_context", f"""WITH h AS (SELECT 0 AS query_no, row_number() OVER () AS rank, doc_id FROM ({_search_sql("ther", 5, 0, "TRUE", 300)})
+  UNION ALL SELECT 1, row_number() OVER (), doc_id FROM ({_search_sql("ing", 5, 0, "TRUE", 300)})),
+f AS (SELECT doc_id, row_number() OVER (ORDER BY min(rank * 10 + query_no)) AS n FROM h GROUP BY doc_id), {CORPUS},
+t AS (SELECT f.n, title, trim(substr(trim(CASE WHEN length(trim(opening, {_B})) < 200 AND trim(body, {_B}) <> '' THEN trim(opening, {_B}) || chr(10) || trim(body, {_B}) ELSE trim(opening, {_B}) END, {_B}), 1, 1000), {_B}) AS t
+  FROM f JOIN docs USING (doc_id) WHERE f.n <= 4)
+SELECT 1 AS ask, string_agg('[' || CAST(n AS VARCHAR) || '] corpus / ' || title || chr(10) || t, chr(10) || chr(10) ORDER BY n) AS context FROM t""")
+def gather_context(spark, sf_dir):
+    """Two planned queries, their hits interleaved, and the text that a model would be asked with."""
+    return context.gather(_GATHER, {"corpus": knowledge(spark, sf_dir)})
+
+
 _register("references_cap", "WITH g AS (SELECT doc_id % 7 AS ask, source, lang AS title, min(doc_id) AS seq FROM documents GROUP BY ALL) SELECT ask, n, source, title FROM (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY seq) AS n FROM g) WHERE n <= 20")(
     lambda s, d: context.references(_table(s, d, "documents").select((F.col("doc_id") % 7).alias("ask"), F.col("doc_id").alias("seq"), "source", F.col("lang").alias("title")))
 )

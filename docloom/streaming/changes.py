@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import notes
-
-
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docloom-")
-    return f"{base.rstrip('/')}/docloom/stream-{uuid.uuid4().hex}"
+from ..storage import file_system, scratch
 
 
 def upsert_stream(changes: DataFrame, path: str, checkpoint: str):
@@ -38,7 +30,7 @@ def watch(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def replay(spark: SparkSession, changes: DataFrame) -> DataFrame:
     """The table that a stream of these changes ends in, beginning with none."""
-    folder = _folder(spark)
+    folder = scratch(spark, "stream")
     changes.write.parquet(f"{folder}/in")
     spark.createDataFrame([], changes.drop("deleted").schema).write.parquet(f"{folder}/out/0")
     query = upsert_stream(watch(spark, f"{folder}/in", changes.schema), f"{folder}/out", f"{folder}/state")
@@ -50,5 +42,5 @@ def replay(spark: SparkSession, changes: DataFrame) -> DataFrame:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_SUCCESS"))
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    p, fs = file_system(spark, f"{path}/_SUCCESS")
+    return fs.exists(p)

@@ -5,8 +5,8 @@ import pytest
 
 from docloom import registry
 from docloom.functions import text as T
-from docloom.operators import build, context, notes, spatial
-from docloom.operators.knowledge import KnowledgeBase, parse_bbox, parse_fields
+from docloom.operators import build, context, mapfeatures, notes, spatial
+from docloom.operators.knowledge import KnowledgeBase, parse_bbox, parse_fields, pool_size
 from docloom.schema import BadRequest, NotFound
 from docloom.sources import html
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ ROWS = [
 @pytest.fixture(scope="module")
 def kb(spark):
     docs = spark.createDataFrame(ROWS, SCHEMA)
-    return KnowledgeBase(docs, build.aliases(docs), build.doc_tags(docs))
+    return KnowledgeBase(docs, build.aliases(docs), build.doc_tags(docs), trigrams=build.trigram_index(docs))
 
 
 def titles(df):
@@ -59,14 +59,35 @@ def test_documents_filters_tags_links(kb):
 
 
 def test_rank_is_clamped(spark, kb):
-    high = KnowledgeBase(kb.docs.withColumn("rank_score", F.lit(3e7)))
-    one = KnowledgeBase(kb.docs.withColumn("rank_score", F.lit(1.0)))
+    high = KnowledgeBase(kb.docs.withColumn("rank_score", F.lit(3e7)), trigrams=kb.trigrams)
+    one = KnowledgeBase(kb.docs.withColumn("rank_score", F.lit(1.0)), trigrams=kb.trigrams)
     assert [r.score for r in high.search("capital").collect()] == [r.score for r in one.search("capital").collect()]
 
 
-def test_overlapping_occurrences_and_terms(spark):
-    row = spark.range(1).select(T.occurrences(F.lit("aaaaa"), "aaa").alias("n"), T.occurrences(F.lit("a.c abc"), "a.c").alias("m")).first()
-    assert (row.n, row.m) == (3, 1) and T.match_terms("ab c　Defg") == ["defg"] and T.match_terms("ab") is None
+def test_occurrences_from_places(spark):
+    """Against counting with overlaps, for terms of three characters and more."""
+    import random
+
+    rnd = random.Random(4)
+    rows = [(i, "".join(rnd.choice("ab.") for _ in range(rnd.randrange(12))), "".join(rnd.choice("aab.A") for _ in range(rnd.randrange(80)))) for i in range(40)] + [(40, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, title string, body string")
+    kb = KnowledgeBase(docs, trigrams=build.trigram_index(docs))
+    n = lambda text, t: sum((text or "").lower().startswith(t, i) for i in range(len(text or "")))
+    for terms in (["aab"], ["aaaa", "a.a"], ["baaba"], ["ab"]):
+        got = {r.doc_id: r[2:] for r in kb._counted(terms).collect()} if terms != ["ab"] else {}
+        for i, title, body in rows:
+            want = tuple(5.0 * n(title, t) + n(body, t) for t in terms) if terms != ["ab"] else ()
+            assert got.get(i, (0.0,) * len(want)) == want
+    assert T.match_terms("ab c　Defg") == ["defg"] and T.match_terms("ab") is None
+
+
+def test_pool_and_missing_attributes(spark, kb):
+    assert [pool_size(0, 10), pool_size(0, 100), pool_size(5000, 10)] == [300, 500, 5010]
+    bare = KnowledgeBase(kb.docs.withColumn("feature", F.lit(None).cast("string")))
+    assert tuple(bare.has_attributes().first()) == (False, True, True)
+    with pytest.raises(BadRequest):
+        bare.require(feature="a=b")
+    bare.require(bbox="1,1,2,2")
 
 
 def test_build_publishes_and_keeps_one_generation_more(spark, kb, tmp_path):
@@ -86,8 +107,38 @@ def test_notes(spark):
     assert notes.recall(rows, until="2026-07-31").count() == 0 and notes.recall(rows, tags="a,b").first().doc_id == 1
     assert [r.truncated for r in notes.recall(rows, limit=-5).collect()] == [True] and notes.recall(rows, max_chars=0, tags="a").count() == 2
     assert notes.recall(notes.update(rows, 1, tags=[]), tags="b").count() == 0 and notes.delete(rows, 1).count() == 1
+    assert sorted(titles(notes.update(rows, 1, title=" first (2) "))) == ["first (2)", "first (2) (1)"]
+    changed = notes.recall(notes.update(rows, 1, text="  new \n", tags="x, y"), tags="x").first()
+    assert (changed.text, changed.tags) == ("new", ["x", "y"]) and notes.recall(rows, fields="title,doc_id").columns == ["title", "doc_id"]
     with pytest.raises(BadRequest):
         notes.update(rows, 1)
+    with pytest.raises(BadRequest):
+        notes.recall(rows, fields="nope")
+    for change in (lambda: notes.update(rows, 99, text="x"), lambda: notes.delete(rows, 99)):
+        with pytest.raises(NotFound):
+            change()
+
+
+def test_context_of_a_running_budget(spark):
+    rows = [(1, 1, "s", "A", " " * 30, "  \n"), (1, 2, "s", "B", "b" * 300, "x"), (1, 3, "s", "C", "short", "body of c"), (1, 4, "s", "D", "d" * 50 + " " * 60, "y")]
+    picked = spark.createDataFrame(rows, "ask int, n int, source string, title string, opening string, body string")
+    told = context.context(picked, max_chars=220, docs=2).first().context.split("\n\n")
+    assert told == ["[1] s / B\n" + "b" * 110, "[2] s / C\nshort\nbody of c", "[3] s / D\n" + "d" * 50 + "\ny"]
+    assert context.fallback_queries("what, is the-mountain?", ["a", "b"]) == [("a", "mountain"), ("b", "mountain")]
+
+
+def test_map_features_become_documents(spark):
+    text = "map<string,string>"
+    nodes = spark.createDataFrame([(1, 0.0, 0.0, {}, None), (2, 0.0, 2.0, {}, None), (3, 2.0, 2.0, {}, None), (4, 2.0, 0.0, {}, None), (5, 1.0, 1.0, {"name": "Inn", "shop": "books", "name:en": "The Inn; Inn", "phone": "1", "addr:city": "X"}, "2026"), (6, 9.0, 9.0, {"name": "Inn", "place": "town", "population": "10,000"}, None), (7, 1.0, 1.0, {"shop": "x"}, None)], f"id bigint, lat double, lon double, tags {text}, updated_at string")
+    ways = spark.createDataFrame([(1, [1, 2, 3], {}, None), (2, [3, 4, 1, 99], {"name": "Path", "tourism": "trail"}, None)], f"id bigint, refs array<bigint>, tags {text}, updated_at string")
+    border = {"name": "Land", "boundary": "administrative", "admin_level": "4", "wikipedia": "xx:Land"}
+    relations = spark.createDataFrame([(1, [("w", 1, "outer"), ("w", 2, ""), ("n", 5, "admin_centre")], border, None)], f"id bigint, members array<struct<type:string,ref:bigint,role:string>>, tags {text}, updated_at string")
+    docs = {r.doc_id: r for r in mapfeatures.documents(mapfeatures.features(nodes, ways, relations)).collect()}
+    assert sorted(docs) == [6, 9, 20, 24]
+    inn, other, path, land = docs[20], docs[24], docs[9], docs[6]
+    assert (inn.title, inn.aliases, inn.rank_score, inn.updated_at) == ("Inn", ["The Inn"], 0.3, "2026") and '"area":"Land"' in inn.extra and "phone: 1" in inn.body
+    assert (other.title, other.aliases, other.rank_score) == ("Inn (node:6)", ["Inn"], 0.7) and path.tags == ["tourism=trail"]
+    assert (land.links, land.rank_score, land.tags) == (["Land"], 0.76, ["boundary=administrative", "admin_level=4"]) and '"lat":1.0' in land.extra
 
 
 def test_context_fragment_and_html(spark):
