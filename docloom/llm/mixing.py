@@ -1,12 +1,14 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, in DataFrame expressions only.
 
 Every document gets an exponential key -ln(u) / quality, u being drawn from a digest of its
-id, so a rerun takes the same. A source whose target is q times its size and a remainder
+id, or of its text without an id, so a rerun takes the same. A source whose target is q times its size and a remainder
 takes q whole epochs; the remainder is filled with its documents in ascending key order,
 each taken whole, until their summed sizes reach the budget.
 
-A hot source is never sorted in one task: its documents fall into buckets of the key, the
-buckets' sizes are summed first, and only the bucket in which the budget ends is ordered.
+A hot source is never sorted in one task: its documents fall into buckets of the key, as many
+as keep BUCKET_ROWS rows in one, the buckets' sizes are summed first, and only the bucket in
+which the budget ends is ordered. What is decided about sources and about those buckets is
+written as small tables, whose size is known when the documents are joined to them.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from .common import staged
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Times its own size that a source's target may reach.
 MOST_EPOCHS = 3
-BUCKETS = 4096
+#: Rows of a bucket of keys, and the least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 10_000, 4096
 
 
 def n_words(text: Column) -> Column:
@@ -35,9 +38,9 @@ def quality(text: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.25), F.round(1.0 - odd / n, 2)), F.lit(0.25))
 
 
-def uniform(doc_id: Column) -> Column:
-    """A number inside (0, 1) from the digest of the id; 48 bits, the same in any engine."""
-    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
+def uniform(doc_id: Column, text: Column) -> Column:
+    """A number inside (0, 1) from the digest of the id, of the text where it is null; 48 bits, the same in any engine."""
+    digest = F.md5(F.coalesce(doc_id.cast("string"), text, F.lit("")))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
 
 
@@ -68,10 +71,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
 
 
 def _keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
-    key = -F.log(uniform(F.col("doc_id"))) / quality(F.col("text"))
-    keyed = docs.select(*keep, n_words(F.col("text")).cast("bigint").alias("size"), key.alias("_key"))
-    # exp(-key) is near uniform, so buckets of it are near equal
-    return keyed.withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key"))) * BUCKETS).cast("int"))
+    key = -F.log(uniform(F.col("doc_id"), F.col("text"))) / quality(F.col("text"))
+    return docs.select(*keep, n_words(F.col("text")).cast("bigint").alias("size"), key.alias("_key"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, keep: Sequence[str] = ("doc_id", "source")) -> DataFrame:
@@ -80,13 +81,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     A null text has size 0; documents of size 0 take nothing, sources of size 0 have target
     0. Rows with equal ids get equal keys and are ordered by size; rows equal in both are
     taken alike. Columns beyond keep are unused, and those of keep named as a result are
-    replaced. Only the documents on which a budget ends are shuffled with the columns kept.
+    replaced. Texts are read twice and not shuffled while the table of sources is small
+    enough to be broadcast.
     """
     results = ("size", "source_size", "target", "taken")
     keep = [c for c in keep if c not in results]
     slim = ["doc_id", "source"]
     rows = staged(_keyed(docs, slim), "mix")
-    judged = rows if set(keep) <= {*slim} else _keyed(docs, [*dict.fromkeys([*keep, *slim])])
+    # exp(-key) is near uniform, so buckets of it are near equal
+    n_buckets = max(LEAST_BUCKETS, rows.count() // BUCKET_ROWS)
+    bucket = F.floor((1 - F.exp(-F.col("_key"))) * n_buckets)
+    rows = rows.withColumn("_bucket", bucket)
+    judged = rows if set(keep) <= {*slim} else _keyed(docs, [*dict.fromkeys([*keep, *slim])]).withColumn("_bucket", bucket)
     buckets = rows.groupBy("source", F.col("_bucket").alias("bucket")).agg(F.sum("size").alias("filled"))
     plan = targets(buckets.groupBy("source").agg(F.sum("filled").alias("source_size")), weights, most)
     # Whole epochs first, then the rest of the target from the buckets in order.
@@ -103,13 +109,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
             F.min(F.when(F.col("_ends"), F.col("bucket"))).alias("_last"), F.min(F.when(F.col("_ends"), F.col("before"))).alias("_before"),
         )
     )
-    judged = judged.join(ends, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    whole = judged.filter(F.col("_last").isNull() | (F.col("_bucket") != F.col("_last"))).withColumn("_more", (F.col("_bucket") < F.coalesce("_last", F.lit(0))).cast("int"))
+    ends = staged(ends, "ends")
     final = Window.partitionBy("source").orderBy("_key", "doc_id", "size")
-    cut = judged.filter(F.col("_bucket") == F.col("_last")).withColumn("_sum", F.col("_before") + F.sum("size").over(final))
+    cut = rows.join(ends, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_last"))).withColumn("_sum", F.col("_before") + F.sum("size").over(final))
     # The document on which the budget ends is taken if that comes nearer to the target.
-    cut = cut.withColumn("_more", (F.col("_sum") - F.col("size") / 2 <= F.col("_budget")).cast("int")).drop("_sum")
-    return whole.unionByName(cut).select(*keep, "size", "source_size", "target", (F.col("size") * (F.col("_epochs") + F.col("_more"))).cast("bigint").alias("taken"))
+    cut = cut.filter(F.col("_sum") - F.col("size") / 2 <= F.col("_budget")).select(F.col("_s").alias("_cut"), F.col("_key").alias("_k"), F.col("doc_id").alias("_d"), F.col("size").alias("_n")).distinct()
+    cut = staged(cut.withColumn("_in", F.lit(1)), "cut")
+    told = judged.join(ends, F.col("source").eqNullSafe(F.col("_s"))).join(
+        cut, (F.col("_bucket") == F.col("_last")) & F.col("_s").eqNullSafe(F.col("_cut")) & (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("size") == F.col("_n")), "left"
+    )
+    more = F.when(F.col("_bucket") < F.col("_last"), 1).otherwise(F.coalesce("_in", F.lit(0)))
+    return told.select(*keep, "size", "source_size", "target", (F.col("size") * (F.col("_epochs") + more)).cast("bigint").alias("taken"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +133,7 @@ WITH d AS (
   SELECT doc_id, source,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
     greatest(0.25, round(1.0 - CAST(length(text) - length(translate(text, '0123456789!"#$%&()*+/:;<=>@[\]^_`{|}~', '')) AS DOUBLE) / greatest(length(text), 1), 2)) AS q,
-    (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u
+    (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u
   FROM documents),
 k AS (SELECT *, -ln(CAST(u AS DOUBLE)) / CAST(coalesce(q, 0.25) AS DOUBLE) AS key FROM d),
 s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM k GROUP BY source),
