@@ -1,9 +1,11 @@
 """Document fingerprints by winnowing, in DataFrame expressions only.
 
-A text's words are hashed, k consecutive ones form a rolling gram hash, and of each
-window of w grams the smallest hash is kept, the rightmost one on ties, with its word
-position. Two texts that share k + w - 1 consecutive words share a fingerprint. A text
-of fewer than k words is one gram; null and empty texts have no fingerprint.
+A text's words are hashed once each. The hash of k consecutive words is a cyclic polynomial,
+the xor of their hashes rotated by their place, so it rolls: the hash of two neighbouring
+runs follows from theirs by one rotation, and k-gram hashes are put together by doubling. Of
+each window of w grams the smallest hash is kept, the rightmost one on ties, with its word
+position. Two texts that share k + w - 1 consecutive words share a fingerprint. A text of
+fewer than k words is one gram; null and empty texts have no fingerprint.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from .common import shuffle_partitions, words
 
 #: Words of a gram, and grams of a window: shared runs of 12 words are always found.
 K, W = 5, 8
-_POSITION_BITS = 24
+#: Windows compare this many low bits of position after the hash's leading bits: a text has under 2^31 characters.
+_POSITION_BITS = 30
 _LAST = (1 << _POSITION_BITS) - 1
 
 
@@ -24,24 +27,32 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _gram(word: Column, i: Column, k: int) -> Column:
-    return F.xxhash64(*[F.get(word, i + j) for j in range(k)])
+def _rotated(x: Column, by: int) -> Column:
+    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
 
 
-def winnow(text: Column, k: int = K, w: int = W) -> Column:
-    """The kept grams as an ascending array of bigint: 40 bits of hash, then the reversed position.
+def _joined(values: Column, ahead: Column, by: int, shift: int) -> Column:
+    """Of each place the value there, rotated by shift, with what stands `by` places ahead."""
+    n = F.greatest(F.size(ahead) - by, F.lit(0))
+    return F.zip_with(F.slice(values, 1, n), F.slice(ahead, by + 1, n), lambda a, b: _rotated(a, shift).bitwiseXOR(b))
 
-    The reversed position in the low bits makes the least value of a window the
-    rightmost of its least hashes.
-    """
-    place = lambda i: F.lit(_LAST) - F.least(i, F.lit(_LAST)).cast("bigint")
-    packed = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 64 - 39), _POSITION_BITS).bitwiseOR(place(i))
 
-    def grams(word: Column) -> Column:
-        last = F.size(word) - k
-        return F.when(F.size(word) == 0, F.array().cast("array<bigint>")).otherwise(
-            F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: packed(_gram(word, i, k), i))
-        )
+def rolled(hashed: Column, k: int) -> Column:
+    """The cyclic polynomial of each k consecutive hashes; needs at least k of them."""
+
+    def more(whole: Column, width: int) -> Column:
+        if width * 2 <= k:
+            return _let(_joined(whole, whole, width, width), lambda x: more(x, width * 2))
+        return whole if width == k else _joined(whole, rolled(hashed, k - width), width, k - width)
+
+    return more(hashed, 1)
+
+
+def winnow(text: Column, k: int = K, w: int = W) -> Column:
+    """The kept grams in text order: (h, p), a hash of 64 bits and the position of its first word."""
+    place = lambda i: F.lit(_LAST) - i.cast("bigint")
+    # The reversed position in the low bits makes the least value of a window the rightmost of its least hashes.
+    packed = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, _POSITION_BITS + 1), _POSITION_BITS).bitwiseOR(place(i))
 
     def minima(gram: Column) -> Column:
         # Of each window the minimum, by doubling: minima of 2, 4, ... grams; short texts are one window.
@@ -52,30 +63,30 @@ def winnow(text: Column, k: int = K, w: int = W) -> Column:
                 lambda a, b: F.least(a, b),
             )
 
-        out, width = gram, 1
+        out, width = F.transform(gram, packed), 1
         while width * 2 <= w:
             out, width = _let(out, halve(width)), width * 2
         if width < w:
             out = _let(out, halve(w - width))
-        return F.when(F.size(gram) == 0, gram).when(F.size(gram) <= w, F.array(F.array_min(gram))).otherwise(
-            F.array_distinct(out)
-        )
+        kept = F.when(F.size(gram) == 0, F.array().cast("array<bigint>")).when(F.size(gram) <= w, F.array(F.array_min(F.transform(gram, packed)))).otherwise(F.array_distinct(out))
+        at = lambda x: (F.lit(_LAST) - x.bitwiseAND(F.lit(_LAST))).cast("int")
+        return F.transform(kept, lambda x: F.struct(F.get(gram, at(x)).alias("h"), at(x).alias("p")))
+
+    def grams(word: Column) -> Column:
+        hashed = F.transform(word, lambda x: F.xxhash64(x))
+        short = F.when(F.size(word) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.array_join(word, " "))))
+        return F.when(F.size(word) < k, short).otherwise(_let(hashed, lambda h: rolled(h, k)))
 
     return _let(words(text), lambda word: _let(grams(word), minima))
 
 
 def hashes(kept: Column) -> Column:
-    return F.array_distinct(F.transform(kept, lambda x: F.shiftright(x, _POSITION_BITS)))
+    return F.array_distinct(F.transform(kept, lambda x: x["h"]))
 
 
 def shown(kept: Column) -> Column:
     """A fingerprint as text: hash:position pairs in text order, in hexadecimal and decimal."""
-    ordered = F.array_sort(
-        F.transform(kept, lambda x: F.struct((F.lit(_LAST) - x.bitwiseAND(F.lit(_LAST))).alias("p"), x.alias("x")))
-    )
-    return F.array_join(
-        F.transform(ordered, lambda s: F.concat(F.hex(F.shiftright(s["x"], _POSITION_BITS)), F.lit(":"), s["p"].cast("string"))), " "
-    )
+    return F.array_join(F.transform(kept, lambda x: F.concat(F.hex(x["h"]), F.lit(":"), x["p"].cast("string"))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -100,7 +111,9 @@ def with_next(docs: DataFrame, columns: list[str], next_prefix: str = "next_") -
     bounds = sorted({*(found["q"] or []), *([] if found["top"] is None else [found["top"]])})
     cuts = F.array(*[F.lit(b).cast("bigint") for b in bounds]) if bounds else F.array().cast("array<bigint>")
     # Range b holds the ids above bound b - 1, up to bound b itself.
-    at = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(cuts, lambda c: c < F.col("doc_id"))))
+    # How many bounds lie below the id, by halving.
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))]) if bounds else F.array().cast("array<int>")
+    at = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(cuts, n + step - 1) < F.col("doc_id"), n + step).otherwise(n))
     goes = F.when(
         F.array_contains(cuts, F.col("doc_id")),
         F.array(
@@ -120,7 +133,10 @@ def with_next(docs: DataFrame, columns: list[str], next_prefix: str = "next_") -
 
 
 def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """Columns of docs and `kept`, the winnowed grams; docs needs a column text. No shuffle."""
+    """Columns of docs and `kept`, the winnowed grams; docs needs a column text, and a column kept is replaced. No shuffle.
+
+    Any text has a result: long ones keep all positions, rows that repeat are treated alike.
+    """
     return docs.withColumn("kept", winnow(F.col("text"), k, w))
 
 
@@ -140,7 +156,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = (
         ahead.withColumn("n_chars", n.cast("bigint"))
         .withColumn("edited", edited)
-        .select("doc_id", "n_chars", "kept", F.coalesce("next_kept", F.array()).alias("next_kept"), F.sha2("edited", 256).alias("edited_sha256"), winnow(F.col("edited")).alias("edited_kept"))
+        .select("doc_id", "n_chars", "kept", F.coalesce("next_kept", F.array().cast("array<struct<h:bigint,p:int>>")).alias("next_kept"), F.sha2("edited", 256).alias("edited_sha256"), winnow(F.col("edited")).alias("edited_kept"))
     )
     own = hashes(F.col("kept"))
     return both.select(

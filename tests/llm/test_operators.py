@@ -55,8 +55,49 @@ def test_fingerprints_guarantee_and_likeness(spark):
     assert sum(r.near_edited for r in out) > sum(r.near_next for r in out)
 
 
+def _rot(x, by):
+    return ((x << by) | (x >> (64 - by))) & (2**64 - 1)
+
+
+@pytest.mark.parametrize("k, w", [(5, 8), (1, 1), (3, 5), (4, 4), (7, 6)])
+def test_fingerprints_against_brute_force(spark, k, w):
+    """Every window by hand: least hash, rightmost of equals, and its position."""
+    rnd = random.Random(k)
+    texts = [" ".join(rnd.choice("ab") for _ in range(n)) for n in (0, 1, 2, 4, 5, 6, 12, 13, 40, 200)] + ["\t one  two\nthree "]
+    names = sorted({x for t in texts for x in words(t)})
+    code = {r.x: r.h % 2**64 for r in spark.createDataFrame([(x,) for x in names], "x string").select("x", F.xxhash64("x").alias("h")).collect()}
+    got = fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), SCHEMA), k, w).collect()
+    whole = {r.doc_id: r.h % 2**64 for r in spark.createDataFrame([(i, " ".join(words(t))) for i, t in enumerate(texts)], SCHEMA).select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    for r in got:
+        ws = words(texts[r.doc_id])
+        if len(ws) < k:
+            grams = [whole[r.doc_id]] if ws else []
+        else:
+            grams = []
+            for i in range(len(ws) - k + 1):
+                g = 0
+                for x in ws[i : i + k]:
+                    g = _rot(g, 1) ^ code[x]
+                grams.append(g)
+        want = []
+        for i in range(max(1, len(grams) - w + 1) if grams else 0):
+            at = min(range(i, min(i + w, len(grams))), key=lambda j: (grams[j] >> 31, -j))
+            if (grams[at], at) not in want:
+                want.append((grams[at], at))
+        assert [(x.h % 2**64, x.p) for x in r.kept] == want
+
+
+def test_fingerprints_of_one_row_and_equal_ids(spark, tmp_path):
+    path = f"file://{tmp_path}"
+    spark.createDataFrame([(3, "a b c d e f"), (3, "x y z"), (None, None), (1, "q")], SCHEMA).write.parquet(f"{path}/documents.parquet")
+    out = fingerprints.op1_fingerprints(spark, path).collect()
+    assert len(out) == 4 and sum(r.n_chars for r in out) == 17 and all(0 <= r.near_next <= 1 for r in out)
+    ahead = fingerprints.with_next(spark.createDataFrame([(7, "alone")], SCHEMA), ["text"]).collect()
+    assert [(r.doc_id, r.next_text) for r in ahead] == [(7, "alone")]
+
+
 def test_fingerprints_of_odd_rows(spark):
-    got = fingerprints.fingerprints(odd(spark).drop("kept")).collect()
+    got = fingerprints.fingerprints(odd(spark)).collect()
     assert len(got) == len(ODD) and all(len(r.kept) == 0 for r in got if not words(r.text))
     assert fingerprints.fingerprints(none(spark)).collect() == []
 
