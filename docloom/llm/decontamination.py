@@ -6,7 +6,9 @@ those of the benchmark. A run of matches on one diagonal (position in the docume
 position in the item) is one occurrence; its slots must be consistent: a value of the item
 stands for one value of the document and the other way round. Windows whose slots break that
 don't count. An occurrence of MIN_WINDOWS windows, 13 words, contaminates the document, and
-so does one of all windows of a shorter item.
+so does one of all windows of a shorter item. An item of fewer than WINDOW tokens is one
+window of its own length; what has under MIN_LITERAL literal tokens says nothing and is not
+looked for.
 """
 
 from __future__ import annotations
@@ -67,6 +69,10 @@ def _windows(text: Column, window: int) -> Column:
     return _let(_marked(text), of)
 
 
+def n_tokens(text: Column) -> Column:
+    return _let(_marked(text), lambda m: F.when(m == "", 0).otherwise(F.size(F.split(m, " "))))
+
+
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """items (item_id, text) -> h, item_id, at, item_slots, n_windows. Items of under `window` tokens have none."""
     out = items.select("item_id", F.posexplode(_windows(F.col("text"), window)).alias("at", "w"))
@@ -82,12 +88,18 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     values. Null and empty texts hold nothing, rows that repeat an id are judged together,
     and rows of null id are left out. Columns besides the id and text are unused.
     """
-    wanted = staged(benchmark_windows(items.select("item_id", "text").filter("item_id IS NOT NULL"), window), "templates")
-    if wanted.count() <= MAX_BROADCAST:
-        wanted = F.broadcast(wanted)
-    own = docs.filter("doc_id IS NOT NULL").select("doc_id", F.posexplode(_windows(F.col("text"), window)).alias("pos", "w"))
-    hits = own.select("doc_id", "pos", F.col("w.h").alias("h"), F.col("w.s").alias("doc_slots")).join(wanted, "h")
-    hits = hits.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("diagonal"), "at", "n_windows", "doc_slots", "item_slots")
+    items = staged(items.select("item_id", "text", n_tokens(F.col("text")).alias("n")).filter("item_id IS NOT NULL"), "items")
+    short = [r.n for r in items.filter(F.col("n").between(MIN_LITERAL, window - 1)).select("n").distinct().collect()]
+    hits = None
+    for size in [*sorted(short), window]:
+        own = items.filter(F.col("n") >= window if size == window else F.col("n") == size)
+        wanted = staged(benchmark_windows(own, size), "templates")
+        if wanted.count() <= MAX_BROADCAST:
+            wanted = F.broadcast(wanted)
+        found = docs.filter("doc_id IS NOT NULL").select("doc_id", F.posexplode(_windows(F.col("text"), size)).alias("pos", "w"))
+        found = found.select("doc_id", "pos", F.col("w.h").alias("h"), F.col("w.s").alias("doc_slots")).join(wanted, "h")
+        found = found.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("diagonal"), "at", "n_windows", "doc_slots", "item_slots")
+        hits = found if hits is None else hits.unionByName(found)
     occurrence = ["doc_id", "item_id", "diagonal"]
     # Few rows are left here. Slots are matched where there are any.
     hits = staged(hits, "hits")

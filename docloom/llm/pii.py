@@ -3,10 +3,13 @@
 Values that validate (card numbers by prefix, length and check digit, phone numbers, dotted
 addresses, calendar dates, social security numbers) are permuted by a keyed Feistel network
 inside their own format: a card number becomes another valid card number with its first
-digit kept, a date another date of the same 400 years, separators stay where they are.
-Being a permutation, it keeps equal values equal and different ones different, across all
-documents; unpermute-style inversion needs only the key. Mail addresses and long hexadecimal
-secrets, which have no such domain, get keyed digests of the same shape.
+digit kept, a social security number another valid one, a date another date of the same 400
+years, separators stay where they are. Being a permutation, it keeps equal values equal and
+different ones different, across all documents; inverting it needs only the key. Phone
+numbers are linked by country code and digits, however they are written; a number of ten
+digits without a code counts as one of +1. Mail addresses and secrets (long hexadecimal
+strings and access keys by their prefix), which have no such domain, get keyed digests of
+the same shape, of 128 bits where the shape has room.
 
 A text is split at its matches and joined again around their pseudonyms, so no value is
 ever looked up in a table, and nothing is shuffled.
@@ -18,8 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: The key of the queries; a production run passes its own.
-KEY = "docloom-pseudonyms"
+#: Where the queries and the pipeline find the key, which a run must set for itself.
+KEY_SETTING = "spark.docloom.pseudonym.key"
 
 _MAIL = r"[\p{L}\p{N}_][\p{L}\p{N}._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 _ADDRESS = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
@@ -30,7 +33,8 @@ _PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\
 _CARD = "|".join(
     rf"(?={prefix}){prefix[0]}(?:[ -]?\d){{{n - 1}}}" for prefix, lengths in (("4", (19, 16)), ("5[ -]?[1-5]", (16,)), ("2[ -]?[2-7]", (16,)), ("3[ -]?5", (19, 18, 17, 16)), ("3[ -]?[47]", (15,)), ("3[ -]?[068]", (14,)), ("6[ -]?[045]", (19, 18, 17, 16))) for n in lengths
 )
-_SECRET = r"[0-9a-f]{32,}|[0-9A-F]{32,}"
+_TOKEN = r"AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9]{36,}"
+_SECRET = rf"[0-9a-f]{{32,}}|[0-9A-F]{{32,}}|{_TOKEN}"
 #: A value stands alone: no letter, digit or joining mark beside it.
 PATTERN = (
     rf"(?<![\p{{L}}\p{{N}}_%+-])(?:{_MAIL})"
@@ -39,7 +43,7 @@ PATTERN = (
     rf"|(?<![\p{{L}}\p{{N}}_+-])(?<!\d\.)(?:{_CARD}|4(?:[ -]?\d){{12}})(?![\p{{L}}\p{{N}}_]|\.\d)"
 )
 #: What any match holds; texts without it are passed through unsearched.
-_HINT = r"@|\d[ .-]?\d|[0-9a-fA-F]{32}"
+_HINT = r"@|\d[ .-]?\d|[0-9a-fA-F]{32}|AKIA|sk-|gh[pousr]_"
 
 
 def _draw(key: str, tweak: Column, i: Column, half: Column) -> Column:
@@ -166,16 +170,38 @@ def _address(m: Column, key: str) -> Column:
 
 
 def _mail(m: Column, key: str) -> Column:
-    """A name of ten letters from a keyed digest, under a domain that cannot exist."""
+    """A name of 32 letters from a keyed digest, 128 bits, under a domain that cannot exist."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("mail"), F.lower(m)), 256)
-    return F.concat(F.translate(F.substring(digest, 1, 10), "0123456789", "ghijklmnop"), F.lit("@mail.invalid"))
+    return F.concat(F.translate(F.substring(digest, 1, 32), "0123456789", "ghijklmnop"), F.lit("@mail.invalid"))
 
 
 def _secret(m: Column, key: str) -> Column:
     digest = lambda i: F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), F.lower(m), i.cast("string")), 256)
     text = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(m) / 64).cast("int")), digest), "")
     text = F.substring(text, F.lit(1), F.length(m))
-    return F.when(m.rlike("[A-F]"), F.upper(text)).otherwise(text)
+    prefix = F.regexp_extract(m, r"^(AKIA|sk-|gh[pousr]_)", 1)
+    rest = F.when(m.rlike("[A-F]") & ~m.rlike("[a-z]"), F.upper(text)).otherwise(text)
+    return F.concat(prefix, F.substring(rest, F.length(prefix) + 1, F.length(m)))
+
+
+#: Valid social security numbers: areas 001 to 899 but 666, groups 01 to 99, serials 0001 to 9999.
+_AREAS, _GROUPS, _SERIALS = 898, 99, 9999
+
+
+def _social(d: Column, key: str) -> Column:
+    """Nine digits of another valid number."""
+    part = lambda a, n: F.substring(d, a, n).cast("bigint")
+    area = part(1, 3) - F.when(part(1, 3) > 666, 2).otherwise(1)
+    value = (area * _GROUPS + part(4, 2) - 1) * _SERIALS + part(6, 4) - 1
+    moved = permute(value, F.lit(_AREAS).cast("bigint"), F.lit(_GROUPS * _SERIALS).cast("bigint"), key, F.lit("social"))
+
+    def written(v: Column) -> Column:
+        serial, rest = F.pmod(v, F.lit(_SERIALS)), F.floor(v / _SERIALS).cast("bigint")
+        group, place = F.pmod(rest, F.lit(_GROUPS)), F.floor(rest / _GROUPS).cast("bigint")
+        pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+        return F.concat(pad(place + F.when(place >= 665, 2).otherwise(1), 3), pad(group + 1, 2), pad(serial + 1, 4))
+
+    return _let(moved, written)
 
 
 def kind_of(m: Column) -> Column:
@@ -184,7 +210,7 @@ def kind_of(m: Column) -> Column:
     whole = lambda p: m.rlike(rf"^(?:{p})$")
     return (
         F.when(m.contains("@"), F.lit("mail"))
-        .when(whole(_SECRET) & m.rlike("[A-Fa-f]"), F.lit("secret"))
+        .when(whole(_TOKEN) | whole(_SECRET) & m.rlike("[A-Fa-f]"), F.lit("secret"))
         .when(whole(_DATE), F.when(F.year(_date_of(m)).between(1800, 2199), F.lit("date")))
         .when(whole(_ADDRESS), F.when(F.array_max(F.transform(F.split(m, r"\."), lambda x: x.cast("int"))) <= 255, F.lit("address")))
         .when(whole(_SOCIAL), F.when(~m.rlike(r"^(000|666|9..)|-00-|-0000$"), F.lit("social")))
@@ -193,15 +219,17 @@ def kind_of(m: Column) -> Column:
     )
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one matched value; what doesn't validate is returned as it is."""
     digits = F.regexp_replace(m, r"\D", "")
 
     def phone(d: Column) -> Column:
-        # The country code stays: up to the first separator, or one digit.
-        code = F.when(m.startswith("+"), F.length(F.regexp_extract(m, r"^\+(\d{1,3})[ .(-]", 1))).otherwise(0)
+        # The country code stays: up to the first separator, or the 1 before ten digits.
+        told = F.when(m.startswith("+"), F.length(F.regexp_extract(m, r"^\+(\d{1,3})[ .(-]", 1))).otherwise(0)
+        code = F.when((told == 0) & m.startswith("+") & d.rlike(r"^1\d{10}$"), 1).otherwise(told)
         rest = F.substring(d, code + 1, F.length(d))
-        return _refill(m, F.concat(F.substring(d, F.lit(1), code), permute_digits(rest, key, F.concat(F.lit("phone"), F.substring(d, F.lit(1), code)))))
+        country = F.when((code == 0) & (F.length(d) == 10), F.lit("1")).otherwise(F.substring(d, F.lit(1), code))
+        return _refill(m, F.concat(F.substring(d, F.lit(1), code), permute_digits(rest, key, F.concat(F.lit("phone"), country))))
 
     return _let(
         kind_of(m),
@@ -209,17 +237,28 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
         .when(kind == "secret", _secret(m, key))
         .when(kind == "date", _date(m, key))
         .when(kind == "address", _address(m, key))
-        .when(kind == "social", _refill(m, permute_digits(digits, key, F.lit("social"))))
+        .when(kind == "social", _refill(m, _let(digits, lambda d: _social(d, key))))
         .when(kind == "phone", _let(digits, phone))
         .when(kind == "card", _let(_card_part(m), lambda c: F.concat(_refill(c, _let(F.regexp_replace(c, r"\D", ""), lambda d: _card(d, key))), F.substring(m, F.length(c) + 1, F.length(m)))))
         .otherwise(m),
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
+def configured_key(spark: SparkSession) -> str:
+    """The key of KEY_SETTING; a local session without one gets a key that protects nothing, for tests."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if key:
+        return key
+    if not spark.conf.get("spark.docloom.pseudonym.required", "false") == "true":
+        return "for tests only"
+    raise ValueError(f"set {KEY_SETTING}")
+
+
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with `text` rewritten and n_values, how many values were replaced; a column n_values is replaced.
 
     A null text stays null with 0 values; texts without personal values stay as they are.
+    Texts of any length are searched whole, and rows that repeat change alike.
     """
     hit = F.col(text).rlike(_HINT) & F.col(text).rlike(PATTERN)
     found = F.when(hit, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
@@ -238,4 +277,4 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with pseudonyms in place of personal values."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymise(docs).select("doc_id", "text", "n_values")
+    return pseudonymise(docs, configured_key(spark)).select("doc_id", "text", "n_values")

@@ -2,8 +2,10 @@
 
 Headers alone (page_id, digest, length) are shuffled by payload digest; the record with the
 largest page_id among equal payloads of at least MIN_BYTES is the response, and the others
-revisit it. Records are composed as text and written by Spark's own text writer, so tasks
-that are lost and run again leave no half archives. The payload is never shuffled.
+revisit it. The resolved revisits, one small row each, then meet their pages by page_id, so
+no payload is ever moved to the place of its digest; while they are few enough to be
+broadcast no payload is moved at all. Records are composed as text and written by Spark's
+own text writer, so tasks that are lost and run again leave no half archives.
 
 Reading takes each archive file as one binary value and follows Content-Length, so a payload
 may hold anything, WARC headers included. Revisits are then joined to their responses.
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import fresh_path, staged
 
 MIN_BYTES = 1000
-#: Records of one archive file: they bound a reading task's memory.
-RECORDS_PER_FILE = 1000
+#: Records and bytes of one archive file, which a reading task holds whole. A larger record has a file for itself.
+RECORDS_PER_FILE, FILE_BYTES = 1000, 128 << 20
 _END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _READ = "page_id bigint, url string, record_type string, refers_to bigint, record_digest string, record_bytes bigint"
@@ -59,15 +61,19 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date
         F.col("page_id").cast("bigint").alias("page_id"), "url", html.alias("html"),
         F.sha1(html.cast("binary")).alias("payload_digest"), F.octet_length(html).cast("bigint").alias("payload_bytes"),
     )
-    # The table of repeated payloads is written first: its size is then known to the join.
-    originals = staged(resolve_revisits(headed.drop("html", "url"), min_bytes), "originals")
-    joined = headed.join(originals, ["payload_digest", "payload_bytes"], "left")
-    revisit = F.coalesce(F.col("original_id") > F.col("page_id"), F.lit(False))
+    slim = headed.drop("html", "url")
+    found = slim.join(resolve_revisits(slim, min_bytes), ["payload_digest", "payload_bytes"]).filter("original_id > page_id")
+    # Written first: the size is then known to the join.
+    revisits = staged(found.select("page_id", "payload_digest", "original_id").distinct(), "revisits")
+    joined = headed.join(revisits, ["page_id", "payload_digest"], "left")
+    revisit = F.col("original_id").isNotNull()
     body = F.when(revisit, F.lit("")).otherwise(F.col("html"))
+    # A row without a page_id, or that repeats one, is a record of its own all the same.
+    record_id = F.coalesce(F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">")), F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")))
     record = F.concat(
         F.lit("WARC/1.1\r\n"),
         F.when(revisit, F.lit("WARC-Type: revisit\r\n")).otherwise(F.lit("WARC-Type: response\r\n")),
-        _field("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">"))),
+        F.concat(F.lit("WARC-Record-ID: "), record_id, F.lit("\r\n")),
         _field("WARC-Target-URI", F.col("url")),
         F.lit(f"WARC-Date: {date}\r\n"),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
@@ -76,7 +82,13 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit(_END)),
         body,
     )
-    joined.select(record.alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    # Records of like size share files, so that their number bounds a file's bytes: usual ones, and by doublings larger ones.
+    usual, longest = FILE_BYTES // RECORDS_PER_FILE, headed.agg(F.max("payload_bytes")).first()[0] or 0
+    least, most = -1, usual
+    while least < longest or least < 0:
+        some = joined.filter((F.col("payload_bytes") > least) & (F.col("payload_bytes") <= most))
+        some.select(record.alias("value")).write.mode("append").option("lineSep", _END).option("maxRecordsPerFile", max(1, FILE_BYTES // most)).text(path)
+        least, most = most, most * 8
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
@@ -93,7 +105,7 @@ def parse(data: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
 
 
 def _page(value: bytes | None) -> int | None:
-    return int(value.removeprefix(b"<urn:page:").removesuffix(b">")) if value else None
+    return int(value.removeprefix(b"<urn:page:").removesuffix(b">")) if value and value.startswith(b"<urn:page:") else None
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
