@@ -23,18 +23,22 @@ from .common import rolling, shuffle_partitions
 #: Bytes of text of one chunk, and of entries (8 bytes each) of one part.
 CHUNK_BYTES = 8 << 20
 PART_BYTES = 8 << 20
+#: Rows of a chunk, and bytes of text of the chunks or parts that one shuffle partition holds.
+CHUNK_ROWS, PLACE_BYTES = 100_000, 64 << 20
 
 
 @dataclass(frozen=True)
 class Layout:
     chunks: int
     parts: int
+    places: int
 
 
-def layout(docs: DataFrame) -> Layout:
-    """Chunks and parts for docs by the bytes of their texts."""
-    total = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-    return Layout(max(1, -(-total // CHUNK_BYTES)), max(2 * shuffle_partitions(docs.sparkSession), -(-total // PART_BYTES)))
+def layout(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES) -> Layout:
+    """Chunks, parts and shuffle partitions for docs by the bytes of their texts."""
+    found = docs.agg(F.sum(F.octet_length("text").cast("bigint")), F.count("*")).first()
+    total, few = found[0] or 0, shuffle_partitions(docs.sparkSession)
+    return Layout(max(1, -(-total // chunk_bytes), -(-found[1] // CHUNK_ROWS)), max(2 * few, -(-total // part_bytes)), max(few, -(-total // PLACE_BYTES)))
 
 
 def dealt(docs: DataFrame, chunks: int, *keep: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pack, unpack
-from .exchange import dealt, flat, grams_of, layout, slices, split_texts, word_hashes
+from .exchange import CHUNK_BYTES, PART_BYTES, dealt, flat, grams_of, layout, slices, split_texts, word_hashes
 
 #: Words of a window.
 N = 13
@@ -45,7 +45,7 @@ def _chunk(table: pa.Table, n: int) -> tuple[list[list[bytes]], np.ndarray, np.n
     return lists, ends, grams, starts, ids[rows] if len(rows) else np.zeros(0, np.int64)
 
 
-def remove_repeats(docs: DataFrame, n: int = N, text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, n: int = N, text: bool = True, chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_removed, spans, kept_sha256 and, with text, kept.
 
     spans are the removed ranges of words, as [from, to). kept has the remaining words joined
@@ -53,7 +53,7 @@ def remove_repeats(docs: DataFrame, n: int = N, text: bool = True) -> DataFrame:
     an id don't remove each other's windows; rows without an id neither give nor lose any.
     Columns besides doc_id and text are unused.
     """
-    plan = layout(docs)
+    plan = layout(docs, chunk_bytes, part_bytes)
     rows = dealt(docs.select("doc_id", "text"), plan.chunks)
     parts = plan.parts
 
@@ -119,10 +119,13 @@ def remove_repeats(docs: DataFrame, n: int = N, text: bool = True) -> DataFrame:
         columns = {"doc_id": table.column("doc_id"), "n_words": pa.array(ends - begins), "n_removed": pa.array(removed.astype(np.int64)), "spans": pa.array(spans, schema.field("spans").type), "kept_sha256": pa.array(digests, pa.string())}
         return pa.table(columns | ({"kept": pa.array(kept, pa.string())} if text else {}), schema=schema)
 
-    sent = rows.groupBy("chunk").applyInArrow(windows, "part bigint, chunk bigint, grams binary, ids binary")
-    told = sent.groupBy("part").applyInArrow(answers, "chunk bigint, grams binary, ids binary")
+    def by(df: DataFrame, column: str):
+        return df.repartition(plan.places, column).groupBy(column)
+
+    sent = by(rows, "chunk").applyInArrow(windows, "part bigint, chunk bigint, grams binary, ids binary")
+    told = by(sent, "part").applyInArrow(answers, "chunk bigint, grams binary, ids binary")
     out = "doc_id bigint, n_words bigint, n_removed bigint, spans array<array<bigint>>, kept_sha256 string" + ", kept string" * text
-    return rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(cut, out)
+    return by(rows, "chunk").cogroup(by(told, "chunk")).applyInArrow(cut, out)
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

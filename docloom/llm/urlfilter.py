@@ -13,7 +13,9 @@ the stored string confirms each hit, so a collision of digests never decides.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -54,7 +56,8 @@ def write_index(rules: Iterable[tuple[str, str]], folder: str) -> str:
     lengths = np.array(sorted({len(r.partition("/")[1] + r.partition("/")[2]) for r in unique}), np.int64)
     path = os.path.join(folder, f"urlrules-{uuid.uuid4().hex}.bin")
     with open(path, "wb") as out:
-        out.write(_MAGIC + np.array([len(names), len(lengths)], np.int64).tobytes())
+        depth = max((r.partition("/")[0].count(".") + 1 for r in unique), default=0)
+        out.write(_MAGIC + np.array([len(names), len(lengths), depth], np.int64).tobytes())
         out.write(keys[order].tobytes() + ends.tobytes() + lengths.tobytes())
         out.write(np.array([_ALLOW if v == "allow" else _BLOCK for v in verdicts], np.uint8).tobytes())
         out.write(b"".join(names))
@@ -68,8 +71,8 @@ class RuleIndex:
         data = np.memmap(path, np.uint8, "r")
         if bytes(data[:8]) != _MAGIC:
             raise ValueError(f"{path} is no index of url rules")
-        n, m = (int(x) for x in data[8:24].view(np.int64))
-        at = 24
+        n, m, self.depth = (int(x) for x in data[8:32].view(np.int64))
+        at = 32
 
         def take(count: int, dtype) -> np.ndarray:
             nonlocal at
@@ -90,7 +93,7 @@ class RuleIndex:
         for row, (host, path) in enumerate(zip(hosts, paths)):
             labels = host.split(".")
             starts = [path[:n] for n in self.lengths if n <= len(path)]
-            for i in range(len(labels)):
+            for i in range(max(0, len(labels) - self.depth), len(labels)):  # no rule's host has more labels
                 suffix = ".".join(labels[i:])
                 candidates += [(suffix + s).encode() for s in starts]
                 owners += [row] * len(starts)
@@ -122,7 +125,9 @@ def judge(urls: DataFrame, rules: Iterable[tuple[str, str]], default: str = "all
     without :// have an empty host and path, which no rule fits. Repeated rows stay.
     """
     spark = urls.sparkSession
-    index = write_index(rules, tempfile.mkdtemp(prefix="docloom-"))
+    folder = tempfile.mkdtemp(prefix="docloom-")  # of the driver, which ships the file to the executors
+    atexit.register(shutil.rmtree, folder, True)
+    index = write_index(rules, folder)
     spark.sparkContext.addFile(index)
     name = os.path.basename(index)
     rest = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]

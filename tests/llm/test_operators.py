@@ -589,6 +589,58 @@ def test_substrings_of_odd_rows_and_spans(spark):
     assert substrings.remove_repeats(none(spark)).collect() == []
 
 
+def test_substrings_in_many_chunks_against_brute_force(spark):
+    """Many chunks and parts give what windows by hand give."""
+    rnd = random.Random(12)
+    passages = [[f"p{k}w{i}" for i in range(30)] for k in range(6)]
+    rows = []
+    for i in range(60):
+        ws = [f"d{i}w{j}" for j in range(rnd.randrange(0, 40))]
+        if rnd.random() < 0.6:
+            p = rnd.choice(passages)
+            a = rnd.randrange(0, 15)
+            ws[rnd.randrange(len(ws) + 1) : 0] = p[a : a + rnd.randrange(10, 30)]
+        rows.append((i, " ".join(ws)))
+    rows += [(None, " ".join(passages[0])), (70, None), (71, ""), (5, rows[5][1])]
+    first = {}
+    for i, t in rows:
+        ws = words(t)
+        for s in range(len(ws) - 12) if i is not None else ():
+            g = tuple(ws[s : s + 13])
+            first[g] = min(first.get(g, i), i)
+    got = substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA), chunk_bytes=2000, part_bytes=1500).collect()
+    want = []
+    for i, t in rows:
+        ws = words(t)
+        gone = {s + k for s in range(len(ws) - 12) if i is not None and first[tuple(ws[s : s + 13])] < i for k in range(13)}
+        want.append((i, len(ws), len(gone), " ".join(w for j, w in enumerate(ws) if j not in gone)))
+    key = lambda x: (x[0] is None, x[0] or 0)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_url_rules_of_odd_rows(spark):
+    schema = "page_id bigint, url string"
+    urls = spark.createDataFrame([(1, "http://" + "a." * 3000 + "net/" + "p" * 5000), (1, "http://" + "a." * 3000 + "net/" + "p" * 5000), (None, None), (2, "")], schema).withColumns({c: F.lit("x") for c in ("host", "path", "rule", "verdict")})
+    out = urlfilter.judge(urls, urlfilter.RULES).collect()
+    assert sorted((r.rule or "", r.verdict) for r in out) == [("", "allow"), ("", "allow"), ("net/", "block"), ("net/", "block")]
+    assert urlfilter.judge(spark.createDataFrame([], schema), urlfilter.RULES).collect() == []
+    assert {r.verdict for r in urlfilter.judge(urls, []).collect()} == {"allow"}
+
+
+def test_pipeline_of_odd_rows_and_empty_tables(spark, tmp_path):
+    """Nulls, blanks, repeats and a very long text pass all stages; empty tables give an empty mix."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars int"
+    rows = [(i, t, "en", None if (i or 0) % 2 else "s", len(t or "")) for i, t in ODD]
+    labels, items = "doc_id bigint, quality int, toxic int", "item_id bigint, text string"
+    for name, docs in (("odd", rows), ("none", [])):
+        path = f"file://{tmp_path}/{name}"
+        spark.createDataFrame(docs, schema).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (5, 0, 1)] if docs else [], labels).write.parquet(f"{path}/labels.parquet")
+        spark.createDataFrame([(1, "two three four five six"), (2, None)] if docs else [], items).write.parquet(f"{path}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, path).collect()
+        assert all(r.taken > 0 for r in got) and {r.doc_id for r in got} <= {4, 5, None, 7} and bool(got) == bool(docs)
+
+
 def test_pipeline_is_its_stages(spark):
     """Each stage against its own parts on its own input."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
