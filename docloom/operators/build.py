@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import CITY, PAGEVIEWS, normalized_popularity
+from ..schema import CITY, PAGEVIEWS, UnknownSource, normalized_popularity
 from ..storage import file_system, read_text, replace_text
 from .knowledge import KnowledgeBase
 
@@ -179,6 +179,41 @@ def opened(spark: SparkSession, path: str) -> KnowledgeBase:
     return KnowledgeBase(table("docs"), aliases=table("aliases"), doc_tags=table("doc_tags"), tag_counts=table("tag_counts"), trigrams=table("trigrams"))
 
 
+def source(spark: SparkSession, root: str, name: str) -> KnowledgeBase:
+    """A published source for retrieval; UnknownSource, with the names there are, where it or its columns are missing."""
+    names = {r.source: r.path for r in catalog(spark, root).collect()}
+    if name not in names:
+        raise UnknownSource(f"{name}; there are {', '.join(sorted(names)) or 'none'}")
+    kb = opened(spark, names[name])
+    if missing := {"doc_id", "title", "body"} - set(kb.docs.columns):
+        raise UnknownSource(f"{name} lacks {', '.join(sorted(missing))}")
+    return kb
+
+
+def hints(spark: SparkSession, root: str, sample: int = 500) -> DataFrame:
+    """The catalog with what a source can be asked: has_feature, has_coords, has_links and a frequent tag. One short job a source and hint."""
+    rows = []
+    for r in catalog(spark, root).collect():
+        kb = opened(spark, r.path)
+        docs = with_missing(kb.docs)
+        has = KnowledgeBase(docs).has_attributes().first()
+        tag = top_tag(docs, sample).first()
+        rows.append((r.source, r.dump_date, r.doc_count, *has, tag and tag[0]))
+    return spark.createDataFrame(rows, "source string, dump_date string, doc_count bigint, has_feature boolean, has_coords boolean, has_links boolean, tag string")
+
+
+def with_missing(docs: DataFrame) -> DataFrame:
+    """docs with null columns for what its source doesn't give."""
+    usual = {"feature": "string", "lat": "double", "lon": "double", "links": "array<string>", "tags": "array<string>"}
+    return docs.withColumns({c: F.lit(None).cast(t) for c, t in usual.items() if c not in docs.columns})
+
+
+def grouped_catalog(sources: DataFrame) -> DataFrame:
+    """The catalog by the part of a source's name before the first _: kind, sources, docs, newest."""
+    kind = F.split_part("source", F.lit("_"), F.lit(1))
+    return sources.groupBy(kind.alias("kind")).agg(F.count("*").alias("sources"), F.sum("doc_count").alias("docs"), F.max("dump_date").alias("newest"))
+
+
 def publish(spark: SparkSession, base: str, path: str) -> None:
     """Replaces the pointer file base/CURRENT in one step, then drops finished generations but this one and the one before."""
     before = current(spark, base)

@@ -212,15 +212,31 @@ def links_out(spark, sf_dir):
     return kb.links(kb.docs.filter("doc_id = 11").select("title").first()[0])
 
 
-@_register("catalog_sources", "SELECT 'src-' || lang AS source, '4' AS schema_version, count(*) AS doc_count FROM documents WHERE lang IS NOT NULL GROUP BY lang")
-def catalog_sources(spark, sf_dir):
-    """Each language published twice as a source; the catalog shows what the pointers name."""
-    root, docs = scratch(spark, "catalog"), _table(spark, sf_dir, "documents")
-    for r in docs.filter("lang IS NOT NULL").select("lang").distinct().collect():
-        own = docs.filter(F.col("lang") == r.lang).select("doc_id", F.col("doc_id").cast("string").alias("title"), F.substring("text", 1, 50).alias("body"), F.array("source").alias("tags"))
-        for generation in ("g1", "g2"):
-            build.build(own, root, f"src-{r.lang}", generation)
-    return build.catalog(spark, root).select("source", "schema_version", "doc_count")
+_CATALOGS: dict = {}
+
+
+def _published(spark: SparkSession, sf_dir: str) -> str:
+    """Each language published as a source, English twice: the catalog shows what the pointers name."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CATALOGS:
+        root, docs = scratch(spark, "catalog"), _table(spark, sf_dir, "documents").filter("lang IS NOT NULL")
+        for r in docs.select("lang").distinct().collect():
+            own = docs.filter(F.col("lang") == r.lang).select("doc_id", F.col("doc_id").cast("string").alias("title"), F.substring("text", 1, 50).alias("body"), F.array("lang").alias("tags"))
+            for generation in ("g1", "g2") if r.lang == "en" else ("g1",):
+                build.build(own, root, f"src_{r.lang}", generation)
+        _CATALOGS[key] = root
+    return _CATALOGS[key]
+
+
+_register("catalog_sources", "SELECT 'src_' || lang AS source, '4' AS schema_version, CASE WHEN lang = 'en' THEN 'g2' ELSE 'g1' END AS dump_date, count(*) AS doc_count FROM documents WHERE lang IS NOT NULL GROUP BY lang")(
+    lambda s, d: build.catalog(s, _published(s, d)).select("source", "schema_version", "dump_date", "doc_count")
+)
+_register("catalog_hints", "SELECT 'src_' || lang AS source, count(*) AS doc_count, FALSE AS has_feature, FALSE AS has_coords, FALSE AS has_links, lang AS tag FROM documents WHERE lang IS NOT NULL GROUP BY lang")(
+    lambda s, d: build.hints(s, _published(s, d)).drop("dump_date")
+)
+_register("catalog_grouped", "SELECT 'src' AS kind, count(DISTINCT lang) AS sources, CAST(count(*) AS BIGINT) AS docs, CASE WHEN bool_or(lang = 'en') THEN 'g2' ELSE 'g1' END AS newest FROM documents WHERE lang IS NOT NULL")(
+    lambda s, d: build.grouped_catalog(build.catalog(s, _published(s, d)))
+)
 
 
 # --- build rules ----------------------------------------------------------------------------

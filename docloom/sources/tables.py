@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import itertools
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +18,27 @@ PLACE = (
 )
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of the text file in each zip archive that is named like the archive, some thousand at a time."""
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+            name = path.rsplit("/", 1)[1].removesuffix(".zip") + ".txt"
+            with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive, archive.open(name) as member:
+                text = io.TextIOWrapper(member, "utf-8", newline="\n")
+                while lines := list(itertools.islice(text, 5000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([x.rstrip("\r\n") for x in lines], pa.string())], names=["value"])
+
+
 def _tabbed(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Tab-separated lines without quotes; lines that begin with # are comments, fields out of form are null."""
-    return spark.read.csv(path, schema=schema, sep="\t", quote="", comment="#", mode="PERMISSIVE")
+    """Tab-separated lines without quotes; lines that begin with # are comments, fields out of form are null.
+
+    Of a path that ends in .zip each archive is one task, which reads its text without
+    unpacking it to a disk; plain files are split.
+    """
+    if not path.endswith(".zip"):
+        return spark.read.csv(path, schema=schema, sep="\t", quote="", comment="#", mode="PERMISSIVE")
+    lines = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_members, "value string").filter("value <> '' AND NOT startswith(value, '#')")
+    return lines.select(F.from_csv("value", schema, {"sep": "\t", "quote": "", "mode": "PERMISSIVE"}).alias("r")).select("r.*")
 
 
 def places(spark: SparkSession, path: str) -> DataFrame:

@@ -65,11 +65,31 @@ def _degrees(parts: Column, hemisphere: Column) -> Column:
     return F.when(sound, F.when(hemisphere.isin("S", "W"), -size).otherwise(size))
 
 
+#: Names of parameters that hold coordinates: degrees, minutes, seconds and direction of latitude, then of longitude; fixed values.
+NAMED = (
+    (("緯度度", "緯度分", "緯度秒", "南北"), ("経度度", "経度分", "経度秒", "東西")),
+    (("本社緯度度", "本社緯度分", "本社緯度秒", "本社N(北緯)及びS(南緯)"), ("本社経度度", "本社経度分", "本社経度秒", "本社E(東経)及びW(西経)")),
+    (("本店緯度度", "本店緯度分", "本店緯度秒", "本店N(北緯)及びS(南緯)"), ("本店経度度", "本店経度分", "本店経度秒", "本店E(東経)及びW(西経)")),
+    (("latd", "latm", "lats", "latNS"), ("longd", "longm", "longs", "longEW")),
+    (("lat_deg", "lat_min", "lat_sec", "lat_dir"), ("lon_deg", "lon_min", "lon_sec", "lon_dir")),
+)
+DECIMAL = (("緯度", "経度"), ("latitude", "longitude"), ("lat", "lon"), ("lat", "long"))
+
+
+def _named(markup: Column) -> Column:
+    """Valid coordinates (lat, lon) from named parameters, the first family that is filled in."""
+    value = lambda key: F.nullif(F.trim(F.regexp_extract(markup, rf"\|\s*\Q{key}\E\s*=[ \t]*([^|{{}}\n]*)", 1)), F.lit(""))
+    side = lambda keys, usual: _degrees(F.array_compact(F.array(*[value(k) for k in keys[:3]])), F.upper(F.coalesce(value(keys[3]), F.lit(usual))))
+    pairs = [(side(lat, "N"), side(lon, "E")) for lat, lon in NAMED] + [(value(lat).try_cast("double"), value(lon).try_cast("double")) for lat, lon in DECIMAL]
+    pairs = F.array(*[F.struct(F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon")) for lat, lon in pairs])
+    return F.get(F.filter(pairs, lambda c: F.coalesce(valid(c["lat"], c["lon"]), F.lit(False))), F.lit(0))
+
+
 def coordinates(markup: Column) -> Column:
-    """Struct (lat, lon), rounded to 7 digits, of the first valid {{coord|...}}; null without one.
+    """Struct (lat, lon), rounded to 7 digits, of the first valid {{coord|...}}, else from named parameters; null without one.
 
-    Degrees, minutes and seconds before a hemisphere letter or two decimal numbers; named
-    parameters are not read.
+    Degrees, minutes and seconds before a hemisphere letter or two decimal numbers. Named
+    parameters are taken from the whole markup, wherever they stand first.
     """
     def read(template: Column) -> Column:
         parts = F.transform(F.filter(F.split(template, r"\|"), lambda p: ~p.contains("=")), lambda p: F.upper(F.trim(p)))
@@ -83,7 +103,8 @@ def coordinates(markup: Column) -> Column:
         return F.when(north > 1, lettered).otherwise(decimal)
 
     found = F.transform(F.regexp_extract_all(markup, F.lit(r"(?i)\{\{\s*coord\s*\|([^{}]*)\}\}"), F.lit(1)), read)
-    return F.get(F.filter(found, lambda c: valid(c["lat"], c["lon"])), F.lit(0))
+    named = F.when(markup.rlike("緯度|lat"), _named(markup))
+    return F.coalesce(F.get(F.filter(found, lambda c: valid(c["lat"], c["lon"])), F.lit(0)), named)
 
 
 def documents(

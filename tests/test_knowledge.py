@@ -6,8 +6,9 @@ import pytest
 from docloom import registry
 from docloom.functions import text as T
 from docloom.operators import build, context, mapfeatures, notes, spatial
+from docloom.operators.deadline import DeadlineExceeded, deadline
 from docloom.operators.knowledge import KnowledgeBase, parse_bbox, parse_fields, pool_size
-from docloom.schema import BadRequest, NotFound
+from docloom.schema import BadRequest, NotFound, UnknownSource
 from docloom.sources import html
 from pyspark.sql import functions as F
 
@@ -99,6 +100,26 @@ def test_build_publishes_and_keeps_one_generation_more(spark, kb, tmp_path):
         build.build(kb.docs, root, "src", "20260109", min_docs=5)
 
 
+def test_sources_are_known_by_name(spark, kb, tmp_path):
+    root = f"file://{tmp_path}"
+    before = build.fingerprint(spark, root)
+    build.build(kb.docs, root, "src", "g1")
+    assert before != build.fingerprint(spark, root) == build.fingerprint(spark, root)
+    assert titles(build.source(spark, root, "src").search("capital west")) == ["Kyoto"]
+    with pytest.raises(UnknownSource, match="src"):
+        build.source(spark, root, "nope")
+
+
+def test_deadline(spark):
+    with deadline(spark, 60):
+        assert spark.range(10).count() == 10
+    slow = spark.range(0, 200, 1, 50).select(F.expr("reflect('java.lang.Thread', 'sleep', 100L)"))
+    with pytest.raises(DeadlineExceeded):
+        with deadline(spark, 1.0):
+            slow.collect()
+    assert spark.range(10).count() == 10
+
+
 def test_notes(spark):
     empty = spark.createDataFrame([], "doc_id bigint, title string, opening string, body string, tags array<string>, updated_at string")
     batch = spark.createDataFrame([(1, None, "\n first \nmore", ["a", "b"]), (2, "first", "x" * 500, ["a"])], "seq int, title string, text string, tags array<string>")

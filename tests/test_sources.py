@@ -4,6 +4,7 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.operators import gazetteer
 from docloom.sources import lines, tables, wiki
@@ -67,6 +68,35 @@ def test_place_files(spark, tmp_path):
     assert (out[1].wikidata, out[1].aliases, out[1].tags, out[2].aliases, out[3].area) == ("Q90", ["パリ"], ["France", "Île-de-France"], ["Paris"], "CA")
 
 
+def test_zip_members_and_last_items(spark, tmp_path):
+    import zipfile
+
+    text = "# comment\n" + "".join(f"{i}\tP{i}\tP\t\t1.5\t2.5\tP\tPPL\tFR\t\t11\t\t\t\t{i}\t\t\ttz\tm\n" for i in range(1, 12001))
+    with zipfile.ZipFile(tmp_path / "FR.zip", "w") as archive:
+        archive.writestr("readme.txt", "no place")
+        archive.writestr("FR.txt", text)
+    (tmp_path / "FR.txt").write_text(text)
+    zipped, plain = (tables.places(spark, str(tmp_path / n)) for n in ("FR.zip", "FR.txt"))
+    assert zipped.schema == plain.schema and zipped.exceptAll(plain).isEmpty() and zipped.count() == plain.count() == 12000
+    (tmp_path / "p.sql").write_text("INSERT INTO `page_props` VALUES (7,'wikibase_item','Q9',NULL),(7,'wikibase_item','Q10',NULL),(7,'wikibase_item','Q1',NULL);\n")
+    assert [tuple(r) for r in tables.page_items(spark, str(tmp_path / "p.sql")).collect()] == [(7, "Q1")]
+
+
+def test_named_coordinates(spark):
+    company = "{{Info\n|本社緯度度 = {}|本社緯度分 = {}|本社緯度秒 = {}|本社N(北緯)及びS(南緯) = {}\n|本社経度度 = {}|本社経度分 = {}|本社経度秒 = {}|本社E(東経)及びW(西経) = {}\n"
+    fill = lambda *x: company.replace("{{", "\0").replace("{}", "%s").replace("\0", "{{") % x
+    cases = [
+        (fill(35, 10, 4.5, "N", 136, 56, 9.5, "E") + "}}", (35.16791667, 136.9359722)),
+        (fill(*[""] * 8) + "| 本店緯度度 =35 |本店緯度分 =18 |本店緯度秒 =58.9 |本店経度度 =139 |本店経度分 =10 |本店経度秒 =18.5 }}", (35.3163611, 139.1718056)),
+        ("{{x|latd=1|latm=30|latNS=S|longd=2|longEW=W}}", (-1.5, -2.0)), ("{{x|lat = 10.25 |long= -20.5}}", (10.25, -20.5)), ("{{x|lat=0|lon=0}}{{y|latitude=99|longitude=1}}", None),
+        ("{{coord|1|2}}{{x|lat=5|lon=6}}", (1.0, 2.0)), ("latin prose without any", None), (None, None),
+    ]
+    out = spark.createDataFrame([(i, m) for i, (m, _) in enumerate(cases)], "i int, m string").select("i", wiki.coordinates(F.col("m")).alias("c")).collect()
+    for r in out:
+        want = cases[r.i][1]
+        assert (None if r.c is None else (r.c.lat, r.c.lon)) == (want and pytest.approx(want, abs=1e-6))
+
+
 def test_lines_are_numbered_over_blocks(spark, tmp_path):
     (tmp_path / "a.txt").write_text("".join(f"{i}\n" if i % 7 else "\n" for i in range(1, 4001)))
     size = spark.conf.get("spark.sql.files.maxPartitionBytes")
