@@ -15,7 +15,8 @@ agree if one of PER_FIFTH least grams is equal. Words replaced at random at the
 20 %, leave a fifth of the grams; of such pairs of 200 words and more some 9 in 10 are
 compared, of 60 words some 7 in 10, and nearly all with up to 16 % (measured in tests/llm/).
 To save comparisons each text first meets the text that it shares most buckets with, then
-two texts of each bucket, its heaviest and a random one; in most buckets that leaves one group.
+in turns one pair of each two groups that meet in a bucket; in most buckets that leaves one
+group.
 """
 
 from __future__ import annotations
@@ -209,21 +210,22 @@ def nearest(met: DataFrame) -> DataFrame:
     return best.select(*_pairs(F.col("rep"), F.col("centre"))).distinct()
 
 
-def candidates(met: DataFrame, label: DataFrame) -> DataFrame:
-    """What weighed returns and label (rep, label) -> distinct pairs a < b to compare whose labels differ.
+def candidates(met: DataFrame, label: DataFrame, tried: DataFrame) -> DataFrame:
+    """What weighed returns and label (rep, label) -> pairs a < b to compare, one of each two labels that meet and not in tried (a, b).
 
-    A bucket all of whose texts have one label gives none. The random text of a bucket is
-    drawn by one of four orders, so that a large group has few of them.
+    In a bucket of several labels each text meets the heaviest text and one that is drawn by one
+    of four orders. Of the pairs of two labels that with the heaviest texts is taken, so a
+    large group costs as many comparisons as there are groups around it, not texts in it.
     """
     rows = met.join(label, "rep")
-    of = F.struct("rep", "label")
+    of = F.struct("rep", "label", "weight")
     heaviest = F.max_by(of, F.struct(F.col("weight"), -F.col("rep"))).alias("centre")
     drawn = F.min_by(of, F.xxhash64("rep", F.pmod("key", F.lit(4)))).alias("drawn")
     buckets = staged(rows.groupBy("key").agg(heaviest, drawn, F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").drop("lo", "hi"), "buckets")
-    # A text meets at most a few others: two for each of its buckets, most of them again and again.
-    met = rows.join(buckets, "key").groupBy("rep", "label").agg(F.array_union(F.collect_set("centre"), F.collect_set("drawn")).alias("others"))
-    pairs = met.select("rep", F.explode(F.filter("others", lambda x: x["label"] != F.col("label"))).alias("other"))
-    return pairs.select(*_pairs(F.col("rep"), F.col("other.rep"))).distinct()
+    pairs = rows.join(buckets, "key").select("rep", "label", "weight", F.explode(F.array("centre", "drawn")).alias("o")).filter("label <> o.label")
+    pairs = pairs.select(*_pairs(F.col("rep"), F.col("o.rep")), F.least("label", "o.label").alias("lo"), F.greatest("label", "o.label").alias("hi"), (F.col("weight") + F.col("o.weight")).alias("w"))
+    pairs = pairs.groupBy("a", "b", "lo", "hi").agg(F.max("w").alias("w")).join(tried, ["a", "b"], "left_anti")
+    return pairs.groupBy("lo", "hi").agg(F.max_by(F.struct("a", "b"), F.struct("w", "a", "b")).alias("p")).select("p.a", "p.b")
 
 
 def rest(met: DataFrame, label: DataFrame, classes: DataFrame) -> DataFrame:
@@ -349,8 +351,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, class_id (least id with an equal text), group_id, kept.
 
     Each text is first compared with the one that it meets most often, which joins most
-    groups; then with two texts of each of its buckets; then all pairs of buckets that still
-    lie in different groups are compared. kept marks the row of each group whose doc_id is group_id. Null and empty texts are equal
+    groups; then one pair of each two groups that meet, until hardly any joins; then all pairs of
+    buckets that still lie in different groups are compared. kept marks the row of each group whose doc_id is group_id. Null and empty texts are equal
     texts and resemble no other; texts under five words are one gram. Rows that repeat an id
     with an equal text are all marked; rows without an id are left out.
     """
@@ -367,10 +369,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = staged(weighed(classes), "met")
     first = staged(nearest(met), "nearest")
     label = staged(components(classes.select("rep"), verified(first, classes, texts)).withColumnRenamed("group_id", "label"), "label")
-    second = staged(candidates(met, label).join(first, ["a", "b"], "left_anti"), "second")
-    label = relabelled(label, verified(second, classes, texts))
-    label = settled(label, met, classes, texts, first.unionByName(second))
-    dropped(classes, met, first, second)
+    tried = first
+    while True:
+        turn = staged(candidates(met, label, tried), "turn")
+        n = turn.count()
+        if not n:
+            break
+        links = verified(turn, classes, texts)
+        joined = links.count()
+        if joined:
+            label = relabelled(label, links)
+        tried = staged(tried.unionByName(turn), "tried")
+        if joined <= FEW * n:
+            break
+    label = settled(label, met, classes, texts, tried)
+    dropped(classes, met, tried)
     told = label.withColumnRenamed("rep", "class_id").withColumnRenamed("label", "group_id")
     return members.join(told, "class_id").select("doc_id", "class_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept"))
 
