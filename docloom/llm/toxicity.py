@@ -11,8 +11,8 @@ would hold e = n * (its share of texts) if classes did not differ; the discount
 e + z * sqrt(e), so only what exceeds chance stays with the class. With a constant discount
 the small differences of thousands of ordinary words outweigh a few insults (figures in the
 README). z is chosen, with a logistic curve over the difference of the two log-likelihoods
-per word, on a quarter of the training texts that the counts leave out; held-out rows have no
-part in any choice.
+per word, on a quarter of the training texts by models of the others; the counts of the
+final models are those of all training texts. Held-out rows have no part in any choice.
 """
 
 from __future__ import annotations
@@ -125,52 +125,56 @@ def fit(training: DataFrame, odds: float, zs: tuple[float, ...] = Z) -> ToxicMod
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(words_of)
 
-    told = staged(rows.filter("half <> 3").select("toxic", F.monotonically_increasing_id().alias("d"), split("text").alias("w")).filter(F.size("w") > 0), "toxic-words")
-    texts = {r["toxic"]: r["count"] for r in told.groupBy("toxic").count().collect()}
-    if len(texts) < 2:  # one class only: nothing tells them apart
+    told = staged(rows.select("toxic", (F.col("half") == 3).alias("curve"), F.monotonically_increasing_id().alias("d"), split("text").alias("w")).filter(F.size("w") > 0), "toxic-words")
+    sizes = {(r["curve"], r["toxic"]): r["count"] for r in told.groupBy("curve", "toxic").count().collect()}
+    # Texts of each class, without and with the curve's quarter.
+    texts = np.array([[sizes.get((False, k), 0) + more * sizes.get((True, k), 0) for k in (0, 1)] for more in (0, 1)], float)
+    if not texts.all():  # one class only: nothing tells them apart
         return ToxicModel(np.zeros(0, np.uint64), np.ones((2, 2)), np.ones((2, 2)), np.zeros(0, np.int64), np.zeros((0, 2)), 0.0, math.log(odds))
-    grams = told.select("toxic", "d", F.posexplode("w").alias("i", "word"), "w").select("toxic", "d", "word", F.when(F.col("i") > 0, F.get("w", F.col("i") - 1)).alias("prior"))
+    grams = told.select("toxic", "d", "curve", F.posexplode("w").alias("i", "word"), "w").select("toxic", "curve", "d", "word", F.when(F.col("i") > 0, F.get("w", F.col("i") - 1)).alias("prior"))
     grams = staged(grams.distinct(), "toxic-grams")
-    of = [F.sum((F.col("toxic") == k).cast("long")).alias(f"c{k}") for k in (0, 1)]
-    shares = [texts[k] / sum(texts.values()) for k in (0, 1)]
+    columns = [f"c{more}{k}" for more in (0, 1) for k in (0, 1)]
+    of = [F.count_if((F.col("toxic") == k) & (F.lit(bool(more)) | ~F.col("curve"))).alias(f"c{more}{k}") for more in (0, 1) for k in (0, 1)]
+    shares = texts / texts.sum(1, keepdims=True)
 
-    def kept(df: DataFrame, z: float) -> list[Column]:
-        total = [(F.col("c0") + F.col("c1")) * s for s in shares]
-        return [F.greatest(F.col(f"c{k}") - e - z * F.sqrt(e), F.lit(0.0)).alias(f"k{k}") for k, e in enumerate(total)]
+    def excess(z: float) -> list[Column]:
+        """What a discount would leave of each count."""
+        expected = {(more, k): (F.col(f"c{more}0") + F.col(f"c{more}1")) * float(shares[more, k]) for more in (0, 1) for k in (0, 1)}
+        return [F.col(f"c{more}{k}") - e - z * F.sqrt(e) for (more, k), e in expected.items()]
 
     words = staged(grams.groupBy("word").agg(F.count_distinct(F.coalesce("prior", F.lit(""))).alias("before")), "toxic-before")
-    counts = grams.select("toxic", "d", "word").distinct().groupBy("word").agg(*of)
+    counts = grams.select("toxic", "curve", "d", "word").distinct().groupBy("word").agg(*of)
     words = staged(words.join(counts, "word"), "toxic-unigrams")
     pairs = staged(grams.groupBy(F.coalesce("prior", F.lit("")).alias("prior"), "word").agg(*of), "toxic-pairs")
-    contexts = pairs.groupBy("prior").agg(*[F.sum(f"c{k}").alias(f"n{k}") for k in (0, 1)])
+    contexts = pairs.groupBy("prior").agg(*[F.sum(c).alias(c.replace("c", "n")) for c in columns])
     vocabulary = words.toPandas()
     # Pairs that the mildest discount leaves to a class; each z then takes its own part of them.
-    telling = pairs.filter(F.greatest(*kept(pairs, min(zs))) > 0).join(contexts, "prior").toPandas()
+    telling = pairs.filter(F.greatest(*excess(min(zs))) > 0).join(contexts, "prior").toPandas()
     hashes = word_hashes([w.encode() for w in vocabulary["word"]])
     order = np.argsort(hashes)
     hashes, vocabulary = hashes[order], vocabulary.iloc[order]
     size = len(hashes) + 2
     before = np.concatenate((vocabulary["before"].to_numpy(float), [0.0, 0.0])) + UNSEEN
     shared = before / before[:-1].sum()
-    count = vocabulary[["c0", "c1"]].to_numpy(float)
+    count = vocabulary[columns].to_numpy(float).reshape(-1, 2, 2)
     place = lambda column: np.where(column == "", len(hashes) + 1, np.searchsorted(hashes, word_hashes([w.encode() for w in column])))
     prior, second = (place(telling[c].to_numpy(object)).astype(np.int64) for c in ("prior", "word"))
     keys = prior * size + second
     inorder = np.argsort(keys)
-    pair_count, context_count = telling[["c0", "c1"]].to_numpy(float), telling[["n0", "n1"]].to_numpy(float)
+    pair_count, context_count = (telling[[c.replace("c", x) for c in columns]].to_numpy(float).reshape(-1, 2, 2) for x in "cn")
 
-    def stays(count: np.ndarray, z: float) -> np.ndarray:
-        expected = count.sum(1, keepdims=True) * np.array(shares)
+    def stays(count: np.ndarray, z: float, more: int) -> np.ndarray:
+        expected = count.sum(1, keepdims=True) * shares[more]
         return np.maximum(count - expected - z * np.sqrt(expected), 0.0)
 
-    def model(z: float) -> ToxicModel:
-        own = stays(count, z) / count.sum(0)
+    def model(z: float, more: int) -> ToxicModel:
+        own = stays(count[:, more], z, more) / count[:, more].sum(0)
         word = np.concatenate((own, np.zeros((2, 2)))) + (1 - own.sum(0)) * shared[:, None]
-        pair = stays(pair_count, z) / np.maximum(context_count, 1)
+        pair = stays(pair_count[:, more], z, more) / np.maximum(context_count[:, more], 1)
         left = 1 - np.stack([np.bincount(prior, pair[:, k], size) for k in (0, 1)], 1)
         return ToxicModel(hashes, word, left, keys[inorder], pair[inorder], 1.0, 0.0)
 
-    models = [model(z) for z in zs]
+    models = [model(z, 0) for z in zs]
     curve = rows.filter("half = 3").select("toxic", _differences(models)("text").alias("x")).toPandas()
     y = curve["toxic"].to_numpy()
     x = np.array(curve["x"].tolist(), float).reshape(len(y), len(models)).T
@@ -178,7 +182,7 @@ def fit(training: DataFrame, odds: float, zs: tuple[float, ...] = Z) -> ToxicMod
     losses = [_log_loss(each, y, *curve) for each, curve in zip(x, curves)]
     best = int(np.argmin(losses))
     slope, offset = curves[best]
-    return replace(models[best], slope=slope, offset=offset + math.log(odds))
+    return replace(model(zs[best], 1), slope=slope, offset=offset + math.log(odds))
 
 
 def _log_loss(x: np.ndarray, y: np.ndarray, slope: float, offset: float) -> float:

@@ -171,8 +171,9 @@ def _toxic_texts():
 @pytest.mark.parametrize("z", [0.5, 2.0])
 def test_toxicity_against_dictionaries(spark, z):
     texts = _toxic_texts()
-    model = toxicity.fit(spark.createDataFrame([(t, y, 0) for t, y in texts] + [("held idiot", 1, 3), ("held wa", 0, 3)], "text string, toxic int, half int"), 1.0, (z,))
-    p, vocabulary = _brute_toxic(texts, z)
+    curve = [("held idiot", 1), ("held wa", 0)]  # these choose the curve and count in the final models as well
+    model = toxicity.fit(spark.createDataFrame([(t, y, 0) for t, y in texts] + [(t, y, 3) for t, y in curve], "text string, toxic int, half int"), 1.0, (z,))
+    p, vocabulary = _brute_toxic(texts + curve, z)
     new = ["you idiot", "wa wb you wc never Idiot heard", "", "12 !", *(t for t, _ in texts[:9])]
     got = model.log_likelihoods(new)
     for text, told in zip(new, got):
