@@ -12,8 +12,8 @@ components of what is kept.
 Every pair of a bucket is compared unless its texts come to lie in one group before, their
 lengths differ too much, or the texts agree in fewer than AGREE of their fifths: two fifths
 agree if one of PER_FIFTH least grams is equal. Words replaced at random at the threshold,
-20 %, leave a fifth of the grams; of such pairs of 200 words and more some 9 in 10 are
-compared, of 60 words some 7 in 10, and nearly all with up to 16 % (measured in tests/llm/).
+20 %, leave a fifth of the grams; of such pairs of 200 words and more some 19 in 20 are
+compared, of 60 words three in four, and nearly all with up to 16 % (tests/llm/ measures it).
 To save comparisons each text first meets the text that it shares most buckets with, then
 in turns one pair of each two groups that meet in a bucket; in most buckets that leaves one
 group.
