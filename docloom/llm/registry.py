@@ -9,6 +9,7 @@ from .mixing import OP3_SQL, op3_mixing
 from .neardup import op9_neardup
 from .pii import op7_pii
 from .simhash import op11_simhash
+from .spelling import op13_spelling
 from .substrings import OP10_SQL, op10_substrings
 from .toxicity import op4_toxicity
 from .urlfilter import OP2_SQL, op2_urlfilter
@@ -16,7 +17,7 @@ from .warc import OP5_SQL, op5_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op2_urlfilter, op3_mixing, op4_toxicity, op5_warc, op6_decontamination, op7_pii, op8_katz, op9_neardup, op10_substrings, op11_simhash)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_urlfilter, op3_mixing, op4_toxicity, op5_warc, op6_decontamination, op7_pii, op8_katz, op9_neardup, op10_substrings, op11_simhash, op13_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:
