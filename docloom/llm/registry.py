@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_alignment
 from .decontamination import op6_decontamination
 from .fingerprints import op1_fingerprints
 from .katz import op8_katz
@@ -17,7 +18,7 @@ from .warc import OP5_SQL, op5_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op2_urlfilter, op3_mixing, op4_toxicity, op5_warc, op6_decontamination, op7_pii, op8_katz, op9_neardup, op10_substrings, op11_simhash, op13_spelling)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_urlfilter, op3_mixing, op4_toxicity, op5_warc, op6_decontamination, op7_pii, op8_katz, op9_neardup, op10_substrings, op11_simhash, op12_alignment, op13_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:
