@@ -21,7 +21,6 @@ has no words.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
@@ -40,8 +39,8 @@ PLANTED = 97
 BLOCK, HELD = 8192, 400_000
 #: A word's form occurs at least so many times as often as the word.
 FORM_RATIO = 2
-_RUN = re.compile("[a-zÀ-ÿ]+")
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+#: Each Latin-1 character as a letter in lower case, or a space.
+_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 0xC0 else 32 for c in range(256))
 _HEAD, _TAIL = "\x02" * (Q - 1), "\x03" * (Q - 1)
 
 
@@ -54,25 +53,31 @@ def corrupted(prefix: int, run: str) -> str:
     return run[:at] + run[at + 1 :]
 
 
-def words_of(doc_id: str, text: str) -> Counter:
-    """The words of one document, by their number."""
-    prefix, out = zlib.crc32(f"{doc_id}:".encode()), Counter()
-    for run, n in Counter(_RUN.findall(text.translate(_LOWER))).items():
-        word = corrupted(prefix, run)
-        if len(word) >= LEAST_LENGTH:
-            out[word] += n
-    return out
+def runs(text: str) -> Counter:
+    """The runs of letters of a text, lower-cased, as Latin-1: all letters are, and what isn't becomes a mark."""
+    return Counter(text.encode("latin-1", "replace").translate(_LETTERS).split(b" "))
+
+
+def words_of(doc_id: str, text: str) -> Iterator[tuple[str, int]]:
+    """The words of one document and their numbers; a word may come twice."""
+    prefix = zlib.crc32(f"{doc_id}:".encode())
+    for run, n in runs(text).items():
+        if len(run) >= LEAST_LENGTH:
+            word = corrupted(prefix, run.decode("latin-1"))
+            if len(word) >= LEAST_LENGTH:
+                yield word, n
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
+    held: dict[str, int] = {}
 
     def told() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-            held.update(words_of(doc_id.as_py(), text.as_py()))
+            for word, n in words_of(doc_id.as_py(), text.as_py()):
+                held[word] = held.get(word, 0) + n
             if len(held) > HELD:
                 yield told()
                 held.clear()
@@ -140,11 +145,21 @@ class Index:
         longer = len(self.words[0]) - len(word)
         bound, postings = len(self.words[0]) + Q - 1 - Q, []
         begin = 0 if longer else bisect_right(self.words, word)
-        for place, gram in enumerate(grams(word)):
+        if begin == len(self.words):
+            return
+        own = grams(word)
+        spare = len(own) - bound  # grams that a near word may lack
+        for place, gram in enumerate(own):
+            missing = True
             for p in range(place, place + longer + 1):
                 held = self.postings.get((p, gram))
                 if held and held[-1] >= begin:
                     postings.append(held[bisect_left(held, begin) :] if begin else held)
+                    missing = False
+            if missing:
+                spare -= 1
+                if spare < 0:
+                    return
         for i in merged(postings, bound):
             if one_edit(word, self.words[i]):
                 yield i
@@ -157,10 +172,11 @@ def _routed(order: dict[str, int]):
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-                # A gram that repeats counts each time, as its occurrences are shared one by one.
+                # A gram that repeats counts each time, as its occurrences are shared one by one. A longer word lacks Q of
+                # its grams, the shorter one of the two Q - 1.
                 rarest = sorted(grams(word), key=lambda g: (order[g], g))[: Q + 1]
-                for gram in set(rarest):
-                    for longer in (0, 1):
+                for longer in (0, 1):
+                    for gram in set(rarest[: Q + 1 - longer]):
                         for column, value in zip(out, (gram, len(word) + longer, not longer, word, n)):
                             column.append(value)
             kinds = (pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.int64())
@@ -177,9 +193,10 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in index.near(word):
             yield word, n, index.words[i], counts[i]
 
-    def finish() -> Iterator[tuple]:
+    def finish(queried_alone: int) -> Iterator[tuple]:
+        """Builds the index where there is more than `queried_alone` entries, and tells the pairs among them."""
         nonlocal index
-        if entries and index is None:
+        if len(entries) > queried_alone and index is None:
             index = Index(entries)
             for word, n in zip(entries, counts):
                 yield from queried(word, n)
@@ -189,16 +206,16 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = (batch.column(c).to_pylist() for c in ("gram", "length", "part", "entry", "word", "n"))
         for gram, length, part, entry, word, n in zip(*columns):
             if (gram, length, part) != at:
-                found += finish()
+                found += finish(1)
                 at, entries, counts, index = (gram, length, part), [], [], None
             if entry:
                 entries.append(word)
                 counts.append(n)
             elif entries:
-                found += finish()
+                found += finish(0)
                 found += queried(word, n)
         yield _pairs(found)
-    yield _pairs(list(finish()))
+    yield _pairs(list(finish(1)))
 
 
 def _pairs(found: list[tuple]) -> pa.RecordBatch:
