@@ -29,40 +29,53 @@ _UNITS = "kg|km|cm|mm|mg|ml|kwh|mph|lbs?|oz|ft|meters?|metres?|miles?|hours?|hrs
 _MARK = "\x01"
 
 
+#: A number with its separators. Possessive without groups, so any length of it is matched without recursion.
+_NUMBER, _NO_LETTER = r"\d++(?:[.,:]\d++{})*+", r"(?![\p{L}\p{N}])"
+
+
 def _marked(text: Column) -> Column:
-    """The text in lower case with each slot as one token: \\x01, its type (n, u or p) and its value."""
+    """The text in lower case with each slot as one token: \\x01, its type (n, u or p) and its value.
+
+    A number's value is the whole number; commas before three digits go, other separators stay.
+    """
     out = F.translate(F.coalesce(text, F.lit("")), _MARK, "")
     # Names: a capitalised word after a lower-case one. Sentences may begin with any word.
     out = F.regexp_replace(out, r"(?<=\p{Ll},? )(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", "\x01p$1")
     out = F.lower(out)
-    out = F.when(out.rlike("[0-9]"), F.regexp_replace(
-        F.regexp_replace(out, rf"(?<![\p{{L}}\p{{N}}])[$€£]?(\d+)(?:[.,:](\d+))*\s?(?:{_UNITS})(?![\p{{L}}\p{{N}}])", " \x01u$1$2 "),
-        r"(?<![\p{L}\p{N}])(\d+)(?:[.,:](\d+))*(?![\p{L}\p{N}])", " \x01n$1$2 ")).otherwise(out)
-    return F.btrim(F.regexp_replace(out, "[^\\p{L}\\p{N}\x01]++", " "))
+    slots = F.regexp_replace(out, r"(?<=\d),(?=\d{3}(?!\d))", "")
+    slots = F.regexp_replace(slots, rf"(?<![\p{{L}}\p{{N}}]|\d[.,:])[$€£]?({_NUMBER.format("")})\s?(?:{_UNITS})(?![\p{{L}}\p{{N}}])", " \x01u$1 ")
+    slots = F.regexp_replace(slots, rf"(?<![\p{{L}}\p{{N}}]|\d[.,:])({_NUMBER.format(_NO_LETTER)})(?![\p{{L}}\p{{N}}])", " \x01n$1 ")
+    slots = F.regexp_replace(slots, "(?:[^\\p{L}\\p{N}\x01.,:]|[.,:](?!\\d)|(?<!\\d)[.,:])++", " ")
+    return F.btrim(F.when(out.rlike("[0-9]"), slots).otherwise(F.regexp_replace(out, "[^\\p{L}\\p{N}\x01]++", " ")))
 
 
 def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _windows(text: Column, window: int) -> Column:
-    """Array of (hash, slots) of each window: slots are its marked tokens in order, null without any."""
+def _windows(text: Column, sizes: list[int]) -> Column:
+    """Array of (size, at, h, s) of all windows of the given sizes: s are a window's marked tokens in order, null without any."""
 
     def of(marked: Column) -> Column:
         plain = ~marked.contains(_MARK)
         tokens = F.split(marked, " ")
 
         def build(token: Column) -> Column:
-            last = F.size(token) - window
-            steps = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
             bare = F.transform(token, lambda t: F.when(t.startswith(_MARK), F.substring(t, 1, 2)).otherwise(t))
-            # Slots take part by type and by the place of their first like in the window, so repeats repeat.
-            light = F.transform(steps, lambda i: F.struct(F.xxhash64(*[F.get(token, i + j) for j in range(window)]).alias("h"), F.lit(None).cast("array<string>").alias("s")))
-            heavy = _let(bare, lambda b: F.transform(steps, lambda i: F.struct(
-                F.xxhash64(*[F.get(b, i + j) for j in range(window)]).alias("h"),
-                F.filter(F.slice(token, i + 1, window), lambda t: t.startswith(_MARK)).alias("s"),
-            )))
-            return F.when(last < 0, F.array().cast("array<struct<h:bigint,s:array<string>>>")).when(plain, light).otherwise(heavy)
+
+            def of_size(size: int, b: Column | None) -> Column:
+                last = F.size(token) - size
+                steps = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
+                slots = lambda i: F.filter(F.slice(token, i + 1, size), lambda t: t.startswith(_MARK)) if b is not None else F.lit(None).cast("array<string>")
+                # Slots take part by type; their values are compared where windows meet.
+                rows = F.transform(steps, lambda i: F.struct(
+                    F.lit(size).alias("size"), i.alias("at"), F.xxhash64(*[F.get(token if b is None else b, i + j) for j in range(size)]).alias("h"), slots(i).alias("s"),
+                ))
+                return F.when(last < 0, F.array().cast("array<struct<size:int,at:int,h:bigint,s:array<string>>>")).otherwise(rows)
+
+            light = F.flatten(F.array(*[of_size(n, None) for n in sizes]))
+            heavy = _let(bare, lambda b: F.flatten(F.array(*[of_size(n, b) for n in sizes])))
+            return F.when(plain, light).otherwise(heavy)
 
         return _let(tokens, build)
 
@@ -74,11 +87,13 @@ def n_tokens(text: Column) -> Column:
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """items (item_id, text) -> h, item_id, at, item_slots, n_windows. Items of under `window` tokens have none."""
-    out = items.select("item_id", F.posexplode(_windows(F.col("text"), window)).alias("at", "w"))
-    kept = out.filter(F.size(F.coalesce("w.s", F.array())) <= window - MIN_LITERAL)
+    """items (item_id, text) -> size, h, item_id, at, item_slots, n_windows. Items of under `window` tokens are one window, or none under MIN_LITERAL."""
+    n = n_tokens(F.col("text"))
+    sizes = list(range(MIN_LITERAL, window + 1))
+    out = items.select("item_id", F.least(n, F.lit(window)).alias("n"), F.explode(_windows(F.col("text"), sizes)).alias("w"))
+    kept = out.filter((F.col("w.size") == F.col("n")) & (F.size(F.coalesce("w.s", F.array())) <= F.col("n") - MIN_LITERAL))
     counted = kept.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    return kept.join(counted, "item_id").select(F.col("w.h").alias("h"), "item_id", "at", F.col("w.s").alias("item_slots"), "n_windows")
+    return kept.join(counted, "item_id").select("w.size", "w.h", "item_id", "w.at", F.col("w.s").alias("item_slots"), "n_windows")
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_windows: int = MIN_WINDOWS) -> DataFrame:
@@ -88,18 +103,13 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     values. Null and empty texts hold nothing, rows that repeat an id are judged together,
     and rows of null id are left out. Columns besides the id and text are unused.
     """
-    items = staged(items.select("item_id", "text", n_tokens(F.col("text")).alias("n")).filter("item_id IS NOT NULL"), "items")
-    short = [r.n for r in items.filter(F.col("n").between(MIN_LITERAL, window - 1)).select("n").distinct().collect()]
-    hits = None
-    for size in [*sorted(short), window]:
-        own = items.filter(F.col("n") >= window if size == window else F.col("n") == size)
-        wanted = staged(benchmark_windows(own, size), "templates")
-        if wanted.count() <= MAX_BROADCAST:
-            wanted = F.broadcast(wanted)
-        found = docs.filter("doc_id IS NOT NULL").select("doc_id", F.posexplode(_windows(F.col("text"), size)).alias("pos", "w"))
-        found = found.select("doc_id", "pos", F.col("w.h").alias("h"), F.col("w.s").alias("doc_slots")).join(wanted, "h")
-        found = found.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("diagonal"), "at", "n_windows", "doc_slots", "item_slots")
-        hits = found if hits is None else hits.unionByName(found)
+    wanted = staged(benchmark_windows(items.select("item_id", "text").filter("item_id IS NOT NULL"), window), "templates")
+    sizes = sorted(r.size for r in wanted.select("size").distinct().collect()) or [window]
+    if wanted.count() <= MAX_BROADCAST:
+        wanted = F.broadcast(wanted)
+    found = docs.filter("doc_id IS NOT NULL").select("doc_id", F.explode(_windows(F.col("text"), sizes)).alias("w"))
+    found = found.select("doc_id", "w.size", F.col("w.at").alias("pos"), F.col("w.h").alias("h"), F.col("w.s").alias("doc_slots")).join(wanted, ["size", "h"])
+    hits = found.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("diagonal"), "at", "n_windows", "doc_slots", "item_slots")
     occurrence = ["doc_id", "item_id", "diagonal"]
     # Few rows are left here. Slots are matched where there are any.
     hits = staged(hits, "hits")

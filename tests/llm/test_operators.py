@@ -664,3 +664,35 @@ def test_pipeline_is_its_stages(spark):
 def test_every_number_has_its_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 11))
     assert registry.oracle_sql().keys() <= registry.queries().keys()
+
+
+LONG = {
+    "commas": "12," * 100_000, "points": "1." * 100_000, "times": "7:07 " * 50_000, "digits": "9" * 200_000, "brackets": "[[" * 50_000, "tags": "<a " * 60_000, "at": "a@" * 50_000,
+    "word": "x" * 500_000, "units": "5 km, " * 50_000, "names": "a Bcd " * 40_000, "plus": "+1 (5" * 50_000,
+}
+
+
+@pytest.fixture(scope="module")
+def hostile(spark):
+    """Long texts of one repeated piece, among them what makes backtracking patterns overflow."""
+    return spark.createDataFrame(list(enumerate(LONG.values())), "doc_id bigint, text string").repartition(4).persist()
+
+
+def test_decontamination_of_hostile_long_texts(spark, hostile):
+    items = spark.createDataFrame([(1, "how many apples does the shop sell in 12 days if it sells 1,234 every day")], "item_id bigint, text string")
+    assert decontamination.find_contamination(hostile, items).collect() == []
+
+
+def test_pii_of_hostile_long_texts(spark, hostile):
+    assert pii.pseudonymise(hostile, "k").count() == len(LONG)
+
+
+def test_decontamination_compares_whole_numbers(spark):
+    item = "the old shop in our town sells {} red apples on monday and later buys {} green pears from the farm for {} dollars"
+    items = spark.createDataFrame([(1, item.format("1,234,567", "1,999,567", "1.5"))], "item_id bigint, text string")
+    docs = [
+        (1, item.format("1,234,567", "1,999,567", "1.5")), (2, item.format("5", "6", "7")), (3, item.format("1,888,567", "1,777,567", "2.5")), (4, item.format("1234567", "1999567", "1.5")),
+        (5, item.format("4", "4", "4")), (6, item.format("1,234,567", "1,999,567", "15")), (7, item.format("1,234,567", "1,999,567", "1:5")),
+    ]
+    found = {r.doc_id: r.exact for r in decontamination.find_contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()}
+    assert found == {1: True, 2: False, 3: False, 4: True, 6: False, 7: False}
