@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import build
 from ..sources import adapters, mapfile
 from ..storage import scratch
+from ..streaming import jobs as stream_jobs
 
 REGISTRY: dict = {}
 
@@ -87,3 +90,16 @@ def adapters_ingest(spark, sf_dir):
         rows = spark.read.parquet(f"{at}/docs").select(F.lit(meta.source).alias("source"), F.lit(meta.source_kind).alias("kind"), F.lit(meta.dump_date).alias("generation"), "doc_id", "title")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+@_register("stream_job_expiry", """WITH j AS (SELECT event_id AS job_id, ts, user_id % 4 AS k, user_id % 5 AS days FROM events WHERE event_type = 'view'),
+w AS (SELECT max(CASE WHEN k = 1 THEN ts ELSE ts + days * INTERVAL 1 DAY END) AS w FROM j)
+SELECT job_id, CASE WHEN k <> 1 AND days <= 2 THEN CASE WHEN k = 0 THEN 'failed' ELSE 'done' END WHEN k <> 1 OR ts + INTERVAL 2 DAY < w THEN 'failed' ELSE 'running' END AS state FROM j, w""")
+def stream_job_expiry(spark, sf_dir):
+    """Views as jobs; reports come up to four days later, or never: timers end what has run for two days."""
+    jobs = _table(spark, sf_dir, "events").filter("event_type = 'view'").select(F.col("event_id").cast("bigint").alias("job_id"), F.col("ts").cast("timestamp").alias("at"), "user_id")
+    starts = jobs.select("job_id", F.lit("start").alias("kind"), F.lit(None).cast("boolean").alias("ok"), "at")
+    later = F.col("at") + F.make_dt_interval(days=(F.col("user_id") % 5).cast("int"))
+    reports = jobs.filter("user_id % 4 <> 1").select("job_id", F.lit("report").alias("kind"), (F.col("user_id") % 4 != 0).alias("ok"), later.alias("at"))
+    ended = stream_jobs.replay_jobs(spark, starts.unionByName(reports).coalesce(4), timedelta(days=2))
+    return stream_jobs.states(jobs.select("job_id", F.col("at").alias("started_at")), ended).select("job_id", "state")

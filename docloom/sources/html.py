@@ -14,14 +14,17 @@ def links(html: Column) -> Column:
 
 
 def title(html: Column) -> Column:
-    return F.trim(F.regexp_extract(html, "(?s)<title[^>]*>(.*?)</title>", 1))
+    return F.when(~html.contains("</title>"), "").otherwise(F.trim(F.regexp_extract(html, "(?s)<title[^>]*>(.*?)</title>", 1)))
 
 
 def body(html: Column) -> Column:
-    """Text without scripts, styles, comments and tags; blocks end lines, runs of blanks are one."""
-    out = F.regexp_replace(html, r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<title\b.*?</title>", " ")
-    out = F.regexp_replace(out, r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|blockquote|pre)\b[^>]*>", "\n")
-    out = F.regexp_replace(out, "<[^>]*>", "")
+    """Text without scripts, styles, comments and tags; blocks end lines, runs of blanks are one.
+
+    What is opened and never closed reaches to the end, so no part is searched twice.
+    """
+    out = F.regexp_replace(html, r"(?is)<(script|style|noscript|template)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|<title\b.*?(?:</title>|\z)", " ")
+    out = F.regexp_replace(out, r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|blockquote|pre)\b[^>]*(?:>|\z)", "\n")
+    out = F.regexp_replace(out, r"<[^>]*(?:>|\z)", "")
     for name, char in ENTITIES.items():
         out = F.replace(out, F.lit(name), F.lit(char))
     out = F.regexp_replace(out, "[ \t\r\x0b\f]+", " ")

@@ -28,8 +28,8 @@ def _prefixed(prefixes: Sequence[str]) -> str:
 
 def prose(markup: Column, media: Sequence[str] = MEDIA) -> Column:
     """Markup without comments, footnotes and embedded media."""
-    out = F.regexp_replace(markup, r"(?s)<!--.*?-->|(?i)<(ref|references)\b[^>/]*/>|<(ref|references)\b[^>]*(?<!/)>.*?</\2\s*>", "")
-    inner = r"(?:[^\[\]]|\[\[[^\[\]]*\]\]|\[[^\[\]]*\])*"
+    out = F.regexp_replace(markup, r"(?s)<!--.*?(?:-->|\z)|(?i)<(ref|references)\b[^>/]*/>|<(ref|references)\b[^>]*(?<!/)>.*?</\2\s*>", "")
+    inner = r"(?:[^\[\]]++|\[\[[^\[\]]*+\]\]|\[[^\[\]]*+\])*+"  # possessive: captions of any length without recursion
     return F.regexp_replace(out, rf"\[\[\s*{_prefixed(media)}{inner}\]\]", "")
 
 
