@@ -114,6 +114,10 @@ class KnowledgeBase:
 
         return held.select("doc_id", "n_trigrams", *[(T.TITLE_WEIGHT * occurrences(t, "title_at") + T.BODY_WEIGHT * occurrences(t, "body_at")).alias(f"_tf{i}") for i, t in enumerate(terms)])
 
+    def holding(self, terms: list[str]) -> DataFrame:
+        """doc_id of the documents that hold all terms, by the index alone."""
+        return self._counted(terms).filter(reduce(Column.__and__, [F.col(f"_tf{i}") > 0 for i in range(len(terms))])).select("doc_id")
+
     def _scored(self, terms: list[str]) -> DataFrame:
         """doc_id and _bm25 of the documents that hold all terms; no text is read."""
         n, mean = self.figures

@@ -26,8 +26,8 @@ def titled(batch: DataFrame) -> DataFrame:
     return batch.withColumn("title", F.coalesce(F.when(F.trim("title") != "", F.col("title")), F.substring(F.btrim(first), 1, TITLE_CHARS)))
 
 
-def add(notes: DataFrame, batch: DataFrame, at: str | None = None) -> DataFrame:
-    """notes and batch (title, text, tags, seq): ids follow the largest, and a title in use gets ` (id)`.
+def added(notes: DataFrame, batch: DataFrame, at: str | None = None) -> DataFrame:
+    """batch (title, text, tags, seq) as notes: ids follow the largest, and a title in use gets ` (id)`.
 
     The batch is numbered by seq in one task: it is what one writer sends at a time.
     """
@@ -37,7 +37,12 @@ def add(notes: DataFrame, batch: DataFrame, at: str | None = None) -> DataFrame:
     again = F.row_number().over(Window.partitionBy("title").orderBy("doc_id")) > 1
     new = new.join(taken, "title", "left").withColumn("_again", again | F.coalesce("_taken", F.lit(False)))
     title = F.when(F.col("_again"), F.concat("title", F.lit(" ("), F.col("doc_id").cast("string"), F.lit(")"))).otherwise(F.col("title"))
-    return notes.unionByName(new.select("doc_id", title.alias("title"), F.substring("text", 1, OPENING_CHARS).alias("opening"), F.col("text").alias("body"), "tags", F.lit(at or now()).alias("updated_at")))
+    return new.select("doc_id", title.alias("title"), F.substring("text", 1, OPENING_CHARS).alias("opening"), F.col("text").alias("body"), "tags", F.lit(at or now()).alias("updated_at"))
+
+
+def add(notes: DataFrame, batch: DataFrame, at: str | None = None) -> DataFrame:
+    """notes and what `added` makes of batch."""
+    return notes.unionByName(added(notes, batch, at))
 
 
 def update(notes: DataFrame, doc_id: int, text: str | None = None, title: str | None = None, tags: str | list[str] | None = None, at: str | None = None) -> DataFrame:

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import build
+from ..operators.notestore import NoteStore
 from ..sources import adapters, mapfile
 from ..storage import scratch
 from ..streaming import jobs as stream_jobs
+from .corpus import SQL as CORPUS
+from .corpus import knowledge
 
 REGISTRY: dict = {}
 
@@ -103,3 +106,31 @@ def stream_job_expiry(spark, sf_dir):
     reports = jobs.filter("user_id % 4 <> 1").select("job_id", F.lit("report").alias("kind"), (F.col("user_id") % 4 != 0).alias("ok"), later.alias("at"))
     ended = stream_jobs.replay_jobs(spark, starts.unionByName(reports).coalesce(4), timedelta(days=2))
     return stream_jobs.states(jobs.select("job_id", F.col("at").alias("started_at")), ended).select("job_id", "state")
+
+
+_CHANGED = f"""WITH {CORPUS}, changed AS (SELECT doc_id, title, CASE WHEN doc_id % 10 = 4 THEN 'other text ' || CAST(doc_id AS VARCHAR) ELSE body END AS body,
+  CASE WHEN doc_id % 10 = 4 THEN ['changed', lang] ELSE tags END AS tags, CASE WHEN doc_id % 10 = 4 THEN '2026-12-31' ELSE updated_at END AS updated_at FROM docs WHERE doc_id % 10 <> 3)"""
+
+
+def _changed(spark: SparkSession, sf_dir: str) -> NoteStore:
+    """The corpus as notes, of which a tenth is deleted and a tenth changed afterwards."""
+    store = NoteStore(spark, scratch(spark, "notes"))
+    docs = knowledge(spark, sf_dir).docs
+    store.apply(docs.select("doc_id", "title", "opening", "body", "tags", "updated_at", F.lit(False).alias("deleted")))
+    new = [F.concat(F.lit("other text "), F.col("doc_id").cast("string")).alias("body"), F.array(F.lit("changed"), "lang").alias("tags"), F.lit("2026-12-31").alias("updated_at")]
+    store.apply(docs.filter("doc_id % 10 = 4").select("doc_id", "title", "opening", *new, F.lit(False).alias("deleted")))
+    store.apply(docs.filter("doc_id % 10 = 3").select("doc_id", "title", "opening", "body", "tags", F.lit("2027").alias("updated_at"), F.lit(True).alias("deleted")))
+    return store
+
+
+@_register("notes_index_recall", f"""{_CHANGED} SELECT doc_id, title, substr(body, 1, 400) AS text, updated_at, length(body) > 400 AS truncated FROM changed
+WHERE contains(lower(title), 'ther') OR contains(lower(body), 'ther') ORDER BY updated_at DESC, doc_id DESC LIMIT 100""")
+def notes_index_recall(spark, sf_dir):
+    """Recall by an index that changes keep up."""
+    return _changed(spark, sf_dir).recall(q="ther", limit=100).drop("tags")
+
+
+@_register("notes_tag_changes", f"{_CHANGED} SELECT tag, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(tags) AS tag FROM changed) WHERE tag <> '' GROUP BY tag")
+def notes_tag_changes(spark, sf_dir):
+    """Tag counts as sums of signed changes."""
+    return _changed(spark, sf_dir).tag_counts()

@@ -595,4 +595,4 @@ def stream_notes_upsert(spark, sf_dir):
     from ..streaming.changes import replay
 
     changes = _notes(spark, sf_dir).withColumn("deleted", F.col("doc_id") % 10 == 3)
-    return replay(spark, changes).select("doc_id", "title")
+    return replay(spark, changes).docs().select("doc_id", "title")

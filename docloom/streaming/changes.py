@@ -1,24 +1,22 @@
-"""Notes as a stream of changes, upserted batch by batch."""
+"""Notes as a stream of changes, a segment of the store for each batch."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import notes
-from ..storage import file_system, scratch
+from ..operators.notestore import NoteStore
+from ..storage import scratch
 
 
 def upsert_stream(changes: DataFrame, path: str, checkpoint: str):
-    """Starts a query that applies a stream of changes (note columns, `deleted`) to generations below path.
+    """Starts a query that applies a stream of changes (note columns, `deleted`) to the NoteStore below path.
 
-    Each batch writes path/<batch + 1> from path/<batch>, so a repeated batch gives the same
-    table: the sink is idempotent. path/0 must hold the notes before the stream.
+    Each batch is one segment under its number, so a repeated batch changes nothing, and a batch
+    writes as much as it changes.
     """
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{path}/{epoch}")
-        notes.upsert(before, batch).write.mode("overwrite").parquet(f"{path}/{epoch + 1}")
+        NoteStore(batch.sparkSession, path).apply(batch, epoch)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -28,19 +26,9 @@ def watch(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path)
 
 
-def replay(spark: SparkSession, changes: DataFrame) -> DataFrame:
-    """The table that a stream of these changes ends in, beginning with none."""
+def replay(spark: SparkSession, changes: DataFrame) -> NoteStore:
+    """The notes that a stream of these changes ends in, beginning with none."""
     folder = scratch(spark, "stream")
     changes.write.parquet(f"{folder}/in")
-    spark.createDataFrame([], changes.drop("deleted").schema).write.parquet(f"{folder}/out/0")
-    query = upsert_stream(watch(spark, f"{folder}/in", changes.schema), f"{folder}/out", f"{folder}/state")
-    query.awaitTermination()
-    done = query.lastProgress["batchId"] + 1 if query.lastProgress else 0
-    while done and not _exists(spark, f"{folder}/out/{done}"):
-        done -= 1
-    return spark.read.parquet(f"{folder}/out/{done}")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p, fs = file_system(spark, f"{path}/_SUCCESS")
-    return fs.exists(p)
+    upsert_stream(watch(spark, f"{folder}/in", changes.schema), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return NoteStore(spark, f"{folder}/out")
