@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..schema import CITY, PAGEVIEWS, UnknownSource, normalized_popularity
 from ..storage import file_system, read_text, replace_text
-from .knowledge import KnowledgeBase
+from .knowledge import PROBES, KnowledgeBase
 
 
 def last_wins(docs: DataFrame, seq: str = "seq", key: str = "doc_id") -> DataFrame:
@@ -150,20 +150,27 @@ def build(docs: DataFrame, root: str, source: str, generation: str, meta: dict[s
     spark = docs.sparkSession
     base = f"{root}/{source}"
     path = f"{base}/{generation}-{uuid.uuid4().hex[:8]}"
-    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{path}/docs")
+    # Equal titles and items are looked up by filters that each row group has.
+    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered.write.option("parquet.bloom.filter.enabled#title", "true").option("parquet.bloom.filter.enabled#wikidata", "true").parquet(f"{path}/docs")
     docs = spark.read.parquet(f"{path}/docs")
+    rank = F.col("rank_score") if "rank_score" in docs.columns else F.lit(None).cast("double").alias("rank_score")
+    docs.select("doc_id", "title", rank).repartitionByRange("title").sortWithinPartitions("title").write.parquet(f"{path}/titles")
     trigram_index(docs).repartitionByRange("gram", "doc_id").sortWithinPartitions("gram", "doc_id").write.parquet(f"{path}/trigrams")
     doc_tags(docs).repartitionByRange("tag", "doc_id").sortWithinPartitions("tag", "doc_id").write.parquet(f"{path}/doc_tags")
     tags = spark.read.parquet(f"{path}/doc_tags")
     tag_counts(tags).sortWithinPartitions(F.desc("docs"), "tag").write.parquet(f"{path}/tag_counts")
     if {"lat", "lon"} <= set(docs.columns):
-        doc_coords(docs).sortWithinPartitions("lat", "lon").write.parquet(f"{path}/doc_coords")
+        doc_coords(docs).repartitionByRange("lat", "lon").sortWithinPartitions("lat", "lon").write.parquet(f"{path}/doc_coords")
     if "aliases" in docs.columns:
-        aliases(docs).sortWithinPartitions("alias").write.parquet(f"{path}/aliases")
+        aliases(docs).repartitionByRange("alias").sortWithinPartitions("alias").write.option("parquet.bloom.filter.enabled#alias", "true").parquet(f"{path}/aliases")
     failed = [r.check for r in validation(docs, tags, min_docs, list(samples), spark.read.parquet(f"{path}/aliases") if "aliases" in docs.columns else None).collect() if not r.ok]
     if failed:
         raise ValueError(f"{source} failed: {', '.join(failed)}")
-    told = {"source": source, "schema_version": "4", "dump_date": generation, "doc_count": str(docs.count())} | (meta or {})
+    has = {k: F.coalesce(F.bool_or(F.expr(p)), F.lit(False)) for k, (column, p) in PROBES.items() if column in docs.columns}
+    figures = docs.agg(F.count("*").alias("n"), F.avg(n_trigrams(F.col("title"), F.col("body"))).alias("mean"), *[c.alias(k) for k, c in has.items()]).first()
+    told = {"source": source, "schema_version": "4", "dump_date": generation, "doc_count": str(figures["n"]), "mean_length": repr(figures["mean"] or 0.0)}
+    told |= {f"has_{k}": "true" if k in has and figures[k] else "false" for k in PROBES} | (meta or {})
     spark.createDataFrame([tuple(told.values())], ", ".join(f"{k} string" for k in told)).coalesce(1).write.parquet(f"{path}/meta")
     publish(spark, base, path)
     return path
@@ -176,7 +183,7 @@ def opened(spark: SparkSession, path: str) -> KnowledgeBase:
         p, fs = file_system(spark, f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}") if fs.exists(p) else None
 
-    return KnowledgeBase(table("docs"), aliases=table("aliases"), doc_tags=table("doc_tags"), tag_counts=table("tag_counts"), trigrams=table("trigrams"))
+    return KnowledgeBase(table("docs"), aliases=table("aliases"), doc_tags=table("doc_tags"), tag_counts=table("tag_counts"), trigrams=table("trigrams"), titles=table("titles"), doc_coords=table("doc_coords"), meta=table("meta"))
 
 
 def source(spark: SparkSession, root: str, name: str) -> KnowledgeBase:

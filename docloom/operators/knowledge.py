@@ -20,6 +20,9 @@ ANCHORS = 20
 #: Candidates of a search: so many times what is asked for, between the least and the most.
 POOL_FACTOR, POOL_LEAST, POOL_MOST = 5, 300, 2000
 
+#: What a source can have: the column, and what its documents must meet.
+PROBES = {"feature": ("feature", "feature IS NOT NULL"), "area": ("area", "area IS NOT NULL"), "coords": ("lat", "lat IS NOT NULL AND lon IS NOT NULL"), "links": ("links", "size(links) > 0")}
+
 
 def parse_bbox(bbox: str) -> tuple[float, float, float, float]:
     """min_lat,min_lon,max_lat,max_lon; boxes across the antimeridian are refused."""
@@ -59,21 +62,44 @@ def _back(places: Column, by: int) -> Column:
 
 
 class KnowledgeBase:
-    """docs (the document model with feature, area, lat, lon, wikidata), aliases (alias, doc_id), doc_tags (tag, doc_id), trigrams (as build.trigram_index)."""
+    """docs (the document model with feature, area, lat, lon, wikidata), aliases (alias, doc_id), doc_tags (tag, doc_id), trigrams (as build.trigram_index).
+
+    titles (doc_id, title, rank_score by title), doc_coords (lat, lon, doc_id) and meta (one row
+    of figures) are what build writes besides; without them the documents are read instead.
+    """
 
-    def __init__(self, docs: DataFrame, aliases: DataFrame | None = None, doc_tags: DataFrame | None = None, tag_counts: DataFrame | None = None, trigrams: DataFrame | None = None):
+    def __init__(
+        self, docs: DataFrame, aliases: DataFrame | None = None, doc_tags: DataFrame | None = None, tag_counts: DataFrame | None = None, trigrams: DataFrame | None = None,
+        titles: DataFrame | None = None, doc_coords: DataFrame | None = None, meta: DataFrame | None = None,
+    ):
         self.docs, self.aliases, self.doc_tags, self.tag_counts, self.trigrams = docs, aliases, doc_tags, tag_counts, trigrams
+        self.by_title, self.doc_coords, self._meta = titles if titles is not None else docs, doc_coords, meta
+
+    @cached_property
+    def told(self) -> dict[str, str]:
+        """The figures that build stored, none of another build."""
+        row = self._meta.first() if self._meta is not None else None
+        return row.asDict() if row is not None else {}
 
     @cached_property
     def figures(self) -> tuple[int, float]:
         """Documents and their mean length."""
+        if "mean_length" in self.told:
+            return int(self.told["doc_count"]), float(self.told["mean_length"]) or 1.0
         n = lambda c: F.greatest(F.char_length(F.coalesce(c, F.lit(""))) - 2, F.lit(0))
         found = self.docs.agg(F.count("*"), F.avg(n("title") + n("body"))).first()
         return found[0], found[1] or 1.0
 
     def restricted(self, tag: str | None = None, **others: str | None) -> DataFrame:
-        """The documents that meet all conditions. Those of a tag come from the table of tags, where there is one."""
+        """The documents that meet all conditions; BadRequest for one on what no document of the source has.
+
+        Those of a tag come from the table of tags, those of a box from that of coordinates, where there are such.
+        """
+        self.require(**others)
+        bbox = others.pop("bbox", None) if self.doc_coords is not None else None
         docs = reduce(DataFrame.filter, self.conditions(**others), self.docs)
+        if bbox is not None:
+            docs = docs.join(reduce(DataFrame.filter, self.conditions(bbox=bbox), self.doc_coords).select("doc_id"), "doc_id", "left_semi")
         if tag is None:
             return docs
         if self.doc_tags is None:
@@ -96,23 +122,37 @@ class KnowledgeBase:
             out.append(F.col("lat").between(a, c) & F.col("lon").between(b, d))
         return out
 
-    def _counted(self, terms: list[str]) -> DataFrame:
-        """doc_id, n_trigrams and the weighted occurrences _tf0, _tf1, ... of terms, from the trigrams' places."""
+    def _places(self, terms: list[str], fields: dict[str, float], rows: DataFrame) -> tuple[DataFrame, list[list[Column]]]:
+        """A row a document of the index rows, and for each term the places of its occurrences in each of fields."""
         grams = sorted({t[i : i + 3] for t in terms for i in range(len(t) - 2)})
-        rows = self.trigrams.filter(F.col("gram").isin(grams))
-        places = {g: {f: F.first(F.when(F.col("gram") == g, F.col(f)), ignorenulls=True).alias(f"{f}{k}") for f in ("title_at", "body_at")} for k, g in enumerate(grams)}
+        rows = rows.filter(F.col("gram").isin(grams))
         if len(grams) == 1:
-            held = rows.select("doc_id", "n_trigrams", F.col("title_at").alias("title_at0"), F.col("body_at").alias("body_at0"))
+            held = rows.select("doc_id", "n_trigrams", *[F.col(f).alias(f"{f}0") for f in fields])
         else:
-            held = rows.groupBy("doc_id").agg(F.first("n_trigrams").alias("n_trigrams"), *[c for g in grams for c in places[g].values()])
+            places = [F.first(F.when(F.col("gram") == g, F.col(f)), ignorenulls=True).alias(f"{f}{k}") for k, g in enumerate(grams) for f in fields]
+            held = rows.groupBy("doc_id").agg(F.first("n_trigrams").alias("n_trigrams"), *places)
+        none = F.array().cast("array<int>")
 
         def occurrences(term: str, field: str) -> Column:
             if len(term) < 3:
-                return F.lit(0)
-            begins = [F.coalesce(F.col(f"{field}{grams.index(term[i : i + 3])}"), F.array().cast("array<int>")) for i in range(len(term) - 2)]
-            return F.size(reduce(F.array_intersect, [_back(b, i) for i, b in enumerate(begins)]))
+                return none
+            begins = [F.coalesce(F.col(f"{field}{grams.index(term[i : i + 3])}"), none) for i in range(len(term) - 2)]
+            return reduce(F.array_intersect, [_back(b, i) for i, b in enumerate(begins)])
+
+        return held, [[occurrences(t, f) for f in fields] for t in terms]
+
+    def _counted(self, terms: list[str]) -> DataFrame:
+        """doc_id, n_trigrams and the weighted occurrences _tf0, _tf1, ... of terms, from the trigrams' places."""
+        weights = {"title_at": T.TITLE_WEIGHT, "body_at": T.BODY_WEIGHT}
+        held, places = self._places(terms, weights, self.trigrams)
+        return held.select("doc_id", "n_trigrams", *[sum(w * F.size(p) for w, p in zip(weights.values(), of)).alias(f"_tf{i}") for i, of in enumerate(places)])
 
-        return held.select("doc_id", "n_trigrams", *[(T.TITLE_WEIGHT * occurrences(t, "title_at") + T.BODY_WEIGHT * occurrences(t, "body_at")).alias(f"_tf{i}") for i, t in enumerate(terms)])
+    def _first_shown(self, terms: list[str], ids: list[int]) -> DataFrame:
+        """doc_id, first, last: where the terms of the window stand that holds most different terms, for a page of documents."""
+        held, places = self._places(terms, {"body_at": 1.0}, self.trigrams.filter(F.col("doc_id").isin(ids)))
+        hits = lambda k, at: F.transform(at, lambda p: F.struct(p.alias("p"), F.lit(k).alias("k")))
+        at = F.array_sort(F.concat(*[hits(k, of[0]) for k, of in enumerate(places)]))
+        return T.best_window(held.select("doc_id", at.alias("at")), [len(t) for t in terms])
 
     def holding(self, terms: list[str]) -> DataFrame:
         """doc_id of the documents that hold all terms, by the index alone."""
@@ -154,7 +194,7 @@ class KnowledgeBase:
                 rows = self.restricted(**filters).join(scored, "doc_id")
             else:
                 best = scored.orderBy("_bm25", "doc_id").limit(max(offset + limit, pool or pool_size(offset, limit)))
-                anchors = self.docs.filter(F.col("title").startswith(q)).select("doc_id", "title").orderBy("title", "doc_id").limit(ANCHORS).filter((F.col("title") == q) | F.col("title").startswith(q + " ("))
+                anchors = self.by_title.filter(F.col("title").startswith(q)).select("doc_id", "title").orderBy("title", "doc_id").limit(ANCHORS).filter((F.col("title") == q) | F.col("title").startswith(q + " ("))
                 # POOL_MOST candidates and ANCHORS titles at most
                 picked = best.unionByName(scored.join(F.broadcast(anchors.select("doc_id")), "doc_id", "left_semi")).dropDuplicates(["doc_id"])
                 rows = self.docs.join(F.broadcast(picked), "doc_id")
@@ -164,8 +204,14 @@ class KnowledgeBase:
         page = rows.orderBy(*order).offset(offset).limit(limit).select("doc_id", "title", updated, F.round("score", 6).alias("score")).collect()
         found = [(n, r.doc_id, r.title, r.updated_at, r.score, mode) for n, r in enumerate(page)]
         told = self.docs.sparkSession.createDataFrame(found, "n int, doc_id bigint, title string, updated_at string, score double, mode string")
-        shown = T.snippet(F.col("body"), terms[0]) if terms else T.head(F.col("opening"), F.col("body"))
-        texts = self.docs.filter(F.col("doc_id").isin([r.doc_id for r in page])).select("doc_id", shown.alias("snippet"))
+        ids = [r.doc_id for r in page]
+        texts = self.docs.filter(F.col("doc_id").isin(ids))
+        if terms and len(terms) > 1 and ids:
+            texts = texts.join(F.broadcast(self._first_shown(terms, ids)), "doc_id", "left")  # the page's rows
+            shown = T.window(F.coalesce("body", F.lit("")), F.col("first"), F.col("last"))
+        else:
+            shown = T.snippet(F.col("body"), terms[0]) if terms else T.head(F.col("opening"), F.col("body"))
+        texts = texts.select("doc_id", shown.alias("snippet"))
         return texts.join(F.broadcast(told), "doc_id").orderBy("n").select("doc_id", "title", "snippet", "updated_at", "score", "mode")
 
     def doc_by_id(self, doc_id: int, fields: str | None = None, max_chars: int = 0) -> DataFrame:
@@ -173,7 +219,7 @@ class KnowledgeBase:
 
     def candidates(self, title: str, limit: int = 5) -> DataFrame:
         """Titles that begin alike, for answers that nothing was found."""
-        return self.docs.filter(F.col("title").startswith(title)).orderBy(F.col("rank_score").desc_nulls_last(), "title").limit(limit).select("doc_id", "title")
+        return self.by_title.filter(F.col("title").startswith(title)).orderBy(F.col("rank_score").desc_nulls_last(), "title").limit(limit).select("doc_id", "title")
 
     def doc(self, title: str, **filters: str | None) -> DataFrame:
         """Exact titles, then up to five documents that have it as alias; `stage` and rank_score order them."""
@@ -219,7 +265,7 @@ class KnowledgeBase:
         return counts.orderBy(F.desc("docs"), "tag").offset(max(0, offset)).limit(clamp(limit, MOST["tags"]))
 
     def titles(self, prefix: str = "", limit: int = 20) -> DataFrame:
-        return self.docs.filter(F.col("title").startswith(prefix)).orderBy(F.col("rank_score").desc_nulls_last(), "title").limit(clamp(limit, MOST["titles"])).select("doc_id", "title")
+        return self.by_title.filter(F.col("title").startswith(prefix)).orderBy(F.col("rank_score").desc_nulls_last(), "title").limit(clamp(limit, MOST["titles"])).select("doc_id", "title")
 
     def links(self, title: str) -> DataFrame:
         """Outgoing links in text order, repeats included; the title may be an alias."""
@@ -235,15 +281,21 @@ class KnowledgeBase:
         at = Window.partitionBy().orderBy("doc_id")  # size + 1 rows at most
         return rows.withColumns({"_n": F.row_number().over(at), "_all": F.count("*").over(Window.partitionBy())}).filter(F.col("_n") <= size).select("doc_id", "title", "snippet", (F.col("_all") > size).alias("has_next"))
 
+    @cached_property
+    def attributes(self) -> dict[str, bool]:
+        """Whether any document has a feature, an area, coordinates, links: as build stored it, else by probes that end with their first hit."""
+        if "has_area" in self.told:
+            return {k: self.told[f"has_{k}"] == "true" for k in PROBES}
+        probes = {k: F.expr(p) for k, (column, p) in PROBES.items() if column in self.docs.columns}
+        return {k: k in probes and not self.docs.filter(probes[k]).limit(1).isEmpty() for k in PROBES}
+
     def has_attributes(self) -> DataFrame:
-        """One row: whether any document has a feature, coordinates, links. Each probe ends with its first hit."""
-        probes = {"has_feature": F.col("feature").isNotNull(), "has_coords": F.col("lat").isNotNull(), "has_links": F.size("links") > 0 if "links" in self.docs.columns else F.lit(False)}
-        found = tuple(not self.docs.filter(p).limit(1).isEmpty() for p in probes.values())
-        return self.docs.sparkSession.createDataFrame([found], ", ".join(f"{c} boolean" for c in probes))
+        """One row: has_feature, has_coords, has_links."""
+        names = ("feature", "coords", "links")
+        return self.docs.sparkSession.createDataFrame([tuple(self.attributes[n] for n in names)], ", ".join(f"has_{n} boolean" for n in names))
 
     def require(self, **given: object) -> None:
         """BadRequest where a condition is on an attribute that no document of this source has."""
-        has = self.has_attributes().first()
-        for name, flag in (("feature", "has_feature"), ("bbox", "has_coords"), ("links", "has_links")):
-            if given.get(name) is not None and not has[flag]:
+        for name, kind in (("feature", "feature"), ("area", "area"), ("bbox", "coords"), ("links", "links")):
+            if given.get(name) is not None and not self.attributes[kind]:
                 raise BadRequest(f"this source has no {name}")

@@ -46,15 +46,26 @@ def _search_sql(q: str, limit: int = 10, offset: int = 0, where: str = "TRUE", p
     exact = f"CASE WHEN lower(title) = '{q.lower()}' THEN 0 ELSE 1 END"
     t = terms[0]
     start = f"greatest(0, least(strpos(lower(body), '{t}') - 1 - {(40 - (len(t) - 2)) // 2}, length(body) - 42))"
+    window = windows = ""
+    if len(terms) > 1:
+        # Of the windows of 40 places that begin with an occurrence: most terms, most occurrences, the earliest.
+        at = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, {len(x)} AS n, unnest(list_filter(range(length(body)), lambda i: substr(b, i + 1, {len(x)}) = '{x}')) AS p FROM (SELECT doc_id, body, lower(body) AS b FROM page)" for k, x in enumerate(terms))
+        windows = f""",
+hit AS ({at}),
+w AS (SELECT x.doc_id, x.p AS f, count(DISTINCT y.k) AS terms, count(DISTINCT (y.p, y.k)) AS hits, max_by(y.p + y.n - 2, y.p * 100 + y.k) AS l FROM hit x JOIN hit y ON x.doc_id = y.doc_id AND y.p BETWEEN x.p AND x.p + 39 GROUP BY x.doc_id, x.p),
+best AS (SELECT doc_id, f, l FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY terms DESC, hits DESC, f) AS r FROM w) WHERE r = 1)"""
+        window = " LEFT JOIN best USING (doc_id)"
+        start = "coalesce(greatest(0, least(f - CAST(trunc((40 - (l - f)) / 2) AS BIGINT), length(body) - 42)), 0)"
     picked = "m" if pool is None else f"(SELECT * FROM m WHERE doc_id IN (SELECT doc_id FROM m ORDER BY s, doc_id LIMIT {max(pool, limit + offset)}) OR doc_id IN (SELECT doc_id FROM (SELECT * FROM m WHERE starts_with(title, '{q}') ORDER BY title, doc_id LIMIT 20) WHERE title = '{q}' OR starts_with(title, '{q} (')))"
     return f"""WITH {CORPUS},
 t AS (SELECT *, {tf}, greatest(length(title) - 2, 0) + greatest(length(body) - 2, 0) AS len FROM docs),
 c AS (SELECT count(*) AS n, avg(len) AS mean, {stats} FROM t),
-m AS (SELECT t.*, {score} AS s FROM t, c WHERE {' AND '.join(f'f{i} > 0' for i in range(len(terms)))} AND {where})
+m AS (SELECT t.*, {score} AS s FROM t, c WHERE {' AND '.join(f'f{i} > 0' for i in range(len(terms)))} AND {where}),
+page AS (SELECT doc_id, title, body, updated_at, round(s * (1 + 0.4 * greatest(0.0, least(1.0, coalesce(rank_score, 0.0)))), 6) AS score,
+  row_number() OVER (ORDER BY {exact}, s * (1 + 0.4 * greatest(0.0, least(1.0, coalesce(rank_score, 0.0)))), doc_id) AS place FROM {picked} ORDER BY place LIMIT {limit} OFFSET {offset}){windows}
 SELECT doc_id, title,
   CASE WHEN {start} > 0 THEN '…' ELSE '' END || substr(body, CAST({start} + 1 AS BIGINT), 42) || CASE WHEN {start} + 42 < length(body) THEN '…' ELSE '' END AS snippet,
-  updated_at, round(s * (1 + 0.4 * greatest(0.0, least(1.0, coalesce(rank_score, 0.0)))), 6) AS score, 'fts' AS mode
-FROM {picked} ORDER BY {exact}, s * (1 + 0.4 * greatest(0.0, least(1.0, coalesce(rank_score, 0.0)))), doc_id LIMIT {limit} OFFSET {offset}"""
+  updated_at, score, 'fts' AS mode FROM page{window} ORDER BY place"""
 
 
 def _searches() -> None:
