@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,19 +97,37 @@ def n_trigrams(title: Column, body: Column) -> Column:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents -> their trigrams, some documents at a time: three code points as one number, sorted with their places."""
+    names, ints = ["gram", "doc_id", "n_trigrams", "title_at", "body_at"], pa.int32()
     for batch in batches:
         for begin in range(0, batch.num_rows, 64):
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc in batch.slice(begin, 64).to_pylist():
-                at: dict[str, tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
-                for field, text in enumerate(((doc["title"] or "").lower(), (doc["body"] or "").lower())):
-                    for i in range(len(text) - 2):
-                        at[text[i : i + 3]][field].append(i)
-                for gram, (title_at, body_at) in at.items():
-                    for column, value in zip(rows, (gram, doc["doc_id"], doc["n_trigrams"], title_at, body_at)):
-                        column.append(value)
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int64(), pa.int32(), ints, ints))], names=["gram", "doc_id", "n_trigrams", "title_at", "body_at"])
+            part = batch.slice(begin, 64)
+            keys, rows, fields, places = ([] for _ in range(4))
+            for field, column in enumerate(("title", "body")):
+                for row, text in enumerate(part.column(column).to_pylist()):
+                    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                    n = len(codes) - 2
+                    if n > 0:
+                        keys.append(codes[:-2] << np.uint64(42) | codes[1:-1] << np.uint64(21) | codes[2:])
+                        rows.append(np.full(n, row, np.int64))
+                        fields.append(np.full(n, field, np.int8))
+                        places.append(np.arange(n, dtype=np.int32))
+            if not keys:
+                continue
+            key, row, field, place = (np.concatenate(x) for x in (keys, rows, fields, places))
+            order = np.lexsort((key, row))  # keeps a gram's titles before its bodies, both in text order
+            key, row, field, place = key[order], row[order], field[order], place[order]
+            first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1]))))
+            distinct, at = np.unique(key[first], return_inverse=True)
+            told = np.stack((distinct >> np.uint64(42), distinct >> np.uint64(21), distinct), 1) & np.uint64(0x1FFFFF)
+            text = told.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+            grams = pa.array([text[i : i + 3] for i in range(0, len(text), 3)], pa.string()).take(pa.array(at))
+            lists = []
+            for k in (0, 1):
+                ends = np.concatenate(([0], np.cumsum(np.add.reduceat(field == k, first, dtype=np.int64)))).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(ends, ints), pa.array(place[field == k], ints)))
+            of = pa.array(row[first])
+            yield pa.RecordBatch.from_arrays([grams, part.column("doc_id").take(of), part.column("n_trigrams").take(of), *lists], names=names)
 
 
 def trigram_index(docs: DataFrame) -> DataFrame:
