@@ -304,9 +304,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .select("rep", F.least("label", "near", "jump").alias("to"), "label")
         )
         turn = staged(turn, "labels")
+        dropped(label)
         changed = turn.filter("`to` < label").limit(1).count()
         label = turn.select("rep", F.col("to").alias("label"))
         if not changed:
+            dropped(both)
             break
     return nodes.join(label, "rep", "left").select("rep", F.coalesce("label", "rep").alias("group_id"))
 
@@ -325,13 +327,16 @@ def settled(label: DataFrame, met: DataFrame, classes: DataFrame, docs: DataFram
     A turn takes one pair of each two groups. When a turn hardly joins any, the last takes all that are open.
     """
     open_ = staged(rest(met, label, classes).join(tried, ["a", "b"], "left_anti"), "open")
-    last = False
+    last, read = False, [open_]  # tables that the next turn's open pairs follow from
     while True:
         end = lambda x: label.select(F.col("rep").alias(x), F.col("label").alias(f"l_{x}"))
         open_ = staged(open_.join(end("a"), "a").join(end("b"), "b").filter("l_a <> l_b").select("a", "b", "agree", F.least("l_a", "l_b").alias("lo"), F.greatest("l_a", "l_b").alias("hi")), "open")
+        dropped(*read)
+        read = [open_]
         if not last:
             turn = open_.groupBy("lo", "hi").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
             turn = staged(turn, "turn")
+            read.append(turn)
         else:
             turn = open_.select("a", "b")
         n = turn.count()
@@ -340,8 +345,11 @@ def settled(label: DataFrame, met: DataFrame, classes: DataFrame, docs: DataFram
         links = aligned(turn, docs)
         joined = links.count()
         if joined:
-            label = relabelled(label, links)
+            before, label = label, relabelled(label, links)
+            dropped(before)
+        dropped(links)
         if last:
+            dropped(*read)
             return label
         open_ = open_.join(turn, ["a", "b"], "left_anti").select("a", "b", "agree")
         last = joined < FEW * n
