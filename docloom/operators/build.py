@@ -209,7 +209,12 @@ def source(spark: SparkSession, root: str, name: str) -> KnowledgeBase:
     names = {r.source: r.path for r in catalog(spark, root).collect()}
     if name not in names:
         raise UnknownSource(f"{name}; there are {', '.join(sorted(names)) or 'none'}")
-    kb = opened(spark, names[name])
+    return checked(spark, name, names[name])
+
+
+def checked(spark: SparkSession, name: str, path: str) -> KnowledgeBase:
+    """The tables of one generation; UnknownSource where documents lack a column that all have."""
+    kb = opened(spark, path)
     if missing := {"doc_id", "title", "body"} - set(kb.docs.columns):
         raise UnknownSource(f"{name} lacks {', '.join(sorted(missing))}")
     return kb
@@ -263,6 +268,17 @@ def fingerprint(spark: SparkSession, root: str) -> str:
     names = sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
     return "|".join(f"{n}={current(spark, f'{root}/{n}')}" for n in names)
 
+CATALOG = "source string, schema_version string, dump_date string, doc_count bigint, path string"
+
+
+def described(spark: SparkSession, name: str, path: str) -> tuple | None:
+    """The catalog's row of one generation; None where it is unfinished, another source's or of an unsupported version."""
+    done, fs = file_system(spark, f"{path}/meta/_SUCCESS")
+    meta = spark.read.parquet(f"{path}/meta").first().asDict() if fs.exists(done) else {}
+    if meta.get("source") == name and meta.get("schema_version") in {"1", "2", "3", "4"}:
+        return name, meta["schema_version"], meta["dump_date"], int(meta["doc_count"]), path
+    return None
+
 
 def catalog(spark: SparkSession, root: str) -> DataFrame:
     """One row a published source of a supported schema version; broken ones are skipped."""
@@ -271,8 +287,6 @@ def catalog(spark: SparkSession, root: str) -> DataFrame:
     for s in fs.listStatus(p) if fs.exists(p) else []:
         name = s.getPath().getName()
         path = current(spark, f"{root}/{name}")
-        # A half-written source is no source.
-        meta = spark.read.parquet(f"{path}/meta").first().asDict() if path and fs.exists(file_system(spark, f"{path}/meta/_SUCCESS")[0]) else {}
-        if meta.get("source") == name and meta.get("schema_version") in {"1", "2", "3", "4"}:
-            rows.append((name, meta["schema_version"], meta["dump_date"], int(meta["doc_count"]), path))
-    return spark.createDataFrame(rows, "source string, schema_version string, dump_date string, doc_count bigint, path string")
+        if path and (row := described(spark, name, path)):
+            rows.append(row)
+    return spark.createDataFrame(rows, CATALOG)

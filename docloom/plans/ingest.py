@@ -12,6 +12,7 @@ from ..operators.notestore import NoteStore
 from ..sources import adapters, mapfile
 from ..storage import scratch
 from ..streaming import jobs as stream_jobs
+from ..streaming.catalog import OpenSources
 from .corpus import SQL as CORPUS
 from .corpus import knowledge
 
@@ -134,3 +135,26 @@ def notes_index_recall(spark, sf_dir):
 def notes_tag_changes(spark, sf_dir):
     """Tag counts as sums of signed changes."""
     return _changed(spark, sf_dir).tag_counts()
+
+
+@_register("catalog_refresh", "SELECT 'g2' AS generation, page_id AS doc_id, 'web' AS source FROM pages UNION ALL SELECT '20260102', doc_id, 'notes' FROM documents")
+def catalog_refresh(spark, sf_dir):
+    """Documents of sources that are published, one of them twice, while a stream keeps the catalog; a broken one is left out."""
+    path, root = scratch(spark, "lines"), scratch(spark, "sources")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("body"))
+    docs.select(F.to_json(F.struct(*docs.columns)).alias("value")).write.text(path)
+    known = adapters.Adapters()
+    known.add("notes", lambda: adapters.json_lines(spark, "notes", path, "20260102"))
+    open_ = OpenSources(spark, root)
+    stream = open_.start(0)
+    try:
+        for source, generation in (("web", "g1"), ("notes", None), ("web", "g2")):
+            known.add("web", lambda g=generation: adapters.web_pages("web", f"{sf_dir}/pages.parquet", g))
+            adapters.run(spark, known, source, root)
+            build.replace_text(spark, f"{root}/broken/CURRENT", "nothing")
+            stream.processAllAvailable()
+    finally:
+        stream.stop()
+    told = open_.catalog().select("source", F.col("dump_date").alias("generation"))
+    docs = [open_.get(s).docs.select(F.lit(s).alias("source"), "doc_id") for s in ("notes", "web")]
+    return docs[0].unionByName(docs[1]).join(F.broadcast(told), "source")  # a row a source
