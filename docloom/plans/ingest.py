@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import build
 from ..operators.notestore import NoteStore
-from ..sources import adapters, mapfile
+from ..sources import adapters, mapfile, wiki
 from ..storage import scratch
 from ..streaming import jobs as stream_jobs
 from ..streaming.catalog import OpenSources
@@ -158,3 +158,24 @@ def catalog_refresh(spark, sf_dir):
     told = open_.catalog().select("source", F.col("dump_date").alias("generation"))
     docs = [open_.get(s).docs.select(F.lit(s).alias("source"), "doc_id") for s in ("notes", "web")]
     return docs[0].unionByName(docs[1]).join(F.broadcast(told), "source")  # a row a source
+
+
+@_register("wiki_nested_markup", """WITH w AS (SELECT doc_id, coalesce(lang, 'none') AS tag, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')) AS w FROM documents)
+SELECT doc_id, nullif(w, '') AS opening, CASE WHEN w <> '' THEN w || ' ' || w END AS body, tag, 'To' AS link, CASE WHEN doc_id % 10 = 0 THEN 'r' || CAST(doc_id AS VARCHAR) END AS alias FROM w""")
+def wiki_nested_markup(spark, sf_dir):
+    """Documents as a dump of pages: whole texts as captions, footnotes, link labels and values of templates 50 deep, and redirects to some."""
+    path = scratch(spark, "dump")
+    docs = _table(spark, sf_dir, "documents")
+    w = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " "))
+    lit, num = F.lit, F.col("doc_id").cast("string")
+    markup = F.concat(
+        lit("[[File:a.jpg|thumb|"), w, lit(" [[in]] and [http://a.example b]]]<!-- "), w, lit(" --><ref name=a>"), w, lit("</ref>"), lit("{{box|a=" * 50), w, lit("}}" * 50),
+        lit("[[To|"), w, lit("]] [[Category:"), F.coalesce("lang", lit("none")), lit("]]"),
+    )
+    none = lit(None).cast("struct<_title: string>")
+    page = docs.select(F.concat(lit("p"), num).alias("title"), lit(0).alias("ns"), F.col("doc_id").alias("id"), none.alias("redirect"), F.struct(lit("2026-01-01").alias("timestamp"), markup.alias("text")).alias("revision"))
+    other = docs.filter("doc_id % 10 = 0").select(F.concat(lit("r"), num), lit(0), -F.col("doc_id") - 1, F.struct(F.concat(lit("p"), num).alias("_title")), F.struct(lit("2026-01-01").alias("timestamp"), lit("#").alias("text")))
+    page.union(other).write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(path)
+    found = wiki.documents(wiki.pages(spark, path))
+    one = lambda c: F.array_join(c, "|")
+    return found.select("doc_id", "opening", "body", one("tags").alias("tag"), one("links").alias("link"), F.nullif(one("aliases"), F.lit("")).alias("alias"))

@@ -1,19 +1,19 @@
-"""Wiki dumps: pages by Spark's XML reader, markup to text by expressions."""
+"""Wiki dumps: pages by Spark's XML reader, nested markup to text in Arrow batches, the rest by expressions."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import markup as M
 from ..operators.spatial import valid
 from ..schema import PAGEVIEWS, normalized_popularity
 
 PAGE = "title string, ns int, id bigint, redirect struct<_title: string>, revision struct<timestamp: string, text: string>"
 CATEGORY, MEDIA = ("Category:",), ("File:", "Image:")
-#: Templates and links within one another that are unfolded; deeper ones lose their braces only.
-DEPTH = 8
 _LINK = r"\[\[([^\[\]|{}]*)(?:\|[^\[\]]*)?\]\]"
 
 
@@ -26,25 +26,26 @@ def _prefixed(prefixes: Sequence[str]) -> str:
     return "(?:" + "|".join(rf"\Q{p}\E" for p in prefixes) + ")"
 
 
+def _each(change: Callable[[str], str], text: Column) -> Column:
+    """A small function of each text, in Arrow batches; null stays null."""
+
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(change, na_action="ignore")
+
+    return F.pandas_udf(run, "string")(text)
+
+
 def prose(markup: Column, media: Sequence[str] = MEDIA) -> Column:
     """Markup without comments, footnotes and embedded media."""
-    out = F.regexp_replace(markup, r"(?s)<!--.*?(?:-->|\z)|(?i)<(ref|references)\b[^>/]*/>|<(ref|references)\b[^>]*(?<!/)>.*?</\2\s*>", "")
-    inner = r"(?:[^\[\]]++|\[\[[^\[\]]*+\]\]|\[[^\[\]]*+\])*+"  # possessive: captions of any length without recursion
-    return F.regexp_replace(out, rf"\[\[\s*{_prefixed(media)}{inner}\]\]", "")
+    prefixes = tuple(media)
+    return _each(lambda t: M.without_media(M.without_notes(t), prefixes), markup)
 
 
 def plain(markup: Column, params: bool, category: Sequence[str] = CATEGORY) -> Column:
     """Text of prose markup; of templates the values of their parameters stay, or nothing."""
-    out = F.regexp_replace(markup, rf"\[\[\s*{_prefixed(category)}[^\[\]]*\]\]", "")
-    out = F.regexp_replace(out, r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", "$1")
+    prefixes = tuple(category)
+    out = _each(lambda t: M.unfolded(t, params, prefixes), markup)
     out = F.regexp_replace(out, r"\[(?:https?:)?//[^\s\]]+ ?([^\]]*)\]", "$1")
-    for _ in range(DEPTH):
-        if params:
-            out = F.regexp_replace(out, r"(?<=\|)[^|{}=\n]*=(?=[^{}]*\}\})", "")
-            out = F.regexp_replace(out, r"\{\{[^{}|]*\}\}", "")
-            out = F.regexp_replace(out, r"\{\{[^{}|]*\|([^{}]*)\}\}", " $1 ")
-        else:
-            out = F.regexp_replace(out, r"\{\{[^{}]*\}\}", "")
     out = F.regexp_replace(out, r"(?m)^\s*(?:\{\||\|\}|\|-|\|\+).*$", "")
     out = F.regexp_replace(out, r"(?m)^=+\s*(.*?)\s*=+\s*$", "$1")
     out = F.regexp_replace(out, r"\{\{|\}\}|'{2,}|__[A-Z]+__|</?[A-Za-z][^<>]*>", "")

@@ -9,7 +9,7 @@ from docloom.sources import html, wiki
 
 MARKUP = {
     "caption": "[[File:a.jpg|thumb|" + "word " * 10_000 + "[[link|shown]] and [http://x y]]] after", "open": "[[" * 50_000, "braces": "{{a|" * 20_000, "close": "]]" * 50_000,
-    "comment": "<!--" * 20_000 + "x", "quotes": "''" * 50_000, "equals": "=" * 50_000 + "\n", "pipes": "|" * 50_000,
+    "comment": "<!--" * 20_000 + "x", "notes": "<ref>" * 50_000, "levels": "{{box|a=" * 50 + "kept" + "}}" * 50, "quotes": "''" * 50_000, "equals": "=" * 50_000 + "\n", "pipes": "|" * 50_000,
 }
 PAGES = {"script": "<script" * 20_000, "tags": "<a " * 60_000, "comments": "<!-- " * 40_000, "titles": "<title>" * 20_000, "entities": "&amp;" * 50_000, "breaks": "<br>" * 50_000, "blanks": " \n" * 50_000, "word": "x" * 2_000_000}
 
@@ -22,6 +22,8 @@ def test_markup(spark, name):
     assert row.c is None and time.time() - began < 60
     if name == "caption":
         assert row.t == "after"
+    if name == "levels":
+        assert row.t == "kept"
 
 
 @pytest.mark.parametrize("name", PAGES)
