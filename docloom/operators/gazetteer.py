@@ -18,7 +18,10 @@ def places(rows: DataFrame, countries: DataFrame, regions: DataFrame, names: Dat
     size Spark checks before it broadcasts. An unknown country shows its code. The most
     populous of a name, then the least id, keeps it; others become `name (CC:id)` and have
     the plain name as alias. names (id, name, lang) adds aliases; lang wkdt is the item id.
+    Rows may have timezone, elevation (whole numbers only) and modified as text; extra is JSON
+    of what a place has, without what is null, and no population of nobody.
     """
+    optional = lambda c: F.nullif(F.col(c), F.lit("")) if c in rows.columns else F.lit(None).cast("string")
     sound = rows.filter(F.col("class").isin(*CLASSES) & (F.col("name") != "") & F.col("id").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
     owners = title_owners(sound, "population", "id", "name")
     joined = (
@@ -38,11 +41,18 @@ def places(rows: DataFrame, countries: DataFrame, regions: DataFrame, names: Dat
     title = F.when(owned, F.col("name")).otherwise(F.concat("name", F.lit(" ("), "cc", F.lit(":"), F.col("id").cast("string"), F.lit(")")))
     country = F.coalesce("country", "cc")
     plain = F.when(owned, F.array().cast("array<string>")).otherwise(F.array("name"))
+    feature, area = F.concat("class", F.lit("="), "code"), F.coalesce("region", country)
+    people = F.when(F.col("population") > 0, F.col("population"))
+    extra = F.struct(
+        "lat", "lon", feature.alias("feature"), F.col("cc").alias("country_code"), area.alias("area"), country.alias("country"), people.alias("population"),
+        optional("timezone").alias("timezone"), F.when(optional("elevation").rlike("^-*[0-9]+$"), optional("elevation").try_cast("bigint")).alias("elevation"), "wikidata",
+    )
     return joined.select(
         F.col("id").alias("doc_id"), title.alias("title"),
         F.concat_ws(" / ", "name", "region", country).alias("opening"),
         F.array_distinct(F.array_compact(F.array(country, "region"))).alias("tags"),
         F.array_remove(F.array_distinct(F.concat(plain, F.coalesce("_names", F.array().cast("array<string>")))), title).alias("aliases"),
-        F.concat("class", F.lit("="), "code").alias("feature"), F.coalesce("region", country).alias("area"), "lat", "lon", "wikidata", "population",
+        feature.alias("feature"), area.alias("area"), "lat", "lon", "wikidata", "population",
         normalized_popularity(F.col("population").cast("double"), CITY).alias("rank_score"),
+        optional("modified").alias("updated_at"), F.to_json(extra).alias("extra"),
     )

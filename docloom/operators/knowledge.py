@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schema import FIELDS, BadRequest, NotFound
+from .deadline import SECONDS, deadline
 
 MOST = {"search": 50, "filter": 500, "tags": 500, "titles": 100, "random": 50}
 ANCHORS = 20
 #: Candidates of a search: so many times what is asked for, between the least and the most.
 POOL_FACTOR, POOL_LEAST, POOL_MOST = 5, 300, 2000
 
+#: Methods that return a page or what one document has.
+PAGES = ("search", "doc", "doc_by_id", "candidates", "filter", "filter_total", "tags", "titles", "links", "random", "browse")
+
 #: What a source can have: the column, and what its documents must meet.
 PROBES = {"feature": ("feature", "feature IS NOT NULL"), "area": ("area", "area IS NOT NULL"), "coords": ("lat", "lat IS NOT NULL AND lon IS NOT NULL"), "links": ("links", "size(links) > 0")}
 
@@ -231,6 +235,13 @@ class KnowledgeBase:
         byalias = docs.join(named, "doc_id", "left_semi").filter(F.col("title") != title).orderBy(F.col("rank_score").desc_nulls_last(), "doc_id").limit(5).withColumn("stage", F.lit(1))
         return exact.unionByName(byalias).orderBy("stage", F.col("rank_score").desc_nulls_last(), "doc_id")
 
+    def answer(self, method: str, *args, seconds: float = SECONDS, **given) -> list:
+        """The rows of one of PAGES. What takes longer is interrupted, also jobs that prepare the page, and raises DeadlineExceeded."""
+        if method not in PAGES:
+            raise BadRequest(f"{method} isn't one of {', '.join(PAGES)}")
+        with deadline(self.docs.sparkSession, seconds):
+            return getattr(self, method)(*args, **given).collect()
+
     def doc_or_raise(self, title: str, **filters: str | None):
         """The best document of doc(); NotFound carries candidates."""
         found = self.doc(title, **filters).first()

@@ -1,11 +1,13 @@
 """Retrieval on small hand-made sources, and all registered queries against their SQL."""
 
+import json
+
 import duckdb
 import pytest
 
 from docloom import registry
 from docloom.functions import text as T
-from docloom.operators import build, context, mapfeatures, notes, spatial
+from docloom.operators import build, context, gazetteer, mapfeatures, notes, spatial
 from docloom.operators.deadline import DeadlineExceeded, deadline
 from docloom.operators.knowledge import KnowledgeBase, parse_bbox, parse_fields, pool_size
 from docloom.schema import BadRequest, NotFound, UnknownSource
@@ -120,6 +122,26 @@ def test_deadline(spark):
     assert spark.range(10).count() == 10
 
 
+def test_answers_keep_the_deadline(spark, kb):
+    assert [r.title for r in kb.answer("search", "capital west of", seconds=60)] == ["Kyoto"] == [r.title for r in kb.answer("filter", area="Kansai", seconds=60)]
+    slow = spark.range(0, 400, 1, 50).select(F.col("id").alias("doc_id"), F.expr("concat('t', reflect('java.lang.Thread', 'sleep', 100L))").alias("title"), F.lit("b").alias("body"), F.lit(1.0).alias("rank_score"))
+    with pytest.raises(DeadlineExceeded):
+        KnowledgeBase(slow).answer("titles", "t", seconds=1.0)
+    with pytest.raises(BadRequest):
+        kb.answer("matches", "capital")
+
+
+def test_places_extra(spark):
+    rows = spark.createDataFrame([(1, "A", 1.5, 2.5, "P", "PPL", "JP", "01", 10, "Asia/Tokyo", "-3", "2026-01-01"), (2, "B", 1.0, 2.0, "T", "MT", "XX", "", 0, "", "3.5", "")], "id bigint, name string, lat double, lon double, class string, code string, cc string, admin1 string, population bigint, timezone string, elevation string, modified string")
+    names = spark.createDataFrame([(1, "Q7", "wkdt")], "id bigint, name string, lang string")
+    out = gazetteer.places(rows, spark.createDataFrame([("JP", "Japan")], "cc string, country string"), spark.createDataFrame([("JP.01", "North")], "key string, region string"), names)
+    got = {r.doc_id: (r.updated_at, json.loads(r.extra)) for r in out.collect()}
+    assert got[1] == ("2026-01-01", {"lat": 1.5, "lon": 2.5, "feature": "P=PPL", "country_code": "JP", "area": "North", "country": "Japan", "population": 10, "timezone": "Asia/Tokyo", "elevation": -3, "wikidata": "Q7"})
+    assert got[2] == (None, {"lat": 1.0, "lon": 2.0, "feature": "T=MT", "country_code": "XX", "area": "XX", "country": "XX"})
+    bare = gazetteer.places(rows.drop("timezone", "elevation", "modified"), spark.createDataFrame([], "cc string, country string"), spark.createDataFrame([], "key string, region string"))
+    assert bare.filter("updated_at IS NULL AND extra NOT LIKE '%elevation%'").count() == 2
+
+
 def test_notes(spark):
     empty = spark.createDataFrame([], "doc_id bigint, title string, opening string, body string, tags array<string>, updated_at string")
     batch = spark.createDataFrame([(1, None, "\n first \nmore", ["a", "b"]), (2, "first", "x" * 500, ["a"])], "seq int, title string, text string, tags array<string>")
