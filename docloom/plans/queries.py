@@ -324,22 +324,37 @@ def popularity(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select("c_custkey", normalized_popularity(F.col("c_acctbal"), 8.0).alias("score"))
 
 
-@_register("gazetteer_build", """WITH p AS (SELECT s_suppkey AS id, 'Place ' || CAST(s_suppkey % 40 AS VARCHAR) AS name, s_nationkey, s_acctbal FROM supplier WHERE s_name <> ''),
-o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN s_acctbal > 0 THEN CAST(floor(s_acctbal) AS BIGINT) ELSE 0 END DESC, id) AS n FROM p)
-SELECT id AS doc_id, CASE WHEN n = 1 THEN name ELSE name || ' (' || CAST(s_nationkey AS VARCHAR) || ':' || CAST(id AS VARCHAR) || ')' END AS title,
-  name || coalesce(' / ' || r_name, '') || ' / ' || coalesce(n_name, CAST(s_nationkey AS VARCHAR)) AS opening, coalesce(r_name, n_name) AS area,
-  CASE WHEN s_acctbal >= 1 THEN round(least(1.0, log10(1.0 + floor(s_acctbal)) / 8.0), 4) ELSE 0.0 END AS rank_score
-FROM o LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey""")
-def gazetteer_build(spark, sf_dir):
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as places of their nations."""
     nation, region = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
     rows = _table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").cast("bigint").alias("id"), F.concat(F.lit("Place "), (F.col("s_suppkey") % 40).cast("string")).alias("name"),
         F.lit(1.0).alias("lat"), F.lit(1.0).alias("lon"), F.lit("P").alias("class"), F.lit("PPL").alias("code"), F.col("s_nationkey").cast("string").alias("cc"),
         F.lit("r").alias("admin1"), F.when(F.col("s_acctbal") > 0, F.floor("s_acctbal")).otherwise(F.lit(0)).cast("bigint").alias("population"),
+        F.concat(F.lit("Zone/"), F.col("s_nationkey").cast("string")).alias("timezone"), F.when(F.col("s_suppkey") % 3 == 0, (F.col("s_suppkey") - 20).cast("string")).otherwise("4.5").alias("elevation"), F.lit("2026-01-01").alias("modified"),
     )
     countries = nation.select(F.col("n_nationkey").cast("string").alias("cc"), F.col("n_name").alias("country"))
     regions = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.concat(F.col("n_nationkey").cast("string"), F.lit(".r")).alias("key"), F.col("r_name").alias("region"))
-    return gazetteer.places(rows, countries, regions).select("doc_id", "title", "opening", "area", "rank_score")
+    return gazetteer.places(rows, countries, regions)
+
+
+@_register("gazetteer_build", """WITH p AS (SELECT s_suppkey AS id, 'Place ' || CAST(s_suppkey % 40 AS VARCHAR) AS name, s_nationkey, s_acctbal FROM supplier WHERE s_name <> ''),
+o AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN s_acctbal > 0 THEN CAST(floor(s_acctbal) AS BIGINT) ELSE 0 END DESC, id) AS n FROM p)
+SELECT id AS doc_id, CASE WHEN n = 1 THEN name ELSE name || ' (' || CAST(s_nationkey AS VARCHAR) || ':' || CAST(id AS VARCHAR) || ')' END AS title,
+  name || coalesce(' / ' || r_name, '') || ' / ' || coalesce(n_name, CAST(s_nationkey AS VARCHAR)) AS opening, coalesce(r_name, n_name) AS area,
+  CASE WHEN s_acctbal >= 1 THEN round(least(1.0, log10(1.0 + floor(s_acctbal)) / 8.0), 4) ELSE 0.0 END AS rank_score
+FROM o LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey""")
+def gazetteer_build(spark, sf_dir):
+    return _places(spark, sf_dir).select("doc_id", "title", "opening", "area", "rank_score")
+
+
+@_register("gazetteer_extra", """SELECT s_suppkey AS doc_id, '2026-01-01' AS updated_at, CAST(s_nationkey AS VARCHAR) AS country_code, coalesce(n_name, CAST(s_nationkey AS VARCHAR)) AS country, 'Zone/' || CAST(s_nationkey AS VARCHAR) AS timezone,
+  CASE WHEN s_acctbal >= 1 THEN CAST(floor(s_acctbal) AS BIGINT) END AS population, CASE WHEN s_suppkey % 3 = 0 THEN CAST(s_suppkey AS BIGINT) - 20 END AS elevation
+FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey WHERE s_name <> ''""")
+def gazetteer_extra(spark, sf_dir):
+    """What places keep besides the document model, read back from their JSON."""
+    told = F.from_json("extra", "country_code string, country string, timezone string, population bigint, elevation bigint").alias("e")
+    return _places(spark, sf_dir).select("doc_id", "updated_at", told).select("doc_id", "updated_at", "e.*")
 
 
 # --- places ---------------------------------------------------------------------------------
