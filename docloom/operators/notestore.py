@@ -93,7 +93,7 @@ class NoteStore:
     def _derive(self, at: str, gone: DataFrame | None = None) -> None:
         """The tables that follow from a segment's rows, and from tags that its changes take away."""
         docs = self.spark.read.schema(DOCS).parquet(f"{at}/docs")
-        build.trigram_index(docs).repartitionByRange("gram", "doc_id").sortWithinPartitions("gram", "doc_id").write.parquet(f"{at}/trigrams")
+        build.write_trigrams(docs, f"{at}/trigrams")
         tags = build.doc_tags(docs)
         tags.sortWithinPartitions("tag", "doc_id").write.parquet(f"{at}/doc_tags")
         moved = tags.select("tag", F.lit(1).cast("bigint").alias("n"))
