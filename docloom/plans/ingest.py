@@ -14,7 +14,7 @@ from ..storage import scratch
 from ..streaming import jobs as stream_jobs
 from ..streaming.catalog import OpenSources
 from .corpus import SQL as CORPUS
-from .corpus import knowledge
+from .corpus import documents
 
 REGISTRY: dict = {}
 
@@ -115,8 +115,9 @@ _CHANGED = f"""WITH {CORPUS}, changed AS (SELECT doc_id, title, CASE WHEN doc_id
 
 def _changed(spark: SparkSession, sf_dir: str) -> NoteStore:
     """The corpus as notes, of which a tenth is deleted and a tenth changed afterwards."""
-    store = NoteStore(spark, scratch(spark, "notes"))
-    docs = knowledge(spark, sf_dir).docs
+    store, path = NoteStore(spark, scratch(spark, "notes")), scratch(spark, "corpus")
+    documents(spark, sf_dir).write.parquet(path)
+    docs = spark.read.parquet(path)
     store.apply(docs.select("doc_id", "title", "opening", "body", "tags", "updated_at", F.lit(False).alias("deleted")))
     new = [F.concat(F.lit("other text "), F.col("doc_id").cast("string")).alias("body"), F.array(F.lit("changed"), "lang").alias("tags"), F.lit("2026-12-31").alias("updated_at")]
     store.apply(docs.filter("doc_id % 10 = 4").select("doc_id", "title", "opening", *new, F.lit(False).alias("deleted")))

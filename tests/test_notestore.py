@@ -41,3 +41,26 @@ def test_tables_follow_changes(spark, tmp_path, monkeypatch):
     assert _same(spark, store) == {1: ("T", "changed", ["b", "c"]), 3: ("T (3)", "third", [])}
     store.apply(spark.createDataFrame([(9, "gone", None, None, None, "2026", True), (3, "old", "o", "o", ["x"], "2026-01-04", False), (3, "new", "o", "n", ["y"], "2026-01-05", False)], notestore.DOCS + ", deleted boolean"))
     assert _same(spark, store) == {1: ("T", "changed", ["b", "c"]), 3: ("new", "n", ["y"])}
+
+
+def _change(spark, i):
+    told = [(i, f"t{i}", "o", f"body {i}", ["a"], "1", False)] + ([(i - 3, f"t{i - 3}", "o", f"other {i}", ["b"], "2", False), (i - 2, None, None, None, None, "2", True)] if i % 4 == 3 else [])
+    return spark.createDataFrame(told, notestore.DOCS + ", deleted boolean")
+
+
+def test_compaction_leaves_segments_of_a_higher_level(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(notestore, "MOST", 1)
+    store, merges, merge = notestore.NoteStore(spark, f"file://{tmp_path}/notes"), [], notestore.NoteStore._merge
+    monkeypatch.setattr(notestore.NoteStore, "_merge", lambda self, older, merged, level: (merges.append(len(merged)), merge(self, older, merged, level)))
+    for i in range(7):
+        store.apply(_change(spark, i))
+    assert [n.rsplit("-", 1)[1] for n in store.segments] == ["2", "1", "0"] and merges == [2, 2, 2, 2]
+    want = {i: (f"t{i}", f"body {i}", ["a"]) for i in range(7) if i != 1} | {0: ("t0", "other 3", ["b"])}
+    assert _same(spark, store) == want
+
+
+def test_new_ids_void_nothing(spark, tmp_path):
+    store = notestore.NoteStore(spark, f"file://{tmp_path}/notes")
+    store.apply(_change(spark, 0))
+    store.apply(_change(spark, 0).unionByName(_change(spark, 9)).withColumn("updated_at", F.lit("3")))
+    assert [r.doc_id for r in store._read("void").collect()] == [0]
