@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docloom.operators import mapfeatures
@@ -84,3 +85,24 @@ def test_features_of_a_file(spark, tmp_path):
     assert [tuple(r) for r in mapfeatures.relation_centres(relations, ways, nodes).collect()] == [(1, 2.0, 4.0)]
     assert nodes.filter("tags['name'] = 'Tokyo'").first().updated_at == "2026-06-01T00:00:00+00:00"
     assert np.allclose(M.Block(M.encoded([r.asDict(True) | {"tags": []} for r in spark.createDataFrame(rows[:1], M.SCHEMA).collect()])).degrees(356895000, 0), 35.6895)
+
+
+def test_short_lists_are_decoded_as_long_ones():
+    rng = random.Random(9)
+    for _ in range(300):
+        values = [rng.choice((1, -1)) * rng.getrandbits(rng.choice((3, 7, 14, 40, 61))) for _ in range(rng.randint(0, 40))]
+        data = M._delta(values)
+        assert M.places(data) == M.deltas(data).tolist() == values
+        assert M.numbers(data) == M.varints(data).tolist()
+        assert M.numbers(data + b"\x80") == M.varints(data + b"\x80").tolist()
+
+
+def test_a_batch_is_read_flat():
+    member = lambda i: {"type": "nwr"[i % 3], "ref": i, "role": "inner" * (i % 2)}
+    rows = [
+        {"kind": "nwr"[i % 3], "id": i, "lat": i / 7 if i % 3 == 0 else None, "lon": 1.0 if i % 3 == 0 else None, "tags": [("k", f"v{i % 4}")] * (i % 3) if i % 5 else None,
+         "refs": list(range(i % 4)) if i % 3 == 1 else None, "members": [member(j) for j in range(i % 5)] if i % 3 == 2 else None, "updated_at": None if i % 2 else "2026-01-01T00:00:00+00:00"}
+        for i in range(60)
+    ]
+    batch = pa.RecordBatch.from_pylist(rows, schema=M._ARROW)
+    assert M.rows_of(batch) == rows and M.rows_of(batch.slice(7, 20)) == rows[7:27]
