@@ -18,8 +18,15 @@ _LINK = r"\[\[([^\[\]|{}]*)(?:\|[^\[\]]*)?\]\]"
 
 
 def pages(spark: SparkSession, path: str) -> DataFrame:
-    """One row a page element, compressed files included; namespaces of the elements don't matter."""
-    return spark.read.format("xml").option("rowTag", "page").schema(PAGE).load(path)
+    """One row a page element, compressed files included; namespaces of the elements don't matter.
+
+    Spark's XML reader gives a file to one task. Here what ends with a page's end is one record
+    of the text reader, which splits files by size, also within bzip2; gzip can't be split.
+    """
+    text = spark.read.option("lineSep", "</page>").text(path)
+    page = F.regexp_extract("value", r"(?s)<page(?:\s[^>]*)?>.*", 0)
+    told = text.select(page.alias("page")).filter("page <> ''").select(F.from_xml(F.concat("page", F.lit("</page>")), PAGE).alias("p"))
+    return told.select("p.*").filter("title IS NOT NULL OR id IS NOT NULL")  # a file may end within a page
 
 
 def _prefixed(prefixes: Sequence[str]) -> str:

@@ -119,3 +119,17 @@ def test_json_lines(spark, tmp_path):
     with pytest.raises(Exception, match="no title in line 2"):
         lines.documents(spark, str(tmp_path / "bad.ndjson")).collect()
     assert lines.header(spark, str(tmp_path / "bad.ndjson"), "20990101")["dump_date"] == "20990101"
+
+
+def test_one_dump_is_read_by_several_tasks(spark, tmp_path):
+    page = lambda i: f"<page>\n<title>P{i}</title><ns>0</ns><id>{i}</id><revision><timestamp>t</timestamp><text xml:space=\"preserve\">&lt;page&gt; {'word ' * 50}{i}</text></revision>\n</page>\n"
+    (tmp_path / "dump.xml").write_text("<mediawiki>\n<siteinfo><pages>x</pages></siteinfo>\n" + "".join(map(page, range(400))) + "<page><title>Cut</title><ns>0</ns><revi")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        found = wiki.pages(spark, str(tmp_path / "dump.xml"))
+        assert found.rdd.getNumPartitions() > 5
+        rows = [r for r in found.collect() if r.title != "Cut"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert sorted((r.id, r.title, r.revision.text.split()[-1]) for r in rows) == [(i, f"P{i}", str(i)) for i in range(400)]
