@@ -84,6 +84,52 @@ def sketch(words: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), octets.sum(1, dtype=np.uint64).view(np.int64)
 
 
+def bag(words: list[bytes]) -> bytes:
+    """The codes, of two bytes and ascending, of a text's words, each labelled with its occurrence number."""
+    order = np.argsort(hashes := word_hashes(words), kind="stable")
+    same = hashes[order]
+    begins = np.flatnonzero(np.concatenate(([True], same[1:] != same[:-1])))
+    number = (np.arange(len(same)) - np.repeat(begins, np.diff(np.append(begins, len(same))))).astype(np.uint64)
+    return np.unique((mix(same + number * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(48)).astype("<u2")).tobytes()
+
+
+def least_distances(x: list[bytes], y: list[bytes], n_x: np.ndarray, n_y: np.ndarray) -> np.ndarray:
+    """What the word edit distances of texts with bags x and y and of n_x and n_y words are at least, as a matrix.
+
+    An edit makes at most one word of the longer text differ. Words that fall on one code only raise what
+    seems common, so no pair is judged too far apart.
+    """
+    codes = [[np.frombuffer(b, "<u2") for b in bags] for bags in (x, y)]
+    shared = np.zeros(1 << 16, bool)
+    shared[np.concatenate(codes[0])] = True
+    other = np.zeros(1 << 16, bool)
+    other[np.concatenate(codes[1])] = True
+    shared &= other
+    place = np.cumsum(shared) - 1
+
+    def matrix(side: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(side), int(shared.sum())), np.float32)
+        for row, held in zip(out, side):
+            row[place[held[shared[held]]]] = 1
+        return out
+
+    common = (matrix(codes[0]) @ matrix(codes[1]).T).astype(np.int64)
+    slack = [n - np.array([len(c) for c in side]) for n, side in zip((n_x, n_y), codes)]
+    return np.maximum(n_x[:, None], n_y) - common - np.minimum(slack[0][:, None], slack[1])
+
+
+def agreements(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """agreeing for each of the packed least grams x and y, as a matrix."""
+    octets = [a.astype("<i8").view(np.uint8).reshape(len(a), 2 * FIFTHS, 8)[:, :, :7].reshape(len(a), FIFTHS, PER_FIFTH) for a in (x, y)]
+    out = np.zeros((len(x), len(y)), np.int32)
+    for q in range(FIFTHS):
+        equal = np.zeros(out.shape, bool)
+        for k in range(PER_FIFTH):
+            equal |= octets[0][:, q, k, None] == octets[1][:, q, k]
+        out += equal
+    return out
+
+
 def agreeing(a: Column, b: Column) -> Column:
     """In how many fifths two texts' packed least grams have an equal one, by arithmetic that Spark compiles."""
     low, high = F.lit(0x7F7F7F7F7F7F7F), F.lit(0x80808080808080)
@@ -99,7 +145,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin in range(0, batch.num_rows, 512):
             part = batch.slice(begin, 512)
-            out: dict[str, list] = {"doc_id": part.column("doc_id").to_pylist(), "digest": [], "n_words": [], "keys": [], "least": []}
+            out: dict[str, list] = {"doc_id": part.column("doc_id").to_pylist(), "digest": [], "n_words": [], "keys": [], "least": [], "bag": []}
             for text in part.column("text").to_pylist():
                 words = text.split()
                 keys, least = sketch(words) if words else (np.zeros(0, np.int64), np.zeros(2 * FIFTHS, np.int64))
@@ -107,8 +153,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out["n_words"].append(len(words))
                 out["keys"].append(keys)
                 out["least"].append(least)
+                out["bag"].append(bag(words) if words else b"")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out["doc_id"], pa.int64()), pa.array(out["digest"], pa.string()), pa.array(out["n_words"], pa.int32()), pa.array(out["keys"], pa.list_(pa.int64())), pa.array(out["least"], pa.list_(pa.int64()))],
+                [pa.array(out["doc_id"], pa.int64()), pa.array(out["digest"], pa.string()), pa.array(out["n_words"], pa.int32()), pa.array(out["keys"], pa.list_(pa.int64())), pa.array(out["least"], pa.list_(pa.int64())), pa.array(out["bag"], pa.binary())],
                 names=list(out),
             )
 
@@ -131,8 +178,28 @@ def _common(a: list, b: list, i: int, j: int) -> int:
     return size
 
 
+def distance(a: list, b: list) -> int:
+    """The word edit distance, a column of differences at a time as the bits of two numbers (Myers, Hyyrö)."""
+    at: dict = {}
+    for i, word in enumerate(a):
+        at[word] = at.get(word, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, told = every, 0, len(a)  # where the column rises, where it falls, and its last value
+    for word in b:
+        equal = at.get(word, 0)
+        across = (((equal & up) + up) ^ up) | equal
+        rises, falls = down | every & ~(across | up), up & across
+        if rises & last:
+            told += 1
+        elif falls & last:
+            told -= 1
+        rises, kept = rises << 1 | 1, equal | down
+        up, down = (falls << 1 | ~(kept | rises)) & every, rises & kept & every
+    return told
+
+
 def distance_within(a: list, b: list, most: int) -> int | None:
-    """The word edit distance if it is at most `most`, by furthest points on the band of diagonals."""
+    """The word edit distance if it is at most `most`: by furthest points on the band of diagonals, or column by column where it is large."""
     head = _common(a, b, 0, 0)
     a, b = a[head:], b[head:]
     while a and b and a[-1] == b[-1]:
@@ -152,6 +219,9 @@ def distance_within(a: list, b: list, most: int) -> int | None:
     if far[0] == n and goal == 0:
         return 0
     for e in range(1, most + 1):
+        if e * e > n + m:  # as many steps as there are columns
+            found = distance(a, b)
+            return found if found <= most else None
         turn = {}
         # Diagonals from which the goal can still be reached with the edits left.
         for k in range(max(-e, goal - (most - e)), min(e, goal + (most - e)) + 1):
@@ -168,9 +238,13 @@ def distance_within(a: list, b: list, most: int) -> int | None:
     return None
 
 
+def most_edits(longer, similarity: float = SIMILARITY):
+    """The edits that texts which are alike need at most, by the words of the longer one, or of several."""
+    return np.int64((1 - similarity) * longer + 1e-9)
+
+
 def alike(a: list, b: list, similarity: float = SIMILARITY) -> bool:
-    longer = max(len(a), len(b))
-    return distance_within(a, b, int((1 - similarity) * longer + 1e-9)) is not None
+    return distance_within(a, b, int(most_edits(max(len(a), len(b)), similarity))) is not None
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,12 +302,61 @@ def candidates(met: DataFrame, label: DataFrame, tried: DataFrame) -> DataFrame:
     return pairs.groupBy("lo", "hi").agg(F.max_by(F.struct("a", "b"), F.struct("w", "a", "b")).alias("p")).select("p.a", "p.b")
 
 
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by turn, side 0 before 1 -> a, b, agree: the pairs of the two sides, or of the one there is."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        turn = batch.column("turn").to_numpy()
+        cuts = np.flatnonzero(turn[1:] != turn[:-1]) + 1
+        if held and batch.num_rows and held[-1].column("turn")[0].as_py() != turn[0]:
+            cuts = np.concatenate(([0], cuts))
+        begin = 0
+        for cut in cuts.tolist():
+            if cut > begin:
+                held.append(batch.slice(begin, cut - begin))
+            yield from _met(held)
+            held, begin = [], cut
+        if begin < batch.num_rows:
+            held.append(batch.slice(begin))
+    yield from _met(held)
+
+
+def _met(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_meeting for the rows of one turn."""
+    if not held:
+        return
+    rows = pa.Table.from_batches(held)
+    rep, label, n, side = (rows.column(c).to_numpy() for c in ("rep", "label", "n_words", "side"))
+    least = rows.column("least").combine_chunks().flatten().to_numpy().reshape(len(rep), 2 * FIFTHS)
+    y = np.flatnonzero(side == side[-1])
+    x = np.flatnonzero(side == 0) if side[-1] else y
+    longer = np.maximum(n[x][:, None], n[y])
+    open_ = (label[x][:, None] != label[y]) & (np.minimum(n[x][:, None], n[y]) >= SIMILARITY * longer)
+    if not side[-1]:
+        open_ &= rep[x][:, None] < rep[y]
+    if not open_.any():
+        return
+    agree = agreements(least[x], least[y])
+    open_ &= agree >= AGREE
+    x_held, y_held = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+    if not len(x_held):
+        return
+    bags = rows.column("bag").to_pylist()
+    some = np.ix_(x_held, y_held)
+    least_ = least_distances([bags[i] for i in x[x_held]], [bags[i] for i in y[y_held]], n[x[x_held]], n[y[y_held]])
+    i, j = np.nonzero(open_[some] & (least_ <= most_edits(longer[some])))
+    i, j = x_held[i], y_held[j]
+    one, two = rep[x[i]], rep[y[j]]
+    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(agree[i, j])], names=["a", "b", "agree"])
+
+
 def rest(met: DataFrame, label: DataFrame, classes: DataFrame) -> DataFrame:
-    """met (rep, key), label (rep, label), classes (rep, n_words, least) -> a, b, agree: all pairs a < b of a bucket whose labels differ and that lengths and sketches admit.
+    """met (rep, key), label (rep, label), classes (rep, n_words, least, bag) -> a, b, agree: all pairs a < b of a bucket whose labels differ and that lengths, sketches and bags of words admit.
 
     A bucket is dealt in blocks, and each two blocks meet in one place. A label of more than
-    BLOCK texts has blocks of its own, which don't meet one another, so a large group
-    costs no more than its texts times those of other labels.
+    BLOCK texts has blocks of its own, which don't meet one another. Only pairs that their
+    words don't show to lie too far apart become rows: where many texts of one
+    origin lie just beyond the threshold, these are few of all their pairs.
     """
     rows = met.select("rep", "key").join(label, "rep")
     kinds = staged(rows.groupBy("key", "label").agg(F.count("*").alias("n")), "kinds")
@@ -244,28 +367,16 @@ def rest(met: DataFrame, label: DataFrame, classes: DataFrame) -> DataFrame:
     parts = F.ceil(F.when(F.col("n") > BLOCK, F.col("n")).otherwise(F.col("pooled")) / BLOCK)
     kinds = staged(kinds.select("key", "label", own.alias("own"), parts.alias("parts")), "kinds")
     place = F.struct(F.col("own"), F.pmod(F.xxhash64(F.coalesce("own", F.lit(-1)), F.when(F.col("own").isNull(), F.col("label")).otherwise(F.col("rep"))), F.col("parts")).alias("part"))
-    dealt = rows.join(kinds, ["key", "label"]).select("key", place.alias("block"), "rep", "label")
-    dealt = staged(dealt.join(classes.select("rep", "n_words", "least"), "rep"), "dealt")
+    dealt = staged(rows.join(kinds, ["key", "label"]).select("key", place.alias("block"), "rep", "label"), "dealt")
     blocks = staged(dealt.select("key", "block").distinct(), "blocks")
     turns = blocks.withColumnRenamed("block", "x").join(blocks.withColumnRenamed("block", "y"), "key")
     turns = turns.filter((F.col("x") <= F.col("y")) & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False)))
-    turns = staged(turns, "turns")
-    at = ["key", "x", "y"]
-
-    def side(block: str, to: str) -> DataFrame:
-        met = dealt.withColumnRenamed("block", block).join(turns, ["key", block])
-        return met.select(*at, F.col("rep").alias(to), F.col("label").alias(f"label_{to}"), F.col("n_words").alias(f"n_{to}"), F.col("least").alias(f"l_{to}"))
-
-    # Within one block each pair is met in both orders.
-    agree = agreeing(F.col("l_i"), F.col("l_j"))
-    left, right = side("x", "i").withColumnRenamed("i", "rep_i").alias("p"), side("y", "j").withColumnRenamed("j", "rep_j").hint("merge").alias("q")
-    meet = F.lit(True)
-    for c in at:
-        meet = meet & F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}"))
-    apart = (F.col("label_i") != F.col("label_j")) & ((F.col("p.x") != F.col("p.y")) | (F.col("rep_i") < F.col("rep_j")))
-    near = F.least("n_i", "n_j") >= SIMILARITY * F.greatest("n_i", "n_j")
-    pairs = left.join(right, meet & apart & near & (agree >= AGREE))
-    return pairs.select(*_pairs(F.col("rep_i"), F.col("rep_j")), agree.alias("agree")).distinct()
+    turns = staged(turns.select(F.monotonically_increasing_id().alias("turn"), "key", "x", "y"), "turns")
+    at = lambda block, side: F.struct(F.col(block).alias("block"), F.lit(side).alias("side"))
+    sides = turns.select("turn", "key", F.inline(F.when(F.col("x") == F.col("y"), F.array(at("x", 0))).otherwise(F.array(at("x", 0), at("y", 1)))))
+    meet = dealt.join(sides, ["key", "block"]).select("turn", "side", "rep", "label").join(classes.select("rep", "n_words", "least", "bag"), "rep")
+    pairs = meet.repartition("turn").sortWithinPartitions("turn", "side").select("turn", "side", "rep", "label", "n_words", "least", "bag").mapInArrow(_meeting, "a bigint, b bigint, agree int")
+    return pairs.distinct()
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -365,14 +476,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     with an equal text are all marked; rows without an id are left out.
     """
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    sketched = staged(texts.mapInArrow(_sketches, "doc_id bigint, digest string, n_words int, keys array<bigint>, least array<bigint>"), "sketches")
+    sketched = staged(texts.mapInArrow(_sketches, "doc_id bigint, digest string, n_words int, keys array<bigint>, least array<bigint>, bag binary"), "sketches")
     # A text that a third of the rows repeat meets its class in SALTS pieces.
     rows = sketched.select("doc_id", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
     pieces = staged(rows.groupBy("digest", "salt").agg(F.min("doc_id").alias("least_id")), "pieces")
     reps = pieces.select("digest", "salt").join(pieces.groupBy("digest").agg(F.min("least_id").alias("class_id")), "digest")
     members = staged(rows.join(reps, ["digest", "salt"]).select("doc_id", "class_id"), "members")
     alone = members.filter("doc_id = class_id").select(F.col("class_id").alias("rep")).distinct()
-    classes = staged(sketched.withColumnRenamed("doc_id", "rep").join(alone, "rep", "left_semi").dropDuplicates(["rep"]).select("rep", "n_words", "keys", "least"), "classes")
+    classes = staged(sketched.withColumnRenamed("doc_id", "rep").join(alone, "rep", "left_semi").dropDuplicates(["rep"]).select("rep", "n_words", "keys", "least", "bag"), "classes")
     dropped(sketched, pieces)
     met = staged(weighed(classes), "met")
     first = staged(nearest(met), "nearest")

@@ -510,6 +510,49 @@ def test_near_duplicates_of_a_large_group_against_all_pairs(spark):
     assert got == {i: top(i) for i in range(len(texts))}
 
 
+def test_near_duplicates_meet_as_rows_only_where_their_words_allow_it(spark):
+    """Texts of one origin, most of them beyond the threshold: few pairs but the alike ones become rows, and none of these is lost."""
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for t in range(300 + 20):
+        text = list(base)
+        for i in rnd.sample(range(150), 21 if t < 300 else 12):
+            text[i] = f"t{t}x{i}"
+        texts.append([w.encode() for w in text])
+    sketches = [neardup.sketch(t) for t in texts]
+    rows = [(i, len(t), s[0].tolist(), s[1].tolist(), bytearray(neardup.bag(t))) for i, (t, s) in enumerate(zip(texts, sketches))]
+    classes = spark.createDataFrame(rows, "rep bigint, n_words int, keys array<bigint>, least array<bigint>, bag binary")
+    met = neardup._bands(classes)
+    got = {(r.a, r.b): r.agree for r in neardup.rest(met, classes.selectExpr("rep", "rep AS label"), classes).collect()}
+    admitted = {(i, j): _fifths(sketches[i][1], sketches[j][1]) for i in range(320) for j in range(i + 1, 320) if (sketches[i][0] == sketches[j][0]).any()}
+    admitted = {p: n for p, n in admitted.items() if n >= neardup.AGREE}
+    alike = {p for p in admitted if neardup.alike(texts[p[0]], texts[p[1]])}
+    assert len(admitted) > 2500 and alike and alike <= set(got) and all(admitted[p] == n for p, n in got.items())
+    assert len(got) < 1.2 * len(alike)
+
+
+def test_word_distances_by_columns_and_by_diagonals():
+    rnd = random.Random(6)
+    for t in range(60):
+        a = [f"w{rnd.randrange(30)}" for _ in range(rnd.randrange(1, 90))]
+        b = list(a) if t % 3 else [f"w{rnd.randrange(30)}" for _ in range(rnd.randrange(1, 90))]
+        for _ in range(t):
+            k = rnd.randrange(len(b) + 1)
+            b[k : k + rnd.randrange(2)] = ["x"] * rnd.randrange(2)
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        want = row[-1]
+        if a and b:
+            assert neardup.distance(a, b) == want
+        assert neardup.distance_within(a, b, 200) == want and (neardup.distance_within(a, b, want - 1) if want else None) is None
+        bags, n = ([neardup.bag([w.encode() for w in x])] if x else [b""] for x in (a, b)), (np.array([len(a)]), np.array([len(b)]))
+        assert neardup.least_distances(*bags, *n)[0, 0] <= want
+
+
 def _fifths(a, b):
     """In how many fifths two packed sketches have an equal byte, by hand."""
     octets = lambda x: x.astype(np.int64).view(np.uint8).reshape(-1, 2, 8)[:, :, :7].reshape(-1, 14)
