@@ -34,6 +34,51 @@ def test_states_survive_restarts_and_timers_fire(spark, tmp_path):
         assert _told(spark.read.schema(jobs.ENDED).parquet(f"{tmp_path}/out")) == sorted(told)
 
 
+class _Handle:
+    """State of one key that counts the messages it would cost."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.discard(at)
+
+
+def test_a_job_costs_few_messages():
+    handle, job = _Handle(), jobs.Jobs(timedelta(seconds=1), timedelta(seconds=9))
+    job.init(handle)
+    start, report = {"kind": "start", "us": 0, "ok": None}, {"kind": "report", "us": 500_000, "ok": True}
+    assert [r["state"] for r in job.handleInputRows((1,), iter([report, start]), None)] == ["done"]
+    assert handle.calls <= 3 and handle.timers == {9500}
+    assert list(job.handleInputRows((1,), iter([start, report]), None)) == [] and handle.calls <= 4
+    assert list(job.handleExpiredTimer((1,), None, None)) == [] and handle.value is None
+    handle.timers.clear()
+    assert list(job.handleInputRows((1,), iter([start]), None)) == [] and handle.timers == {1000}
+    assert [r["state"] for r in job.handleInputRows((1,), iter([report]), None)] == ["done"] and handle.timers == {9500}
+
+
 def test_replay_and_job_table(spark):
     events = _events(spark, [(1, "start", None, 0), (2, "start", None, 40), (3, "start", None, 1), (3, "report", True, 11), (4, "start", None, 1), (4, "report", True, 12)])
     ended = jobs.replay_jobs(spark, events, timedelta(hours=10))
