@@ -346,12 +346,16 @@ def _met(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     least_ = least_distances([bags[i] for i in x[x_held]], [bags[i] for i in y[y_held]], n[x[x_held]], n[y[y_held]])
     i, j = np.nonzero(open_[some] & (least_ <= most_edits(longer[some])))
     i, j = x_held[i], y_held[j]
+    # A pair that shares several buckets is a row in the first of them alone.
+    keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(len(rep), SKETCHES)
+    first = keys[x[i], (keys[x[i]] == keys[y[j]]).argmax(1)] == rows.column("key")[0].as_py()
+    i, j = i[first], j[first]
     one, two = rep[x[i]], rep[y[j]]
     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(agree[i, j])], names=["a", "b", "agree"])
 
 
 def rest(met: DataFrame, label: DataFrame, classes: DataFrame) -> DataFrame:
-    """met (rep, key), label (rep, label), classes (rep, n_words, least, bag) -> a, b, agree: all pairs a < b of a bucket whose labels differ and that lengths, sketches and bags of words admit.
+    """met (rep, key), label (rep, label), classes (rep, n_words, keys, least, bag) -> a, b, agree: all pairs a < b of a bucket whose labels differ and that lengths, sketches and bags of words admit.
 
     A bucket is dealt in blocks, and each two blocks meet in one place. A label of more than
     BLOCK texts has blocks of its own, which don't meet one another. Only pairs that their
@@ -374,9 +378,8 @@ def rest(met: DataFrame, label: DataFrame, classes: DataFrame) -> DataFrame:
     turns = staged(turns.select(F.monotonically_increasing_id().alias("turn"), "key", "x", "y"), "turns")
     at = lambda block, side: F.struct(F.col(block).alias("block"), F.lit(side).alias("side"))
     sides = turns.select("turn", "key", F.inline(F.when(F.col("x") == F.col("y"), F.array(at("x", 0))).otherwise(F.array(at("x", 0), at("y", 1)))))
-    meet = dealt.join(sides, ["key", "block"]).select("turn", "side", "rep", "label").join(classes.select("rep", "n_words", "least", "bag"), "rep")
-    pairs = meet.repartition("turn").sortWithinPartitions("turn", "side").select("turn", "side", "rep", "label", "n_words", "least", "bag").mapInArrow(_meeting, "a bigint, b bigint, agree int")
-    return pairs.distinct()
+    meet = dealt.join(sides, ["key", "block"]).select("turn", "side", "key", "rep", "label").join(classes.select("rep", "n_words", "least", "bag", "keys"), "rep")
+    return meet.repartition("turn").sortWithinPartitions("turn", "side").select("turn", "side", "key", "rep", "label", "n_words", "least", "bag", "keys").mapInArrow(_meeting, "a bigint, b bigint, agree int")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:

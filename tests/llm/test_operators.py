@@ -525,7 +525,9 @@ def test_near_duplicates_meet_as_rows_only_where_their_words_allow_it(spark):
     rows = [(i, len(t), s[0].tolist(), s[1].tolist(), bytearray(neardup.bag(t))) for i, (t, s) in enumerate(zip(texts, sketches))]
     classes = spark.createDataFrame(rows, "rep bigint, n_words int, keys array<bigint>, least array<bigint>, bag binary")
     met = neardup._bands(classes)
-    got = {(r.a, r.b): r.agree for r in neardup.rest(met, classes.selectExpr("rep", "rep AS label"), classes).collect()}
+    found = neardup.rest(met, classes.selectExpr("rep", "rep AS label"), classes).collect()
+    got = {(r.a, r.b): r.agree for r in found}
+    assert len(found) == len(got)  # once, however many buckets a pair shares
     admitted = {(i, j): _fifths(sketches[i][1], sketches[j][1]) for i in range(320) for j in range(i + 1, 320) if (sketches[i][0] == sketches[j][0]).any()}
     admitted = {p: n for p, n in admitted.items() if n >= neardup.AGREE}
     alike = {p for p in admitted if neardup.alike(texts[p[0]], texts[p[1]])}
