@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, mix, rolling, staged
+from .common import dropped, mix, rolling, squeezed, staged, unsqueezed
 from .exchange import word_hashes
 
 K = 5
@@ -85,12 +85,12 @@ def sketch(words: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bag(words: list[bytes]) -> bytes:
-    """The codes, of two bytes and ascending, of a text's words, each labelled with its occurrence number."""
+    """The codes, of two bytes and ascending, of a text's words, each labelled with its occurrence number; squeezed, as most differences take one byte."""
     order = np.argsort(hashes := word_hashes(words), kind="stable")
     same = hashes[order]
     begins = np.flatnonzero(np.concatenate(([True], same[1:] != same[:-1])))
     number = (np.arange(len(same)) - np.repeat(begins, np.diff(np.append(begins, len(same))))).astype(np.uint64)
-    return np.unique((mix(same + number * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(48)).astype("<u2")).tobytes()
+    return squeezed(np.unique((mix(same + number * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(48)).astype("<u2")), True)
 
 
 def least_distances(x: list[bytes], y: list[bytes], n_x: np.ndarray, n_y: np.ndarray) -> np.ndarray:
@@ -99,7 +99,7 @@ def least_distances(x: list[bytes], y: list[bytes], n_x: np.ndarray, n_y: np.nda
     An edit makes at most one word of the longer text differ. Words that fall on one code only raise what
     seems common, so no pair is judged too far apart.
     """
-    codes = [[np.frombuffer(b, "<u2") for b in bags] for bags in (x, y)]
+    codes = [[unsqueezed(b, "<u2", True) if b else np.zeros(0, "<u2") for b in bags] for bags in (x, y)]
     shared = np.zeros(1 << 16, bool)
     shared[np.concatenate(codes[0])] = True
     other = np.zeros(1 << 16, bool)
@@ -389,20 +389,23 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     pairs = pairs.join(side("b"), "b").join(side("a"), "a")
     pairs = pairs.filter((F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")) & (agree >= AGREE)).select("a", "b")
     pairs = staged(pairs, "candidates")
-    links = aligned(pairs, docs)
-    dropped(pairs)
+    texts = texts_of(pairs, docs)
+    links = aligned(pairs, texts)
+    dropped(pairs, texts)
     return links
 
 
-def aligned(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole texts are alike. The pairs are read several times."""
+def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, text of the pairs (a, b), a row each. All texts are shuffled once, however few the pairs are."""
     involved = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     # A shuffle at every size: the ids grow with the input, so small inputs shall not be joined otherwise than large ones.
-    texts = staged(docs.join(involved.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    return staged(docs.join(involved.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+
+
+def aligned(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole texts are alike; texts are what texts_of returns for these pairs, or for more."""
     text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    links = staged(pairs.join(text("b"), "b").join(text("a"), "a").mapInArrow(_verified, "a bigint, b bigint"), "links")
-    dropped(texts)
-    return links
+    return staged(pairs.join(text("b"), "b").join(text("a"), "a").mapInArrow(_verified, "a bigint, b bigint"), "links")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -439,9 +442,10 @@ def settled(label: DataFrame, met: DataFrame, classes: DataFrame, docs: DataFram
     """label (rep, label) after all pairs of rest() have been compared or come to lie in one group; tried are compared ones.
 
     A turn takes one pair of each two groups. When a turn hardly joins any, the last takes all that are open.
+    The texts of all open pairs are taken out of docs once, so what is shuffled doesn't grow with the turns.
     """
     open_ = staged(rest(met, label, classes).join(tried, ["a", "b"], "left_anti"), "open")
-    last, read = False, [open_]  # tables that the next turn's open pairs follow from
+    last, read, texts = False, [open_], None  # read: tables that the next turn's open pairs follow from
     while True:
         end = lambda x: label.select(F.col("rep").alias(x), F.col("label").alias(f"l_{x}"))
         open_ = staged(open_.join(end("a"), "a").join(end("b"), "b").filter("l_a <> l_b").select("a", "b", "agree", F.least("l_a", "l_b").alias("lo"), F.greatest("l_a", "l_b").alias("hi")), "open")
@@ -455,15 +459,18 @@ def settled(label: DataFrame, met: DataFrame, classes: DataFrame, docs: DataFram
             turn = open_.select("a", "b")
         n = turn.count()
         if not n:
+            dropped(*read, *([] if texts is None else [texts]))
             return label
-        links = aligned(turn, docs)
+        if texts is None:
+            texts = texts_of(open_, docs)
+        links = aligned(turn, texts)
         joined = links.count()
         if joined:
             before, label = label, relabelled(label, links)
             dropped(before)
         dropped(links)
         if last:
-            dropped(*read)
+            dropped(*read, texts)
             return label
         open_ = open_.join(turn, ["a", "b"], "left_anti").select("a", "b", "agree")
         last = joined < FEW * n

@@ -562,6 +562,27 @@ def _fifths(a, b):
     return int((octets(a) == octets(b)).any(1).sum())
 
 
+def test_near_duplicates_read_texts_once_for_all_turns(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    middle = ["x"] * 8 + base[8:]
+    texts = [base, middle, middle[:-8] + ["y"] * 8, [f"v{i}" for i in range(60)]]  # the third is like the second alone
+    docs = spark.createDataFrame([(i, " ".join(t).encode()) for i, t in enumerate(texts)], "doc_id bigint, text binary")
+    label = spark.createDataFrame([(0, 0), (1, 0), (2, 2), (3, 3)], "rep bigint, label bigint")
+    pairs = spark.createDataFrame([(0, 2, 5), (1, 2, 3), (0, 3, 3), (1, 3, 4)], "a bigint, b bigint, agree int")
+    names, staged = [], neardup.staged
+    monkeypatch.setattr(neardup, "rest", lambda met, label, classes: pairs)
+    monkeypatch.setattr(neardup, "staged", lambda df, name: names.append(name) or staged(df, name))
+    got = {r.rep: r.label for r in neardup.settled(label, None, None, docs, pairs.select("a", "b").limit(0)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3}
+    assert names.count("links") == 2 and names.count("texts") == 1
+
+
+def test_near_duplicates_bags_take_little_more_than_a_byte_a_word():
+    bag = neardup.bag([f"w{i}".encode() for i in range(1000)])
+    assert len(bag) < 1400  # 2,000 bytes of codes
+    assert neardup.least_distances([bag], [bag], np.array([1000]), np.array([1000]))[0, 0] == 0
+
+
 def test_near_duplicates_fifths_in_spark_and_by_hand(spark):
     rnd = random.Random(9)
     base = [f"w{i}".encode() for i in range(90)]
