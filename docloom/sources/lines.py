@@ -21,7 +21,8 @@ def numbered(spark: SparkSession, path: str) -> DataFrame:
     blocks = lines.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("file", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return lines.join(blocks, ["file", "start"]).select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line"), "value")
+    # A row a block of the input, some of 128 MB; else all lines would be shuffled, those of a block to one task.
+    return lines.join(F.broadcast(blocks), ["file", "start"]).select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line"), "value")
 
 
 def header(spark: SparkSession, path: str, today: str) -> dict:

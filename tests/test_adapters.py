@@ -5,8 +5,9 @@ import json
 import pytest
 
 from docloom.operators import build
+from docloom.plans import queries
 from docloom.schema import UnknownSource
-from docloom.sources import adapters, mapfile
+from docloom.sources import adapters, lines, mapfile
 
 
 def _named(kind):
@@ -68,3 +69,15 @@ def test_wiki_map_and_place_adapters(spark, tmp_path):
     assert [tuple(r) for r in build.source(spark, root, "map_x").docs.select("title", "feature", "lat").collect()] == [("Cafe", "amenity=cafe", 1.0)]
     assert [tuple(r) for r in build.source(spark, root, "places").docs.select("title", "area", "lat").collect()] == [("Town", "Region", 3.5)]
     assert [tuple(r) for r in build.source(spark, root, "aawiki").docs.select("title", "lat", "links").collect()] == [("A", 10.0, ["B"])]
+
+
+def test_lines_are_numbered_without_a_shuffle_of_their_text(spark, tmp_path):
+    (tmp_path / "in.jsonl").write_text("\n".join(json.dumps({"title": f"t{i}"}) for i in range(50)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered = lines.numbered(spark, str(tmp_path / "in.jsonl"))
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(r.line for r in numbered.collect()) == list(range(1, 51))
