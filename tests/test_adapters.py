@@ -81,3 +81,12 @@ def test_lines_are_numbered_without_a_shuffle_of_their_text(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert sorted(r.line for r in numbered.collect()) == list(range(1, 51))
+
+
+def test_published_languages_read_no_whole_texts(spark, monkeypatch):
+    built = []
+    monkeypatch.setattr(queries.build, "build", lambda docs, root, source, generation: built.append((source, docs.columns, docs.inputFiles())))
+    queries._published(spark, sf := "/root/testdata/./sf0.001")
+    queries._CATALOGS.pop((spark.sparkContext.applicationId, sf))
+    assert len(built) > 2 and all(columns == ["doc_id", "title", "body", "tags"] for _, columns, _ in built)
+    assert not any("documents.parquet" in f for _, _, files in built for f in files)
