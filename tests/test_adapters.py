@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.operators import build
 from docloom.plans import queries
@@ -90,3 +91,21 @@ def test_published_languages_read_no_whole_texts(spark, monkeypatch):
     queries._CATALOGS.pop((spark.sparkContext.applicationId, sf))
     assert len(built) > 2 and all(columns == ["doc_id", "title", "body", "tags"] for _, columns, _ in built)
     assert not any("documents.parquet" in f for _, _, files in built for f in files)
+
+
+def test_published_languages_hold_whole_texts(spark):
+    root = queries._published(spark, sf := "/root/testdata/././sf0.001")
+    queries._CATALOGS.pop((spark.sparkContext.applicationId, sf))
+    given = spark.read.parquet(f"{sf}/documents.parquet").filter("lang IS NOT NULL")
+    told = [build.opened(spark, r.path).docs.select(F.lit(r.source).alias("source"), "doc_id", "body") for r in build.catalog(spark, root).collect()]
+    found = {tuple(r) for docs in told for r in docs.collect()}
+    assert found == {(f"src_{r.lang}", r.doc_id, r.text) for r in given.collect()} and max(len(x[2] or "") for x in found) > 50
+
+
+def test_hints_count_the_tags_of_all_documents(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    rows = [(i, f"t{i}", "text", ["first"] if i < 500 else ["later", ""]) for i in range(1100)]
+    for source in ("new", "old"):
+        path = build.build(spark.createDataFrame(rows, "doc_id bigint, title string, body string, tags array<string>"), root, source, "g1")
+    (tmp_path / path.removeprefix(f"{root}/") / "tag_counts").rename(tmp_path / "counts")  # older builds have none
+    assert {(r.source, r.doc_count, r.tag) for r in build.hints(spark, root).collect()} == {("new", 1100, "later"), ("old", 1100, "later")}
