@@ -31,7 +31,7 @@ def wiki_pages(source: str, dump: str, generation: str, views: str | None = None
     """A wiki dump, with page views of a domain and page properties where there are any."""
 
     def documents(spark: SparkSession) -> DataFrame:
-        found = wiki.documents(wiki.pages(spark, dump), tables.page_views(spark, views, domain) if views else None, tables.page_items(spark, items) if items else None)
+        found = wiki.documents(wiki.pages(spark, dump), tables.page_views(spark, views, domain) if views else None, tables.page_items(spark, items) if items else None, redirects=wiki.pages(spark, dump, redirects=True))
         return with_extra_columns(found, {"lat": "double", "lon": "double", "wikidata": "string"})
 
     return Adapter(source, "wiki", documents, generation, lang, min_docs, samples)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,16 +18,20 @@ CATEGORY, MEDIA = ("Category:",), ("File:", "Image:")
 _LINK = r"\[\[([^\[\]|{}]*)(?:\|[^\[\]]*)?\]\]"
 
 
-def pages(spark: SparkSession, path: str) -> DataFrame:
-    """One row a page element, compressed files included; namespaces of the elements don't matter.
+def pages(spark: SparkSession, path: str, redirects: bool = False) -> DataFrame:
+    """One row a page element, compressed files included; namespaces of the elements don't matter. `redirects`: only pages that redirect.
 
     Spark's XML reader gives a file to one task. Here what ends with a page's end is one record
     of the text reader, which splits files by size, also within bzip2; gzip can't be split.
     """
     text = spark.read.option("lineSep", "</page>").text(path)
+    if redirects:
+        text = text.filter(F.lower("value").contains("redirect"))  # other pages needn't be parsed
     page = F.regexp_extract("value", r"(?s)<page(?:\s[^>]*)?>.*", 0)
-    told = text.select(page.alias("page")).filter("page <> ''").select(F.from_xml(F.concat("page", F.lit("</page>")), PAGE).alias("p"))
-    return told.select("p.*").filter("title IS NOT NULL OR id IS NOT NULL")  # a file may end within a page
+    # As a generator's row a page is parsed once; filters would else be pushed below and parse it for each column they name.
+    told = text.select(page.alias("page")).filter("page <> ''").select(F.inline(F.array(F.from_xml(F.concat("page", F.lit("</page>")), PAGE))))
+    told = told.filter("title IS NOT NULL OR id IS NOT NULL")  # a file may end within a page
+    return told.filter("redirect IS NOT NULL") if redirects else told
 
 
 def _prefixed(prefixes: Sequence[str]) -> str:
@@ -48,18 +53,32 @@ def prose(markup: Column, media: Sequence[str] = MEDIA) -> Column:
     return _each(lambda t: M.without_media(M.without_notes(t), prefixes), markup)
 
 
+#: What is done to unfolded text: (a text without any of these has no match, pattern, what replaces it).
+_STEPS = (
+    (("//",), r"\[(?:https?:)?//[^\s\]]+ ?([^\]]*)\]", "$1"),
+    (("{|", "|}", "|-", "|+"), r"(?m)^\s*(?:\{\||\|\}|\|-|\|\+).*$", ""),
+    (("=",), r"(?m)^=+\s*(.*?)\s*=+\s*$", "$1"),
+    (("{{", "}}", "''", "__", "<"), r"\{\{|\}\}|'{2,}|__[A-Z]+__|</?[A-Za-z][^<>]*>", ""),
+    (("|", "!"), r"(?m)^[ \t]*[!|]|\|\||!!|\|", " "),
+    (("\n", "\r", "\u0085", "\u2028", "\u2029"), r"(?m)^[ \t]+|[ \t]+$", ""),  # the ends of the text itself are trimmed at last
+    (("  ", "\t"), "[ \t]{2,}", " "),
+    (("\n\n\n",), r"\n{3,}", "\n\n"),
+)
+
+
+def _replaced(text: Column, holds: Sequence[str], pattern: str, by: str) -> Column:
+    """regexp_replace of texts that hold one of some strings. An expression tells it far sooner than a pattern; the lambda has the text evaluated once."""
+    some = lambda t: reduce(Column.__or__, [t.contains(x) for x in holds])
+    return F.get(F.transform(F.array(text), lambda t: F.when(some(t), F.regexp_replace(t, pattern, by)).otherwise(t)), F.lit(0))
+
+
 def plain(markup: Column, params: bool, category: Sequence[str] = CATEGORY) -> Column:
     """Text of prose markup; of templates the values of their parameters stay, or nothing."""
     prefixes = tuple(category)
     out = _each(lambda t: M.unfolded(t, params, prefixes), markup)
-    out = F.regexp_replace(out, r"\[(?:https?:)?//[^\s\]]+ ?([^\]]*)\]", "$1")
-    out = F.regexp_replace(out, r"(?m)^\s*(?:\{\||\|\}|\|-|\|\+).*$", "")
-    out = F.regexp_replace(out, r"(?m)^=+\s*(.*?)\s*=+\s*$", "$1")
-    out = F.regexp_replace(out, r"\{\{|\}\}|'{2,}|__[A-Z]+__|</?[A-Za-z][^<>]*>", "")
-    out = F.regexp_replace(out, r"(?m)^[ \t]*[!|]|\|\||!!|\|", " ")
-    out = F.regexp_replace(F.regexp_replace(out, r"(?m)^[ \t]+|[ \t]+$", ""), "[ \t]{2,}", " ")
-    out = F.btrim(F.regexp_replace(out, r"\n{3,}", "\n\n"), F.lit(" \t\r\n"))
-    return F.when(out != "", out)
+    for holds, pattern, by in _STEPS:
+        out = _replaced(out, holds, pattern, by)
+    return F.nullif(F.btrim(out, F.lit(" \t\r\n")), F.lit(""))
 
 
 def link_titles(markup: Column) -> Column:
@@ -111,22 +130,25 @@ def coordinates(markup: Column) -> Column:
         return F.when(north > 1, lettered).otherwise(decimal)
 
     found = F.transform(F.regexp_extract_all(markup, F.lit(r"(?i)\{\{\s*coord\s*\|([^{}]*)\}\}"), F.lit(1)), read)
-    named = F.when(markup.rlike("緯度|lat"), _named(markup))
+    # No family is filled in without a parameter of a latitude, whose names all begin so.
+    named = F.when(markup.rlike(r"\|\s*(?:本社|本店)?(?:緯度|lat)[^|{}=]*="), _named(markup))
     return F.coalesce(F.get(F.filter(found, lambda c: valid(c["lat"], c["lon"])), F.lit(0)), named)
 
 
 def documents(
     dump: DataFrame, views: DataFrame | None = None, items: DataFrame | None = None, category: Sequence[str] = CATEGORY, media: Sequence[str] = MEDIA,
-    other: Sequence[str] = (),
+    other: Sequence[str] = (), redirects: DataFrame | None = None,
 ) -> DataFrame:
     """Documents from pages: articles with text; a redirect's title is an alias of what it points to.
 
     Tags are the categories of the markup, links the other articles; `other` are prefixes of
     links that are neither. views (page_id, views) and items (page_id, wikidata) are joined by
-    id. Prefixes of other languages are parameters.
+    id. Prefixes of other languages are parameters. `redirects` are the dump's pages that
+    redirect, where they are had without parsing the others.
     """
     own = dump.filter("coalesce(ns, 0) = 0")
-    names = own.filter("redirect IS NOT NULL").groupBy(F.col("redirect._title").alias("title")).agg(F.array_sort(F.collect_set("title")).alias("aliases"))
+    moved = dump if redirects is None else redirects
+    names = moved.filter("coalesce(ns, 0) = 0 AND redirect IS NOT NULL").groupBy(F.col("redirect._title").alias("title")).agg(F.array_sort(F.collect_set("title")).alias("aliases"))
     rows = own.filter("redirect IS NULL AND id IS NOT NULL AND title IS NOT NULL AND revision.text <> ''")
     rows = rows.select("id", "title", "revision.timestamp", F.col("revision.text").alias("m"), prose(F.col("revision.text"), media).alias("p"))
     rows = rows.withColumns({"t": link_titles(F.col("p")), "c": coordinates(F.col("m"))}).join(names, "title", "left")
@@ -137,7 +159,7 @@ def documents(
     tags = F.transform(F.filter("t", lambda t: begins(t, category)), lambda t: F.trim(F.regexp_replace(t, "^[^:]*:", "")))
     extra = F.to_json(F.struct(F.col("c.lat").alias("lat"), F.col("c.lon").alias("lon"), F.col("views").alias("pageviews_month"), "wikidata"))
     return rows.select(
-        F.col("id").alias("doc_id"), "title", plain(F.regexp_extract("p", r"(?s)^(.*?)(?:(?m:^)==|\z)", 1), False, category).alias("opening"), plain(F.col("p"), True, category).alias("body"),
+        F.col("id").alias("doc_id"), "title", plain(F.when(F.col("p").contains("=="), F.regexp_extract("p", r"(?s)^(.*?)(?:(?m:^)==|\z)", 1)).otherwise(F.col("p")), False, category).alias("opening"), plain(F.col("p"), True, category).alias("body"),
         tags.alias("tags"), F.filter("t", lambda t: ~begins(t, (*category, *media, *other))).alias("links"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"),
         F.col("timestamp").alias("updated_at"), normalized_popularity(F.col("views").cast("double"), PAGEVIEWS).alias("rank_score"), F.when(extra != "{}", extra).alias("extra"),
     )

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +134,31 @@ def test_one_dump_is_read_by_several_tasks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
     assert sorted((r.id, r.title, r.revision.text.split()[-1]) for r in rows) == [(i, f"P{i}", str(i)) for i in range(400)]
+
+
+def test_pages_are_parsed_once_and_redirects_alone(spark, tmp_path):
+    (tmp_path / "dump.xml").write_text(DUMP.replace('<redirect title="Kyoto" /><revision><timestamp>t</timestamp><text xml:space="preserve">#R<', '<x:redirect xmlns:x="e" title="Kyoto" /><revision><timestamp>t</timestamp><text xml:space="preserve">#R<'))
+    found, moved = wiki.pages(spark, str(tmp_path / "dump.xml")), wiki.pages(spark, str(tmp_path / "dump.xml"), redirects=True)
+    assert sorted(moved.collect()) == sorted(found.filter("redirect IS NOT NULL").collect()) and {r.title for r in moved.collect()} >= {"Miyako"}
+    docs = wiki.documents(found, redirects=moved)
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml(") == 2  # the pages and, below a filter of the text, those that redirect
+    assert {(r.title, *r.aliases) for r in docs.collect()} == {(r.title, *r.aliases) for r in wiki.documents(found).collect()} == {("Kyoto", "Miyako"), ("Nara",)}
+
+
+def test_patterns_that_a_text_cannot_match_are_skipped(spark):
+    rng = random.Random(4)
+    parts = ["a", "B c", " ", "  ", "\t", "\n", "\n\n\n", "\r", "\u0085", "\u2028", "=", "==", "|", "||", "!", "!!", "{|", "|}", "|-", "{{", "}}", "''", "'''", "__TOC__", "<br>", "<", ">", "[//x.y z]", "[http://x.y]", "[", "]", "é"]
+    texts = ["", " ", "\n", *parts, *("".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(1500))]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    guarded = whole = F.col("t")
+    for holds, pattern, by in wiki._STEPS:
+        guarded, whole = wiki._replaced(guarded, holds, pattern, by), F.regexp_replace(whole, pattern, by)
+    trimmed = lambda x: F.btrim(x, F.lit(" \t\r\n"))
+    assert rows.filter(~trimmed(guarded).eqNullSafe(trimmed(whole))).collect() == []
+
+
+def test_named_coordinates_are_found_across_lines(spark):
+    rows = spark.createDataFrame([("later |x=1",), ("{{a|lat\n = 1.5 | lon = 2}}",), ("{{a|\n緯度度=35|経度度=139}}",), ("{{a|本社緯度度=35|本社経度度=139}}",), ("{{a|latd=1|longd=2|latNS=S}}",)], "m string")
+    found = rows.select(wiki.coordinates(F.col("m")).alias("c")).select("c.lat", "c.lon").collect()
+    assert [tuple(r) for r in found] == [(None, None), (1.5, 2.0), (35.0, 139.0), (35.0, 139.0), (-1.0, 2.0)]
