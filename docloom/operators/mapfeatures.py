@@ -54,11 +54,10 @@ def number_of(tags: Column, key: str) -> Column:
 def feature(tags: Column) -> Column:
     """(key, value) of what a named thing is, by the first key that counts; null for what makes no document."""
     sorts = [("place", None), ("boundary", ("administrative",)), *LIMITED.items(), *((key, None) for key in ANY_VALUE)]
-    values = lambda v: F.array(*map(F.lit, v)) if v else F.lit(None).cast("array<string>")
-    table = F.array(*[F.struct(F.lit(k).alias("key"), values(v).alias("values")) for k, v in sorts])
-    fits = F.filter(table, lambda s: tag(tags, s["key"]).isNotNull() & F.coalesce(F.array_contains(s["values"], tag(tags, s["key"])), s["values"].isNull()))
-    key = F.get(fits, F.lit(0))["key"]
-    return F.when(tag(tags, "name").isNotNull() & key.isNotNull(), F.struct(key.alias("key"), F.try_element_at(tags, key).alias("value")))
+    value = lambda k: F.try_element_at(tags, F.lit(k))
+    # One condition a sort: as a filter of an array of sorts each row took some fifty times as long.
+    key = F.coalesce(*[F.when(value(k).isin(*values) if values else value(k) != "", F.lit(k)) for k, values in sorts])
+    return F.when((value("name") != "") & key.isNotNull(), F.struct(key.alias("key"), F.try_element_at(tags, key).alias("value")))
 
 
 def rank(kind: Column, tags: Column) -> Column:

@@ -37,9 +37,9 @@ def _map_things(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("n").alias("kind"), F.col("p_partkey").alias("id"), F.round(F.col("p_partkey") % 18001 / 100 - 90, 7).alias("lat"), F.round(F.col("p_partkey") % 36001 / 100 - 180, 7).alias("lon"),
         F.create_map(F.lit("name"), F.col("p_name"), F.lit("shop"), F.col("p_brand")).alias("tags"),
     )
-    refs = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"])
+    refs = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"])
     ways = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(refs.alias("refs")).select(F.lit("w").alias("kind"), F.col("l_orderkey").alias("id"), "refs")
-    members = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))), lambda x: F.struct(F.lit("w").alias("type"), x["o_orderkey"].alias("ref"), x["o_orderstatus"].alias("role")))
+    members = F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))), lambda x: F.struct(F.lit("w").alias("type"), x["o_orderkey"].alias("ref"), x["o_orderstatus"].alias("role")))
     relations = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(members.alias("members")).select(F.lit("r").alias("kind"), F.col("o_custkey").alias("id"), "members")
     return nodes.unionByName(ways, True).unionByName(relations, True)
 

@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 
 from ..operators import build, gazetteer, mapfeatures
 from ..schema import UnknownSource, with_extra_columns
+from ..storage import file_system, scratch
 from . import html, lines, mapfile, tables, wiki
 
 
 @dataclass(frozen=True)
 class Adapter:
-    """One source: `documents` reads it in the document model; a build must have min_docs and find the samples as titles or aliases."""
+    """One source: `documents` reads it in the document model; a build must have min_docs and find the samples as titles or aliases.
+
+    `done` removes what documents staged, once nothing reads them.
+    """
 
     source: str
     kind: str
@@ -25,6 +29,7 @@ class Adapter:
     lang: str | None = None
     min_docs: int = 1
     samples: tuple[str, ...] = ()
+    done: Callable[[SparkSession], None] = lambda spark: None
 
 
 def wiki_pages(source: str, dump: str, generation: str, views: str | None = None, items: str | None = None, domain: str | None = None, lang: str | None = None, min_docs: int = 1, samples: tuple[str, ...] = ()) -> Adapter:
@@ -38,8 +43,21 @@ def wiki_pages(source: str, dump: str, generation: str, views: str | None = None
 
 
 def map_features(source: str, path: str, generation: str, lang: str | None = None, labels: dict[tuple[str, str], str] | None = None, min_docs: int = 1, samples: tuple[str, ...] = ()) -> Adapter:
-    """Map files."""
-    return Adapter(source, "map", lambda spark: with_extra_columns(mapfeatures.documents(mapfeatures.features(*mapfile.read(spark, path)), lang, labels)), generation, lang, min_docs, samples)
+    """Map files, decoded once into a staged table."""
+    folders: list[str] = []
+
+    def documents(spark: SparkSession) -> DataFrame:
+        folders.append(scratch(spark, "mapthings"))
+        # Few bytes make a document dearly, so tasks are told by number; by bytes Spark would leave one or two.
+        found = mapfeatures.features(*mapfile.staged(spark, path, folders[-1])).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+        return with_extra_columns(mapfeatures.documents(found, lang, labels))
+
+    def done(spark: SparkSession) -> None:
+        while folders:
+            p, fs = file_system(spark, folders.pop())
+            fs.delete(p, True)
+
+    return Adapter(source, "map", documents, generation, lang, min_docs, samples, done)
 
 
 def places(source: str, rows: str, countries: str, regions: str, generation: str, names: str | None = None, langs: tuple[str, ...] = ("ja", "en"), min_docs: int = 1, samples: tuple[str, ...] = ()) -> Adapter:
@@ -108,4 +126,7 @@ def run(spark: SparkSession, adapters: Adapters, source: str, root: str) -> str:
     """Reads a source through its adapter, builds and checks a generation below root/source, and publishes it."""
     adapter = adapters.get(source)
     meta = {"source_kind": adapter.kind} | ({"lang": adapter.lang} if adapter.lang else {})
-    return build.build(adapter.documents(spark), root, source, adapter.generation, meta, adapter.min_docs, list(adapter.samples))
+    try:
+        return build.build(adapter.documents(spark), root, source, adapter.generation, meta, adapter.min_docs, list(adapter.samples))
+    finally:
+        adapter.done(spark)

@@ -1,13 +1,16 @@
 """Map files: coding against plain Python, round trips over blocks and ranges, features from a file."""
 
+import os
 import random
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.operators import mapfeatures
+from docloom.sources import adapters
 from docloom.sources import mapfile as M
 
 
@@ -106,3 +109,29 @@ def test_a_batch_is_read_flat():
     ]
     batch = pa.RecordBatch.from_pylist(rows, schema=M._ARROW)
     assert M.rows_of(batch) == rows and M.rows_of(batch.slice(7, 20)) == rows[7:27]
+
+
+def test_a_source_decodes_its_map_files_once(spark, tmp_path):
+    rows = [("n", i, 1.0 + i, 2.0, {"name": f"C{i}", "shop": "x"}, None, None, None) for i in range(9)] + [("w", 1, None, None, {"name": "W", "amenity": "cafe"}, [2, 4], None, None)]
+    M.write(spark.createDataFrame(rows, M.SCHEMA), f"{tmp_path}/map")
+    adapter = adapters.map_features("m", f"{tmp_path}/map", "g1")
+    docs = adapter.documents(spark)
+    assert "RelationV2" not in docs._jdf.queryExecution().optimizedPlan().toString()  # a scan of map files
+    assert sorted((r.doc_id, r.title, r.lat) for r in docs.collect()) == sorted([(4 * i, f"C{i}", 1.0 + i) for i in range(9)] + [(5, "W", 4.0)])
+    staged = docs.inputFiles()
+    adapter.done(spark)
+    assert staged and not any(os.path.exists(f.removeprefix("file://")) for f in staged)
+
+
+def test_features_go_by_the_first_key_that_counts(spark):
+    rng = random.Random(3)
+    sorts = {"place": None, "boundary": ("administrative",), **mapfeatures.LIMITED} | dict.fromkeys(k for k in mapfeatures.ANY_VALUE if k not in mapfeatures.LIMITED)
+    values = ["", "x", "administrative", *(v for vs in mapfeatures.LIMITED.values() for v in vs)]
+    tags = [{k: rng.choice(values) for k in rng.sample([*sorts, "other"], rng.randint(0, 6))} | rng.choice([{}, {"name": ""}, {"name": "N"}, {"name": "N"}]) for _ in range(600)]
+    tags += [{"name": "N", k: v} for k, vs in sorts.items() for v in (*(vs or ()), "x", "")]
+    told = lambda t: next(((k, t[k]) for k, vs in sorts.items() if t.get(k) and (vs is None or t[k] in vs)), None) if t.get("name") else None
+    column = F.col("tags")
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(tags)], "i int, tags map<string,string>").select("i", mapfeatures.feature(column).alias("f")).collect()
+    assert {r.i: r.f and tuple(r.f) for r in found} == {i: told(t) for i, t in enumerate(tags)}
+    plan = spark.createDataFrame([], "tags map<string,string>").select(mapfeatures.feature(column))._jdf.queryExecution().analyzed().toString()
+    assert "lambda" not in plan  # a filter of an array is evaluated far more slowly
