@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import build
@@ -31,16 +35,43 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, value) in runs of equal ids -> a row an id with its values; a run may go on in the next batch."""
+    rest = None
+    for batch in itertools.chain(batches, (None,)):  # None: the last run is whole
+        rows = pa.Table.from_batches([b for b in (rest, batch) if b is not None and b.num_rows]).combine_chunks().to_batches() if batch is not None or rest is not None else []
+        if not rows:
+            continue
+        ids = rows[0].column("id")
+        ends = np.flatnonzero(np.diff(ids.to_numpy(zero_copy_only=False))) + 1
+        if batch is None:
+            ends = np.append(ends, len(ids))
+        told = int(ends[-1]) if len(ends) else 0
+        begins = np.concatenate(([0], ends))
+        if told:
+            values = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), rows[0].column("value").slice(0, told))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(begins[:-1])), values], names=["id", "values"])
+        rest = rows[0].slice(told)
+
+
+def _lists(rows: DataFrame, key: str, *order: str | Column) -> DataFrame:
+    """id, values: the last of `order` as a list of each key, by the others. Sorted and cut in Arrow batches: lists as aggregates fall back to sorting beyond some keys, after each was kept as an object."""
+    *by, value = order
+    told = rows.select(F.col(key).cast("bigint").alias("id"), *by, value).repartition("id").sortWithinPartitions("id", *by).select("id", "value")
+    return told.mapInArrow(_cut, f"id bigint, values array<{told.schema['value'].dataType.simpleString()}>")
+
+
 def _map_things(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as nodes, orders as ways through their parts, customers as relations of their orders."""
     nodes = _table(spark, sf_dir, "part").select(
         F.lit("n").alias("kind"), F.col("p_partkey").alias("id"), F.round(F.col("p_partkey") % 18001 / 100 - 90, 7).alias("lat"), F.round(F.col("p_partkey") % 36001 / 100 - 180, 7).alias("lon"),
         F.create_map(F.lit("name"), F.col("p_name"), F.lit("shop"), F.col("p_brand")).alias("tags"),
     )
-    refs = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"])
-    ways = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(refs.alias("refs")).select(F.lit("w").alias("kind"), F.col("l_orderkey").alias("id"), "refs")
-    members = F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))), lambda x: F.struct(F.lit("w").alias("type"), x["o_orderkey"].alias("ref"), x["o_orderstatus"].alias("role")))
-    relations = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(members.alias("members")).select(F.lit("r").alias("kind"), F.col("o_custkey").alias("id"), "members")
+    ways = _lists(_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", F.col("l_partkey").cast("bigint").alias("value"))
+    ways = ways.select(F.lit("w").alias("kind"), "id", F.col("values").alias("refs"))
+    member = F.struct(F.lit("w").alias("type"), F.col("o_orderkey").cast("bigint").alias("ref"), F.col("o_orderstatus").alias("role"))
+    relations = _lists(_table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_orderstatus", member.alias("value"))
+    relations = relations.select(F.lit("r").alias("kind"), "id", F.col("values").alias("members"))
     return nodes.unionByName(ways, True).unionByName(relations, True)
 
 

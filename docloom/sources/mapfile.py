@@ -19,6 +19,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -481,9 +482,24 @@ def staged(spark: SparkSession, path: str, folder: str, split_bytes: int = SPLIT
     return of("n", "id", "lat", "lon", "tags", "updated_at"), of("w", "id", "refs", "tags", "updated_at"), of("r", "id", "members", "tags", "updated_at")
 
 
+@contextmanager
+def _settings(spark: SparkSession, told: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for what runs inside."""
+    before = {k: spark.conf.get(k) for k in told}
+    for k, v in told.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def write(rows: DataFrame, path: str) -> None:
     """Rows in the reader's columns, those of one kind best together, as a folder of map files."""
     rows.sparkSession.dataSource.register(MapFile)
     whole = {c.split()[0]: c.split(maxsplit=1)[1] for c in SCHEMA.replace("struct<type:string,ref:bigint,role:string>", "struct<type:string;ref:bigint;role:string>").replace("map<string,string>", "map<string;string>").split(", ")}
     rows = rows.select(*[F.col(c).cast(t.replace(";", ",")) if c in rows.columns else F.lit(None).cast(t.replace(";", ",")).alias(c) for c, t in whole.items()])
-    rows.write.format("mapfile").mode("append").save(path)
+    # A batch is a block, whose rows the format bounds. A bound on bytes has Spark add up a batch's lists for each row, four times the work of the rest.
+    with _settings(rows.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BLOCK_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str((1 << 31) - 1)}):
+        rows.write.format("mapfile").mode("append").save(path)

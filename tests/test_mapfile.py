@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import mapfeatures
+from docloom.plans import ingest
 from docloom.sources import adapters
 from docloom.sources import mapfile as M
 
@@ -135,3 +136,23 @@ def test_features_go_by_the_first_key_that_counts(spark):
     assert {r.i: r.f and tuple(r.f) for r in found} == {i: told(t) for i, t in enumerate(tags)}
     plan = spark.createDataFrame([], "tags map<string,string>").select(mapfeatures.feature(column))._jdf.queryExecution().analyzed().toString()
     assert "lambda" not in plan  # a filter of an array is evaluated far more slowly
+
+
+def test_batches_of_a_write_have_no_bound_of_bytes(spark, tmp_path, monkeypatch):
+    told, names = [], ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(n) for n in names]
+    rows = spark.createDataFrame(_rows(9), M.SCHEMA)
+    write = type(rows).write
+    monkeypatch.setattr(type(rows), "write", property(lambda df: told.append([spark.conf.get(n) for n in names]) or write.fget(df)))
+    M.write(rows, f"{tmp_path}/map")
+    assert told == [[str(M.BLOCK_ROWS), str(2**31 - 1)]] and [spark.conf.get(n) for n in names] == before
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1000])
+def test_runs_are_cut_across_batches(size):
+    rng = random.Random(size)
+    rows = [(i, j) for i in sorted(rng.sample(range(-50, 400), 60)) for j in range(rng.choice([1, 1, 2, 5, 12]))]
+    table = pa.table({"id": pa.array([i for i, _ in rows], pa.int64()), "value": pa.array([{"ref": j, "role": str(j)} for _, j in rows])})
+    found = [r for b in ingest._cut(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+    assert [(r["id"], v["ref"]) for r in found for v in r["values"]] == rows and len(found) == len({i for i, _ in rows})
+    assert list(ingest._cut(iter([]))) == []
